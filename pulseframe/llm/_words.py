@@ -33,7 +33,7 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """``base**i`` and ``base**-i`` modulo 2**64 for i < n at least."""
-    have = _powers.get(base)
+    n, have = int(n), _powers.get(base)
     if have is None or len(have[0]) < n:
         size = max(1 << 16, 1 << (n - 1).bit_length())
         both = []
@@ -45,6 +45,27 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
+SEGMENT = 1 << 17
+
+
+def rolling(values: np.ndarray, size: int, base: int, back: bool = False) -> np.ndarray:
+    """Rabin-Karp polynomial of every run of ``size`` values, by where it starts; ``back``: by where it ends, shorter at the front."""
+    n = len(values)
+    first = -(size - 1) if back else 0
+    last = n - size
+    out = np.empty(max(0, last - first + 1), U)
+    for a in range(first, last + 1, SEGMENT):
+        b = min(a + SEGMENT, last + 1)
+        lo, hi = max(a, 0), b - 1 + size
+        up, down = powers(base, SEGMENT + 2 * size + 1)
+        c = np.zeros(hi - lo + 1, U)
+        np.cumsum(values[lo:hi] * up[: hi - lo], out=c[1:])
+        k = np.arange(a, b)
+        s = np.maximum(k, 0) - lo
+        out[a - first : b - first] = (c[k + size - lo] - c[s]) * down[s]
+    return out
+
+
 @dataclass
 class Words:
     """Words of a batch. ``doc``: first word of each document, and the end; ``start``/``end``: bytes in ``data``."""
@@ -62,23 +83,13 @@ class Words:
             return np.zeros(0, np.int64), [np.zeros(0, U)] * lanes
         last = np.repeat(self.doc[1:], np.diff(self.doc)) - size
         at = np.flatnonzero(np.arange(n) <= last)
-        out = []
-        for lane, base in enumerate((_R, _R2)[:lanes]):
-            up, down = powers(base, n + 1)
-            c = np.zeros(n + 1, U)
-            np.cumsum(mix(self.hash, lane + 1) * up[:n], out=c[1:])
-            out.append(mix((c[at + size] - c[at]) * down[at], lane + 11))
-        return at, out
+        return at, [mix(rolling(mix(self.hash, lane + 1), size, base)[at], lane + 11) for lane, base in enumerate((_R, _R2)[:lanes])]
 
     def grams(self, size: int, lane: int = 0) -> np.ndarray:
         """For every word the hash of the ``size`` words that end there (meaningless where fewer precede in the document)."""
-        n = len(self.start)
-        base = (_R, _R2)[lane]
-        up, down = powers(base, n + 1)
-        c = np.zeros(n + 1, U)
-        np.cumsum(mix(self.hash, lane + 1) * up[:n], out=c[1:])
-        first = np.maximum(np.arange(n) - size + 1, 0)
-        return mix((c[np.arange(n) + 1] - c[first]) * down[first], 11 + lane + 31 * size)
+        if not len(self.start):
+            return np.zeros(0, U)
+        return mix(rolling(mix(self.hash, lane + 1), size, (_R, _R2)[lane], back=True), 11 + lane + 31 * size)
 
 
 def strings(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,10 +116,19 @@ def words(column: pa.Array | pa.ChunkedArray) -> Words:
     fresh[offs] = True
     starts = np.flatnonzero(ink[1 : n + 1] & (blank[:n] | fresh[:n]))
     ends = np.flatnonzero(ink[1 : n + 1] & (blank[2:] | fresh[1:])) + 1
-    up, down = powers(_P, n + 1)
-    c = np.zeros(n + 1, U)
-    np.cumsum((data.astype(U) + U(1)) * up[:n], out=c[1:])
-    h = mix((c[ends] - c[starts]) * down[starts])
+    h = np.empty(len(starts), U)
+    at = 0
+    while at < len(starts):  # by segments, so that the power tables stay small
+        base = starts[at]
+        to = max(at + 1, int(np.searchsorted(starts, base + (SEGMENT << 1))))
+        hi = ends[to - 1]
+        up, down = powers(_P, hi - base + 1)
+        c = np.zeros(hi - base + 1, U)
+        np.cumsum((data[base:hi].astype(U) + U(1)) * up[: hi - base], out=c[1:])
+        s = starts[at:to] - base
+        h[at:to] = (c[ends[at:to] - base] - c[s]) * down[s]
+        at = to
+    h = mix(h)
     return Words(data, np.searchsorted(starts, offs), starts, ends, h)
 
 
