@@ -6,6 +6,7 @@ import importlib
 
 #: query -> module that defines a function of that name
 MODULES = {
+    "op2_token_counts": "tokencount",
     "op4_substring_dedup": "substring",
 }
 
