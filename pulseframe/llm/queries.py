@@ -8,6 +8,8 @@ import importlib
 MODULES = {
     "op2_token_counts": "tokencount",
     "op4_substring_dedup": "substring",
+    "op7_retrieval_packing": "packing",
+    "op10_histogram_sharding": "sharding",
 }
 
 
