@@ -8,7 +8,9 @@ import importlib
 MODULES = {
     "op2_token_counts": "tokencount",
     "op4_substring_dedup": "substring",
+    "op5_quality_rules": "quality",
     "op7_retrieval_packing": "packing",
+    "op9_html_extraction": "html",
     "op10_histogram_sharding": "sharding",
 }
 
