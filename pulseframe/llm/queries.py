@@ -10,6 +10,7 @@ MODULES = {
     "op4_substring_dedup": "substring",
     "op5_quality_rules": "quality",
     "op7_retrieval_packing": "packing",
+    "op8_jaccard_join": "jaccard",
     "op9_html_extraction": "html",
     "op10_histogram_sharding": "sharding",
 }
