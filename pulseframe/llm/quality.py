@@ -101,20 +101,25 @@ def _distance() -> Column:
 
 
 def _factor(groups: DataFrame) -> DataFrame:
-    """Adds the Cholesky factor of the scatter ``c{i}{j}``, column by column."""
+    """The Cholesky factor of the scatter ``c{i}{j}``, column by column; each step is bound, so that none is written out twice."""
+    names = [f"m{i}" for i in range(DIMS)] + [f"c{i}{j}" for i, j in PAIRS]
+    state = F.struct(*names)
     for j in range(DIMS):
-        root = F.col(f"c{j}{j}")
-        for k in range(j):
-            root = root - F.col(f"l{j}{k}") * F.col(f"l{j}{k}")
-        groups = groups.withColumn(f"l{j}{j}", F.sqrt(F.greatest(root, F.lit(1e-12))))
-        below = {}
-        for i in range(j + 1, DIMS):
-            part = F.col(f"c{i}{j}")
-            for k in range(j):
-                part = part - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            below[f"l{i}{j}"] = part / F.col(f"l{j}{j}")
-        groups = groups.withColumns(below) if below else groups
-    return groups.select("__fit", *(f"m{i}" for i in range(DIMS)), *(f"l{i}{j}" for i, j in PAIRS))
+
+        def diagonal(s: Column, j=j, names=tuple(names)) -> Column:
+            root = reduce(lambda a, k: a - s[f"l{j}{k}"] * s[f"l{j}{k}"], range(j), s[f"c{j}{j}"])
+            return F.struct(*(s[n].alias(n) for n in names), F.sqrt(F.greatest(root, F.lit(1e-12))).alias(f"l{j}{j}"))
+
+        names.append(f"l{j}{j}")
+
+        def below(s: Column, j=j, names=tuple(names)) -> Column:
+            part = lambda i: reduce(lambda a, k: a - s[f"l{i}{k}"] * s[f"l{j}{k}"], range(j), s[f"c{i}{j}"])
+            return F.struct(*(s[n].alias(n) for n in names), *((part(i) / s[f"l{j}{j}"]).alias(f"l{i}{j}") for i in range(j + 1, DIMS)))
+
+        names += [f"l{i}{j}" for i in range(j + 1, DIMS)]
+        state = let(let(state, diagonal), below)
+    out = groups.select("__fit", state.alias("__p"))
+    return out.select("__fit", *(F.col(f"__p.m{i}").alias(f"m{i}") for i in range(DIMS)), *(F.col(f"__p.l{i}{j}").alias(f"l{i}{j}") for i, j in PAIRS))
 
 
 def _moments(sums: DataFrame, floors: tuple[float, ...], factor: float) -> DataFrame:
@@ -138,6 +143,7 @@ def fit(rows: DataFrame, groups: DataFrame, small: bool, floors: tuple[float, ..
     start = {f"m{i}": F.col(X[i])[1] for i in range(DIMS)}
     start |= {f"c{i}{j}": ((F.col(X[i])[2] - F.col(X[i])[0]) / 1.349) ** 2 + floors[i] ** 2 if i == j else F.lit(0.0) for i, j in PAIRS}
     params = _factor(quart.withColumns(start))
+    params = _store.materialize(params, "quality-start")
     for _ in range(steps):
         far = rows.join(hint(params), "__fit").withColumn("__bin", F.least(F.lit(BINS - 1), F.floor(10 * F.log2(1 + 16 * _distance()))).cast("int"))
         bins = far.groupBy("__fit", "__bin").agg(*_sums())
@@ -145,9 +151,9 @@ def fit(rows: DataFrame, groups: DataFrame, small: bool, floors: tuple[float, ..
         bins = bins.withColumns({"__before": F.coalesce(order, F.lit(0)), "__all": F.expr("sum(n) over (partition by __fit)")})
         near = bins.filter(F.col("__before") < F.ceil(F.col("__all") * share))
         sums = near.groupBy("__fit").agg(F.sum("n").alias("n"), *(F.sum(s).alias(s) for s in names))
-        params = _moments(_store.materialize(sums, "quality-step"), floors, CONSISTENT)
+        params = _store.materialize(_moments(_store.materialize(sums, "quality-sums"), floors, CONSISTENT), "quality-step")
     near = rows.join(hint(params), "__fit").filter(_distance() <= inner)
-    again = _moments(_store.materialize(near.groupBy("__fit").agg(*_sums()), "quality-step"), floors, 1.0)
+    again = _moments(_store.materialize(near.groupBy("__fit").agg(*_sums()), "quality-sums"), floors, 1.0)
     return groups.join(again, "__fit").select("__lang", "__source", *(c for c in again.columns if c != "__fit"))
 
 

@@ -6,9 +6,12 @@ import importlib
 
 #: query -> module that defines a function of that name
 MODULES = {
+    "op1_benchmark_decontamination": "decontam",
     "op2_token_counts": "tokencount",
+    "op3_license_scan": "licenses",
     "op4_substring_dedup": "substring",
     "op5_quality_rules": "quality",
+    "op6_stupid_backoff": "lm",
     "op7_retrieval_packing": "packing",
     "op8_jaccard_join": "jaccard",
     "op9_html_extraction": "html",
