@@ -106,18 +106,19 @@ def _factor(groups: DataFrame) -> DataFrame:
     state = F.struct(*names)
     for j in range(DIMS):
 
-        def diagonal(s: Column, j=j, names=tuple(names)) -> Column:
+        def diagonal(s: Column) -> Column:
             root = reduce(lambda a, k: a - s[f"l{j}{k}"] * s[f"l{j}{k}"], range(j), s[f"c{j}{j}"])
             return F.struct(*(s[n].alias(n) for n in names), F.sqrt(F.greatest(root, F.lit(1e-12))).alias(f"l{j}{j}"))
 
+        state = let(state, diagonal)
         names.append(f"l{j}{j}")
 
-        def below(s: Column, j=j, names=tuple(names)) -> Column:
+        def below(s: Column) -> Column:
             part = lambda i: reduce(lambda a, k: a - s[f"l{i}{k}"] * s[f"l{j}{k}"], range(j), s[f"c{i}{j}"])
             return F.struct(*(s[n].alias(n) for n in names), *((part(i) / s[f"l{j}{j}"]).alias(f"l{i}{j}") for i in range(j + 1, DIMS)))
 
+        state = let(state, below)
         names += [f"l{i}{j}" for i in range(j + 1, DIMS)]
-        state = let(let(state, diagonal), below)
     out = groups.select("__fit", state.alias("__p"))
     return out.select("__fit", *(F.col(f"__p.m{i}").alias(f"m{i}") for i in range(DIMS)), *(F.col(f"__p.l{i}{j}").alias(f"l{i}{j}") for i, j in PAIRS))
 
