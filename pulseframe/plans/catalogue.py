@@ -1,11 +1,154 @@
-"""Registered queries of the signal engine, with their DuckDB counterparts."""
+"""Registered queries of the signal engine, with their DuckDB counterparts.
+
+A ``Sql`` entry has one text for both engines; inputs are signal sources, which
+nest other texts.  The other entries are DataFrame functions.
+"""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+from dataclasses import dataclass, field
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..operators import _sql, folds, intervals, matching, quality, samples, spectral
+from ..sources import signals
+
+TABLES = ("events", "lineitem", "nation", "supplier", "customer", "orders", "embeddings")
+
+#: Segments and detectors of the event series take a nominal 36 Hz, so that recordings have many segments.
+FS = 36.0
+CHANNELS = "SELECT event_type AS recording_id, CAST(user_id % 3 AS INT) AS channel, value AS v FROM {events}"
+SYNTH_PEAKS = f"SELECT recording_id, idx, 360.0 AS fs FROM ({intervals.local_maxima(0.6).replace('{s}', f'({signals.SYNTH})')}) AS x1"
+EVENT_PEAKS = f"SELECT recording_id, idx, 12.0 AS fs FROM ({intervals.local_maxima(0.3).replace('{s}', f'({signals.EVENTS})')}) AS x2"
+PEAKS = f"SELECT * FROM ({SYNTH_PEAKS}) AS y1 UNION ALL SELECT * FROM ({EVENT_PEAKS}) AS y2"
+#: A stated quality for every recording, as the monitor would give it.
+STATED = f"SELECT recording_id, length(recording_id) % 2 = 0 AS poor, length(recording_id) % 3 = 0 AS severe, 0.1 * (length(recording_id) % 10) AS reliability FROM (SELECT DISTINCT recording_id FROM ({PEAKS}) AS pk) AS st"
+PROFILES = "SELECT n_name AS recording_id, CASE n_nationkey % 5 WHEN 0 THEN 'SEVERE EMG' WHEN 1 THEN 'MODERATE EMG' WHEN 2 THEN 'MILD EMG' ELSE 'CLEAN' END AS emg_severity, (n_nationkey % 7) / 10.0 AS baseline, n_nationkey % 4 * 6 AS motion, n_nationkey % 3 = 0 AS powerline, n_nationkey % 6 = 5 AS saturated FROM {nation}"
+SEGMENT_EMG = "SELECT CAST(s_nationkey AS VARCHAR(20)) AS recording_id, CASE s_suppkey % 4 WHEN 3 THEN 'SEVERE EMG' WHEN 2 THEN 'MODERATE EMG' WHEN 1 THEN 'MILD EMG' ELSE 'CLEAN' END AS emg_severity FROM {supplier}"
+TRUTH = f"SELECT recording_id, beat * period AS idx FROM ({signals.SYNTH}) AS tr WHERE beat * period < 3000 AND beat >= 0 GROUP BY recording_id, beat, period"
+METHODS = f"SELECT recording_id, 'maxima' AS method, idx FROM ({SYNTH_PEAKS}) AS a1 UNION ALL SELECT recording_id, 'late' AS method, idx + 7 AS idx FROM ({SYNTH_PEAKS}) AS a2 UNION ALL SELECT recording_id, 'sparse' AS method, idx + 25 AS idx FROM ({SYNTH_PEAKS}) AS a3 WHERE idx % 2 = 0"
+SMOOTH = f"SELECT recording_id, idx, m AS v FROM ({samples.moving_mean(5).replace('{s}', f'({signals.SYNTH})')}) AS sm"
+HALVES = "SELECT event_type AS recording_id, count(*) * 60.0 / (max(event_id) - min(event_id) + 1) AS bpm FROM {events} WHERE event_id % 2 = {k} GROUP BY event_type"
+PERTURBED = f"SELECT recording_id, idx, v + 0.5 * sin(0.2 * idx) AS v FROM ({signals.EVENTS}) AS pe"
+
+
+@dataclass
+class Sql:
+    text: str
+    inputs: dict[str, str] = field(default_factory=dict)
+
+    def whole(self) -> str:
+        text = self.text
+        for name, source in self.inputs.items():
+            text = text.replace("{" + name + "}", f"({source})")
+        return text
+
+    def spark(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        text = self.whole()
+        used = {t: signals.table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in text}
+        return spark.sql(_sql.render(text, "spark"), **used)
+
+    def duckdb(self) -> str:
+        return re.sub(r"\{(\w+)\}", r"\1", _sql.render(self.whole(), "duckdb"))
+
+
+E, G, S = {"s": signals.EVENTS}, {"s": signals.GAPS}, {"s": signals.SYNTH}
+P = {"p": PEAKS}
+
+SQL: dict[str, Sql] = {
+    # sample-wise
+    "gap_fill_linear": Sql(samples.GAP_FILL, G),
+    "missing_profile": Sql(samples.MISSING_PROFILE, G),
+    "baseline_moving_mean": Sql(samples.baseline(FS), E),
+    "ppg_baseline": Sql(samples.baseline(FS, 1.5), E),
+    "detrend": Sql(samples.detrend(FS), E),
+    "removed_component": Sql(samples.removed_component(FS), E),
+    "central_derivative": Sql(samples.central_derivative(FS), E),
+    "squared_energy": Sql(samples.squared_energy(FS), E),
+    "mwi_trailing": Sql(samples.mwi_trailing(FS), E),
+    "rms_envelope": Sql(samples.rms_envelope(FS), E),
+    "burst_fraction": Sql(samples.burst_fraction(FS), E),
+    "forward_fill_trace": Sql(samples.FORWARD_FILL, G),
+    "minmax_decimate": Sql(samples.decimate(400), E),
+    "time_crop": Sql(samples.crop(5.0, 15.0, FS), E),
+    "channel_select": Sql(samples.channel_select(5), {"s": CHANNELS}),
+    "step_differences": Sql(samples.step_differences(FS), E),
+    # quality
+    "signal_quality": Sql(quality.SIGNAL_QUALITY, G),
+    "snr_proxy": Sql(quality.SNR_PROXY, E),
+    "robust_amplitude": Sql(quality.ROBUST_AMPLITUDE, E),
+    "noise_rms": Sql(quality.NOISE_RMS, E),
+    "saturation": Sql(quality.SATURATION, E),
+    "flatline": Sql(quality.FLATLINE, E),
+    "quality_overall": Sql(quality.QUALITY_OVERALL, G),
+    "segment_stats": Sql(quality.segment_stats(FS), G),
+    "segment_status": Sql(quality.segment_status(FS), G),
+    "segment_noise_ratio": Sql(quality.segment_noise_ratio(FS), E),
+    "segment_saturation": Sql(quality.segment_saturation(FS), E),
+    "segment_flatline": Sql(quality.segment_flatline(FS), E),
+    "amplitude_jump": Sql(quality.amplitude_jump(FS), E),
+    "status_rollup": Sql(quality.status_rollup(FS), G),
+    "hist_entropy": Sql(quality.hist_entropy(), E),
+    "segment_kl_shift": Sql(quality.segment_kl_shift(FS), E),
+    "noise_type_vote": Sql(quality.noise_type_vote(), {"s": PROFILES}),
+    "dominant_emg": Sql(quality.DOMINANT_EMG, {"s": SEGMENT_EMG}),
+    # peaks, intervals, rules
+    "local_maxima": Sql(intervals.local_maxima(0.3), E),
+    "synthetic_peaks": Sql(intervals.local_maxima(0.6), S),
+    "rr_intervals": Sql(intervals.RR_INTERVALS, P),
+    "hr_series": Sql(intervals.HR_SERIES, P),
+    "interval_tiles": Sql(intervals.INTERVAL_TILES, P),
+    "longest_run": Sql(intervals.LONGEST_RUN, P),
+    "first_rapid_run_latency": Sql(intervals.FIRST_RUN_LATENCY, P),
+    "rr_features": Sql(intervals.RR_FEATURES, P),
+    "vt_evidence": Sql(intervals.VT_EVIDENCE, P),
+    "vf_evidence": Sql(intervals.VF_EVIDENCE, P),
+    "rhythm_label": Sql(intervals.RHYTHM_LABEL, P),
+    "rhythm_modular": Sql(intervals.RHYTHM_MODULAR, P),
+    "alert_suppression": Sql(intervals.ALERT_SUPPRESSION, P | {"q": STATED}),
+    "alert_rollup": Sql(intervals.ALERT_ROLLUP, P | {"q": STATED}),
+    # matching and morphology
+    "peak_match_metrics": Sql(matching.match_metrics(360.0), {"d": METHODS.replace("UNION ALL", "UNION ALL"), "r": TRUTH}),
+    "timing_jitter": Sql(matching.timing_jitter(360.0), {"d": METHODS, "r": TRUTH}),
+    "algorithm_compare": Sql(f"SELECT method, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, round(2.0 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)), 4) AS f1 FROM ({matching.match_metrics(360.0)}) AS mm GROUP BY method", {"d": METHODS, "r": TRUTH}),
+    "ppg_ecg_agreement": Sql(matching.PPG_ECG, {"a": HALVES.replace("{k}", "0"), "b": HALVES.replace("{k}", "1")}),
+    "perturbation_delta": Sql(matching.PERTURBATION, {"a": quality.SIGNAL_QUALITY.replace("{s}", f"({signals.EVENTS})"), "b": quality.SIGNAL_QUALITY.replace("{s}", f"({PERTURBED})")}),
+    "qrs_amplitude": Sql(matching.qrs_amplitude(), {"p": SYNTH_PEAKS, "s": signals.SYNTH}),
+    "qrs_width": Sql(matching.qrs_width(), {"p": SYNTH_PEAKS, "s": signals.SYNTH}),
+    "st_level": Sql(matching.st_level(), {"p": SYNTH_PEAKS, "s": signals.SYNTH}),
+    "morphology_corr": Sql(matching.morphology(), {"p": SYNTH_PEAKS, "f": SMOOTH, "s": signals.SYNTH}),
+    # spectra
+    "dft_power": Sql(spectral.dft_power(), S),
+    "band_fraction": Sql(spectral.band_fraction(), E),
+    "spectral_entropy": Sql(spectral.spectral_entropy(), E),
+    "powerline_flag": Sql(spectral.powerline(), S),
+}
+
+NOISE_SERIES = f"SELECT recording_id, segment AS k, noise AS x FROM ({quality.segments(FS)}) AS ns WHERE noise IS NOT NULL"
+CANDIDATES = f"SELECT recording_id, idx, mwi AS w FROM (SELECT recording_id, idx, mwi, lag(mwi) OVER {samples.W} AS pw, lead(mwi) OVER {samples.W} AS nw FROM ({samples.integral(FS)}) AS ci) AS cj WHERE mwi > pw AND mwi > nw"
+VALID_RR = f"SELECT recording_id, beat AS k, rr FROM ({intervals.VALID}) AS vr"
+
+
+def _fold(function: Callable, source: Sql, oracle: Callable, *args):
+    return (lambda spark, sf_dir: function(source.spark(spark, sf_dir), *args)), oracle(re.sub(r"\{(\w+)\}", r"\1", _sql.render(source.whole(), "duckdb")), *args)
+
+
+FOLDS = {
+    "cusum_change_points": _fold(folds.cusum, Sql(NOISE_SERIES, E), folds.cusum_oracle, 0.8, 0.5),
+    "adaptive_threshold_peaks": _fold(folds.adaptive_threshold, Sql(CANDIDATES, E), folds.adaptive_oracle, int(0.2 * FS)),
+    "streaming_vt_fold": _fold(folds.streaming_vt, Sql(VALID_RR, P), folds.streaming_vt_oracle),
+}
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import kernels
 
-def queries() -> dict:
-    return {}
+    found: dict[str, Callable] = {name: q.spark for name, q in SQL.items()}
+    found |= {name: f for name, (f, _) in FOLDS.items()}
+    return found | kernels.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: q.duckdb() for name, q in SQL.items()} | {name: sql for name, (_, sql) in FOLDS.items()}
