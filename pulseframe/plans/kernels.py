@@ -1,2 +1,58 @@
+"""Queries over the numerical kernels and pipelines; DuckDB has no counterpart, so NumPy tests hold them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import _sql, matching
+from ..sources import files, signals
+from ..streaming import edge
+from . import pipelines
+
+
+def _signal(text: str):
+    def load(spark: SparkSession, sf_dir: str) -> DataFrame:
+        tables = {t: signals.table(spark, sf_dir, t) for t in ("events", "lineitem", "nation") if "{" + t + "}" in text}
+        return spark.sql(_sql.render(text, "spark"), **tables)
+
+    return load
+
+
+SYNTH, EVENTS, LINEITEM, GAPS = _signal(signals.SYNTH), _signal(signals.EVENTS), _signal(signals.LINEITEM), _signal(signals.GAPS)
+
+
+def compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four detectors against the true beats."""
+    found = pipelines.beats(SYNTH(spark, sf_dir), 360.0, ("adaptive", "pan_tompkins", "hamilton", "christov"))
+    truth = SYNTH(spark, sf_dir).filter("beat * period < 3000").select("recording_id", (F.col("beat") * F.col("period")).alias("idx")).distinct()
+    return _sql.run(matching.match_metrics(360.0, 0.15), d=found, r=truth)
+
+
+def text_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.parse_text(files.as_text(SYNTH(spark, sf_dir)))
+
+
+def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.infer_rate(text_scan(spark, sf_dir))
+
+
 def queries() -> dict:
-    return {}
+    return {
+        "welch_psd": lambda s, d: pipelines.spectra(EVENTS(s, d)),
+        "dual_path": lambda s, d: pipelines.waves(SYNTH(s, d)),
+        "bandpass_zero_phase": lambda s, d: pipelines.waves(SYNTH(s, d)).select("recording_id", "idx", "qrs"),
+        "notch": lambda s, d: pipelines.waves(SYNTH(s, d)).select("recording_id", "idx", "notched"),
+        "r_peaks": lambda s, d: pipelines.beats(SYNTH(s, d)),
+        "r_peaks_chunked": lambda s, d: pipelines.beats_chunked(EVENTS(s, d), 360.0, 2.0, 0.5),
+        "ppg_peaks": lambda s, d: pipelines.beats(SYNTH(s, d), 360.0, ("pulse",)),
+        "detector_compare": compare,
+        "ecg_pipeline": lambda s, d: pipelines.process(SYNTH(s, d)),
+        "ppg_pipeline": lambda s, d: pipelines.process(SYNTH(s, d), 360.0, "ppg"),
+        "emg_pipeline": lambda s, d: pipelines.process(GAPS(s, d), 360.0, "emg"),
+        "bulk_pipeline": lambda s, d: pipelines.process(LINEITEM(s, d)),
+        "csv_signal_scan": text_scan,
+        "fs_inference": rates,
+        "edge_chunks": lambda s, d: edge.batch(SYNTH(s, d), 360.0),
+        "text_report": lambda s, d: files.report(pipelines.process(SYNTH(s, d))),
+    }
