@@ -64,14 +64,14 @@ class Templates:
         self.best, self.rows = best, [(name, wording(s), set(names.split())) for name, s, names in statements]
         make = lambda **k: zstandard.ZstdCompressor(level=3, write_content_size=False, **k)
         self.plain = make()
-        self.given = [make(dict_data=zstandard.ZstdCompressionDict(s.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, s, _ in statements]
+        self.given = [make(dict_data=zstandard.ZstdCompressionDict(" ".join(wording(s)).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, s, _ in statements]
 
     def scan(self, block: str, threshold: float):
         """(licence, plain size, size given the template, similarity, missing words, added words) or None."""
-        raw = block.encode()
+        words = wording(block)
+        raw = " ".join(words).encode()  # case, spacing and punctuation don't count
         plain = len(self.plain.compress(raw))
         sizes = [len(g.compress(raw)) for g in self.given]
-        words = wording(block)
         for i in sorted(range(len(sizes)), key=lambda i: (sizes[i], i))[: self.best]:
             if sizes[i] >= plain:
                 break
