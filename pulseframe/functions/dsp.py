@@ -194,7 +194,7 @@ def refine(x: np.ndarray, at: int, reach: int) -> int:
     k = int(part.argmax()) if abs(part.max()) >= abs(part.min()) else int(part.argmin())
     k += lo
     near = [abs(x[j]) for j in (k - 1, k + 1) if 0 <= j < len(x)]
-    return at if near and x[k] != 0 and max(near) < 0.05 * abs(x[k]) else k
+    return at if lo < k < hi - 1 and max(near) < 0.05 * abs(x[k]) else k
 
 
 def detect_beats(x: np.ndarray, fs: float, searchback: bool = True) -> np.ndarray:
@@ -209,10 +209,10 @@ def detect_beats(x: np.ndarray, fs: float, searchback: bool = True) -> np.ndarra
     npki = 0.1 * spki
     reach, found = int(0.04 * fs), []
     for c in find_peaks(mwi, distance=max(1, refractory // 2)):
-        if mwi[c] > npki + 0.25 * (spki - npki):
+        if mwi[c] > npki + 0.25 * (spki - npki) and (not found or c - found[-1] >= refractory):
             spki = 0.125 * mwi[c] + 0.875 * spki
             r = refine(x, int(c), reach)
-            if not found or r - found[-1] >= refractory:
+            if r not in found[-2:]:
                 found.append(r)
         else:
             npki = 0.125 * mwi[c] + 0.875 * npki
