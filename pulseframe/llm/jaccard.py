@@ -304,3 +304,20 @@ def join(docs: DataFrame, threshold: float = 0.8, size: int = 5, recall: float =
 
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return join(_store.table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+#: The same by counting common shingles of all pairs that have one; DuckDB SQL.
+ORACLE_SQL = {
+    "op8_jaccard_join": r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct(list_transform(generate_series(1, len(w) - 4), lambda k: array_to_string(w[k : k + 4], ' ')))) END AS s FROM d),
+sets AS (SELECT min(doc_id) AS rep, count(*) AS n_copies, s FROM g WHERE len(s) > 0 GROUP BY s),
+e AS (SELECT rep, len(s) AS n, unnest(s) AS x FROM sets),
+link AS (SELECT a.rep AS a, b.rep AS b FROM e AS a JOIN e AS b ON a.x = b.x AND a.rep <> b.rep GROUP BY a.rep, b.rep HAVING count(*) >= 0.8 * (min(a.n) + min(b.n) - count(*)) - 1e-9),
+reach AS (SELECT rep AS a, rep AS b FROM sets WHERE rep IN (SELECT a FROM link) UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+least AS (SELECT a AS rep, min(b) AS class_id FROM reach GROUP BY a),
+degree AS (SELECT a AS rep, count(*) AS n FROM link GROUP BY a)
+SELECT g.doc_id, coalesce(least.class_id, sets.rep, g.doc_id) AS class_id, CAST(coalesce(degree.n, 0) AS BIGINT) AS n_links, CAST(coalesce(sets.n_copies, 1) AS BIGINT) AS n_copies
+FROM g LEFT JOIN sets ON g.s = sets.s LEFT JOIN least ON sets.rep = least.rep LEFT JOIN degree ON sets.rep = degree.rep
+"""
+}

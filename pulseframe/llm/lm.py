@@ -177,4 +177,21 @@ def score(docs: DataFrame, order: int = 3, alpha: float = 0.4, chunk_bytes: int
 
 def op6_stupid_backoff(spark, sf_dir: str) -> DataFrame:
     out = score(_store.table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.withColumn("log_score", F.round("log_score", 4)).withColumn("mean_log", F.round(F.try_divide("log_score", "n_words"), 4))
+    return out.withColumns({"log_score": F.round("log_score", 4), "mean_log": F.round(F.try_divide("log_score", "n_words"), 4)})
+
+
+#: The same by window counts over written-out n-grams; DuckDB SQL.
+ORACLE_SQL = {
+    "op6_stupid_backoff": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, unnest(w) AS x, unnest(generate_series(1, len(w))) AS i, len(w) AS n FROM d),
+q AS (SELECT *, lag(x) OVER (PARTITION BY doc_id ORDER BY i) AS y, lag(x, 2) OVER (PARTITION BY doc_id ORDER BY i) AS z, count(*) OVER () AS total FROM p),
+c AS (SELECT *, count(*) OVER (PARTITION BY x) - count(*) OVER (PARTITION BY doc_id, x) AS c1,
+             CASE WHEN i >= 2 THEN count(*) OVER (PARTITION BY y, x) - count(*) OVER (PARTITION BY doc_id, y, x) ELSE 0 END AS c2, CASE WHEN i >= 3 THEN count(*) OVER (PARTITION BY z, y, x) - count(*) OVER (PARTITION BY doc_id, z, y, x) ELSE 0 END AS c3 FROM q),
+k AS (SELECT *, lag(c1) OVER (PARTITION BY doc_id ORDER BY i) AS u, lag(c2) OVER (PARTITION BY doc_id ORDER BY i) AS b, greatest(total - n, 1) AS rest FROM c),
+s AS (SELECT doc_id, i, CASE WHEN c3 > 0 THEN ln(c3 / b) WHEN c2 > 0 THEN ln(c2 / u) + least(i - 2, 1) * ln(0.4) WHEN c1 > 0 THEN ln(c1 / rest) + least(i - 1, 2) * ln(0.4) ELSE least(i, 3) * ln(0.4) - ln(rest + 1) END AS v,
+             CASE WHEN c3 > 0 THEN 3 WHEN c2 > 0 THEN 2 WHEN c1 > 0 THEN 1 ELSE 0 END AS level FROM k),
+t AS (SELECT doc_id, sum(v) AS log_score, count(*) FILTER (level > 0 AND level = least(i, 3)) AS n_full, count(*) FILTER (level > 0 AND level < least(i, 3)) AS n_backed_off, count(*) FILTER (level = 0) AS n_unseen FROM s GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(log_score, 0.0), 4) AS log_score, coalesce(n_full, 0) AS n_full, coalesce(n_backed_off, 0) AS n_backed_off, coalesce(n_unseen, 0) AS n_unseen, round(log_score / nullif(len(w), 0), 4) AS mean_log FROM d LEFT JOIN t USING (doc_id)
+"""
+}
