@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import _sql, folds, intervals, matching, quality, samples, spectral
+from ..operators import _sql, display, folds, intervals, matching, quality, samples, spectral
 from ..sources import signals
 
 TABLES = ("events", "lineitem", "nation", "supplier", "customer", "orders", "embeddings")
@@ -119,6 +119,12 @@ SQL: dict[str, Sql] = {
     "qrs_width": Sql(matching.qrs_width(), {"p": SYNTH_PEAKS, "s": signals.SYNTH}),
     "st_level": Sql(matching.st_level(), {"p": SYNTH_PEAKS, "s": signals.SYNTH}),
     "morphology_corr": Sql(matching.morphology(), {"p": SYNTH_PEAKS, "f": SMOOTH, "s": signals.SYNTH}),
+    # display
+    "perturbations": Sql(display.PERTURBATION_FACTS, S),
+    "what_changed": Sql(display.WHAT_CHANGED, {"f": SMOOTH, "s": signals.SYNTH}),
+    "detection_reliability": Sql(display.RELIABILITY, {"f": f"SELECT recording_id, cv, beats, n * mean AS span FROM ({intervals.FEATURES}) AS fe", "q": "SELECT DISTINCT recording_id, 0.1 * (length(recording_id) % 10) AS quality, 0.05 * (length(recording_id) % 4) AS emg FROM {p}"} | P),
+    "rhythm_match": Sql(display.rhythm_match(), {"l": f"SELECT a.recording_id, a.label, b.label AS reference FROM ({intervals.RHYTHM_LABEL}) AS a JOIN ({intervals.RHYTHM_MODULAR}) AS b ON a.recording_id = b.recording_id"} | P),
+    "motion_label": Sql(display.MOTION, {"s": quality.SIGNAL_QUALITY.replace("{s}", f"({signals.EVENTS})")}),
     # spectra
     "dft_power": Sql(spectral.dft_power(), S),
     "band_fraction": Sql(spectral.band_fraction(), E),

@@ -45,6 +45,7 @@ def queries() -> dict:
         "notch": lambda s, d: pipelines.waves(SYNTH(s, d)).select("recording_id", "idx", "notched"),
         "r_peaks": lambda s, d: pipelines.beats(SYNTH(s, d)),
         "r_peaks_chunked": lambda s, d: pipelines.beats_chunked(EVENTS(s, d), 360.0, 2.0, 0.5),
+        "peak_details": lambda s, d: pipelines.peak_details(SYNTH(s, d)),
         "ppg_peaks": lambda s, d: pipelines.beats(SYNTH(s, d), 360.0, ("pulse",)),
         "detector_compare": compare,
         "ecg_pipeline": lambda s, d: pipelines.process(SYNTH(s, d)),

@@ -9,6 +9,7 @@ they are set-based (see ``operators``).  Long recordings can be dealt by
 from __future__ import annotations
 
 import math
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -201,7 +202,7 @@ def process(signal: DataFrame, fs: float = 360.0, modality: str = "ecg", config:
     kind = modality.strip().lower()
     run = {"ecg": run_ecg, "ppg": run_ppg, "emg": run_emg}.get(kind)
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values("idx")["v"].to_numpy(float)
         finite = np.isfinite(x)
         message = ""
@@ -237,7 +238,7 @@ def waves(signal: DataFrame, fs: float = 360.0) -> DataFrame:
 def spectra(signal: DataFrame, fs: float = 360.0, nperseg: int = 256) -> DataFrame:
     ship(signal.sparkSession)
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         f, p = dsp.welch(dsp.fill_gaps(pdf.sort_values("idx")["v"].to_numpy(float)), fs, nperseg)
         return pd.DataFrame({"recording_id": key[0], "k": np.arange(len(f)), "freq": f, "p": p})
 
@@ -248,7 +249,7 @@ def beats(signal: DataFrame, fs: float = 360.0, methods: tuple[str, ...] = ("ada
     """``recording_id, method, idx`` of beats by each detector; one that fails on a recording gives none there."""
     ship(signal.sparkSession)
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         x = dsp.fill_gaps(pdf.sort_values("idx")["v"].to_numpy(float))
         y = dsp.bandpass(x - dsp.baseline(x, fs), DEFAULT.qrs_band, 4, fs)
         parts = []
@@ -271,7 +272,7 @@ def beats_chunked(signal: DataFrame, fs: float = 360.0, chunk_s: float = 60.0, o
     last = F.floor(F.col("idx") / step)
     chunks = F.filter(F.array(last, last - 1), lambda k: (k >= 0) & (F.col("idx") < k * step + n))
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         start = int(key[1]) * step
         x = dsp.fill_gaps(pdf.sort_values("idx")["v"].to_numpy(float))
         y = dsp.bandpass(x - dsp.baseline(x, fs), DEFAULT.qrs_band, 4, fs) if len(x) > 30 else x
@@ -282,3 +283,38 @@ def beats_chunked(signal: DataFrame, fs: float = 360.0, chunk_s: float = 60.0, o
 
     dealt = signal.withColumn("chunk", F.explode(chunks))
     return dealt.groupBy("recording_id", "chunk").applyInPandas(one, "recording_id string, idx long").distinct()
+
+
+DETAIL = "recording_id string, idx long, t_s double, amplitude double, mwi double, local_noise double, strength double, accepted boolean, refined boolean, refractory_pass boolean, reject_reason string"
+
+
+def peak_details(signal: DataFrame, fs: float = 360.0) -> DataFrame:
+    """Every decision of the adaptive detector: accepted candidates, refractory violations, and near misses of the threshold."""
+    ship(signal.sparkSession)
+    refractory, w = int(DEFAULT.refractory_s * fs), max(1, int(DEFAULT.mwi_s * fs))
+
+    def one(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
+        x = dsp.fill_gaps(pdf.sort_values("idx")["v"].to_numpy(float))
+        y = dsp.bandpass(x - dsp.baseline(x, fs), DEFAULT.qrs_band, 4, fs)
+        mwi, rows, last = dsp.trailing_mean(dsp.derivative(y, fs) ** 2, w), [], -2 * refractory
+        calib = mwi[: max(1, min(int(2 * fs), len(mwi) // 4))]
+        first = dsp.find_peaks(calib, distance=refractory)
+        signal_level = float(mwi[first].mean()) if len(first) else 0.5 * float(calib.max(initial=0))
+        noise_level = 0.1 * signal_level
+        reach = max(1, int(0.04 * fs))
+        for c in dsp.find_peaks(mwi, distance=max(1, refractory // 2)).tolist():
+            threshold = noise_level + 0.25 * (signal_level - noise_level)
+            over, free = bool(mwi[c] > threshold), c - last >= refractory
+            at = c
+            if over and free:
+                lo = max(0, c - reach)
+                at = lo + int(np.abs(y[lo : c + reach + 1]).argmax())
+                last, signal_level = at, 0.125 * float(mwi[c]) + 0.875 * signal_level
+            else:
+                noise_level = 0.125 * float(mwi[c]) + 0.875 * noise_level
+            if over or mwi[c] > 0.5 * threshold:
+                floor = float(np.percentile(mwi[max(0, at - 2 * w) : at + 2 * w], 20))
+                rows.append((key[0], at, at / fs, float(x[at]), float(mwi[at]), floor, float(np.clip(mwi[at] / (floor + 1e-9) / 20, 0, 1)), over and free, over and free, free, None if over and free else "Refractory-period violation" if over else "Below adaptive threshold"))
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in DETAIL.split(", ")])
+
+    return signal.groupBy("recording_id").applyInPandas(one, DETAIL)

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -98,7 +99,7 @@ def batch(signal: DataFrame, fs: float = 360.0, chunk_s: float = DEFAULT.edge_ch
     """The chunk rows of whole recordings."""
     ship(signal.sparkSession)
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values("idx")["v"].to_numpy(float)
         n, over = int(chunk_s * fs), int(overlap_s * fs) if compat else 0
         edge = Edge(fs, compat)

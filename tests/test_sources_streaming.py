@@ -109,3 +109,14 @@ def test_npz_reader_survives_no_rate():
     np.savez(buf, x=np.arange(3.0))
     assert files._array_rows("x", buf.getvalue()).v.tolist() == [0, 1, 2]
     assert pytest.approx(1) == 1
+
+
+def test_table_functions(spark):
+    from pulseframe.functions import tables
+
+    tables.register(spark)
+    n = 3600
+    x = sum(np.exp(-(((np.arange(n) - c) / 9) ** 2)) for c in range(150, n, 300))
+    spark.createDataFrame([(x.tolist(),)], "v array<double>").createOrReplaceTempView("one_wave")
+    assert spark.sql("SELECT p.* FROM one_wave, LATERAL detect_peaks(v, 360.0D) p").count() == 12
+    assert spark.sql("SELECT p.* FROM one_wave, LATERAL welch_psd(v, 360.0D, 256) p").count() == 129
