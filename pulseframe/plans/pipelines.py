@@ -114,7 +114,7 @@ def quality(x: np.ndarray, missing: float = 0.0) -> tuple[float, str]:
 
 
 def morphology(raw: np.ndarray, out: np.ndarray, peaks: np.ndarray, fs: float, most: int = 60) -> dict:
-    """Beat shape before and after filtering, over at most ``most`` evenly spaced beats (the reference's sampling)."""
+    """Beat shape before and after filtering, over at most ``most`` evenly spaced beats."""
     w, gone = int(0.06 * fs), {"qrs_amplitude_before": None, "qrs_amplitude_after": None, "st_level_before": None, "st_level_after": None, "morphology_score": None}
     peaks = peaks[(peaks - int(0.10 * fs) >= 0) & (peaks + int(0.12 * fs) < len(raw))]
     if len(peaks) < 3:
