@@ -22,9 +22,14 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one of least id stays (of rows that share that id, one)."""
-    least = jaccard.join(docs.select("doc_id", "text")).filter(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("id")).distinct()
-    return docs.join(least, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    """Of each group of linked documents the row of least id stays (no id ranks last); rows without words are groups of their own."""
+    found = jaccard.join(docs.select("doc_id", "text")).withColumn("no_id", F.col("doc_id").isNull())
+    group = F.when(F.col("root").isNull(), F.struct("no_id", "doc_id", "text_hash"))
+    first = found.groupBy("root", group.alias("own")).agg(F.min(F.struct("no_id", "doc_id", "text_hash")).alias("x"))
+    key = ["__no_id", "__id", "__hash"]
+    first = first.select(*(F.coalesce(F.col(f"x.{c}"), F.lit(0) if c == "doc_id" else F.col(f"x.{c}")).alias(k) for c, k in zip(("no_id", "doc_id", "text_hash"), key, strict=True)))
+    keyed = docs.withColumns({"__no_id": F.col("doc_id").isNull(), "__id": F.coalesce("doc_id", F.lit(0)), "__hash": F.xxhash64("text")})
+    return keyed.join(first, key, "left_semi").dropDuplicates(key).select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

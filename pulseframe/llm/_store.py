@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -24,14 +25,35 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/pulseframe/{name}-{uuid.uuid4().hex}"
+
+
+_scopes: list[list[str]] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends there, so lost executors cost no recomputation of it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/pulseframe/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables materialized inside go at the end; what must stay is materialized outside."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

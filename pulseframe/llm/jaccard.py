@@ -6,8 +6,9 @@ follows, at every level, the tokens whose hash along the path falls below
 ``1 / (threshold * size)``: about ``1 / threshold`` of them, and similar sets
 choose the same ones.  Sets on the same path form a bucket; a small bucket is
 compared pair by pair, a large one whose sets are alike on average is compared
-in blocks, and any other is split again.  ``runs`` follows from the wanted
-recall.  Every candidate is confirmed by its exact similarity.
+in blocks, one of up to ``middle`` sets that aren't is compared by sketches, and
+any other is split again.  ``runs`` follows from the wanted recall.  Every
+candidate is confirmed by its exact similarity.
 
 How it scales.
 
@@ -46,7 +47,7 @@ from ._words import U, mix
 
 BITS = 128
 _MULT = (np.random.default_rng(8).integers(0, 1 << 31, BITS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
-_SETS = "doc_id long, cid long, n int, tokens binary, k0 long, k1 long, paths array<long>"
+_SETS = "doc_id long, text_hash long, cid long, n int, tokens binary, k0 long, k1 long, paths array<long>"
 
 
 def shingle_sets(column, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,7 +109,7 @@ def _first_level(size: int, threshold: float, runs: int):
             paths = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(both[1][order]))
             # sorted as 32-bit values within each set, since tokens are the upper halves of sorted hashes
             blobs = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((begin * 4).astype(np.int32)), pa.py_buffer(tokens)])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cid), pa.array(n.astype(np.int32)), blobs, pa.array(sk[:, 0].copy()), pa.array(sk[:, 1].copy()), paths], names=["doc_id", "cid", "n", "tokens", "k0", "k1", "paths"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(cid), pa.array(n.astype(np.int32)), blobs, pa.array(sk[:, 0].copy()), pa.array(sk[:, 1].copy()), paths], names=["doc_id", "text_hash", "cid", "n", "tokens", "k0", "k1", "paths"])
 
     return run
 
@@ -130,6 +131,25 @@ def _children(threshold: float):
     return run
 
 
+def _sketch_pairs(threshold: float, most: int):
+    """Pairs of a bucket whose sketches and sizes allow the threshold."""
+
+    def run(t: pa.Table) -> pa.Table:
+        cid, n = t.column("cid").to_numpy(), t.column("n").to_numpy().astype(float)
+        k0, k1 = (t.column(c).to_numpy().view(U) for c in ("k0", "k1"))
+        a, b = [], []
+        for i in range(len(cid) - 1):
+            far = np.bitwise_count(k0[i] ^ k0[i + 1 :]) + np.bitwise_count(k1[i] ^ k1[i + 1 :])
+            rest = n[i + 1 :]
+            j = i + 1 + np.flatnonzero((far <= most) & (np.minimum(n[i], rest) >= threshold * np.maximum(n[i], rest) - 1e-9))
+            a.append(np.full(len(j), cid[i]))
+            b.append(cid[j])
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return run
+
+
 def _alike(a, na, b, nb, threshold: float) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both >= threshold * (na + nb - both) - 1e-9
@@ -166,9 +186,13 @@ def _block_pair(threshold: float):
                 m = np.array([e in xs for xs in lists])
                 allowed &= ~(m[left][:, None] & m[right][None, :])
             if allowed.any():
-                # tokens of one side that stand on the other as well, as columns
+                # tokens that two sets of the pair of blocks have, as columns
                 lt, rt = np.concatenate([toks[k] for k in left]), np.concatenate([toks[k] for k in right])
-                common = np.intersect1d(lt, rt)
+                if i == j:
+                    common, times = np.unique(lt, return_counts=True)
+                    common = common[times > 1]
+                else:
+                    common = np.intersect1d(lt, rt)
                 both = np.zeros((len(left), len(right)), np.float32)
                 for c in range(0, len(common), 4096):
                     part = common[c : c + 4096]
@@ -228,12 +252,22 @@ def runs_for(recall: float, threshold: float, depth: int = 2) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - once))
 
 
-def join(docs: DataFrame, threshold: float = 0.8, size: int = 5, recall: float = 0.999, limit: int = 24, block: int = 768, dense: float = 0.5, depth: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, class_id`` (least id linked to it, directly or not), ``n_links`` (different texts linked directly), ``n_copies`` (rows of equal shingles)."""
+def join(docs: DataFrame, threshold: float = 0.8, size: int = 5, recall: float = 0.999, limit: int = 24, middle: int = 1024, block: int = 768, dense: float = 0.2, depth: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, class_id`` (least id linked to it, directly or not), ``n_links`` (different texts linked directly), ``n_copies`` (rows of equal shingles).
+
+    Besides ``text_hash``, and ``root``, which is the same for all rows of a class and null for rows without words.
+    """
     spark = docs.sparkSession
     ship(spark)
-    runs = runs_for(recall, threshold)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    with _store.scratch(spark):
+        out = _join(docs, threshold, size, runs_for(recall, threshold), limit, middle, block, dense, depth, id_col, text_col)
+        path = _store.shared_path(spark, "jaccard-classes")
+        out.write.parquet(path)  # all that is left of the tables on the way
+    return spark.read.schema(out.schema).parquet(path)
+
+
+def _join(docs: DataFrame, threshold: float, size: int, runs: int, limit: int, middle: int, block: int, dense: float, depth: int, id_col: str, text_col: str) -> DataFrame:
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     sets = _store.materialize(rows.mapInArrow(_first_level(size, threshold, runs), _SETS), "shingle-sets")
     member = ["path", "cid", "n", "k0", "k1"]
     # Copies follow the same paths: distinct() folds them before the shuffle.
@@ -250,7 +284,8 @@ def join(docs: DataFrame, threshold: float = 0.8, size: int = 5, recall: float =
         far = F.bit_count(F.col("k0_a").bitwiseXOR(F.col("k0_b"))) + F.bit_count(F.col("k1_a").bitwiseXOR(F.col("k1_b")))
         # expected distance at the threshold, and five deviations more
         p = (1 - threshold) / 2
-        near = (far <= math.ceil(BITS * p + 5.5 * math.sqrt(BITS * p * (1 - p)))) & (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9)
+        most = math.ceil(BITS * p + 5.5 * math.sqrt(BITS * p * (1 - p)))
+        near = (far <= most) & (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9)
         pairs.append(a.join(b, "path").filter((F.col("cid_a") < F.col("cid_b")) & near).select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b")))
         large = level.filter(F.col("m") > limit)
         if large.isEmpty():
@@ -261,7 +296,8 @@ def join(docs: DataFrame, threshold: float = 0.8, size: int = 5, recall: float =
         like = _store.materialize(like.select("path", ((2 * mean - 1 >= dense) | F.lit(d == depth)).alias("alike")), "level-alike")
         judged = _store.materialize(large.join(like, "path"), "level-large")
         dense_members.append(judged.filter("alike").select("path", "cid", "m"))
-        rest = judged.filter(~F.col("alike")).select(*member)
+        pairs.append(judged.filter(~F.col("alike") & (F.col("m") <= middle)).groupBy("path").applyInArrow(_sketch_pairs(threshold, most), "a long, b long"))
+        rest = judged.filter(~F.col("alike") & (F.col("m") > middle)).select(*member)
         if rest.isEmpty():
             break
         level = rest.join(needed, "cid").select(*member, "tokens").mapInArrow(_children(threshold), "path long, cid long, n int, k0 long, k1 long").distinct()
@@ -297,13 +333,14 @@ def join(docs: DataFrame, threshold: float = 0.8, size: int = 5, recall: float =
     classes = texts.join(roots, "cid", "left").join(links, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     classes = _store.materialize(classes, "classes")
     least = classes.groupBy("root").agg(F.min("least").alias("class_id"))
-    classes = classes.join(least, "root").select("cid", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
-    out = sets.select("doc_id", F.when(F.col("n") > 0, F.col("cid")).alias("cid")).join(classes, "cid", "left")
-    return out.select("doc_id", F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
+    classes = classes.join(least, "root").select("cid", "root", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
+    out = sets.select("doc_id", "text_hash", F.when(F.col("n") > 0, F.col("cid")).alias("cid")).join(classes, "cid", "left")
+    return out.select("doc_id", "text_hash", "root", F.when(F.col("cid").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
 
 
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return join(_store.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = join(_store.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "class_id", "n_links", "n_copies")
 
 
 #: The same by counting common shingles of all pairs that have one; DuckDB SQL.
