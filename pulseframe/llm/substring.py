@@ -172,14 +172,14 @@ def _apply(schema: pa.Schema, window: int, *how):
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = 20, chunk_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 20, chunk_bytes: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``n_words, n_removed, kept_text`` and ``spans`` (removed word intervals [from, to))."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark = docs.sparkSession
     ship(spark)
     _, size = _store.text_bytes(docs, text_col)
-    chunks = buckets = max(1, -(-size // chunk_bytes))
+    chunks, buckets = max(1, -(-size // chunk_bytes)), max(1, -(-size // (2 * chunk_bytes)))
     keep = [c for c in docs.columns if c not in OWN]
     placed = docs.select(*keep, F.pmod(F.hash(F.col(id_col)), F.lit(chunks)).cast("int").alias(P))
     placed = placed.repartition(_store.partitions(spark), P)
