@@ -19,8 +19,9 @@ any length are compressed whole; repeated rows are scanned one by one.
 
 from __future__ import annotations
 
+import math
 import re
-from difflib import SequenceMatcher
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -58,35 +59,101 @@ def wording(text: str) -> list[str]:
 
 
 class Templates:
-    def __init__(self, statements, best: int):
+    """Statements, where their wording stands in a text, and their compressors.
+
+    ``best`` is accepted for callers' sake: no template is left out by its rank.
+    """
+
+    def __init__(self, statements, best: int | None = None):
         import zstandard
 
-        self.best, self.rows = best, [(name, wording(s), set(names.split())) for name, s, names in statements]
-        make = lambda **k: zstandard.ZstdCompressor(level=3, write_content_size=False, **k)
+        self.rows = [(name, wording(s), set(names.split())) for name, s, names in statements]
+        self.anchor = [next((k for k, w in enumerate(own) if w in fixed), None) for _, own, fixed in self.rows]
+        # the same explicit parameters with and without a dictionary
+        same = zstandard.ZstdCompressionParameters.from_level(3, source_size=1 << 12, dict_size=1 << 9, write_content_size=False)
+        make = lambda **k: zstandard.ZstdCompressor(compression_params=same, **k)
         self.plain = make()
-        self.given = [make(dict_data=zstandard.ZstdCompressionDict(" ".join(wording(s)).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, s, _ in statements]
+        self.given = [make(dict_data=zstandard.ZstdCompressionDict(" ".join(own).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, own, _ in self.rows]
+
+    def align(self, words: list[str], at: int, i: int, threshold: float):
+        """Best (score, places, own places) of template ``i`` near word ``at``, if it holds; the score is words covered less ``threshold`` times words added."""
+        _, own, fixed = self.rows[i]
+        anchor, span = self.anchor[i], int(len(own) / threshold + 1e-9)
+        low, high = max(0, at - span), min(len(words), at + span + 1)
+        need = threshold * len(own) - 1e-9
+        have, common = Counter(words[low:high]), Counter(own)
+        if any(w not in have for w in fixed) or sum(min(n, have[w]) for w, n in common.items()) < need:
+            return None
+        places: dict[str, list[int]] = {}
+        for k, w in enumerate(own):
+            places.setdefault(w, []).append(k)
+        # A fixed word between two places can't be skipped: count those before each place.
+        before = [0]
+        for w in own:
+            before.append(before[-1] + (w in fixed))
+        points, best = [], None  # (word, own place, score, previous point)
+        for x in range(low, high):
+            for k in places.get(words[x], ()):
+                if anchor is not None and (x - at, k - anchor) != (0, 0) and (x - at) * (k - anchor) <= 0:
+                    continue  # the anchor word stands at ``at``
+                score, last = (1.0, -1) if not before[k] else (-math.inf, -1)
+                for j, (y, m, had, _) in enumerate(points):
+                    if y < x and m < k and before[k] == before[m + 1] and had + 1 - threshold * (x - y - 1) > score:
+                        score, last = had + 1 - threshold * (x - y - 1), j
+                if score == -math.inf:
+                    continue
+                points.append((x, k, score, last))
+                if before[k + 1] == before[-1] and score >= need and (best is None or score > points[best][2]):
+                    best = len(points) - 1
+        if best is None:
+            return None
+        score, chain = points[best][2], []
+        while best >= 0:
+            x, k, _, best = points[best]
+            chain.append((x, k))
+        return score, [x for x, _ in chain[::-1]], [k for _, k in chain[::-1]]
+
+    def find(self, words: list[str], threshold: float) -> list[tuple]:
+        """(first word, licence, plain size, size given the template, similarity, missing words, added words) of every notice, by place."""
+        held = {}
+        where: dict[str, list[int]] = {}
+        for x, w in enumerate(words):
+            where.setdefault(w, []).append(x)
+        for i, (_, own, fixed) in enumerate(self.rows):
+            if all(w in where for w in fixed):
+                for at in range(len(words)) if self.anchor[i] is None else where[own[self.anchor[i]]]:
+                    if got := self.align(words, at, i, threshold):
+                        held[got[1][0], got[1][-1] + 1, i] = got
+        out, group = [], []
+        for key in [*sorted(held), (len(words) + 1, 0, 0)]:
+            if group and key[0] >= max(b for _, b, _ in group):
+                out += self.settle(words, group, held)
+                group = []
+            group.append(key)
+        return out
+
+    def settle(self, words: list[str], group: list[tuple[int, int, int]], held: dict) -> list[tuple]:
+        """Of wordings that overlap, those that make the place smallest."""
+        raw = " ".join(words[group[0][0] : max(b for _, b, _ in group)]).encode()  # case, spacing and punctuation don't count
+        plain = len(self.plain.compress(raw))
+        size = {i: len(self.given[i].compress(raw)) for i in {i for _, _, i in group}}
+        kept: list[tuple[int, int, int]] = []
+        for a, b, i in sorted(group, key=lambda g: (size[g[2]], -held[g][0], g[2], g[0])):
+            if all(b <= c or d <= a for c, d, _ in kept):
+                kept.append((a, b, i))
+        out = []
+        for a, b, i in sorted(kept):
+            _, at, own_at = held[a, b, i]
+            name, own, _ = self.rows[i]
+            missing = [w for k, w in enumerate(own) if k not in set(own_at)]
+            added = [words[x] for x in range(a, b) if x not in set(at)]
+            out.append((a, name, plain, size[i], len(at) / (len(own) + len(added)), missing, added))
+        return out
 
     def scan(self, block: str, threshold: float):
-        """(licence, plain size, size given the template, similarity, missing words, added words) or None."""
-        words = wording(block)
-        raw = " ".join(words).encode()  # case, spacing and punctuation don't count
-        plain = len(self.plain.compress(raw))
-        sizes = [len(g.compress(raw)) for g in self.given]
-        for i in sorted(range(len(sizes)), key=lambda i: (sizes[i], i))[: self.best]:
-            if sizes[i] >= plain:
-                break
-            name, own, fixed = self.rows[i]
-            same = [m for m in SequenceMatcher(None, words, own, autojunk=False).get_matching_blocks() if m.size]
-            if not same:
-                continue
-            covered = {k for m in same for k in range(m.b, m.b + m.size)}
-            missing = [w for k, w in enumerate(own) if k not in covered]
-            inner = {k for m in same for k in range(m.a, m.a + m.size)}
-            added = [words[k] for k in range(same[0].a, same[-1].a + same[-1].size) if k not in inner]
-            share = len(covered) / (len(own) + len(added))
-            if share >= threshold and not fixed.intersection(missing):
-                return name, plain, sizes[i], share, missing, added
-        return None
+        """(licence, plain size, size given the template, similarity, missing words, added words) of the first notice, or None."""
+        found = self.find(wording(block), threshold)
+        return found[0][1:] if found else None
 
 
 def scan(docs: DataFrame, statements=STATEMENTS, threshold: float = 0.8, best: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -255,6 +255,15 @@ def test_licence_wording():
     assert t.scan("He lost his driving license in version 2.0 of the story.", 0.8) is None
 
 
+def test_licence_in_a_long_line(texts):
+    t = licenses.Templates(licenses.STATEMENTS, 3)
+    plain = " ".join(" ".join(x.split()) for _, x in sorted(texts.items()) if x)
+    for size in (1_000, 8_000, 100_000):
+        for notice in ("Released under the MIT License.", licenses.STATEMENTS[1][1]):
+            block = plain[: size // 2] + " " + notice + " " + plain[size // 2 : size]
+            assert t.scan(block, 0.8)[0] == ("MIT" if "MIT" in notice else "Apache-2.0")
+
+
 def test_html_form():
     page = "<html><head><title>x</title></head><body><header>Site</header><div class='cookie-notice'>Accept</div><main><header><h1>T &amp; U</h1></header><ul class=menu><li>a</ul><p>one<p>two <i>it</i><script>if (a<b) x('<p>')</script><table><tr><td>c1<td>c2</table><div id='comments'><p>rant</div></main><footer>f</footer>"
     assert html.Page(page).text(None) == "T & U\n\none\n\ntwo it\n\nc1\n\nc2"
