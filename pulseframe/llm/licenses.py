@@ -1,20 +1,22 @@
 """License scans by conditional compression (operator 3).
 
-Blocks of a document that speak of licences are compressed twice with zstandard:
-plainly, and with each licence template as a raw dictionary.  The templates
-that make a block smallest are its candidates, in that order; a candidate is
-confirmed by its exact wording: the block's words are aligned with the
-template's statement, and it holds if at least ``threshold`` of the statement's
-words stand there in order and no word that names the licence (its name, its
-version) is missing or replaced.
-
-Native expressions split the texts and drop lines without any trigger word, so
-only candidate lines reach Python; adjacent candidate lines form one block, and
-rows stay where they are (no shuffle).
-
-Result: one row per document and confirmed block, ``block`` being the number of
-its first line.  Defined cases: null and blank texts have no blocks; blocks of
-any length are compressed whole; repeated rows are scanned one by one.
+A notice is a place of a document where a licence template's statement stands:
+at least ``threshold`` of the statement's words in order, words in between
+counted against them, and none missing that names the licence (its name, its
+version).  Places are found by the exact best alignment around every occurrence
+of such a naming word, in a window that the longest admissible wording can't
+leave, so neither the length of a text or line nor line breaks, comment signs
+or other notices nearby matter.  Where wordings of several templates overlap,
+the place is compressed with zstandard plainly and with each of these templates
+as a raw dictionary, under the same parameters; the one that makes it smallest
+stands, and every other that doesn't overlap it.
+
+Native expressions drop documents that lack every template's naming words; the
+others reach Python whole, and rows stay where they are (no shuffle).
+
+Result: one row per document and notice, ``block`` being the number of its
+first line; sizes are those of the place.  Defined cases: null and blank texts
+have no notices; repeated rows are scanned one by one.
 """
 
 from __future__ import annotations
@@ -22,15 +24,15 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import reduce
+from operator import and_, or_
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import ship
-from . import _store
-
-TRIGGER = r"(?i)licen[sc]e|copyright|permission is hereby|redistribut|creative ?commons|\bcc[ -]by\b|public domain|warranty|all rights reserved"
+from . import _store, _words
 
 #: Fixed values: (licence, statement, words that must stand as they are). Public licence notices, in their usual wording.
 STATEMENTS = (
@@ -51,11 +53,13 @@ STATEMENTS = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mozilla 2.0"),
     ("Unlicense", "This is free and unencumbered software released into the public domain.", "unencumbered"),
 )
-_WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
+_WORD = re.compile(r"[^\W_]+(?:(?:[.]|-(?:[^\S\n]*\n[\W_]*+)?)[^\W_]+)*")  # a word may be cut after its hyphen
+_CUT = re.compile(r"\s[\W_]*")
 
 
 def wording(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    found = _WORD.findall(text.lower())
+    return [_CUT.sub("", w) if "\n" in w else w for w in found]
 
 
 class Templates:
@@ -156,27 +160,22 @@ class Templates:
         return found[0][1:] if found else None
 
 
-def scan(docs: DataFrame, statements=STATEMENTS, threshold: float = 0.8, best: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, statements=STATEMENTS, threshold: float = 0.8, best: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     ship(docs.sparkSession)
-    hits = F.filter(F.transform(F.split(F.col(text_col), "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("line"))), lambda x: x["line"].rlike(TRIGGER))
-    rows = docs.filter(F.col(text_col).rlike(TRIGGER)).select(F.col(id_col).cast("long").alias("doc_id"), hits.alias("hits"))
+    names = sorted({tuple(sorted(set(n.split()))) for _, _, n in statements})
+    speaks = lambda t: reduce(or_, (reduce(and_, (F.contains(t, F.lit(w)) for w in ws), F.lit(True)) for ws in names), F.lit(False))
+    # in an array, so that texts are put in lower case once
+    rows = docs.filter(F.exists(F.array(F.lower(F.col(text_col))), speaks)).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches):
         templates = Templates(statements, best)
-        for b in batches:
+        for b in _words.slices(batches, "text", 2 << 20):
             out = []
-            for doc, lines in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                k = 0
-                while k < len(lines):
-                    to = k + 1
-                    while to < len(lines) and lines[to]["i"] == lines[to - 1]["i"] + 1:
-                        to += 1
-                    # each line by itself first; if none holds, the run of lines as one block
-                    own = [(x["i"], templates.scan(x["line"], threshold)) for x in lines[k:to]]
-                    if not any(f for _, f in own) and to - k > 1:
-                        own = [(lines[k]["i"], templates.scan(" ".join(x["line"] for x in lines[k:to]), threshold))]
-                    out += [(doc, i, *f) for i, f in own if f]
-                    k = to
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                text = text.lower()
+                found = templates.find(wording(text), threshold)
+                starts = [m.start() for m in _WORD.finditer(text)] if found else []
+                out += [(doc, text.count("\n", 0, starts[f[0]]), *f[1:]) for f in found]
             cols = list(zip(*out, strict=True)) if out else [()] * 8
             kinds = (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "block", "license", "plain_bytes", "given_bytes", "similarity", "missing", "added"])

@@ -264,6 +264,18 @@ def test_licence_in_a_long_line(texts):
             assert t.scan(block, 0.8)[0] == ("MIT" if "MIT" in notice else "Apache-2.0")
 
 
+def test_wrapped_licences(spark):
+    import textwrap
+
+    rows, want = [], Counter()
+    for k, (name, statement, _) in enumerate(licenses.STATEMENTS):
+        for width in range(40, 81):
+            rows.append((100 * k + width, "some code\n\n# " + "\n# ".join(textwrap.wrap(statement, width)) + "\n\nx = 1"))
+            want[100 * k + width, name, 2] += 1
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter((r.doc_id, r.license, r.block) for r in licenses.scan(df).collect()) == want
+
+
 def test_html_form():
     page = "<html><head><title>x</title></head><body><header>Site</header><div class='cookie-notice'>Accept</div><main><header><h1>T &amp; U</h1></header><ul class=menu><li>a</ul><p>one<p>two <i>it</i><script>if (a<b) x('<p>')</script><table><tr><td>c1<td>c2</table><div id='comments'><p>rant</div></main><footer>f</footer>"
     assert html.Page(page).text(None) == "T & U\n\none\n\ntwo it\n\nc1\n\nc2"
