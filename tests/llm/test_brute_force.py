@@ -276,6 +276,17 @@ def test_wrapped_licences(spark):
     assert Counter((r.doc_id, r.license, r.block) for r in licenses.scan(df).collect()) == want
 
 
+def test_all_licences_of_a_text(spark):
+    one = "Released under the MIT License. Licensed under the Apache License, Version 2.0."
+    every = " Then. ".join(s for _, s, _ in licenses.STATEMENTS)
+    df = spark.createDataFrame([(1, one), (2, every), (3, every.replace(" ", "\n"))], "doc_id long, text string")
+    got = defaultdict(list)
+    for r in licenses.scan(df).orderBy("doc_id").collect():
+        got[r.doc_id].append(r.license)
+    names = [n for n, _, _ in licenses.STATEMENTS]
+    assert got == {1: ["MIT", "Apache-2.0"], 2: names, 3: names}
+
+
 def test_html_form():
     page = "<html><head><title>x</title></head><body><header>Site</header><div class='cookie-notice'>Accept</div><main><header><h1>T &amp; U</h1></header><ul class=menu><li>a</ul><p>one<p>two <i>it</i><script>if (a<b) x('<p>')</script><table><tr><td>c1<td>c2</table><div id='comments'><p>rant</div></main><footer>f</footer>"
     assert html.Page(page).text(None) == "T & U\n\none\n\ntwo it\n\nc1\n\nc2"
