@@ -46,12 +46,19 @@ class Shard:
         key, tf = np.unique((ids.astype(np.uint64) << np.uint64(32)) | doc, return_counts=True)
         term, who = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
         df = np.bincount(term, minlength=1 << 16)
-        use = (df[term] >= 2) & (df[term] <= max(2, n // 4))  # others lead nowhere, or everywhere
+        use = df[term] >= 2  # others lead nowhere
         term, who, tf = term[use], who[use], tf[use]
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
         weight = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[who] / size.mean()))).astype(np.float32)
         self.who, self.weight = who, weight
         self.post = np.searchsorted(term, np.arange((1 << 16) + 1))
+        # Frequent terms as rows of a matrix, of fewer than four cells a posting
+        often = np.flatnonzero(df > max(2, n // 4))
+        self.row = np.full(1 << 16, -1)
+        self.row[often] = np.arange(len(often))
+        self.often = np.zeros((len(often), n), np.float32)
+        part = self.row[term] >= 0
+        self.often[self.row[term[part]], who[part]] = weight[part]
         # Each document's query: its weightiest terms.
         order = np.lexsort((-weight, who))
         start = np.searchsorted(who[order], np.arange(n + 1))
@@ -60,8 +67,12 @@ class Shard:
         self.query, self.query_at = term[order], np.searchsorted(who[order], np.arange(n + 1))
 
     def neighbours(self, doc: int, unused: np.ndarray) -> list[int]:
-        score = np.zeros(len(self.size), np.float32)
-        for t in self.query[self.query_at[doc] : self.query_at[doc + 1]]:
+        terms = self.query[self.query_at[doc] : self.query_at[doc + 1]]
+        row = self.row[terms]
+        ask = np.zeros(len(self.often), np.float32)
+        ask[row[row >= 0]] = 1
+        score = ask @ self.often
+        for t in terms[row < 0]:
             a, b = self.post[t], self.post[t + 1]
             score[self.who[a:b]] += self.weight[a:b]
         score *= unused

@@ -95,6 +95,16 @@ def test_packing_joins_neighbours():
     assert first == [0, 2]
 
 
+def test_packing_finds_copies_that_are_a_third():
+    rng = np.random.default_rng(5)
+    copy, docs = rng.integers(2, 50, 40), []
+    for k in range(60):
+        docs.append(copy if k % 3 == 0 else np.arange(40) + 100 + 40 * k)
+    shard = packing.Shard(np.concatenate(docs).astype("<u2"), np.full(60, 40), 800)
+    first = [d for d, *_ in shard.pack()[:20]]
+    assert first == list(range(0, 60, 3))
+
+
 def test_sharding(spark, sf_dir, texts):
     rows = sharding.op10_histogram_sharding(spark, sf_dir).collect()
     by = defaultdict(list)
