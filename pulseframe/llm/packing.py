@@ -1,17 +1,20 @@
 """Lexical retrieval packing (operator 7).
 
 Documents become token ids (``WordBpe``, then id ``end_id``) and are packed
-into sequences of ``window`` tokens.  Within a shard - a run of input rows of
+into sequences of ``window`` tokens.  Within a shard - a run of documents of
 bounded token count - a BM25 inverted index over token ids returns, for each
-seed document, its best unused neighbours; they fill the seed's window
-greedily.  The document that no longer fits is cut, and its rest is the next
-seed, so every window is full.  What is left at a shard's end is laid out in
-sequences whose lengths are powers of two, which need no padding.
-
-How it scales.  Shards are cut from input partitions as they are read: no
-shuffle, memory bounded by ``shard_tokens`` (plus one document), and a lost
-task is redone from its input split alone.  ``sequence_id`` holds the
-partition's number and a count within it.
+seed document, its unused neighbours, best first, until none that shares a term
+is left; they fill the seed's window greedily.  The document that no longer
+fits is cut, and its rest is the next seed, so every window is full.  What is
+left at a shard's end is laid out in sequences whose lengths are powers of two,
+which need no padding.
+
+How it scales.  Documents are sorted by four MinHash values of their words, so
+that like documents come to one shard wherever they stood in the input; a seed
+sees its own shard only.  Ranges are of rows, with the row's place as the last
+sort column: a key that many documents have is spread over several.  That is
+one shuffle of the texts; memory is bounded by ``shard_tokens`` (plus one
+document).  ``sequence_id`` holds the partition's number and a count within it.
 
 Defined cases.  Null text is empty and yields the end id alone; any length is
 packed whole; repeated rows and ids are packed as they come.  Columns other
@@ -21,6 +24,7 @@ than id and text aren't read.
 from __future__ import annotations
 
 import gc
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +35,7 @@ from pyspark.sql import functions as F
 from ..runtime import ship
 from . import _store, _words
 from ._bpe import WordBpe
+from ._words import U, mix
 
 K1, B = 1.2, 0.75
 
@@ -38,35 +43,33 @@ K1, B = 1.2, 0.75
 class Shard:
     """A BM25 index over the shard's documents, and the greedy packing by it."""
 
-    def __init__(self, ids: np.ndarray, size: np.ndarray, window: int, terms: int = 8, breadth: int = 24):
-        self.ids, self.size, self.window, self.breadth = ids, size, window, breadth
+    def __init__(self, ids: np.ndarray, size: np.ndarray, window: int, end_id: int = -1):
+        self.ids, self.size, self.window = ids, size, window
         self.begin = np.r_[0, np.cumsum(size)]
         n = len(size)
         doc = np.repeat(np.arange(n, dtype=np.uint64), size)
         key, tf = np.unique((ids.astype(np.uint64) << np.uint64(32)) | doc, return_counts=True)
         term, who = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
         df = np.bincount(term, minlength=1 << 16)
-        use = df[term] >= 2  # others lead nowhere
+        use = (df[term] >= 2) & (term != end_id)  # others lead nowhere; the end is no document's own
         term, who, tf = term[use], who[use], tf[use]
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
         weight = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[who] / size.mean()))).astype(np.float32)
         self.who, self.weight = who, weight
         self.post = np.searchsorted(term, np.arange((1 << 16) + 1))
         # Frequent terms as rows of a matrix, of fewer than four cells a posting
-        often = np.flatnonzero(df > max(2, n // 4))
+        often = np.setdiff1d(np.flatnonzero(df > max(2, n // 4)), [end_id])
         self.row = np.full(1 << 16, -1)
         self.row[often] = np.arange(len(often))
         self.often = np.zeros((len(often), n), np.float32)
         part = self.row[term] >= 0
         self.often[self.row[term[part]], who[part]] = weight[part]
-        # Each document's query: its weightiest terms.
-        order = np.lexsort((-weight, who))
-        start = np.searchsorted(who[order], np.arange(n + 1))
-        rank = np.arange(len(order)) - np.repeat(start[:-1], np.diff(start))
-        order = order[rank < terms]
+        # Each document's query: all its terms.
+        order = np.argsort(who, kind="stable")
         self.query, self.query_at = term[order], np.searchsorted(who[order], np.arange(n + 1))
 
-    def neighbours(self, doc: int, unused: np.ndarray) -> list[int]:
+    def neighbours(self, doc: int, unused: np.ndarray) -> Iterator[int]:
+        """All unused documents that share a term with ``doc``, best first; they are sorted as far as they are asked for."""
         terms = self.query[self.query_at[doc] : self.query_at[doc + 1]]
         row = self.row[terms]
         ask = np.zeros(len(self.often), np.float32)
@@ -76,10 +79,14 @@ class Shard:
             a, b = self.post[t], self.post[t + 1]
             score[self.who[a:b]] += self.weight[a:b]
         score *= unused
-        found = np.flatnonzero(score)
-        if len(found) > self.breadth:
-            found = found[np.argpartition(-score[found], self.breadth)[: self.breadth]]
-        return found[np.lexsort((found, -score[found]))].tolist()
+        left, many = np.count_nonzero(score), 32
+        while left:
+            many = min(many, left)
+            least = np.partition(score, len(score) - many)[len(score) - many]
+            found = np.flatnonzero(score >= least)
+            yield from found[np.lexsort((found, -score[found]))].tolist()
+            score[found] = 0
+            left, many = left - len(found), many * 8
 
     def pack(self) -> list[tuple[int, int, int, int, int]]:
         """(document, start, length, sequence, offset) of every piece."""
@@ -97,8 +104,7 @@ class Shard:
                     break
                 seed, taken = after, 0
                 unused[seed] = 0
-            queue, origin = [], seed
-            asked = False
+            queue, origin = None, seed
             while True:  # fill one window
                 part = min(size[seed] - taken, window - filled)
                 pieces.append((seed, taken, part, sequence, filled))
@@ -108,16 +114,15 @@ class Shard:
                 if filled == window:
                     sequence, filled, open_at = sequence + 1, 0, len(pieces)
                     break
-                if not queue and not asked:
-                    queue, asked = self.neighbours(origin, unused)[::-1], True
-                if queue:
-                    seed, taken = queue.pop(), 0
-                else:
+                if queue is None:
+                    queue = self.neighbours(origin, unused)
+                seed, taken = next(queue, -1), 0
+                if seed < 0:
                     while after < len(size) and not unused[after]:
                         after += 1
                     if after == len(size):
                         break
-                    seed, taken, origin, asked = after, 0, after, False
+                    seed, origin, queue = after, after, None
                 unused[seed] = 0
         if filled:  # the rest, in sequences of a power of two each
             rest, pieces[open_at:] = pieces[open_at:], []
@@ -135,6 +140,21 @@ class Shard:
         return pieces
 
 
+def _keyed(batches):
+    """Rows with a sort key of four MinHash values of the document's words, and the row's place, by which rows of one key are dealt."""
+    place = TaskContext.get().partitionId() << 40
+    for b in _words.slices(batches, "text", 2 << 20):
+        w = _words.words(b.column(1))
+        has = np.flatnonzero(np.diff(w.doc))
+        key = np.zeros(b.num_rows, U)
+        for r in range(4 if len(has) else 0):
+            odd = U((0x9E3779B97F4A7C15 * (2 * r + 1)) & 0xFFFFFFFFFFFFFFFF)
+            key[has] |= mix(np.minimum.reduceat(w.hash * odd, w.doc[has]), r) >> U(48) << U(48 - 16 * r)
+        at = np.arange(place, place + b.num_rows)
+        place += b.num_rows
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(key.view(np.int64)), pa.array(at)], names=["doc_id", "text", "key", "place"])
+
+
 def pack(docs: DataFrame, window: int = 2048, shard_tokens: int = 2_000_000, tokenizer: str | None = None, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: id, ``start, length, doc_tokens, sequence_id, offset`` and ``ids`` (unsigned 32-bit, little-endian)."""
     if tokenizer is None:
@@ -144,6 +164,8 @@ def pack(docs: DataFrame, window: int = 2048, shard_tokens: int = 2_000_000, tok
     ship(docs.sparkSession)
     tokenizer = str(tokenizer)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.mapInArrow(_keyed, "doc_id long, text string, key long, place long")
+    docs = docs.repartitionByRange("key", "place").sortWithinPartitions("key", "place").select("doc_id", "text")
 
     def run(batches):
         gc.disable()  # nothing here is cyclic, and the caches are large
@@ -157,7 +179,7 @@ def pack(docs: DataFrame, window: int = 2048, shard_tokens: int = 2_000_000, tok
             size = np.array([len(p) // 2 for p in parts])
             ids = np.frombuffer(b"".join(parts), "<u2")
             doc_ids = pa.concat_arrays(names)
-            shard = Shard(ids, size, window)
+            shard = Shard(ids, size, window, end_id)
             found = shard.pack()
             base = (TaskContext.get().partitionId() << 40) + made
             made += found[-1][3] + 1

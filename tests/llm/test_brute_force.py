@@ -105,6 +105,24 @@ def test_packing_finds_copies_that_are_a_third():
     assert first == list(range(0, 60, 3))
 
 
+def test_packing_uses_whole_queries_and_all_neighbours():
+    # even documents share their last tokens, which weigh least of each one's terms; odd ones share nothing
+    docs = [np.r_[np.repeat(np.arange(12) + 1000 + 12 * (k // 4 if k % 2 == 0 else 200 + k), 2), [5, 6] if k % 2 == 0 else []] for k in range(120)]
+    size = np.array([len(d) for d in docs])
+    shard = packing.Shard(np.concatenate(docs).astype("<u2"), size, 60 * 26)
+    assert {d for d, *_ in shard.pack()[:60]} == set(range(0, 120, 2))
+
+
+def test_packing_finds_neighbours_of_other_partitions(spark):
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"word{k}" for k in rng.integers(0, 1 << 30, 60)) for _ in range(40)]
+    df = spark.createDataFrame([(k, texts[k % 40]) for k in range(160)], "doc_id long, text string").repartition(8, F.floor(F.col("doc_id") / 40))
+    by = defaultdict(set)
+    for r in packing.pack(df, shard_tokens=5_000).collect():
+        by[r.doc_id % 40].add(r.sequence_id)
+    assert np.mean([len(v) for v in by.values()]) < 2.5
+
+
 def test_sharding(spark, sf_dir, texts):
     rows = sharding.op10_histogram_sharding(spark, sf_dir).collect()
     by = defaultdict(list)
