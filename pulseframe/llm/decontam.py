@@ -1,7 +1,7 @@
 """Benchmark decontamination (operator 1).
 
 For every benchmark item, windows of the item's own length slide over each
-document.  A window's SimHash (64 bits, over weighted word shingles) is looked
+document; a document that is shorter than the item is one window.  A window's SimHash (64 bits, over weighted word shingles) is looked
 up in multi-index Hamming blocks: 64 bits are cut into ``blocks`` parts, and if
 two fingerprints differ in at most ``radius`` bits, one part differs in at most
 ``radius // blocks`` bits; a table over all values of a part lists the items so
@@ -134,11 +134,10 @@ class Index:
         hit &= np.isin(h, self.known)
         total, mine = np.r_[0, np.cumsum(weight)], np.r_[0, np.cumsum(weight * hit)]
         places = []
-        for size in self.lengths:
-            k = size - self.shingle + 1
-            if k <= len(h):
-                at = np.flatnonzero(mine[k:] - mine[:-k] >= (self.threshold - 1e-9) * (total[k:] - total[:-k]))
-                places.append(np.stack([at, np.full(len(at), k)]))
+        # for items that have more shingles than the document, the document is the one window
+        for k in sorted({min(size - self.shingle + 1, len(h)) for size in self.lengths}):
+            at = np.flatnonzero(mine[k:] - mine[:-k] >= (self.threshold - 1e-9) * (total[k:] - total[:-k]))
+            places.append(np.stack([at, np.full(len(at), k)]))
         if not places or not (places := np.concatenate(places, axis=1)).shape[1]:
             return []
         best: dict[int, tuple] = {}
@@ -157,7 +156,7 @@ class Index:
             bits = sums[first + k] - sums[first] > 0
             prints = np.packbits(bits, axis=1, bitorder="little").view(U).ravel()
             for x, item in self.candidates(prints):
-                if self.size[item] != k[x] + self.shingle - 1:
+                if min(self.size[item] - self.shingle + 1, len(h)) != k[x]:
                     continue
                 s = slice(at[x], at[x] + k[x])
                 sim = self.similarity(h[s], weight[s], item)
@@ -166,7 +165,7 @@ class Index:
                     new = (-sim, ham, int(at[x]))
                     if item not in best or new < best[item]:
                         best[item] = new
-        return [(self.ids[i], b[2], int(self.size[i]), -b[0], b[1]) for i, b in sorted(best.items())]
+        return [(self.ids[i], b[2], min(int(self.size[i]), len(h) + self.shingle - 1), -b[0], b[1]) for i, b in sorted(best.items())]
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8, shingle: int = 5, radius: int = 16, blocks: int = 4, item_bytes: int = 16 << 20, text_col: str = "text", keep_text: bool = True, item_id: str = "item_id", item_text: str = "text") -> DataFrame:

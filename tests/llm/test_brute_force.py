@@ -236,6 +236,34 @@ def test_decontamination(spark, sf_dir, texts, words):
     assert got == want and want
 
 
+def test_decontamination_of_short_documents(spark, sf_dir, words):
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    by = {r.item_id: r.text for r in items.collect()}
+    punct = str.maketrans("", "", "".join(chr(c) for c in range(128) if not chr(c).isalnum() and chr(c) not in " \t\n\x0b\f\r"))
+    norm = lambda t: words(t.lower().translate(punct))
+    bags = {i: Counter(grams(norm(t), 5)) for i, t in by.items()}
+    df = Counter(g for c in bags.values() for g in c)
+    rows, want = [], set()
+    for n, (i, t) in enumerate(sorted(by.items())):
+        w = norm(t)
+        for off in (1, 2, 3, 6, 12, len(w) - 4):
+            for part in (w[:-off], w[off:]):
+                rows.append((len(rows), " ".join(part)))
+                g = grams(part, 5)
+                for j, c in bags.items():
+                    k = sum(c.values())
+                    for a in range(max(1, len(g) - k + 1) if g else 0):
+                        b = Counter(g[a : a + k])
+                        weigh = lambda m: sum(v * math.log1p(len(by) / df.get(x, 1)) for x, v in m.items())
+                        if weigh(b & c) >= 0.8 * weigh(b | c):
+                            want.add((len(rows) - 1, j))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, x.item_id): x.n_words for r in decontam.find_leaks(docs, items).collect() for x in r.leaks}
+    assert got.keys() == want and len(want) > 2 * len(by)
+    size = {d: len(t.split()) for d, t in rows}
+    assert all(n == min(size[d], len(norm(by[i]))) for (d, i), n in got.items())
+
+
 def test_hamming_blocks_meet_all_within_the_radius():
     rng = np.random.default_rng(0)
     index = decontam.Index(list(range(20)), [" ".join(f"w{k}" for k in rng.integers(0, 500, 30)) for _ in range(20)], 5, 10, 4, 0.8)
