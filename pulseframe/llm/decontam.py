@@ -18,7 +18,9 @@ nothing is lost.
 
 How it scales.  Documents are read once, without a shuffle; rows keep their
 place.  Items are a query set: they are taken in blocks of at most
-``item_bytes`` of text, and each block's index travels with the tasks.
+``item_bytes`` of text, and each block's index travels with the tasks.  Weights
+are those of all items in every block: shingles that two or more items have are
+counted once, in Spark, and travel with each block too (16 bytes each).
 
 Defined cases.  Null or blank texts have no windows; items that are null, or of
 fewer words than a shingle, aren't searched for; items of equal text are all
@@ -55,12 +57,28 @@ def plain_words(column) -> _words.Words:
     return _words.words(pa.LargeStringArray.from_buffers(len(offs) - 1, pa.py_buffer(at[offs].astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[keep]))))
 
 
+def lowered(texts: list[str]) -> pa.Array:
+    return pa.array([t.lower() for t in texts], pa.string())
+
+
+def item_shingles(column, shingle: int) -> np.ndarray:
+    """Shingle hashes of items, once for each item that has them."""
+    w = plain_words(column)
+    at, (h,) = w.windows(shingle)
+    return np.unique(np.stack([h, (np.searchsorted(w.doc, at, "right") - 1).astype(U)]), axis=1)[0]
+
+
 class Index:
-    """Fingerprints, shingles and Hamming blocks of a set of items."""
+    """Fingerprints, shingles and Hamming blocks of a set of items.
 
-    def __init__(self, ids: list[int], texts: list[str], shingle: int, radius: int, blocks: int, threshold: float):
+    ``whole``: if these are a block of the items, how many there are in all,
+    and the shingles that two or more of all have (ascending), with the number
+    of these; weights are the same then whatever the block.
+    """
+
+    def __init__(self, ids: list[int], texts: list[str], shingle: int, radius: int, blocks: int, threshold: float, whole: tuple[int, np.ndarray, np.ndarray] | None = None):
         self.shingle, self.radius, self.blocks, self.threshold = shingle, radius, blocks, threshold
-        w = plain_words(pa.array([t.lower() for t in texts], pa.string()))
+        w = plain_words(lowered(texts))
         size = np.diff(w.doc)
         at, (h,) = w.windows(shingle)
         owner = np.searchsorted(w.doc, at, "right") - 1
@@ -68,8 +86,9 @@ class Index:
         self.ids, self.size = ids, size
         both = np.unique(np.stack([h, owner.astype(U)]), axis=1)
         self.known, df = np.unique(both[0], return_counts=True)
-        self.weights = np.log1p(len(ids) / df) if len(df) else np.zeros(0)
-        self.unknown = math.log1p(len(ids) / 1) if ids else 1.0
+        n, self.shared, df = whole or (len(ids), self.known[df > 1], df[df > 1])
+        self.weights = np.log1p(n / df)
+        self.unknown = math.log1p(n / 1) if n else 1.0  # and of shingles that one item has
         self.sieve = np.zeros(1 << 20, bool)
         self.sieve[(self.known >> U(44)).astype(np.int64)] = True
         self.bags = {}
@@ -94,10 +113,10 @@ class Index:
         self.width = width
 
     def weigh(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.known):
+        if not len(self.shared):
             return np.full(len(keys), self.unknown)
-        at = np.minimum(np.searchsorted(self.known, keys), len(self.known) - 1)
-        return np.where(self.known[at] == keys, self.weights[at], self.unknown)
+        at = np.minimum(np.searchsorted(self.shared, keys), len(self.shared) - 1)
+        return np.where(self.shared[at] == keys, self.weights[at], self.unknown)
 
     @staticmethod
     def signs(keys: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -173,12 +192,23 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8, shingl
     ship(docs.sparkSession)
     keep = [c for c in docs.columns if c != "leaks" and (keep_text or c != text_col)]
     items = items.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("text")).filter(F.col("text").isNotNull())
-    _, size = _store.text_bytes(items)
+    n, size = _store.text_bytes(items)
     parts = max(1, math.ceil(1.5 * size / item_bytes)) if size > item_bytes else 1
+    whole = None
+    if parts > 1:
+
+        def count(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array(item_shingles(lowered(b.column(0).to_pylist()), shingle).view(np.int64))], names=["shingle"])
+
+        shared = items.select("text").mapInArrow(count, "shingle long").groupBy("shingle").count().filter("count > 1").toArrow()
+        keys, df = shared.column(0).to_numpy().view(U), shared.column(1).to_numpy()
+        order = np.argsort(keys)
+        whole = n, keys[order], df[order]
     out = docs.select(*[c for c in docs.columns if c != "leaks"], F.array().cast(LEAK).alias("leaks"))
     for part in range(parts):
         rows = items.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == part).orderBy("id", "text").collect()
-        index = Index([r.id if r.id is not None else -1 for r in rows], [r.text for r in rows], shingle, radius, blocks, threshold)
+        index = Index([r.id if r.id is not None else -1 for r in rows], [r.text for r in rows], shingle, radius, blocks, threshold, whole)
         last = part == parts - 1
         names = keep if last else [c for c in out.columns if c != "leaks"]
         schema = T.StructType([out.schema[c] for c in names] + [T.StructField("leaks", out.schema["leaks"].dataType)])

@@ -264,6 +264,19 @@ def test_decontamination_of_short_documents(spark, sf_dir, words):
     assert all(n == min(size[d], len(norm(by[i]))) for (d, i), n in got.items())
 
 
+def test_decontamination_in_blocks_of_items(spark):
+    common = [f"c{k}" for k in range(9)]  # 5 shingles, that every other item has
+    items = [(i, " ".join([*(common if i % 2 else []), *(f"x{i}y{k}" for k in range(24))])) for i in range(60)]
+    rows = [(100 * i + k, " ".join([*w[:9], *(w[9:-k] if k else w[9:])])) for i, t in items for w in [t.split()] for k in range(9)]
+    rows += [(100_000 + 100 * i + k, " ".join([*(f"z{j}" for j in range(k)), *w[k:], *(f"v{j}" for j in range(40))])) for i, t in items for w in [t.split()] for k in range(9)]
+    rows += [(200_000 + i, " ".join(common[:k] + items[i][1].split()[k:])) for i in range(0, 60, 2) for k in [9]]
+    odd = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame(items, "item_id long, text string")
+    found = lambda **k: {(r.doc_id, *x) for r in decontam.find_leaks(odd, items, **k).collect() for x in r.leaks}
+    one = found()
+    assert one and found(item_bytes=4_000) == one and found(item_bytes=1_500) == one
+
+
 def test_hamming_blocks_meet_all_within_the_radius():
     rng = np.random.default_rng(0)
     index = decontam.Index(list(range(20)), [" ".join(f"w{k}" for k in rng.integers(0, 500, 30)) for _ in range(20)], 5, 10, 4, 0.8)
