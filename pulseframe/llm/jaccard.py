@@ -7,8 +7,9 @@ follows, at every level, the tokens whose hash along the path falls below
 choose the same ones.  Sets on the same path form a bucket; a small bucket is
 compared pair by pair, a large one whose sets are alike on average is compared
 in blocks, one of up to ``middle`` sets that aren't is compared by sketches, and
-any other is split again.  ``runs`` follows from the wanted recall.  Every
-candidate is confirmed by its exact similarity.
+any other is split again.  ``runs`` follows from the wanted recall at two
+levels; sets that were split further go through as many runs more, among
+themselves, as the deepest level needs.  Every candidate is confirmed by its exact similarity.
 
 How it scales.
 
@@ -252,6 +253,18 @@ def runs_for(recall: float, threshold: float, depth: int = 2) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - once))
 
 
+def runs_within(recall: float, levels: int) -> int:
+    """Runs that find a pair with probability ``recall`` if its common path has ``levels`` tokens, for the pairs that share fewest: of sets of which one contains the other.
+
+    They choose one common token on average (a Poisson number), at each level
+    and for each path they have in common.
+    """
+    once = 1.0
+    for _ in range(levels):
+        once = 1 - math.exp(-once)
+    return math.ceil(math.log(1 - recall) / math.log(1 - once))
+
+
 def join(docs: DataFrame, threshold: float = 0.8, size: int = 5, recall: float = 0.999, limit: int = 24, middle: int = 1024, block: int = 768, dense: float = 0.2, depth: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, class_id`` (least id linked to it, directly or not), ``n_links`` (different texts linked directly), ``n_copies`` (rows of equal shingles).
 
@@ -260,47 +273,64 @@ def join(docs: DataFrame, threshold: float = 0.8, size: int = 5, recall: float =
     spark = docs.sparkSession
     ship(spark)
     with _store.scratch(spark):
-        out = _join(docs, threshold, size, runs_for(recall, threshold), limit, middle, block, dense, depth, id_col, text_col)
+        runs = runs_for(recall, threshold)
+        out = _join(docs, threshold, size, runs, max(0, runs_within(recall, depth + 1) - runs), limit, middle, block, dense, depth, id_col, text_col)
         path = _store.shared_path(spark, "jaccard-classes")
         out.write.parquet(path)  # all that is left of the tables on the way
     return spark.read.schema(out.schema).parquet(path)
 
 
-def _join(docs: DataFrame, threshold: float, size: int, runs: int, limit: int, middle: int, block: int, dense: float, depth: int, id_col: str, text_col: str) -> DataFrame:
+def _join(docs: DataFrame, threshold: float, size: int, runs: int, more: int, limit: int, middle: int, block: int, dense: float, depth: int, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
     sets = _store.materialize(rows.mapInArrow(_first_level(size, threshold, runs), _SETS), "shingle-sets")
     member = ["path", "cid", "n", "k0", "k1"]
     # Copies follow the same paths: distinct() folds them before the shuffle.
     level = sets.filter(F.col("n") > 0).select(F.explode("paths").alias("path"), "cid", "n", "k0", "k1").distinct()
-    needed, pairs, dense_members = None, [], []
-    for d in range(depth + 1):
-        counts = level.groupBy("path").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > 1)
-        level = _store.materialize(level.join(counts, "path").select(*member, "m"), "level")
-        if needed is None:
-            ids = level.select("cid").distinct()
-            needed = _store.materialize(sets.select("cid", "tokens").join(ids, "cid", "left_semi").groupBy("cid").agg(F.min("tokens").alias("tokens")), "needed-sets")
-        small = level.filter(F.col("m") <= limit)
-        a, b = small.select("path", *(F.col(c).alias(c + "_a") for c in member[1:])), small.select("path", *(F.col(c).alias(c + "_b") for c in member[1:]))
-        far = F.bit_count(F.col("k0_a").bitwiseXOR(F.col("k0_b"))) + F.bit_count(F.col("k1_a").bitwiseXOR(F.col("k1_b")))
-        # expected distance at the threshold, and five deviations more
-        p = (1 - threshold) / 2
-        most = math.ceil(BITS * p + 5.5 * math.sqrt(BITS * p * (1 - p)))
-        near = (far <= most) & (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9)
-        pairs.append(a.join(b, "path").filter((F.col("cid_a") < F.col("cid_b")) & near).select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b")))
-        large = level.filter(F.col("m") > limit)
-        if large.isEmpty():
-            break
-        bit = lambda i: F.sum(F.shiftrightunsigned(F.col(f"k{i >> 6}"), i & 63).bitwiseAND(1)) / F.count(F.lit(1))
-        like = large.groupBy("path").agg(F.array(*(bit(i) for i in range(BITS))).alias("p"))
-        mean = F.aggregate("p", F.lit(0.0), lambda s, x: s + x * x + (1 - x) * (1 - x)) / BITS  # share of equal bits over all pairs
-        like = _store.materialize(like.select("path", ((2 * mean - 1 >= dense) | F.lit(d == depth)).alias("alike")), "level-alike")
-        judged = _store.materialize(large.join(like, "path"), "level-large")
-        dense_members.append(judged.filter("alike").select("path", "cid", "m"))
-        pairs.append(judged.filter(~F.col("alike") & (F.col("m") <= middle)).groupBy("path").applyInArrow(_sketch_pairs(threshold, most), "a long, b long"))
-        rest = judged.filter(~F.col("alike") & (F.col("m") > middle)).select(*member)
-        if rest.isEmpty():
-            break
-        level = rest.join(needed, "cid").select(*member, "tokens").mapInArrow(_children(threshold), "path long, cid long, n int, k0 long, k1 long").distinct()
+    needed, pairs, dense_members, deep = None, [], [], []
+
+    def follow(level):
+        nonlocal needed
+        for d in range(depth + 1):
+            counts = level.groupBy("path").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > 1)
+            level = _store.materialize(level.join(counts, "path").select(*member, "m"), "level")
+            if needed is None:
+                ids = level.select("cid").distinct()
+                needed = _store.materialize(sets.select("cid", "tokens").join(ids, "cid", "left_semi").groupBy("cid").agg(F.min("tokens").alias("tokens")), "needed-sets")
+            small = level.filter(F.col("m") <= limit)
+            a, b = small.select("path", *(F.col(c).alias(c + "_a") for c in member[1:])), small.select("path", *(F.col(c).alias(c + "_b") for c in member[1:]))
+            far = F.bit_count(F.col("k0_a").bitwiseXOR(F.col("k0_b"))) + F.bit_count(F.col("k1_a").bitwiseXOR(F.col("k1_b")))
+            # expected distance at the threshold, and five deviations more
+            p = (1 - threshold) / 2
+            most = math.ceil(BITS * p + 5.5 * math.sqrt(BITS * p * (1 - p)))
+            near = (far <= most) & (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9)
+            pairs.append(a.join(b, "path").filter((F.col("cid_a") < F.col("cid_b")) & near).select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b")))
+            large = level.filter(F.col("m") > limit)
+            if large.isEmpty():
+                break
+            bit = lambda i: F.sum(F.shiftrightunsigned(F.col(f"k{i >> 6}"), i & 63).bitwiseAND(1)) / F.count(F.lit(1))
+            like = large.groupBy("path").agg(F.array(*(bit(i) for i in range(BITS))).alias("p"))
+            mean = F.aggregate("p", F.lit(0.0), lambda s, x: s + x * x + (1 - x) * (1 - x)) / BITS  # share of equal bits over all pairs
+            like = _store.materialize(like.select("path", ((2 * mean - 1 >= dense) | F.lit(d == depth)).alias("alike")), "level-alike")
+            judged = _store.materialize(large.join(like, "path"), "level-large")
+            dense_members.append(judged.filter("alike").select("path", "cid", "m"))
+            pairs.append(judged.filter(~F.col("alike") & (F.col("m") <= middle)).groupBy("path").applyInArrow(_sketch_pairs(threshold, most), "a long, b long"))
+            rest = judged.filter(~F.col("alike") & (F.col("m") > middle)).select(*member)
+            if rest.isEmpty():
+                break
+            if d:
+                deep.append(rest.select("cid"))
+            level = rest.join(needed, "cid").select(*member, "tokens").mapInArrow(_children(threshold), "path long, cid long, n int, k0 long, k1 long").distinct()
+
+    follow(level)
+    if deep and more:
+        # Sets that were split beyond two levels may have missed each other there: further runs, among these alone
+        again = deep[0]
+        for x in deep[1:]:
+            again = again.union(x)
+        again = _store.materialize(again.distinct(), "deep-sets")
+        first = sets.join(again, "cid", "left_semi").groupBy("cid").agg(*(F.min(c).alias(c) for c in ("n", "k0", "k1", "tokens")))
+        first = first.withColumn("path", F.explode(F.sequence(F.lit(1), F.lit(more)))).withColumn("path", F.xxhash64("path"))
+        follow(first.select(*member, "tokens").mapInArrow(_children(threshold), "path long, cid long, n int, k0 long, k1 long").distinct())
     found = pairs[0]
     for x in pairs[1:]:
         found = found.union(x)

@@ -212,6 +212,18 @@ def test_jaccard(spark, words):
     assert all(got[i][2] == want[i][2] for i in got)
 
 
+def test_jaccard_of_sets_split_often(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for k in range(1500):  # pairs of which one contains the other, and whose words many others have
+        w = [f"w{x}" for x in rng.choice(600, 100, replace=False)]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w[:80]))]
+    got = {r.doc_id: r.class_id for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string"), size=1, limit=2, middle=2).collect()}
+    assert all(got[2 * k] == 2 * k for k in range(1500))
+    assert sum(got[2 * k + 1] != 2 * k for k in range(1500)) <= 2
+    assert jaccard.runs_within(0.999, 2) <= jaccard.runs_for(0.999, 0.8) < jaccard.runs_within(0.999, 7)
+
+
 def test_decontamination(spark, sf_dir, texts, words):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     punct = str.maketrans("", "", "".join(chr(c) for c in range(128) if not chr(c).isalnum() and chr(c) not in " \t\n\x0b\f\r"))
