@@ -12,13 +12,19 @@ from __future__ import annotations
 
 import json
 import os
+import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
+from . import _words
+
 NONE = np.int32(1 << 30)
 #: Parts units among 16-bit ids: no id has a high byte of 255, so it can't be met out of step.
 PART = b"\xff\xff"
+FAR = re.compile("[\u0250-\U0010ffff]")
 
 
 def _alphabet() -> list[str]:
@@ -78,6 +84,8 @@ class WordBpe:
 
     def merge(self, pieces: list[bytes]) -> list[bytes]:
         """Ids (little-endian, 16 bits) of each piece."""
+        if not pieces:  # units may consist of characters that the pre-tokenizer drops
+            return []
         size = np.array([len(p) for p in pieces])
         data = np.frombuffer(b"".join(pieces), np.uint8)
         sym = self.byte[data]
@@ -116,12 +124,14 @@ class WordBpe:
         return [flat[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     def _learn(self, units: list[bytes]) -> None:
-        hard = [u for u in units if any(s in u for s in self.special)] if any(s in b" ".join(units) for s in self.special) else []
+        whole = b"\n".join(units)
+        hard = [u for u in units if any(s in u for s in self.special)] if any(s in whole for s in self.special) else []
         if hard:
             units = list(set(units).difference(hard))
-        text = b"\n".join(units).decode("utf-8", "replace").lower()
-        if not text.isascii() and max(text) >= "\u0250":
-            far = [i for i, t in enumerate(text.split("\n")) if max(t) >= "\u0250"]
+            whole = b"\n".join(units)
+        text = whole.decode("utf-8", "replace").lower()
+        if not text.isascii() and FAR.search(text):
+            far = [i for i, t in enumerate(text.split("\n")) if FAR.search(t)]
             hard += [units[i] for i in far]
             units = list(set(units).difference(hard))
             text = b"\n".join(units).decode("utf-8", "replace").lower()
@@ -137,17 +147,38 @@ class WordBpe:
             for u, e in zip(hard, self.tokenizer.encode_batch_fast([u.decode("utf-8", "replace") for u in hard], add_special_tokens=False), strict=True):
                 self.new[u] = np.array(e.ids, "<u2").tobytes()
 
-    def ids(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each UTF-8 text, little-endian, 16 bits each."""
-        split = [t.split() for t in texts]  # bytes.split() cuts at ASCII white space only
-        missing = set().union(*split).difference(self.new)
-        for k in [k for k in missing if k in self.old]:
-            self.new[k] = self.old[k]
-            missing.discard(k)
-        if missing:
-            self._learn(list(missing))
-        get = self.new.__getitem__
-        out = [b"".join(map(get, u)) for u in split]
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a string column, one after another, and where each text's begin (and the end); null is empty."""
+        split = pc.ascii_split_whitespace(pc.fill_null(column, "") if column.null_count else column)
+        units = split.flatten().dictionary_encode()  # a unit is looked up once a batch
+        code = units.indices.to_numpy()
+        data, at = _words.strings(units.dictionary)
+        data, at = data.tobytes(), at.tolist()
+        keys = [data[a:b] for a, b in zip(at, at[1:], strict=False)]
+        found = list(map(self.new.get, keys))
+        if None in found:
+            missing = []
+            for k, v in zip(keys, found, strict=True):
+                if v is None:
+                    if k in self.old:
+                        self.new[k] = self.old[k]
+                    else:
+                        missing.append(k)
+            if missing:
+                self._learn(missing)
+            found = list(map(self.new.__getitem__, keys))
+        size = np.fromiter(map(len, found), np.int64, len(found)) >> 1
+        begin = np.cumsum(size) - size
+        each = size[code]
+        ends = np.cumsum(each)
+        flat = np.frombuffer(b"".join(found), "<u2")
+        ids = flat[np.repeat(begin[code] - (ends - each), each) + np.arange(int(each.sum()))]
         if len(self.new) > self.cap:
             self.old, self.new = self.new, {}
-        return out
+        offsets = np.asarray(split.offsets)
+        return ids, np.r_[0, ends][offsets - offsets[0]]
+
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each UTF-8 text, little-endian, 16 bits each."""
+        ids, cut = self.encode(pa.array(texts, pa.binary()).cast(pa.string()))
+        return [ids[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)]

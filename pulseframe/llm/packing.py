@@ -16,9 +16,11 @@ sort column: a key that many documents have is spread over several.  That is
 one shuffle of the texts; memory is bounded by ``shard_tokens`` (plus one
 document).  ``sequence_id`` holds the partition's number and a count within it.
 
-Defined cases.  Null text is empty and yields the end id alone; any length is
-packed whole; repeated rows and ids are packed as they come.  Columns other
-than id and text aren't read.
+Defined cases.  A null or empty text, or one of characters that the tokenizer
+drops (no-break spaces), yields the end id alone; any length is packed whole;
+repeated rows and ids are packed as they come; neighbours of equal score come in
+the shard's order.  An empty table gives no sequences.  Columns other than id
+and text aren't read.
 """
 
 from __future__ import annotations
@@ -75,9 +77,10 @@ class Shard:
         ask = np.zeros(len(self.often), np.float32)
         ask[row[row >= 0]] = 1
         score = ask @ self.often
-        for t in terms[row < 0]:
-            a, b = self.post[t], self.post[t + 1]
-            score[self.who[a:b]] += self.weight[a:b]
+        rest = terms[row < 0]
+        size = self.post[rest + 1] - self.post[rest]
+        at = np.repeat(self.post[rest] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        score += np.bincount(self.who[at], self.weight[at], len(score)).astype(np.float32)
         score *= unused
         left, many = np.count_nonzero(score), 32
         while left:
@@ -169,16 +172,17 @@ def pack(docs: DataFrame, window: int = 2048, shard_tokens: int = 2_000_000, tok
 
     def run(batches):
         gc.disable()  # nothing here is cyclic, and the caches are large
-        bpe, end, made = WordBpe(tokenizer), np.array([end_id], "<u2").tobytes(), 0
+        bpe, made = WordBpe(tokenizer), 0
         names: list[pa.Array] = []
-        parts: list[bytes] = []
-        tokens = 0
+        parts: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
 
         def flush():
-            nonlocal names, parts, tokens, made
-            size = np.array([len(p) // 2 for p in parts])
-            ids = np.frombuffer(b"".join(parts), "<u2")
+            nonlocal made
+            size, ids = np.concatenate(sizes), np.concatenate(parts)
             doc_ids = pa.concat_arrays(names)
+            for held in (names, parts, sizes):
+                held.clear()
             shard = Shard(ids, size, window, end_id)
             found = shard.pack()
             base = (TaskContext.get().partitionId() << 40) + made
@@ -188,17 +192,13 @@ def pack(docs: DataFrame, window: int = 2048, shard_tokens: int = 2_000_000, tok
                 at = shard.begin[some[:, 0]] + some[:, 1]
                 blobs = [ids[x : x + k].astype("<u4").tobytes() for x, k in zip(at.tolist(), some[:, 2].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([doc_ids.take(pa.array(some[:, 0])), pa.array(some[:, 1]), pa.array(some[:, 2]), pa.array(size[some[:, 0]]), pa.array(base + some[:, 3]), pa.array(some[:, 4]), pa.array(blobs, pa.binary())], names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
-            names, parts, tokens = [], [], 0
 
         for b in _words.slices(batches, "text", 2 << 20):
-            data, offs = _words.strings(b.column(1))
-            raw = data.tobytes()
-            cut = offs.tolist()
-            new = [x + end for x in bpe.ids([raw[i:j] for i, j in zip(cut, cut[1:], strict=False)])]
+            ids, cut = bpe.encode(b.column(1))
             names.append(b.column(0))
-            parts += new
-            tokens += sum(map(len, new)) // 2
-            if tokens >= shard_tokens:
+            parts.append(np.insert(ids, cut[1:], end_id))
+            sizes.append(np.diff(cut) + 1)
+            if sum(map(len, parts)) >= shard_tokens:
                 yield from flush()
         if parts:
             yield from flush()

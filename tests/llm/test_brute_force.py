@@ -61,7 +61,9 @@ def test_token_splices(texts):
 
 def test_word_bpe(texts):
     w = _bpe.WordBpe(P.path("word_bpe_49k.json"), cache=500)
-    odd = ["", "a<|endoftext|>b", "don't I'LL 123 4567 !!! ...", "é́ ΑΣ İstanbul ʃ 日本", "x\x1cy", "aaaa aaaaa aaa"]
+    odd = ["", "a<|endoftext|>b", "don't I'LL 123 4567 !!! ...", "é́ ΑΣ İstanbul ʃ 日本", "x\x1cy", "aaaa aaaaa aaa", "\u00a0", "\u0085 \u00a0\u00a0  ", "\u00a0a\u00a0 b"]
+    for t in odd:  # alone in its batch
+        assert np.frombuffer(_bpe.WordBpe(P.path("word_bpe_49k.json")).ids([t.encode()])[0], "<u2").tolist() == w.tokenizer.encode(t, add_special_tokens=False).ids
     for t in [texts[i] for i in sorted(texts)[:80]] + odd:
         assert np.frombuffer(w.ids([t.encode()])[0], "<u2").tolist() == w.tokenizer.encode(t, add_special_tokens=False).ids
 
@@ -88,6 +90,24 @@ def test_packing(spark, sf_dir, texts):
         assert at <= 2048 and at & (at - 1) == 0  # every sequence is full, or a power of two
 
 
+def test_neighbours_are_those_of_plain_bm25():
+    rng = np.random.default_rng(11)
+    docs = [rng.zipf(1.3, rng.integers(3, 80)) % 900 + 2 for _ in range(150)]
+    docs += [docs[k].copy() for k in range(0, 150, 3)]
+    size = np.array([len(d) for d in docs])
+    shard = packing.Shard(np.concatenate(docs).astype("<u2"), size, 2048, 1)
+    bags, n = [Counter(d.tolist()) for d in docs], len(docs)
+    df = Counter(t for b in bags for t in b)
+    weigh = lambda t, b, k: math.log1p((n - df[t] + 0.5) / (df[t] + 0.5)) * b[t] * (packing.K1 + 1) / (b[t] + packing.K1 * (1 - packing.B + packing.B * k / size.mean()))
+    unused = np.ones(n, np.float32)
+    unused[5:15] = 0
+    for seed in (0, 7, 60, 151):
+        want = {x: sum(weigh(t, bags[x], size[x]) for t in bags[seed] if t in bags[x]) for x in range(n) if unused[x]}
+        got = list(shard.neighbours(seed, unused))
+        assert sorted(got) == sorted(x for x, v in want.items() if v > 0)
+        assert all(want[a] >= want[b] - 1e-3 for a, b in zip(got, got[1:], strict=False))
+
+
 def test_packing_joins_neighbours():
     ids = np.array([5, 6, 7, 8, 9, 10, 20, 21, 22, 23, 5, 6, 7, 8, 9, 11, 20, 21, 22, 24] * 1, "<u2")
     shard = packing.Shard(ids, np.array([6, 4, 6, 4]), 12)

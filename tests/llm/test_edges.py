@@ -77,6 +77,8 @@ def test_packing(odd, counted):
     got = {r.doc_id: (r.n, r.t) for r in out}
     assert got[2] == got[3] == (1, 1) and got[6][0] == got[6][1] and got[8][0] == 2 * got[8][1]
     assert packing.pack(odd.limit(0)).count() == 0
+    blank = odd.sparkSession.createDataFrame([(1, "\u00a0"), (2, "\u0085\u00a0")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.length) for r in packing.pack(blank).collect()) == [(1, 1), (2, 1)]
 
 
 def test_jaccard(odd, counted):
