@@ -10,21 +10,26 @@
 3. Every page is parsed again and its text taken from the containers on its
    host's winning path; a page without that path uses its own best container.
 
-A host's winner is one row.  The winners are broadcast while they number at
-most ``broadcast_hosts``, and joined by shuffle beyond it.
+A host's winner is one row: its name and 64 bits that stand for the path.  They
+are broadcast while they are at most ``broadcast_bytes``, and joined by shuffle
+beyond it.  An element links to its parent, and what an end tag closes is looked
+up, so memory and time grow with the page, however deep its elements nest.
 
 Text: character references decoded, white space in a block one space, blocks
 in page order joined by two line feeds.  Defined cases: null or blank html
-gives an empty text; a null url is a host of its own; rows aren't merged;
-further columns pass through (``text`` and ``n_chars`` replace theirs).
+gives an empty text; a null url is a host of its own; rows aren't merged; of
+paths with equal votes and pages the greater key wins; an empty table gives an
+empty one; further columns pass through (``text`` and ``n_chars`` replace theirs).
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as _html
 import re
 from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,21 +55,53 @@ HIDDEN = re.compile(r"\bhidden(?:[\s=/]|$)|display\s*:\s*none", re.I)
 PIECES = re.compile(r"[^a-zA-Z]+")
 
 
+#: Inside these an end tag closes nothing further out, unless it ends a block.
+SCOPE = ("td", "table", "article", "main")
+LISTS = ("ul", "ol", "dl", "table", "select", "menu", "dir")
+_codes: dict[str, int] = {}
+
+
+def code(label: str) -> int:
+    """64 bits that stand for a label, the same in every process."""
+    found = _codes.get(label)
+    if found is None:
+        if len(_codes) > 50_000:
+            _codes.clear()
+        found = _codes[label] = int.from_bytes(hashlib.blake2b(label.encode("utf-8", "replace"), digest_size=8).digest(), "little")
+    return found
+
+
 class Node:
-    __slots__ = ("tag", "path", "skip", "text", "noise", "first", "last")
+    """An element; ``key`` stands for its path, which is only written out when asked for."""
 
-    def __init__(self, tag: str, path: str, skip: bool, first: int):
-        self.tag, self.path, self.skip, self.first, self.last = tag, path, skip, first, -1
+    __slots__ = ("tag", "label", "parent", "key", "skip", "text", "noise", "first", "last")
+
+    def __init__(self, tag: str, label: str, parent: "Node | None", skip: bool, first: int):
+        self.tag, self.label, self.parent, self.skip, self.first, self.last = tag, label, parent, skip, first, -1
+        self.key = ((parent.key * 0x9E3779B97F4A7C15 if parent else 0) + code(label)) & 0xFFFFFFFFFFFFFFFF
         self.text = self.noise = 0
 
+    def path(self) -> str:
+        out, node = [], self
+        while node:
+            out.append(node.label)
+            node = node.parent
+        return ">".join(reversed(out))
+
 
 class Page:
-    """Blocks of a page's text, and its containers."""
+    """Blocks of a page's text, and its containers.
+
+    ``where`` holds, for each tag, the places of its open elements in the stack,
+    so that what an end tag closes is found without a walk.
+    """
 
     def __init__(self, source: str):
         self.blocks: list[str] = []  # finished blocks
         self.at: list[str] = []  # the open block's runs
         self.containers: list[Node] = []
+        self.where: dict[str, list[int]] = defaultdict(list)
+        self.inner: list[int] = []  # places of open blocks
         stack: list[Node] = []
         pos, n = 0, len(source)
         find = TOKEN.search
@@ -91,9 +128,9 @@ class Page:
                 close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, pos)
                 if stack and stack[-1].tag == tag:
                     stack.pop()
+                    self.where[tag].pop()
                 pos = close.end() if close else n
-        while stack:
-            self._pop(stack)
+        self._close(stack, 0)
         self._flush()
 
     def _flush(self) -> None:
@@ -112,33 +149,30 @@ class Page:
             if stack:
                 stack[-1].text += len(text.strip())
 
-    def _pop(self, stack: list[Node]) -> None:
-        node = stack.pop()
-        if node.tag in BLOCK:
-            self._flush()
-        node.last = len(self.blocks)
-        if stack:
-            stack[-1].text += node.text
-            stack[-1].noise += node.noise + (node.text if node.tag == "a" else 0)
+    def _close(self, stack: list[Node], upto: int) -> None:
+        """End all elements from place ``upto`` on."""
+        while len(stack) > upto:
+            node = stack.pop()
+            self.where[node.tag].pop()
+            if node.tag in BLOCK:
+                self.inner.pop()
+                self._flush()
+            node.last = len(self.blocks)
+            if stack:
+                stack[-1].text += node.text
+                stack[-1].noise += node.noise + (node.text if node.tag == "a" else 0)
+
+    def _last(self, tags) -> int:
+        return max((self.where[t][-1] for t in tags if self.where.get(t)), default=-1)
 
     def _start(self, tag: str, attrs: str, stack: list[Node]) -> None:
         if tag in BLOCK:
-            for k in range(len(stack) - 1, max(-1, len(stack) - 40), -1):  # an open paragraph ends here
-                if stack[k].tag == "p":
-                    while len(stack) > k:
-                        self._pop(stack)
-                    break
-                if stack[k].tag in BLOCK:
-                    break
+            open_p = self.where.get("p")
+            if open_p and self.inner[-1] == open_p[-1]:  # an open paragraph ends here
+                self._close(stack, open_p[-1])
             closes = CLOSES.get(tag)
-            if closes:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k].tag in closes:
-                        while len(stack) > k:
-                            self._pop(stack)
-                        break
-                    if stack[k].tag in ("ul", "ol", "dl", "table", "select", "menu", "dir"):
-                        break
+            if closes and (k := self._last(closes)) > self._last(LISTS):
+                self._close(stack, k)
             self._flush()
         if tag in VOID:
             return
@@ -156,22 +190,22 @@ class Page:
             if words and not skip and not inside:
                 skip = any(w in NOISE for x in words for w in PIECES.split(x))
             skip = skip or bool(HIDDEN.search(attrs))
-        if tag == "header" and not any(x.tag in ("article", "main") for x in stack):
+        if tag == "header" and not self.where.get("article") and not self.where.get("main"):
             skip = True
-        node = Node(tag, f"{parent.path}>{label}" if parent else label, skip, len(self.blocks))
+        node = Node(tag, label, parent, skip, len(self.blocks))
         if tag in CONTAINER and not skip:
             self.containers.append(node)
+        self.where[tag].append(len(stack))
+        if tag in BLOCK:
+            self.inner.append(len(stack))
         stack.append(node)
 
     def _end(self, tag: str, stack: list[Node]) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k].tag == tag:
-                while len(stack) > k:
-                    self._pop(stack)
-                return
-            if stack[k].tag in ("td", "table", "article", "main") and tag not in BLOCK:
-                return
-        if tag in BLOCK:
+        places = self.where.get(tag)
+        if places:
+            if tag in BLOCK or places[-1] == len(stack) - 1 or places[-1] >= self._last(SCOPE):
+                self._close(stack, places[-1])
+        elif tag in BLOCK:
             self._flush()
 
     def best(self) -> Node | None:
@@ -183,8 +217,9 @@ class Page:
                 best, most = c, score
         return best
 
-    def text(self, path: str | None) -> str:
-        found = [c for c in self.containers if c.path == path] if path else []
+    def text(self, key: int | None) -> str:
+        """Text of the containers with the path of this key, else of the best one."""
+        found = [c for c in self.containers if c.key == key] if key is not None else []
         if not found:
             best = self.best()
             if best is None:
@@ -201,40 +236,52 @@ def _host(url_col: str):
     return F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit("\x00"))
 
 
-def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """The winning path of each host, with its votes and pages."""
+def _winners(pages: DataFrame, url_col: str, html_col: str, named: bool) -> DataFrame:
+    """host, key, votes, pages and (if ``named``) path of each host's winner."""
     ship(pages.sparkSession)
 
     def vote(batches):
         for b in _words.slices(batches, "html", 8 << 20):
-            votes: dict[tuple[str, str], list[float]] = defaultdict(lambda: [0.0, 0])
+            votes: dict[tuple[str, int], list] = {}
             for host, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 best = (page := Page(source)).best() if source else None
                 if best is not None:
-                    v = votes[host, best.path]
+                    v = votes.get((host, best.key))
+                    if v is None:
+                        v = votes[host, best.key] = [0.0, 0, best.path() if named else ""]
                     v[0] += round(best.text / max(1, page.containers[0].text), 6)
                     v[1] += 1
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in votes], pa.string()), pa.array([k[1] for k in votes], pa.string()), pa.array([v[0] for v in votes.values()], pa.float64()), pa.array([v[1] for v in votes.values()], pa.int64())], names=["host", "path", "votes", "pages"])
+            keys = np.array([k for _, k in votes], np.uint64).view(np.int64)
+            score, n, path = (list(x) for x in zip(*votes.values(), strict=True)) if votes else ([], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in votes], pa.string()), pa.array(keys), pa.array(score, pa.float64()), pa.array(n, pa.int64()), pa.array(path, pa.string())], names=["host", "key", "votes", "pages", "path"])
+
+    votes = pages.select(_host(url_col).alias("host"), F.col(html_col).alias("html")).mapInArrow(vote, "host string, key long, votes double, pages long, path string")
+    votes = votes.groupBy("host", "key").agg(F.sum("votes").alias("votes"), F.sum("pages").alias("pages"), *([F.min("path").alias("path")] if named else []))
+    columns = [c for c in votes.columns if c != "host"]
+    won = F.max_by(F.struct(*columns), F.struct(F.round("votes", 3), "pages", "key"))
+    return votes.groupBy("host").agg(won.alias("won")).select("host", *(f"won.{c}" for c in columns))
 
-    votes = pages.select(_host(url_col).alias("host"), F.col(html_col).alias("html")).mapInArrow(vote, "host string, path string, votes double, pages long")
-    votes = votes.groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.sum("pages").alias("pages"))
-    won = F.max_by(F.struct("path", "votes", "pages"), F.struct(F.round("votes", 3), "pages", "path"))
-    return votes.groupBy("host").agg(won.alias("won")).select("host", "won.path", "won.votes", "won.pages")
+
+def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """The winning path of each host, with its votes and pages; ``key`` stands for the path."""
+    return _winners(pages, url_col, html_col, True)
 
 
-def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", broadcast_hosts: int = 200_000) -> DataFrame:
+def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", broadcast_bytes: int = 32 << 20) -> DataFrame:
     """``pages`` without its html, with ``text`` and ``n_chars``."""
-    winners = _store.materialize(host_paths(pages, url_col, html_col).select(F.col("host").alias("__host"), F.col("path").alias("__path")), "host-paths")
-    if winners.count() <= broadcast_hosts:
+    winners = _store.materialize(_winners(pages, url_col, html_col, False).select(F.col("host").alias("__host"), F.col("key").alias("__key")), "host-paths")
+    size = winners.agg(F.coalesce(F.sum(F.octet_length("__host") + 64), F.lit(0))).first()[0]  # 64: the row around it
+    if size <= broadcast_bytes:
         winners = F.broadcast(winners)
     keep = [c for c in pages.columns if c not in ("text", "n_chars", html_col)]
-    joined = pages.select(*keep, F.col(html_col).alias("__html"), _host(url_col).alias("__host")).join(winners, "__host", "left").select(*keep, "__html", "__path")
+    joined = pages.select(*keep, F.col(html_col).alias("__html"), _host(url_col).alias("__host")).join(winners, "__host", "left").select(*keep, "__html", "__key")
     schema = joined.select(*keep, F.col("__html").alias("text")).schema
 
     def run(batches):
         for b in _words.slices(batches, "__html", 8 << 20):
-            *rest, source, path = b.columns
-            texts = [Page(s).text(p) if s else "" for s, p in zip(source.to_pylist(), path.to_pylist(), strict=True)]
+            *rest, source, key = b.columns
+            keys = (None if k is None else k & 0xFFFFFFFFFFFFFFFF for k in key.to_pylist())
+            texts = [Page(s).text(k) if s else "" for s, k in zip(source.to_pylist(), keys, strict=True)]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(texts, pa.string())], names=[*keep, "text"])
 
     return joined.mapInArrow(run, schema).withColumn("n_chars", F.char_length("text").cast("long"))

@@ -99,6 +99,18 @@ def test_html(spark):
     assert html.extract(pages.limit(0)).count() == 0
 
 
+def test_deep_and_unclosed_html():
+    import resource
+
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    page = html.Page("<div>" * 100_000 + "deep" + "</div>" * 100_000)
+    assert page.text(None) == page.text(page.best().key) == "deep" and page.best().path() == ">".join(["div"] * 100_000)
+    assert html.Page("<b><article>" + "<span>" * 50_000 + "x" + "</b>" * 50_000).text(None) == "x"
+    assert html.Page("<li><ul>" + "<span>" * 30_000 + "<li>y" * 30_000).text(None).count("y") == 30_000
+    assert html.Page("<body><p>" + "<i>" * 100 + "one<div>two").text(None) == "one\n\ntwo"
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400_000  # kB
+
+
 def test_sharding(odd, counted):
     out = sharding.shard(odd, 4)
     assert ids(out) == counted and set(odd.columns) <= set(out.columns)
