@@ -1,13 +1,15 @@
 """Benchmark decontamination (operator 1).
 
 For every benchmark item, windows of the item's own length slide over each
-document; a document that is shorter than the item is one window.  A window's SimHash (64 bits, over weighted word shingles) is looked
-up in multi-index Hamming blocks: 64 bits are cut into ``blocks`` parts, and if
-two fingerprints differ in at most ``radius`` bits, one part differs in at most
-``radius // blocks`` bits; a table over all values of a part lists the items so
-near to it, so every fingerprint within the radius is met.  Candidates within
-the radius are confirmed by the exact weighted Jaccard similarity of their
-shingle multisets, ``threshold`` or more.
+document; a document that is shorter than the item is one window.  A window's
+SimHash (64 bits, over weighted word shingles) is looked up in multi-index
+Hamming blocks: 64 bits are cut into ``blocks`` parts, and if two fingerprints
+differ in at most ``radius`` bits, one part differs in at most ``radius //
+blocks`` bits.  Items are listed by the value of each part, and a window looks
+up all values so near to its own, so every fingerprint within the radius is met.
+Candidates within the radius are confirmed by the exact weighted Jaccard
+similarity of their shingle multisets, ``threshold`` or more.  An item of fewer
+words than a shingle is a single one, all its words, and so is its window.
 
 Words are compared in lower case and without ASCII punctuation.  A shingle
 weighs the more, the fewer items have it (``ln(1 + items / items with it)``); one
@@ -17,14 +19,15 @@ weight: below that the similarity can't reach the threshold with any item, so
 nothing is lost.
 
 How it scales.  Documents are read once, without a shuffle; rows keep their
-place.  Items are a query set: they are taken in blocks of at most
-``item_bytes`` of text, and each block's index travels with the tasks.  Weights
-are those of all items in every block: shingles that two or more items have are
+place.  Items are a query set: they are taken in blocks whose index holds at
+most about ``index_bytes`` (some 40 bytes a word), and it travels with the tasks.
+Weights are those of all items in every block: shingles that two or more items have are
 counted once, in Spark, and travel with each block too (16 bytes each).
 
-Defined cases.  Null or blank texts have no windows; items that are null, or of
-fewer words than a shingle, aren't searched for; items of equal text are all
-reported.  Rows aren't merged.  Columns of the documents pass through (their
+Defined cases.  Null or blank texts have no windows; items that are null or have
+no words aren't searched for; items of equal text are all reported.  Of windows
+that tie in similarity the one of fewer bits apart, then the first, is reported.
+An empty table on either side finds nothing.  Rows aren't merged.  Columns of the documents pass through (their
 own ``leaks`` is replaced).
 """
 
@@ -46,6 +49,7 @@ from ._words import U, mix
 _KEEP = np.ones(256, bool)
 _KEEP[[b for b in range(128) if not chr(b).isalnum() and chr(b) not in " \t\n\x0b\f\r"]] = False
 _BITS = np.arange(64, dtype=U)
+FIELDS = ("item_id", "start_word", "n_words", "similarity", "hamming")
 LEAK = "array<struct<item_id:long,start_word:int,n_words:int,similarity:double,hamming:int>>"
 
 
@@ -82,35 +86,53 @@ class Index:
         size = np.diff(w.doc)
         at, (h,) = w.windows(shingle)
         owner = np.searchsorted(w.doc, at, "right") - 1
-        self.items = [i for i in range(len(ids)) if size[i] >= shingle]
+        self.items = np.flatnonzero(size >= shingle)
         self.ids, self.size = ids, size
-        both = np.unique(np.stack([h, owner.astype(U)]), axis=1)
-        self.known, df = np.unique(both[0], return_counts=True)
+        both = np.unique(np.stack([owner.astype(U), h]), axis=1, return_counts=True)
+        (own, self.keys), self.counts = both[0], both[1].astype(np.int32)
+        self.bag = np.searchsorted(own, np.arange(len(ids) + 1).astype(U))  # where each item's shingles begin
+        self.known, df = np.unique(self.keys, return_counts=True)
         n, self.shared, df = whole or (len(ids), self.known[df > 1], df[df > 1])
         self.weights = np.log1p(n / df)
         self.unknown = math.log1p(n / 1) if n else 1.0  # and of shingles that one item has
         self.sieve = np.zeros(1 << 20, bool)
         self.sieve[(self.known >> U(44)).astype(np.int64)] = True
-        self.bags = {}
         self.prints = np.zeros(len(ids), U)
-        for i in self.items:
-            own = h[owner == i]
-            keys, n = np.unique(own, return_counts=True)
-            self.bags[i] = (keys, n, self.weigh(keys))
-            self.prints[i] = self.fingerprint(own, self.weigh(own))
+        begin = np.searchsorted(owner, np.arange(len(ids) + 1))
+        for i in self.items.tolist():
+            mine = h[begin[i] : begin[i + 1]]
+            self.prints[i] = self.fingerprint(mine, self.weigh(mine))
         self.lengths = sorted({int(size[i]) for i in self.items})
-        # Multi-index: for each part, every value's items within radius // blocks bits.
-        width = 64 // blocks
-        flips = [sum(1 << b for b in c) for k in range(radius // blocks + 1) for c in combinations(range(width), k)]
-        flips = np.array(flips, np.int64)
+        # Items that are shorter than a shingle: (words, hash, item), by hash
+        self.short = []
+        for m in range(1, shingle):
+            few = np.flatnonzero(size == m)
+            if len(few):
+                at, (h,) = w.windows(m)
+                h = h[np.isin(at, w.doc[few])]  # those that begin their item, in order
+                order = np.argsort(h, kind="stable")
+                self.short.append((m, h[order], few[order]))
+        # Multi-index: for each part the items by its value, and the differences of radius // blocks bits at most.
+        self.width = 64 // blocks
+        self.flips = np.array([sum(1 << b for b in c) for k in range(radius // blocks + 1) for c in combinations(range(self.width), k)], np.uint64)
         self.tables = []
         for p in range(blocks):
-            part = ((self.prints >> U(p * width)) & U((1 << width) - 1)).astype(np.int64)
-            value = (part[self.items][:, None] ^ flips[None, :]).ravel() if self.items else np.zeros(0, np.int64)
-            item = np.repeat(np.array(self.items, np.int32), len(flips))
-            order = np.argsort(value, kind="stable")
-            self.tables.append((np.searchsorted(value[order], np.arange((1 << width) + 1)), item[order]))
-        self.width = width
+            part = self.part(self.prints[self.items], p)
+            order = np.argsort(part, kind="stable")
+            value, first = np.unique(part[order], return_index=True)
+            self.tables.append((value, np.r_[first, len(order)], self.items[order].astype(np.int32)))
+
+    def part(self, prints: np.ndarray, p: int) -> np.ndarray:
+        return (prints >> U(p * self.width)) & U((1 << self.width) - 1)
+
+    def near(self, part: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``part``, place in ``value``) of all that differ in few enough bits: by whichever are fewer, the values there are or those within reach."""
+        if len(value) <= len(self.flips):
+            return np.nonzero(np.bitwise_count(part[:, None] ^ value[None, :]) <= self.radius // self.blocks)
+        wanted = part[:, None] ^ self.flips[None, :]
+        at = np.minimum(np.searchsorted(value, wanted), len(value) - 1)
+        x, f = np.nonzero(value[at] == wanted)
+        return x, at[x, f]
 
     def weigh(self, keys: np.ndarray) -> np.ndarray:
         if not len(self.shared):
@@ -129,23 +151,38 @@ class Index:
     def candidates(self, prints: np.ndarray) -> list[tuple[int, int]]:
         """(place, item) of all items within the radius of each fingerprint."""
         out = set()
-        for p, (begin, item) in enumerate(self.tables):
-            part = ((prints >> U(p * self.width)) & U((1 << self.width) - 1)).astype(np.int64)
-            n = begin[part + 1] - begin[part]
-            who = np.repeat(np.arange(len(prints)), n)
-            at = np.repeat(begin[part] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(int(n.sum()))
-            found = item[at]
-            near = np.bitwise_count(self.prints[found] ^ prints[who]) <= self.radius
-            out.update(zip(who[near].tolist(), found[near].tolist(), strict=True))
+        for p, (value, begin, item) in enumerate(self.tables):
+            for a in range(0, len(prints) if len(value) else 0, 256):
+                some = prints[a : a + 256]
+                x, v = self.near(self.part(some, p), value)
+                n = begin[v + 1] - begin[v]
+                who = np.repeat(x, n)
+                found = item[np.repeat(begin[v] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+                near = np.bitwise_count(self.prints[found] ^ some[who]) <= self.radius
+                out.update(zip((who[near] + a).tolist(), found[near].tolist(), strict=True))
         return sorted(out)
 
     def similarity(self, window: np.ndarray, weight: np.ndarray, item: int) -> float:
-        keys, n, w = self.bags[item]
+        bag = slice(self.bag[item], self.bag[item + 1])
+        keys, n, w = self.keys[bag], self.counts[bag], self.weigh(self.keys[bag])
         mine, at, count = np.unique(window, return_index=True, return_counts=True)
         _, a, b = np.intersect1d(mine, keys, assume_unique=True, return_indices=True)
         both = float((np.minimum(count[a], n[b]) * w[b]).sum())
         return both / (float((count * weight[at]).sum()) + float((n * w).sum()) - both)
 
+    def search_short(self, w: _words.Words) -> list[tuple[int, tuple]]:
+        """(document, hit) of the first place of every item that is shorter than a shingle."""
+        out = []
+        for m, keys, items in self.short:
+            at, (h,) = w.windows(m)
+            lo, hi = np.searchsorted(keys, h, "left"), np.searchsorted(keys, h, "right")
+            met = np.flatnonzero(hi > lo)
+            doc = np.searchsorted(w.doc, at[met], "right") - 1
+            first = np.unique(np.stack([doc, lo[met]]), axis=1, return_index=True)[1]
+            for x, d in zip(met[first].tolist(), doc[first].tolist(), strict=True):
+                out += [(d, (self.ids[i], int(at[x] - w.doc[d]), m, 1.0, 0)) for i in items[lo[x] : hi[x]].tolist()]
+        return out
+
     def search(self, h: np.ndarray) -> list[tuple[int, int, int, float, int]]:
         """Best window for each item in a document with shingle hashes ``h``, by word."""
         weight = self.weigh(h)
@@ -187,13 +224,13 @@ class Index:
         return [(self.ids[i], b[2], min(int(self.size[i]), len(h) + self.shingle - 1), -b[0], b[1]) for i, b in sorted(best.items())]
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8, shingle: int = 5, radius: int = 16, blocks: int = 4, item_bytes: int = 16 << 20, text_col: str = "text", keep_text: bool = True, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8, shingle: int = 5, radius: int = 16, blocks: int = 4, index_bytes: int = 64 << 20, text_col: str = "text", keep_text: bool = True, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` with ``leaks``: for each item found its id, place (in words without punctuation), length, similarity and bits apart."""
     ship(docs.sparkSession)
     keep = [c for c in docs.columns if c != "leaks" and (keep_text or c != text_col)]
     items = items.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("text")).filter(F.col("text").isNotNull())
-    n, size = _store.text_bytes(items)
-    parts = max(1, math.ceil(1.5 * size / item_bytes)) if size > item_bytes else 1
+    n, size = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(100 + 40 * F.size(_store.sql_words("text"))), F.lit(0))).first()
+    parts = math.ceil(1.5 * size / index_bytes) if size > index_bytes else 1
     whole = None
     if parts > 1:
 
@@ -228,7 +265,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8, shingl
                 cuts = np.searchsorted(at, w.doc)
                 found: list = [[] for _ in range(b.num_rows)] if first else b.column(len(names) + 1).to_pylist()
                 for d in np.unique(np.searchsorted(w.doc, at[maybe], "right") - 1).tolist():
-                    found[d] = found[d] + [dict(zip(("item_id", "start_word", "n_words", "similarity", "hamming"), x, strict=True)) for x in index.search(h[cuts[d] : cuts[d + 1]])]
+                    found[d] = found[d] + [dict(zip(FIELDS, x, strict=True)) for x in index.search(h[cuts[d] : cuts[d + 1]])]
+                for d, x in index.search_short(w):
+                    found[d] = found[d] + [dict(zip(FIELDS, x, strict=True))]
                 yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(found, kind)], names=[*names, "leaks"])
 
         out = source.mapInArrow(run, schema)

@@ -306,7 +306,22 @@ def test_decontamination_in_blocks_of_items(spark):
     items = spark.createDataFrame(items, "item_id long, text string")
     found = lambda **k: {(r.doc_id, *x) for r in decontam.find_leaks(odd, items, **k).collect() for x in r.leaks}
     one = found()
-    assert one and found(item_bytes=4_000) == one and found(item_bytes=1_500) == one
+    assert one and found(index_bytes=30_000) == one and found(index_bytes=9_000) == one
+
+
+def test_short_items_and_the_size_of_the_index(spark):
+    items = spark.createDataFrame([(1, "Alpha beta"), (2, "gamma"), (3, "alpha, BETA!"), (4, "x y z w"), (5, "??"), (6, "a b c d e")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "so alpha beta it is, alpha beta"), (2, "beta alpha"), (3, "Gamma. x y z w"), (4, "alpha"), (5, "beta"), (6, "a b c d e f")], "doc_id long, text string")
+    got = {r.doc_id: [(x.item_id, x.start_word, x.n_words, x.similarity) for x in r.leaks] for r in decontam.find_leaks(docs, items).collect()}
+    assert got == {1: [(1, 1, 2, 1.0), (3, 1, 2, 1.0)], 2: [], 3: [(2, 0, 1, 1.0), (4, 1, 4, 1.0)], 4: [], 5: [], 6: [(6, 0, 5, 1.0)]}
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 50_000, 40)) for _ in range(5000)]
+    index = decontam.Index(list(range(5000)), texts, 5, 16, 4, 0.8)
+    arrays = [v for v in vars(index).values() if isinstance(v, np.ndarray)] + [a for t in index.tables for a in t]
+    assert sum(a.nbytes for a in arrays) < 40 * 40 * 5000 + 100 * 5000 + (2 << 20)
+    prints = np.concatenate([index.prints[:40] ^ np.uint64(0b1011 << 30), rng.integers(0, 1 << 63, 50, dtype=np.uint64)])
+    want = sorted((x, i) for x, p in enumerate(prints) for i in np.flatnonzero(np.bitwise_count(index.prints ^ p) <= 16).tolist())
+    assert index.candidates(prints) == want and len(want) >= 40
 
 
 def test_hamming_blocks_meet_all_within_the_radius():

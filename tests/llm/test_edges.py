@@ -23,7 +23,7 @@ def test_decontamination(odd, items, counted):
     out = decontam.find_leaks(odd, items)
     assert ids(out) == counted and out.columns == [*(c for c in odd.columns if c != "leaks"), "leaks"]
     found = {r.doc_id: [x.item_id for x in r.leaks] for r in out.collect()}
-    assert found[1] == [1, 5] and not any(v for k, v in found.items() if k != 1)
+    assert found[1] == [1, 5] and found[8] == found[9] == [4] and not any(v for k, v in found.items() if k not in (1, 8, 9))
     assert ids(decontam.find_leaks(odd, items.limit(0))) == counted
     assert decontam.find_leaks(odd.limit(0), items).count() == 0
 
