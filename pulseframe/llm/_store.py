@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,10 +16,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, from ``spark.checkpoint.dir``; only where that is unset (tests) a temporary one."""
+    """The cluster's shared folder, from ``spark.checkpoint.dir``; only where that is unset, on a local master, a temporary one."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all nodes share")
     own = getattr(shared_dir, "own", None)
     if own is None:
         own = shared_dir.own = tempfile.mkdtemp(prefix="pulseframe-")
@@ -26,32 +29,57 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/pulseframe/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/pulseframe/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-_scopes: list[list[str]] = []
+class _Scopes(threading.local):
+    """Open scratch scopes of this thread."""
+
+    def __init__(self):
+        self.open: list[dict[str, bool]] = []
+
+
+_scopes = _Scopes()
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends there, so lost executors cost no recomputation of it."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    if _scopes:
-        _scopes[-1].append(path)
+    if _scopes.open:
+        _scopes.open[-1][path] = True
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 @contextlib.contextmanager
 def scratch(spark: SparkSession):
-    """Tables materialized inside go at the end; what must stay is materialized outside."""
-    _scopes.append([])
+    """Tables materialized inside go at the end, but those given to ``keep``, the function that it yields."""
+    own: dict[str, bool] = {}
+
+    def keep(df: DataFrame) -> DataFrame:
+        for path in own:
+            own[path] &= not any(f"{path}/" in name for name in df.inputFiles())
+        return df
+
+    _scopes.open.append(own)
     try:
-        yield
+        yield keep
     finally:
-        for path in _scopes.pop():
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _scopes.open.pop()
+        for path, goes in own.items():
+            if goes:
+                delete(spark, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this application has left in the shared folder: for when its results have been used."""
+    delete(spark, f"{shared_dir(spark)}/pulseframe/{spark.sparkContext.applicationId}")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -187,6 +187,57 @@ def test_quality_keeps_the_good(spark, sf_dir):
     assert sum(bad) <= 0.1 * len(bad)
 
 
+def test_quality_verdict_is_that_of_a_plain_mcd(spark):
+    rng = np.random.default_rng(4)
+    rows, planted = [], set()
+    for g, size in enumerate([1, 3, 8, 40, 300]):
+        for k in range(size):
+            odd = size >= 40 and k % 5 == 0  # a fifth of each larger group: many symbols, and long words
+            w = ["".join(rng.choice(list("abcdefgh"), max(1, int(rng.normal(6 + g % 2 + 9 * odd, 2))))) + "#&" * int(rng.random() < (0.9 if odd else 0.02)) for _ in range(int(rng.integers(60, 140)))]
+            planted |= {len(rows)} if odd else set()
+            rows.append((len(rows), "\n".join(" ".join(w[i : i + 12]) for i in range(0, len(w), 12)), "en" if g % 2 else None, f"s{g}"))
+    out = [r.asDict() for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).orderBy("doc_id").collect()]
+    share = lambda a, b: math.asin(math.sqrt(min(1.0, a / max(b, 1))))
+    lines = [len(t.split("\n")) for _, t, _, _ in rows]
+    x = np.array([[math.log(r["word_chars"] / r["n_words"]), share(r["n_symbols"], r["word_chars"]), share(r["n_dup_lines"], n), share(r["n_repeat_words"], r["n_words"])] for r, n in zip(out, lines, strict=True)])
+    assert not any(r["base_failed"] for r in out)
+    floors, prior = np.array([0.04, 0.045, 0.16, 0.14]), 20.0
+    low = lambda v, q: np.sort(v, axis=0)[math.ceil(q * len(v)) - 1]
+    m0, c0 = low(x, 0.5), ((low(x, 0.75) - low(x, 0.25)) / 1.349) ** 2
+
+    def shrunk(y, factor):
+        n = len(y)
+        return (n * y.mean(0) + prior * m0) / (n + prior), (n * factor * np.cov(y.T, bias=True).reshape(4, 4) + prior * np.diag(c0)) / (n + prior) + np.diag(floors**2)
+
+    def far(y, m, c):
+        return np.einsum("ij,jk,ik->i", y - m, np.linalg.inv(c), y - m)
+
+    for source in sorted({r["source"] for r in out}):
+        at = [i for i, r in enumerate(out) if r["source"] == source]
+        y, best = x[at], None
+        h = math.ceil(0.75 * len(y))
+        for start in range(60):  # random subsets, each concentrated to the end
+            own, had = y[rng.choice(len(y), min(len(y), 6), replace=False)], math.inf
+            while True:
+                m, c = shrunk(own, quality.CONSISTENT)
+                det = np.linalg.slogdet(c)[1]
+                if start and det >= had - 1e-9 and len(own) == h:
+                    break
+                if not start and had == det:
+                    break
+                had, own = det, y[np.argsort(far(y, m, c), kind="stable")[:h]]
+            if best is None or det < best[0]:
+                best = det, m, c
+        m, c = shrunk(y[far(y, *best[1:]) <= 11.14], 1.0)
+        d = far(y, m, c)
+        for i, v in zip(at, d.tolist(), strict=True):
+            assert out[i]["distance"] == pytest.approx(v, rel=0.15, abs=0.3)
+            if abs(v / 23.51 - 1) > 0.15:
+                assert out[i]["kept"] == (v <= 23.51)
+    rejected = {r["doc_id"] for r in out if not r["kept"]}
+    assert planted <= rejected and len(rejected - planted) <= 3
+
+
 def test_jaccard(spark, words):
     rng = np.random.default_rng(3)
     base = [f"v{k}" for k in rng.integers(0, 3000, 400)]
