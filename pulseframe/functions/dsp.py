@@ -75,10 +75,49 @@ def sos_state(sos: np.ndarray) -> np.ndarray:
     return out
 
 
+BLOCK = 64
+
+
+@lru_cache(256)
+def _block_form(raw: bytes) -> tuple[np.ndarray, ...]:
+    """A cascade over ``BLOCK`` samples as matrices: output from input and from state, state from input and from state."""
+    sos = np.frombuffer(raw).reshape(-1, 6)
+    k, pulse = 2 * len(sos), np.eye(1, BLOCK)[0]
+    h, _ = _by_sample(sos, pulse, np.zeros((len(sos), 2)))
+    out = np.zeros((BLOCK, BLOCK))
+    for i in range(BLOCK):
+        out[i:, i] = h[: BLOCK - i]
+    free, move, feed = np.zeros((BLOCK, k)), np.zeros((k, k)), np.zeros((k, BLOCK))
+    for j in range(k):
+        y, s = _by_sample(sos, np.zeros(BLOCK), np.eye(k)[j].reshape(-1, 2))
+        free[:, j], move[:, j] = y, s.ravel()
+    state = np.zeros((len(sos), 2))
+    for i, v in enumerate(pulse):
+        _, state = _by_sample(sos, np.array([v]), state)
+        feed[:, BLOCK - 1 - i] = state.ravel()
+    return out, free, feed, move
+
+
 def sos_filter(sos: np.ndarray, x: np.ndarray, state: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Causal filtering (transposed direct form II) with carried state."""
-    y = x.tolist()
+    """Causal filtering (transposed direct form II) with carried state: whole blocks by matrix products, the rest sample by sample."""
     state = np.zeros((len(sos), 2)) if state is None else state.copy()
+    n = len(x) // BLOCK
+    if n < 4:
+        return _by_sample(sos, x, state)
+    out, free, feed, move = _block_form(np.ascontiguousarray(sos, float).tobytes())
+    blocks = x[: n * BLOCK].reshape(n, BLOCK)
+    enter, at = blocks @ feed.T, np.empty((n, 2 * len(sos)))
+    s = state.ravel()
+    for i in range(n):
+        at[i] = s
+        s = move @ s + enter[i]
+    y = (blocks @ out.T + at @ free.T).ravel()
+    rest, state = _by_sample(sos, x[n * BLOCK :], s.reshape(-1, 2))
+    return np.concatenate([y, rest]), state
+
+
+def _by_sample(sos: np.ndarray, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    y, state = x.tolist(), state.copy()
     for i, (b0, b1, b2, _, a1, a2) in enumerate(sos.tolist()):
         s0, s1 = state[i].tolist()
         out = []
@@ -138,8 +177,8 @@ def moving_mean(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def baseline(x: np.ndarray, fs: float, seconds: float = 0.6) -> np.ndarray:
-    w = max(3, int(seconds * fs))
-    return moving_mean(x, min(w + 1 - w % 2, max(3, len(x) - 1)))
+    w = max(1, min(len(x) - 1, max(3, int(seconds * fs))))
+    return moving_mean(x, w + 1 - w % 2)
 
 
 def trailing_mean(x: np.ndarray, w: int) -> np.ndarray:
@@ -197,8 +236,12 @@ def refine(x: np.ndarray, at: int, reach: int) -> int:
     return at if lo < k < hi - 1 and max(near) < 0.05 * abs(x[k]) else k
 
 
-def detect_beats(x: np.ndarray, fs: float, searchback: bool = True) -> np.ndarray:
-    """Adaptive-threshold beat detection over a band-passed wave."""
+def detect_beats(x: np.ndarray, fs: float, searchback: bool = True, gap_factor: float = 1.66, searchback_s: float = 0.36) -> np.ndarray:
+    """Adaptive-threshold beat detection over a band-passed wave.
+
+    After it, an interval of over ``gap_factor`` medians is searched for
+    ``searchback_s`` from the end of its first beat's refractory time on.
+    """
     refractory, w = int(0.2 * fs), max(1, int(0.15 * fs))
     if len(x) < 2 * refractory:
         return np.zeros(0, np.int64)
@@ -217,11 +260,12 @@ def detect_beats(x: np.ndarray, fs: float, searchback: bool = True) -> np.ndarra
         else:
             npki = 0.125 * mwi[c] + 0.875 * npki
     if searchback and len(found) >= 3:
-        limit, half = 1.66 * np.median(np.diff(found)), 0.5 * (npki + 0.25 * (spki - npki))
+        limit, half = gap_factor * np.median(np.diff(found)), 0.5 * (npki + 0.25 * (spki - npki))
         more = []
         for a, b in zip(found, found[1:], strict=False):
             if b - a > limit:
-                lo, hi = a + refractory, min(a + int(0.36 * fs), b)
+                lo = a + refractory
+                hi = min(len(mwi), lo + int(searchback_s * fs))
                 if lo < hi:
                     k = lo + int(mwi[lo:hi].argmax())
                     r = refine(x, k, reach)
@@ -259,7 +303,30 @@ def christov(x: np.ndarray, fs: float) -> np.ndarray:
     return find_peaks(y, height=0.5 * np.percentile(y, 75), distance=int(0.2 * fs))
 
 
-DETECTORS = {"adaptive": detect_beats, "pan_tompkins": pan_tompkins, "hamilton": hamilton, "christov": christov}
+def search_again(x: np.ndarray, mwi: np.ndarray, beats: np.ndarray, fs: float) -> list[int]:
+    """Beats missed in intervals of over 1.66 medians: peaks of the integral of at least 0.4 of its maximum, a refractory time apart, each moved to the largest deflection near it."""
+    if len(beats) < 2:
+        return []
+    gaps, reach, have, added = np.diff(beats), int(0.04 * fs), set(beats.tolist()), []
+    limit = 1.66 * np.median(gaps)
+    for a, b in zip(beats[:-1][gaps > limit].tolist(), beats[1:][gaps > limit].tolist(), strict=True):
+        for f in find_peaks(mwi[a:b], height=0.4 * float(mwi.max()), distance=max(1, int(0.2 * fs))).tolist():
+            lo = max(0, a + f - reach)
+            r = lo + int(np.abs(x[lo : a + f + reach + 1]).argmax())
+            if a + f not in have and r not in have:
+                have.add(r)
+                added.append(r)
+    return sorted(added)
+
+
+def modular_beats(x: np.ndarray, fs: float) -> np.ndarray:
+    """Beats of the adaptive detector, with those that a second search of its long intervals finds."""
+    first = detect_beats(x, fs, searchback=False)
+    mwi = trailing_mean(derivative(x, fs) ** 2, max(1, int(0.15 * fs))) if len(first) else x
+    return np.array(sorted({*first.tolist(), *search_again(x, mwi, first, fs)}), np.int64)
+
+
+DETECTORS = {"adaptive": detect_beats, "modular": modular_beats, "pan_tompkins": pan_tompkins, "hamilton": hamilton, "christov": christov}
 
 
 def pulse_peaks(x: np.ndarray, fs: float) -> np.ndarray:

@@ -5,7 +5,8 @@ in which they differ are written in capitals and rendered here:
 ``PCT(x, p)`` exact interpolated percentile, ``KURT(x)`` population excess
 kurtosis, ``MEDIAN(x)``, ``LASTV(x)``/``FIRSTV(x)`` last and first value that
 isn't null (before ``OVER``), ``SEQ(a, b, t, x)`` a lateral row for every integer
-from a to b, ``HALFEVEN(x, d)`` rounding half to even.
+from a to b, ``HALFEVEN(x, d)`` rounding half to even, ``VALUES_OF(x)`` the sorted
+list of different values, ``EACH(list, t, x)`` a lateral row for each of a list.
 Inputs stand in braces: ``{s}``.
 """
 
@@ -25,6 +26,8 @@ RULES = {
         (rf"\bFIRSTV\({ARG}\)", r"first_value(\1) IGNORE NULLS"),
         (rf"\bSEQ\({ARG},{ARG},{ARG},{ARG}\)", r"LATERAL explode(sequence(CAST(\1 AS BIGINT), CAST(\2 AS BIGINT))) AS \3(\4)"),
         (rf"\bHALFEVEN\({ARG},{ARG}\)", r"bround(\1,\2)"),
+        (rf"\bVALUES_OF\({ARG}\)", r"array_sort(collect_set(\1))"),
+        (rf"\bEACH\({ARG},{ARG},{ARG}\)", r"LATERAL explode(\1) AS \2(\3)"),
     ],
     "duckdb": [
         (rf"\bPCT\({ARG},{ARG}\)", r"quantile_cont(\1,\2)"),
@@ -34,6 +37,8 @@ RULES = {
         (rf"\bFIRSTV\({ARG}\)", r"first_value(\1 IGNORE NULLS)"),
         (rf"\bSEQ\({ARG},{ARG},{ARG},{ARG}\)", r"LATERAL (SELECT unnest(generate_series(CAST(\1 AS BIGINT), CAST(\2 AS BIGINT)))) AS \3(\4)"),
         (rf"\bHALFEVEN\({ARG},{ARG}\)", r"round_even(\1,\2)"),
+        (rf"\bVALUES_OF\({ARG}\)", r"list_sort(list(DISTINCT \1))"),
+        (rf"\bEACH\({ARG},{ARG},{ARG}\)", r"LATERAL (SELECT unnest(\1)) AS \2(\3)"),
     ],
 }
 

@@ -105,17 +105,34 @@ FROM (SELECT *, least(1.0, greatest(0.0, CASE WHEN n < 6 THEN greatest(0.0, base
 
 # --- alerts -------------------------------------------------------------------
 
+#: Alerts of recordings that a classifier has flagged - ``g(recording_id, possible_vt, possible_vf, vt_evidence, vf_evidence)``, fibrillation first -
+#: under the quality ``q(recording_id, poor, severe, reliability, duration_s)``: limited signals are kept for review, flags without evidence on unreliable beats suppressed.
 ALERTS = f"""
-SELECT recording_id, CASE WHEN limited THEN 'Quality-limited alert' WHEN artifact THEN 'Artifact-driven alarm (suppressed)' ELSE 'Possible Ventricular Tachycardia' END AS alert_type, CASE WHEN limited THEN 'MEDIUM' WHEN artifact THEN 'SUPPRESSED' ELSE 'HIGH' END AS priority, artifact AND NOT limited AS suppressed, limited AS requires_review, latency, duration
-FROM (SELECT y.recording_id, poor AND severe AND reliability < 0.6 AS limited, reliability < 0.30 AND NOT vt >= 0.6499999 AS artifact, latency, duration
-      FROM ({VT}) AS y
-      JOIN (SELECT recording_id AS r7, sum(CASE WHEN k <= 4 THEN rr END) AS latency, sum(rr) AS duration FROM (SELECT recording_id, rr, row_number() OVER (PARTITION BY recording_id ORDER BY idx) AS k FROM ({VALID}) AS a7) AS b7 GROUP BY recording_id) AS l ON y.recording_id = r7
-      JOIN {{q}} AS q ON y.recording_id = q.recording_id
-      WHERE hr >= 100) AS t
+SELECT recording_id, CASE WHEN limited THEN 'Quality-limited alert' WHEN artifact THEN 'Artifact-driven alarm (suppressed)' WHEN possible_vf THEN 'Possible Ventricular Fibrillation' ELSE 'Possible Ventricular Tachycardia' END AS alert_type,
+       CASE WHEN limited THEN 'MEDIUM' WHEN artifact THEN 'SUPPRESSED' WHEN possible_vf THEN 'CRITICAL' ELSE 'HIGH' END AS priority, artifact AND NOT limited AS suppressed, limited AS requires_review, coalesce(latency, 0.0) AS latency, duration_s
+FROM (SELECT g.recording_id, possible_vf, poor AND severe AND reliability < 0.6 AS limited, reliability < 0.30 AND NOT CASE WHEN possible_vf THEN vf_evidence ELSE vt_evidence END AS artifact, latency, duration_s
+      FROM {{g}} AS g JOIN {{q}} AS q ON g.recording_id = q.recording_id
+      LEFT JOIN (SELECT recording_id AS r7, sum(CASE WHEN k <= 4 THEN rr END) AS latency FROM (SELECT recording_id, rr, row_number() OVER (PARTITION BY recording_id ORDER BY idx) AS k FROM ({VALID}) AS a7) AS b7 GROUP BY recording_id) AS l ON g.recording_id = r7
+      WHERE possible_vt OR possible_vf) AS t
 """
 ALERT_SUPPRESSION = f"SELECT recording_id, alert_type, priority, suppressed, requires_review, round(latency, 6) AS latency_s FROM ({ALERTS}) AS a9"
 ALERT_ROLLUP = f"""
 SELECT priority, count(*) AS alerts, sum(CASE WHEN suppressed THEN 1 ELSE 0 END) AS suppressed, sum(CASE WHEN requires_review THEN 1 ELSE 0 END) AS quality_limited, round(avg(CASE WHEN NOT suppressed THEN latency END), 6) AS mean_latency_s, round(max(CASE WHEN NOT suppressed THEN latency END), 6) AS max_latency_s,
-       round(100 * avg(CASE WHEN suppressed THEN NULL WHEN latency <= 3.0 THEN 1.0 ELSE 0.0 END), 4) AS pct_within_target, round(2 * sum(CASE WHEN suppressed THEN 1 ELSE 0 END) / (sum(duration) / 3600), 4) AS false_alarms_per_hour, round(sum(CASE WHEN suppressed THEN 1 ELSE 0 END) / (sum(duration) / 3600), 4) AS false_alarms_per_hour_once
+       round(100 * avg(CASE WHEN suppressed THEN NULL WHEN latency <= 3.0 THEN 1.0 ELSE 0.0 END), 4) AS pct_within_target, round(2 * sum(CASE WHEN suppressed THEN 1 ELSE 0 END) / (sum(duration_s) / 3600), 4) AS false_alarms_per_hour, round(sum(CASE WHEN suppressed THEN 1 ELSE 0 END) / (sum(duration_s) / 3600), 4) AS false_alarms_per_hour_once
 FROM ({ALERTS}) AS a9 GROUP BY priority
 """
+
+
+#: The same from its rules, for DuckDB alone, over lists of beats.
+ALERTS_DUCKDB = """
+WITH beat AS (SELECT recording_id, any_value(fs) AS fs, list(idx ORDER BY idx) AS ix FROM ({p}) GROUP BY recording_id),
+rr AS (SELECT recording_id, list_filter(list_transform(generate_series(2, len(ix)), lambda k: (ix[k] - ix[k - 1]) / fs), lambda x: x >= 0.2 AND x <= 3.0) AS rr FROM beat),
+flag AS (SELECT g.*, q.* EXCLUDE (recording_id), CASE WHEN possible_vf THEN 'F' WHEN possible_vt THEN 'T' END AS kind FROM ({g}) AS g JOIN ({q}) AS q USING (recording_id)),
+alert AS (SELECT recording_id, duration_s, coalesce(list_sum(rr[1:4]), 0.0) AS latency, CASE WHEN poor AND severe AND reliability < 0.6 THEN 'review' WHEN reliability < 0.3 AND ((kind = 'F' AND NOT vf_evidence) OR (kind = 'T' AND NOT vt_evidence)) THEN 'artifact' ELSE kind END AS verdict
+          FROM flag LEFT JOIN rr USING (recording_id) WHERE kind IS NOT NULL),
+named AS (SELECT *, verdict = 'artifact' AS suppressed, verdict = 'review' AS requires_review, CASE verdict WHEN 'review' THEN 'MEDIUM' WHEN 'artifact' THEN 'SUPPRESSED' WHEN 'F' THEN 'CRITICAL' ELSE 'HIGH' END AS priority,
+                 CASE verdict WHEN 'review' THEN 'Quality-limited alert' WHEN 'artifact' THEN 'Artifact-driven alarm (suppressed)' WHEN 'F' THEN 'Possible Ventricular Fibrillation' ELSE 'Possible Ventricular Tachycardia' END AS alert_type FROM alert)
+"""
+SUPPRESSION_DUCKDB = ALERTS_DUCKDB + "SELECT recording_id, alert_type, priority, suppressed, requires_review, round(latency, 6) AS latency_s FROM named"
+ROLLUP_DUCKDB = ALERTS_DUCKDB + """SELECT priority, count(*) AS alerts, count(*) FILTER (suppressed) AS suppressed, count(*) FILTER (requires_review) AS quality_limited, round(avg(latency) FILTER (NOT suppressed), 6) AS mean_latency_s, round(max(latency) FILTER (NOT suppressed), 6) AS max_latency_s,
+       round(100.0 * count(*) FILTER (NOT suppressed AND latency <= 3) / nullif(count(*) FILTER (NOT suppressed), 0), 4) AS pct_within_target, round(2 * count(*) FILTER (suppressed) * 3600 / sum(duration_s), 4) AS false_alarms_per_hour, round(count(*) FILTER (suppressed) * 3600 / sum(duration_s), 4) AS false_alarms_per_hour_once FROM named GROUP BY priority"""

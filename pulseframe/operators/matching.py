@@ -20,21 +20,54 @@ FROM (SELECT recording_id, method, det, ref, row_number() OVER (PARTITION BY rec
 
 
 def match_metrics(fs: float, tolerance_s: float = 0.05) -> str:
+    """Counts and timing errors for every recording that has detections or references, by every method that there is: what a method found nothing in counts, too."""
     t = int(tolerance_s * fs)
     return f"""
-SELECT recording_id, method, tp, detections - tp AS fp, refs - tp AS fn, round(tp / detections, 4) AS precision_, round(tp / NULLIF(refs, 0), 4) AS recall, round(2.0 * tp / (detections + refs), 4) AS f1, round(mean_err, 2) AS mean_err_ms, round(std_err, 2) AS std_err_ms, round(mean_abs, 3) AS mean_abs_err_ms, round(max_abs, 3) AS max_abs_err_ms
-FROM (SELECT d.recording_id, d.method, count(*) AS detections, count(m.ref) AS tp, avg((m.det - m.ref) * 1000 / {fs}) AS mean_err, stddev_pop((m.det - m.ref) * 1000 / {fs}) AS std_err, avg(abs(m.det - m.ref) * 1000 / {fs}) AS mean_abs, max(abs(m.det - m.ref) * 1000 / {fs}) AS max_abs
-      FROM {{d}} AS d LEFT JOIN ({matches(t)}) AS m ON d.recording_id = m.recording_id AND d.method = m.method AND d.idx = m.det GROUP BY d.recording_id, d.method) AS e
-JOIN (SELECT recording_id AS rid, count(*) AS refs FROM {{r}} AS r1 GROUP BY recording_id) AS f ON e.recording_id = rid
+SELECT recording_id, method, tp, detections - tp AS fp, refs - tp AS fn, round(tp / greatest(detections, 1), 4) AS precision_, round(tp / greatest(refs, 1), 4) AS recall, round(2.0 * tp / greatest(detections + refs, 1), 4) AS f1,
+       round(mean_err, 2) AS mean_err_ms, round(std_err, 2) AS std_err_ms, round(mean_abs, 3) AS mean_abs_err_ms, round(max_abs, 3) AS max_abs_err_ms
+FROM (SELECT g.recording_id, g.method, coalesce(detections, 0) AS detections, coalesce(tp, 0) AS tp, coalesce(refs, 0) AS refs, mean_err, std_err, mean_abs, max_abs
+      FROM (SELECT recording_id, method FROM (SELECT recording_id, (SELECT VALUES_OF(method) FROM {{d}} AS d2) AS every FROM (SELECT recording_id FROM {{d}} AS d1 UNION SELECT recording_id FROM {{r}} AS r1) AS a0) AS a, EACH(every, u, method)) AS g
+      LEFT JOIN (SELECT recording_id, count(*) AS refs FROM {{r}} AS r2 GROUP BY recording_id) AS f ON g.recording_id = f.recording_id
+      LEFT JOIN (SELECT d.recording_id, d.method, count(*) AS detections, count(m.ref) AS tp, avg((m.det - m.ref) * 1000 / {fs}) AS mean_err, stddev_pop((m.det - m.ref) * 1000 / {fs}) AS std_err, avg(abs(m.det - m.ref) * 1000 / {fs}) AS mean_abs, max(abs(m.det - m.ref) * 1000 / {fs}) AS max_abs
+                 FROM {{d}} AS d LEFT JOIN ({matches(t)}) AS m ON d.recording_id = m.recording_id AND d.method = m.method AND d.idx = m.det GROUP BY d.recording_id, d.method) AS e ON g.recording_id = e.recording_id AND g.method = e.method) AS h
 """
 
 
+#: The counts from their definition, for DuckDB alone: every detection's nearest reference of all, each reference given to the first of its detections.
+METRICS_DUCKDB = """
+WITH det AS ({d}), ref AS ({r}), one AS (SELECT DISTINCT recording_id, method, idx FROM det),
+near AS (SELECT o.recording_id, o.method, o.idx AS det, min({'away': abs(o.idx - r.idx), 'at': r.idx}) AS x FROM one AS o JOIN ref AS r USING (recording_id) GROUP BY ALL),
+hit AS (SELECT recording_id, method, x.at AS ref, min(det) AS det FROM near WHERE x.away <= {t} GROUP BY ALL),
+err AS (SELECT recording_id, method, count(*) AS tp, avg(e) AS m, stddev_pop(e) AS s, avg(abs(e)) AS ma, max(abs(e)) AS mx FROM (SELECT *, (det - ref) * 1000 / {fs} AS e FROM hit) GROUP BY ALL),
+n AS (SELECT rec.recording_id, method, (SELECT count(*) FROM det AS d WHERE d.recording_id = rec.recording_id AND d.method = met.method) AS k, (SELECT count(*) FROM ref AS r WHERE r.recording_id = rec.recording_id) AS refs
+      FROM (SELECT recording_id FROM det UNION SELECT recording_id FROM ref) AS rec CROSS JOIN (SELECT DISTINCT method FROM det) AS met),
+c AS (SELECT recording_id, method, coalesce(tp, 0) AS tp, k - coalesce(tp, 0) AS fp, refs - coalesce(tp, 0) AS fn, m, s, ma, mx FROM n LEFT JOIN err USING (recording_id, method))
+"""
+
+
+def metrics_oracle(d: str, r: str, fs: float, tolerance_s: float, by_method: bool = False) -> str:
+    text = METRICS_DUCKDB.replace("{t}", str(int(tolerance_s * fs))).replace("{fs}", str(fs)).replace("{d}", d).replace("{r}", r)
+    if by_method:
+        return text + "SELECT method, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, round(sum(tp) / (sum(tp) + (sum(fp) + sum(fn)) / 2), 4) AS f1 FROM c GROUP BY method"
+    return text + """SELECT recording_id, method, tp, fp, fn, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END, 4) AS precision_, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END, 4) AS recall,
+       round(CASE WHEN tp + fp + fn > 0 THEN tp / (tp + (fp + fn) / 2) ELSE 0.0 END, 4) AS f1, round(m, 2) AS mean_err_ms, round(s, 2) AS std_err_ms, round(ma, 3) AS mean_abs_err_ms, round(mx, 3) AS max_abs_err_ms FROM c"""
+
+
 def timing_jitter(fs: float, tolerance_s: float = 0.05) -> str:
     t = int(tolerance_s * fs)
     return f"SELECT recording_id, method, round(stddev_pop(err), 4) AS jitter_ms, round(MEDIAN(abs(err)), 4) AS median_abs_ms, count(*) AS matched FROM (SELECT recording_id, method, (det - ref) * 1000 / {fs} AS err FROM ({matches(t)}) AS m) AS e GROUP BY recording_id, method"
 
 
-UNMATCHED = "SELECT r.recording_id, count(*) AS missed FROM {r} AS r LEFT ANTI JOIN {m} AS m ON r.recording_id = m.recording_id AND r.idx = m.ref GROUP BY r.recording_id"
+
+def unmatched(fs: float, tolerance_s: float = 0.05) -> str:
+    """References that no detection of a method has matched, for every method that there is."""
+    return f"""
+SELECT r.recording_id, r.method, r.idx AS ref
+FROM (SELECT recording_id, method, idx FROM (SELECT recording_id, idx, (SELECT VALUES_OF(method) FROM {{d}} AS d2) AS every FROM {{r}} AS r0) AS a, EACH(every, u, method)) AS r
+LEFT JOIN ({matches(int(tolerance_s * fs))}) AS m ON r.recording_id = m.recording_id AND r.method = m.method AND r.idx = m.ref
+WHERE m.ref IS NULL
+"""
+
 
 #: Pulse rate against heart rate, one row a subject.
 PPG_ECG = """

@@ -6,7 +6,8 @@ one exchange by recording, and none at all between operators that are chained.
 
 W = "(PARTITION BY recording_id ORDER BY idx)"
 BACK = "(PARTITION BY recording_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-AHEAD = "(PARTITION BY recording_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+#: What follows, seen from the end, so that a row costs one step and not a look at all the rest.
+AHEAD = "(PARTITION BY recording_id ORDER BY idx DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 
 
 def odd(seconds: float, fs: float) -> int:
@@ -20,7 +21,7 @@ SELECT recording_id, idx,
                   ELSE pv + (nv - pv) * (idx - pi) / (ni - pi) END, 6) AS v
 FROM (SELECT recording_id, idx, v, count(v) OVER (PARTITION BY recording_id) AS finite,
              LASTV(v) OVER {BACK} AS pv, LASTV(CASE WHEN v IS NOT NULL THEN idx END) OVER {BACK} AS pi,
-             FIRSTV(v) OVER {AHEAD} AS nv, FIRSTV(CASE WHEN v IS NOT NULL THEN idx END) OVER {AHEAD} AS ni
+             LASTV(v) OVER {AHEAD} AS nv, LASTV(CASE WHEN v IS NOT NULL THEN idx END) OVER {AHEAD} AS ni
       FROM {{s}} AS a) AS b
 """
 

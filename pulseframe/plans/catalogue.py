@@ -24,11 +24,13 @@ SYNTH_PEAKS = f"SELECT recording_id, idx, 360.0 AS fs FROM ({intervals.local_max
 EVENT_PEAKS = f"SELECT recording_id, idx, 12.0 AS fs FROM ({intervals.local_maxima(0.3).replace('{s}', f'({signals.EVENTS})')}) AS x2"
 PEAKS = f"SELECT * FROM ({SYNTH_PEAKS}) AS y1 UNION ALL SELECT * FROM ({EVENT_PEAKS}) AS y2"
 #: A stated quality for every recording, as the monitor would give it.
-STATED = f"SELECT recording_id, length(recording_id) % 2 = 0 AS poor, length(recording_id) % 3 = 0 AS severe, 0.1 * (length(recording_id) % 10) AS reliability FROM (SELECT DISTINCT recording_id FROM ({PEAKS}) AS pk) AS st"
+STATED = f"SELECT recording_id, length(recording_id) % 2 = 0 AS poor, length(recording_id) % 3 = 0 AS severe, 0.1 * (length(recording_id) % 10) AS reliability, span AS duration_s FROM (SELECT recording_id, (max(idx) + 1) / max(fs) AS span FROM ({PEAKS}) AS pk GROUP BY recording_id) AS st"
+#: The modular classifier's flags; a few state no evidence, as an outside monitor's may not.
+FLAGS = f"SELECT recording_id, possible_vt, possible_vf, possible_vt AND length(recording_id) % 5 <> 2 AS vt_evidence, possible_vf AND length(recording_id) % 5 <> 2 AS vf_evidence FROM ({intervals.RHYTHM_MODULAR}) AS fl"
 PROFILES = "SELECT n_name AS recording_id, CASE n_nationkey % 5 WHEN 0 THEN 'SEVERE EMG' WHEN 1 THEN 'MODERATE EMG' WHEN 2 THEN 'MILD EMG' ELSE 'CLEAN' END AS emg_severity, (n_nationkey % 7) / 10.0 AS baseline, n_nationkey % 4 * 6 AS motion, n_nationkey % 3 = 0 AS powerline, n_nationkey % 6 = 5 AS saturated FROM {nation}"
 SEGMENT_EMG = "SELECT CAST(s_nationkey AS VARCHAR(20)) AS recording_id, CASE s_suppkey % 4 WHEN 3 THEN 'SEVERE EMG' WHEN 2 THEN 'MODERATE EMG' WHEN 1 THEN 'MILD EMG' ELSE 'CLEAN' END AS emg_severity FROM {supplier}"
 TRUTH = f"SELECT recording_id, beat * period AS idx FROM ({signals.SYNTH}) AS tr WHERE beat * period < 3000 AND beat >= 0 GROUP BY recording_id, beat, period"
-METHODS = f"SELECT recording_id, 'maxima' AS method, idx FROM ({SYNTH_PEAKS}) AS a1 UNION ALL SELECT recording_id, 'late' AS method, idx + 7 AS idx FROM ({SYNTH_PEAKS}) AS a2 UNION ALL SELECT recording_id, 'sparse' AS method, idx + 25 AS idx FROM ({SYNTH_PEAKS}) AS a3 WHERE idx % 2 = 0"
+METHODS = f"SELECT recording_id, 'maxima' AS method, idx FROM ({SYNTH_PEAKS}) AS a1 UNION ALL SELECT recording_id, 'late' AS method, idx + 7 AS idx FROM ({SYNTH_PEAKS}) AS a2 UNION ALL SELECT recording_id, 'sparse' AS method, idx + 25 AS idx FROM ({SYNTH_PEAKS}) AS a3 WHERE idx % 2 = 0 AND length(recording_id) % 2 = 0 UNION ALL SELECT recording_id, 'maxima' AS method, idx FROM ({EVENT_PEAKS}) AS a4"
 SMOOTH = f"SELECT recording_id, idx, m AS v FROM ({samples.moving_mean(5).replace('{s}', f'({signals.SYNTH})')}) AS sm"
 HALVES = "SELECT event_type AS recording_id, count(*) * 60.0 / (max(event_id) - min(event_id) + 1) AS bpm FROM {events} WHERE event_id % 2 = {k} GROUP BY event_type"
 PERTURBED = f"SELECT recording_id, idx, v + 0.5 * sin(0.2 * idx) AS v FROM ({signals.EVENTS}) AS pe"
@@ -107,10 +109,11 @@ SQL: dict[str, Sql] = {
     "vf_evidence": Sql(intervals.VF_EVIDENCE, P),
     "rhythm_label": Sql(intervals.RHYTHM_LABEL, P),
     "rhythm_modular": Sql(intervals.RHYTHM_MODULAR, P),
-    "alert_suppression": Sql(intervals.ALERT_SUPPRESSION, P | {"q": STATED}),
-    "alert_rollup": Sql(intervals.ALERT_ROLLUP, P | {"q": STATED}),
+    "alert_suppression": Sql(intervals.ALERT_SUPPRESSION, P | {"q": STATED, "g": FLAGS.replace("{p}", f"({PEAKS})")}),
+    "alert_rollup": Sql(intervals.ALERT_ROLLUP, P | {"q": STATED, "g": FLAGS.replace("{p}", f"({PEAKS})")}),
     # matching and morphology
-    "peak_match_metrics": Sql(matching.match_metrics(360.0), {"d": METHODS.replace("UNION ALL", "UNION ALL"), "r": TRUTH}),
+    "peak_match_metrics": Sql(matching.match_metrics(360.0), {"d": METHODS, "r": TRUTH}),
+    "unmatched_references": Sql(matching.unmatched(360.0), {"d": METHODS, "r": TRUTH}),
     "timing_jitter": Sql(matching.timing_jitter(360.0), {"d": METHODS, "r": TRUTH}),
     "algorithm_compare": Sql(f"SELECT method, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, round(2.0 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)), 4) AS f1 FROM ({matching.match_metrics(360.0)}) AS mm GROUP BY method", {"d": METHODS, "r": TRUTH}),
     "ppg_ecg_agreement": Sql(matching.PPG_ECG, {"a": HALVES.replace("{k}", "0"), "b": HALVES.replace("{k}", "1")}),
@@ -148,6 +151,19 @@ FOLDS = {
 }
 
 
+def _duck(text: str) -> str:
+    return re.sub(r"\{(\w+)\}", r"\1", _sql.render(text, "duckdb"))
+
+
+#: Oracles that say an operator's rules anew, instead of rendering its text.
+INDEPENDENT = {
+    "peak_match_metrics": matching.metrics_oracle(_duck(METHODS), _duck(TRUTH), 360.0, 0.05),
+    "algorithm_compare": matching.metrics_oracle(_duck(METHODS), _duck(TRUTH), 360.0, 0.05, True),
+    "alert_suppression": intervals.SUPPRESSION_DUCKDB.replace("{p}", _duck(PEAKS)).replace("{q}", _duck(STATED)).replace("{g}", _duck(FLAGS.replace("{p}", f"({PEAKS})"))),
+    "alert_rollup": intervals.ROLLUP_DUCKDB.replace("{p}", _duck(PEAKS)).replace("{q}", _duck(STATED)).replace("{g}", _duck(FLAGS.replace("{p}", f"({PEAKS})"))),
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from . import kernels
 
@@ -157,4 +173,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: q.duckdb() for name, q in SQL.items()} | {name: sql for name, (_, sql) in FOLDS.items()}
+    return {name: q.duckdb() for name, q in SQL.items()} | {name: sql for name, (_, sql) in FOLDS.items()} | INDEPENDENT

@@ -1,7 +1,7 @@
-"""Recording pipelines: one Arrow-batched group per recording, one row of results each.
+"""Recording pipelines: many recordings an Arrow batch, one row of results each.
 
 A recording's samples meet in one task by a single exchange on
-``recording_id``; scalar rules on top of the kernels' numbers stay native where
+``recording_id``, sorted by it; scalar rules on top of the kernels' numbers stay native where
 they are set-based (see ``operators``).  Long recordings can be dealt by
 ``(recording_id, chunk)`` first - see ``beats_chunked``.
 """
@@ -9,12 +9,16 @@ they are set-based (see ``operators``).  Long recordings can be dealt by
 from __future__ import annotations
 
 import math
+import time
+from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import DEFAULT, Config
 from ..functions import dsp
@@ -24,6 +28,7 @@ RESULT = """recording_id string, modality string, fs double, n_samples long, dur
 noise_type string, emg_severity string, emg_energy_ratio double, powerline_50hz boolean, powerline_60hz boolean, snr_proxy_before_db double, snr_proxy_after_db double, snr_improvement_db double, r_peaks array<long>, n_beats long, rr_intervals_s array<double>,
 heart_rate_bpm double, heart_rate_reliable boolean, rhythm_label string, rhythm_confidence string, rhythm_confidence_score double, possible_vt boolean, possible_vf boolean, vt_evidence array<string>, vf_evidence array<string>, detection_latency_s double, latency_target_met boolean,
 qrs_amplitude_before double, qrs_amplitude_after double, st_level_before double, st_level_after double, morphology_score double, detection_reliability double, pulse_peaks array<long>, pulse_rate_bpm double, inter_pulse_intervals_s array<double>, burst_fraction double, missing_fraction double, warnings array<string>"""
+METRICS = ", processing_s double, samples_per_s double, realtime_ratio double"
 NAMES = [part.split()[0] for part in RESULT.replace("\n", " ").split(", ")]
 
 
@@ -196,16 +201,41 @@ def run_emg(x: np.ndarray, fs: float, c: Config = DEFAULT) -> dict:
     return {"signal_quality": "GOOD" if burst < 0.3 else "MODERATE", "signal_quality_score": 1 - burst, "emg_severity": severity, "emg_energy_ratio": ratio, "burst_fraction": burst, "warnings": [f"EMG burst activity in {burst * 100:.1f}% of the recording"] if burst >= 0.3 else []}
 
 
-def process(signal: DataFrame, fs: float = 360.0, modality: str = "ecg", config: Config = DEFAULT) -> DataFrame:
-    """One row of ``RESULT`` for every recording of ``signal(recording_id, idx, v)``; what is invalid says why."""
+def _recordings(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple[str | None, dict[str, np.ndarray]]]:
+    """Recordings of batches that are sorted by ``recording_id``; one is held at a time."""
+    key, parts, begun = None, [], False
+    for b in batches:
+        ids = b.column(0).to_numpy(zero_copy_only=False)
+        cols = [b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in columns]
+        cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)] if len(ids) else []
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if begun and ids[lo] != key:
+                yield key, dict(zip(columns, map(np.concatenate, zip(*parts, strict=True)), strict=True))
+                parts = []
+            key, begun = ids[lo], True
+            parts.append([c[lo:hi] for c in cols])
+    if begun:
+        yield key, dict(zip(columns, map(np.concatenate, zip(*parts, strict=True)), strict=True))
+
+
+RUN = {"ecg": run_ecg, "ppg": run_ppg, "emg": run_emg}
+
+
+def process(signal: DataFrame, fs: float = 360.0, modality: str = "ecg", config: Config = DEFAULT, metrics: bool = False) -> DataFrame:
+    """One row of ``RESULT`` for every recording of ``signal(recording_id, idx, v)``; what is invalid says why.
+
+    Where the signal has columns ``modality`` or ``fs``, each recording goes the
+    way of its own (its first sample's); ``metrics`` adds what each one took.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
     ship(signal.sparkSession)
-    kind = modality.strip().lower()
-    run = {"ecg": run_ecg, "ppg": run_ppg, "emg": run_emg}.get(kind)
+    schema = T.StructType.fromDDL(RESULT + (METRICS if metrics else ""))
+    arrow = to_arrow_schema(schema)
 
-    def one(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values("idx")["v"].to_numpy(float)
-        finite = np.isfinite(x)
-        message = ""
+    def row_of(key: str | None, x: np.ndarray, fs: float, modality: str) -> dict:
+        kind = str(modality).strip().lower()
+        run, finite, message = RUN.get(kind), np.isfinite(x), ""
         if run is None:
             message = f"unsupported modality: {modality}"
         elif not config.fs_min <= fs <= config.fs_max:
@@ -214,12 +244,29 @@ def process(signal: DataFrame, fs: float = 360.0, modality: str = "ecg", config:
             message = f"too short: {len(x)} samples, at least {config.min_samples} are needed"
         elif not finite.any():
             message = "no finite sample"
-        row = {"recording_id": key[0], "modality": kind, "fs": fs, "n_samples": len(x), "duration_s": len(x) / fs if fs and fs > 0 else 0.0, "valid": not message, "validation_message": message or "OK", "missing_fraction": float(1 - finite.mean()) if len(x) else 0.0, "n_beats": 0, "warnings": [message] if message else []}
-        if not message:
-            row |= run(np.where(finite, x, np.nan), fs, config)
-        return pd.DataFrame([{n: row.get(n) for n in NAMES}])
-
-    return signal.select("recording_id", "idx", "v").groupBy("recording_id").applyInPandas(one, RESULT)
+        row = {"recording_id": key, "modality": kind, "fs": fs, "n_samples": len(x), "duration_s": len(x) / fs if fs > 0 else 0.0, "valid": not message, "validation_message": message or "OK", "missing_fraction": float(1 - finite.mean()) if len(x) else 0.0, "n_beats": 0, "warnings": [message] if message else []}
+        return row if message else row | run(np.where(finite, x, np.nan), fs, config)
+
+    own = [c for c in ("modality", "fs") if c in signal.columns]
+
+    def all_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = []
+        for key, c in _recordings(batches, "v", *own):
+            rate = float(c["fs"][0]) if "fs" in c and c["fs"][0] is not None else fs
+            began = time.perf_counter()
+            row = row_of(key, c["v"].astype(float), rate if rate == rate else 0.0, c["modality"][0] if "modality" in c else modality)
+            if metrics:
+                took = time.perf_counter() - began
+                row |= {"processing_s": took, "samples_per_s": len(c["v"]) / max(took, 1e-9), "realtime_ratio": took / max(row["duration_s"], 1e-9)}
+            rows.append(row)
+            if len(rows) == 256:
+                yield pa.RecordBatch.from_pylist(rows, arrow)
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, arrow)
+
+    dealt = signal.select("recording_id", "idx", "v", *own).repartition("recording_id").sortWithinPartitions("recording_id", "idx")
+    return dealt.mapInArrow(all_of, schema)
 
 
 def waves(signal: DataFrame, fs: float = 360.0) -> DataFrame:
@@ -285,36 +332,71 @@ def beats_chunked(signal: DataFrame, fs: float = 360.0, chunk_s: float = 60.0, o
     return dealt.groupBy("recording_id", "chunk").applyInPandas(one, "recording_id string, idx long").distinct()
 
 
-DETAIL = "recording_id string, idx long, t_s double, amplitude double, mwi double, local_noise double, strength double, accepted boolean, refined boolean, refractory_pass boolean, reject_reason string"
+DETAIL = "recording_id string, idx long, t_s double, amplitude double, raw_amplitude double, mwi double, local_noise double, strength double, accepted boolean, refined boolean, refractory_pass boolean, search_back boolean, rr_prev_s double, rr_next_s double, segment long, segment_noise double, segment_reliability double, reject_reason string"
+
+
+def segment_facts(x: np.ndarray) -> tuple[float, float]:
+    """Noise and reliability of a segment: its QRS strength, less for clipping, and halved where samples are missing."""
+    ok = x[np.isfinite(x)]
+    if len(ok) < 4 or ok.std() < DEFAULT.flat_std:
+        return 0.0, 0.0
+    noise = float(np.diff(ok).std() / math.sqrt(2))
+    p1, p5, p95, p99 = np.percentile(ok, [1, 5, 95, 99])
+    strength = float(np.clip((p95 - p5) / (noise * 6 + 1e-9), 0, 1))
+    edge = 0.02 * (p99 - p1)
+    clipped = float(((ok >= p99 - edge) | (ok <= p1 + edge)).mean()) if p99 - p1 >= 1e-9 else 1.0
+    missing = len(ok) < 0.99 * len(x)
+    return noise, float(np.clip(strength * (0.5 + 0.5 * (1 - clipped)) * (clipped < 0.05) * (0.5 if missing else 1.0), 0, 1))
 
 
 def peak_details(signal: DataFrame, fs: float = 360.0) -> DataFrame:
-    """Every decision of the adaptive detector: accepted candidates, refractory violations, and near misses of the threshold."""
+    """Every decision of the adaptive detector: accepted candidates with the intervals to their neighbours, beats found by searching long intervals again, refractory violations, and near misses of the threshold; each with its segment's noise and reliability."""
     ship(signal.sparkSession)
     refractory, w = int(DEFAULT.refractory_s * fs), max(1, int(DEFAULT.mwi_s * fs))
+    names = [c.split()[0] for c in DETAIL.split(", ")]
 
     def one(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        x = dsp.fill_gaps(pdf.sort_values("idx")["v"].to_numpy(float))
+        raw = pdf.sort_values("idx")["v"].to_numpy(float)
+        x = dsp.fill_gaps(raw)
         y = dsp.bandpass(x - dsp.baseline(x, fs), DEFAULT.qrs_band, 4, fs)
         mwi, rows, last = dsp.trailing_mean(dsp.derivative(y, fs) ** 2, w), [], -2 * refractory
         calib = mwi[: max(1, min(int(2 * fs), len(mwi) // 4))]
         first = dsp.find_peaks(calib, distance=refractory)
         signal_level = float(mwi[first].mean()) if len(first) else 0.5 * float(calib.max(initial=0))
         noise_level = 0.1 * signal_level
-        reach = max(1, int(0.04 * fs))
+        reach, size = max(1, int(0.04 * fs)), max(1, int(DEFAULT.segment_s * fs))
+        parts = [segment_facts(raw[a : a + size]) for a in range(0, len(raw), size)]
+
+        def largest(c: int) -> int:
+            lo = max(0, c - reach)
+            return lo + int(np.abs(y[lo : c + reach + 1]).argmax())
+
+        def row(at: int, accepted: bool, free: bool, again: bool, reason: str | None) -> dict:
+            floor = float(np.percentile(mwi[max(0, at - 2 * w) : at + 2 * w], 20))
+            noise, reliability = parts[at // size]
+            return dict(zip(names, (key[0], at, at / fs, float(y[at]), float(x[at]), float(mwi[at]), floor, float(np.clip(mwi[at] / (floor + 1e-9) / 20, 0, 1)), accepted, accepted, free, again, None, None, at // size, noise, reliability, reason), strict=True))
+
         for c in dsp.find_peaks(mwi, distance=max(1, refractory // 2)).tolist():
             threshold = noise_level + 0.25 * (signal_level - noise_level)
             over, free = bool(mwi[c] > threshold), c - last >= refractory
             at = c
             if over and free:
-                lo = max(0, c - reach)
-                at = lo + int(np.abs(y[lo : c + reach + 1]).argmax())
+                at = largest(c)
                 last, signal_level = at, 0.125 * float(mwi[c]) + 0.875 * signal_level
             else:
                 noise_level = 0.125 * float(mwi[c]) + 0.875 * noise_level
             if over or mwi[c] > 0.5 * threshold:
-                floor = float(np.percentile(mwi[max(0, at - 2 * w) : at + 2 * w], 20))
-                rows.append((key[0], at, at / fs, float(x[at]), float(mwi[at]), floor, float(np.clip(mwi[at] / (floor + 1e-9) / 20, 0, 1)), over and free, over and free, free, None if over and free else "Refractory-period violation" if over else "Below adaptive threshold"))
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in DETAIL.split(", ")])
+                rows.append(row(at, over and free, free, False, None if over and free else "Refractory-period violation" if over else "Below adaptive threshold"))
+        beats = sorted({r["idx"] for r in rows if r["accepted"]})
+        for at in dsp.search_again(y, mwi, np.array(beats, np.int64), fs):
+            rows.append(row(at, True, True, True, None))
+        beats = sorted({r["idx"] for r in rows if r["accepted"]})
+        place = {p: k for k, p in enumerate(beats)}
+        for r in rows:
+            if r["accepted"]:
+                k = place[r["idx"]]
+                r["rr_prev_s"] = (beats[k] - beats[k - 1]) / fs if k else None
+                r["rr_next_s"] = (beats[k + 1] - beats[k]) / fs if k + 1 < len(beats) else None
+        return pd.DataFrame(rows, columns=names)
 
     return signal.groupBy("recording_id").applyInPandas(one, DETAIL)

@@ -5,6 +5,11 @@ batch of the same samples give the same rows.  By default the causal filter and
 the interval series go on across chunks; ``compat=True`` instead re-reads an
 overlap, scales the carried filter state by each chunk's first sample and lets
 intervals end with the chunk.
+
+A chunk's rules: beats are moved to the largest deflection within 40 ms; levels
+start from the first chunk's first two seconds; muscle noise is a filtered wave
+whose steps vary twice as much as itself; the rate is that of the chunk's own
+intervals (by default with the one that reaches back to the beat before it).
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from ..functions import dsp
 from ..runtime import ship
 
 CHUNK = "recording_id string, chunk_index long, start_sample long, n_samples long, peaks array<long>, heart_rate_bpm double, emg boolean, vt_alert boolean, alert_latency_s double, late_samples long"
-STATE = "next_sample long, chunk_index long, zi array<double>, spki double, npki double, last_peak long, run long, active boolean, rr array<double>, buffer_idx array<long>, buffer_v array<double>, late long"
+STATE = "next_sample long, chunk_index long, zi array<double>, spki double, npki double, last_peak long, run long, active boolean, buffer_idx array<long>, buffer_v array<double>, late long"
 
 
 class Edge:
@@ -35,37 +40,44 @@ class Edge:
         self.zi: np.ndarray | None = None
         self.spki = self.npki = 0.0
         self.last, self.run, self.active = -1, 0, False
-        self.rr: list[float] = []
         self.chunk = 0
 
     def dump(self) -> dict:
-        return {"zi": [] if self.zi is None else self.zi.ravel().tolist(), "spki": self.spki, "npki": self.npki, "last_peak": self.last, "run": self.run, "active": self.active, "rr": self.rr, "chunk_index": self.chunk}
+        return {"zi": [] if self.zi is None else self.zi.ravel().tolist(), "spki": self.spki, "npki": self.npki, "last_peak": self.last, "run": self.run, "active": self.active, "chunk_index": self.chunk}
 
     def load(self, row: dict) -> None:
         self.zi = np.array(row["zi"], float).reshape(-1, 2) if len(row["zi"]) else None
         self.spki, self.npki, self.last, self.run, self.active = row["spki"], row["npki"], row["last_peak"], row["run"], row["active"]
-        self.rr, self.chunk = list(row["rr"]), row["chunk_index"]
+        self.chunk = row["chunk_index"]
 
     def step(self, start: int, x: np.ndarray, overlap: int = 0) -> dict:
-        x = dsp.fill_gaps(x.astype(float))
-        flat = x - dsp.baseline(x, self.fs) if len(x) > 3 else x
+        out = {"chunk_index": self.chunk, "start_sample": start, "n_samples": len(x), "peaks": [], "heart_rate_bpm": None, "emg": False, "vt_alert": False, "alert_latency_s": None, "late_samples": 0}
+        if len(x) < 4:
+            self.chunk += 1
+            return out
+        x = dsp.fill_gaps(np.where(np.isfinite(x), x, np.nan).astype(float))
+        flat = x - dsp.baseline(x, self.fs)
+        scale = flat[0] if abs(flat[0]) > 1e-12 else 1.0
         if self.zi is None:
-            self.zi = dsp.sos_state(self.sos) * flat[0]
+            self.zi = dsp.sos_state(self.sos) * scale
         elif self.compat:
-            self.zi = self.zi * flat[0]
+            self.zi = self.zi * scale
         y, self.zi = dsp.sos_filter(self.sos, flat, self.zi)
-        mwi = dsp.trailing_mean(dsp.derivative(y, self.fs) ** 2, max(1, int(0.15 * self.fs))) if len(y) > 2 else np.zeros(len(y))
         refractory = int(DEFAULT.refractory_s * self.fs)
-        top = dsp.find_peaks(mwi, distance=max(1, refractory // 2))
-        if self.spki == 0.0 and len(top):
-            self.spki = float(mwi[top].mean())
+        mwi = dsp.trailing_mean(dsp.derivative(y, self.fs) ** 2, max(1, int(DEFAULT.mwi_s * self.fs)))
+        top = dsp.find_peaks(mwi, distance=max(1, refractory // 2)) if len(y) >= 2 * refractory else np.zeros(0, np.int64)
+        if self.spki < 1e-12 and self.npki < 1e-12 and len(y) >= 2 * refractory:
+            calib = mwi[: int(DEFAULT.calibration_s * self.fs)]
+            first = dsp.find_peaks(calib, distance=max(1, refractory))
+            self.spki = float(calib[first].mean()) if len(first) else float(mwi.max()) * 0.5 + 1e-12
             self.npki = 0.1 * self.spki
         threshold = self.npki + 0.25 * (self.spki - self.npki)  # stands for the whole chunk
-        peaks = []
+        peaks, reach = [], max(1, int(0.04 * self.fs))
         for c in top:
             if mwi[c] > threshold:
                 self.spki = 0.125 * float(mwi[c]) + 0.875 * self.spki
-                peaks.append(start + dsp.refine(y, int(c), int(0.04 * self.fs)))
+                lo = max(0, int(c) - reach)
+                peaks.append(start + lo + int(np.abs(y[lo : int(c) + reach + 1]).argmax()))
             else:
                 self.npki = 0.125 * float(mwi[c]) + 0.875 * self.npki
         if self.chunk > 0 and overlap:
@@ -80,7 +92,6 @@ class Edge:
         rr = [d / self.fs for d in np.diff(line).tolist() if DEFAULT.rr_min <= d / self.fs <= DEFAULT.rr_max]
         if peaks:
             self.last = peaks[-1]
-        self.rr = (self.rr + rr)[-20:]
         alert, latency = False, None
         for v in rr:
             if 60 / v >= DEFAULT.vt_bpm:
@@ -90,7 +101,8 @@ class Edge:
                     break  # the rest of this chunk's intervals isn't consumed
             else:
                 self.run, self.active = 0, False
-        out = {"chunk_index": self.chunk, "start_sample": start, "n_samples": len(x), "peaks": peaks, "heart_rate_bpm": 60 / float(np.median(self.rr)) if len(self.rr) >= 2 else None, "emg": bool(len(x) > 2 and np.diff(x).std() > 2 * x.std()), "vt_alert": alert, "alert_latency_s": latency, "late_samples": 0}
+        spread = float(y.std())
+        out |= {"peaks": peaks, "heart_rate_bpm": 60 / float(np.median(rr)) if rr else None, "emg": bool(len(y) > 8 and spread > 1e-9 and np.diff(y).std() > 2 * spread), "vt_alert": alert, "alert_latency_s": latency}
         self.chunk += 1
         return out
 
@@ -109,47 +121,95 @@ def batch(signal: DataFrame, fs: float = 360.0, chunk_s: float = DEFAULT.edge_ch
     return signal.groupBy("recording_id").applyInPandas(one, CHUNK)
 
 
-def stream(samples: DataFrame, fs: float = 360.0, chunk_s: float = DEFAULT.edge_chunk_s) -> DataFrame:
+class Buffer:
+    """A recording's samples until their chunk is due, and the chunks' state."""
+
+    def __init__(self, fs: float, size: int, patience: int, row: dict | None = None):
+        self.edge, self.size, self.patience = Edge(fs), size, patience
+        self.waiting: dict[int, float] = {}
+        self.following = self.late = 0
+        if row:
+            self.edge.load(row)
+            self.waiting, self.following, self.late = dict(zip(row["buffer_idx"], row["buffer_v"], strict=True)), row["next_sample"], row["late"]
+
+    def dump(self) -> tuple:
+        d, order = self.edge.dump(), sorted(self.waiting)
+        return (self.following, d["chunk_index"], d["zi"], d["spki"], d["npki"], d["last_peak"], d["run"], d["active"], order, [float(self.waiting[i]) for i in order], self.late)
+
+    def add(self, idx: list[int], values: list) -> None:
+        for i, v in zip(idx, values, strict=True):
+            if i < self.following:
+                self.late += 1
+            else:
+                self.waiting[i] = math.nan if v is None else v
+
+    def due(self, everything: bool = False) -> list[dict]:
+        """Rows of the chunks that are complete, or whose missing samples aren't waited for any more."""
+        out = []
+        newest = max(self.waiting, default=-1)
+        while self.waiting:
+            places = range(self.following, self.following + self.size)
+            if not everything and newest < places[-1] + self.patience and not all(i in self.waiting for i in places):
+                break
+            if not any(i in self.waiting for i in places):  # nothing of this chunk has come: go on with the next that has some
+                self.following = min(self.waiting) // self.size * self.size
+                fresh = Edge(self.edge.fs)
+                fresh.spki, fresh.npki, fresh.chunk = self.edge.spki, self.edge.npki, self.following // self.size
+                self.edge = fresh
+                continue
+            n = min(self.size, newest + 1 - self.following)
+            out.append(self.edge.step(self.following, np.array([self.waiting.pop(i, math.nan) for i in range(self.following, self.following + n)], float)) | {"late_samples": self.late})
+            self.following += n
+        return out
+
+
+def stream(samples: DataFrame, fs: float = 360.0, chunk_s: float = DEFAULT.edge_chunk_s, patience_s: float = 4.0, idle_s: float | None = None) -> DataFrame:
     """Chunk rows of a stream of ``recording_id, idx, v``.
 
-    Samples that come early wait in the state until their place is reached;
-    samples of a place that has passed are counted as late and left out.
+    Samples that come early wait in the state until their place is reached; a
+    place that is still empty when samples of ``patience_s`` beyond its chunk
+    have come counts as missing, so a lost sample holds nothing up and what
+    waits is bounded.  Samples of a place that has passed are counted as late and
+    left out.  With ``idle_s`` a recording that sends nothing for so long is
+    closed: its last, partial chunk is emitted and its state dropped.
     """
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
     ship(samples.sparkSession)
-    size = int(chunk_s * fs)
+    size, patience = int(chunk_s * fs), int(patience_s * fs)
 
     class Processor(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
             self.state = handle.getValueState("edge", STATE)
 
+        def load(self) -> Buffer:
+            row = dict(zip([c.split()[0] for c in STATE.split(", ")], self.state.get(), strict=True)) if self.state.exists() else None
+            return Buffer(fs, size, patience, row)
+
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            edge, waiting, following, late = Edge(fs), {}, 0, 0
-            if self.state.exists():
-                s = dict(zip([c.split()[0] for c in STATE.split(", ")], self.state.get(), strict=True))
-                edge.load(s)
-                waiting, following, late = dict(zip(s["buffer_idx"], s["buffer_v"], strict=True)), s["next_sample"], s["late"]
+            own = self.load()
             for pdf in rows:
-                for i, v in zip(pdf["idx"].tolist(), pdf["v"].tolist(), strict=True):
-                    if i < following:
-                        late += 1
-                    else:
-                        waiting[i] = math.nan if v is None else v
-            out = []
-            while all(i in waiting for i in (following, following + size - 1)) and all(following + k in waiting for k in range(size)):
-                out.append(edge.step(following, np.array([waiting.pop(following + k) for k in range(size)], float)) | {"late_samples": late})
-                following += size
-            d = edge.dump()
-            order = sorted(waiting)
-            self.state.update((following, d["chunk_index"], d["zi"], d["spki"], d["npki"], d["last_peak"], d["run"], d["active"], d["rr"], order, [float(waiting[i]) for i in order], late))
+                own.add(pdf["idx"].tolist(), pdf["v"].tolist())
+            out = own.due()
+            self.state.update(own.dump())
+            if idle_s is not None:
+                for t in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(t)
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + int(1000 * idle_s))
+            if out:
+                yield pd.DataFrame([{"recording_id": key[0], **r} for r in out])
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            out = self.load().due(everything=True)
+            self.state.clear()
             if out:
                 yield pd.DataFrame([{"recording_id": key[0], **r} for r in out])
 
         def close(self) -> None:
             pass
 
-    return samples.groupBy("recording_id").transformWithStateInPandas(Processor(), CHUNK, "Append", "None")
+    return samples.groupBy("recording_id").transformWithStateInPandas(Processor(), CHUNK, "Append", "None" if idle_s is None else "ProcessingTime")
 
 
 def windows(events: DataFrame, length: str = "5 minutes", slide: str | None = None, lateness: str = "10 minutes", time_col: str = "ts", key: str = "event_type", value: str = "value") -> DataFrame:

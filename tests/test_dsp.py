@@ -52,6 +52,27 @@ def test_causal_filter_in_pieces_is_the_whole():
     assert np.allclose(np.r_[a, b], whole)
 
 
+@pytest.mark.parametrize("sos", [dsp.butter(4, 0.5, 45, FS), dsp.butter(2, 0.05, 40, FS), dsp.butter(2, None, 80, FS), dsp.notch(50.0, 30.0, FS)])
+def test_filtering_by_blocks_is_filtering_by_samples(sos):
+    x, start = np.random.default_rng(2).normal(size=5003), np.random.default_rng(3).normal(size=(len(sos), 2))
+    for a, b in zip(dsp.sos_filter(sos, x, start), dsp._by_sample(sos, x, start), strict=True):
+        assert np.allclose(a, b, rtol=0, atol=1e-8)
+
+
+def test_searchback_looks_a_whole_window_past_the_refractory_time():
+    """A weak beat 0.5 s after its predecessor: past 0.36 s, within 0.2 s + 0.36 s."""
+    n = 7200
+    beats = [c for c in range(200, n, 200)]
+    missed = beats[17]
+    x = sum((0.42 if c == missed else 1.0) * np.exp(-(((np.arange(n) - c) / 6) ** 2)) for c in beats)
+    plain, found = dsp.detect_beats(x, FS, searchback=False), dsp.detect_beats(x, FS)
+    near = lambda p: np.abs(p - missed).min() < 40
+    assert not near(plain) and near(found)
+    mwi = dsp.trailing_mean(dsp.derivative(x, FS) ** 2, 54)
+    assert dsp.search_again(x, mwi, plain, FS) == []  # 0.42 squared is less than 0.4 of the greatest
+    assert dsp.search_again(x, mwi, np.delete(plain, 5), FS) == [beats[5]]
+
+
 def test_welch_finds_a_tone_and_its_power():
     t = np.arange(7200) / FS
     f, p = dsp.welch(2 * np.sin(2 * np.pi * 45 * t), FS, 512)
