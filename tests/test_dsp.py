@@ -70,7 +70,8 @@ def test_searchback_looks_a_whole_window_past_the_refractory_time():
     assert not near(plain) and near(found)
     mwi = dsp.trailing_mean(dsp.derivative(x, FS) ** 2, 54)
     assert dsp.search_again(x, mwi, plain, FS) == []  # 0.42 squared is less than 0.4 of the greatest
-    assert dsp.search_again(x, mwi, np.delete(plain, 5), FS) == [beats[5]]
+    again = dsp.search_again(x, mwi, np.delete(plain, 5), FS)
+    assert len(again) == 1 and abs(again[0] - beats[5]) < 40
 
 
 def test_welch_finds_a_tone_and_its_power():
