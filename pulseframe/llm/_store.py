@@ -92,8 +92,31 @@ def text_bytes(df: DataFrame, column: str = "text") -> tuple[int, int]:
     return row[0], row[1]
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def partitions(spark: SparkSession, size: int = 0, each: int = 256 << 20) -> int:
+    """The session's number of shuffle partitions, or more where ``size`` bytes would exceed ``each`` in one."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
+
+
+def deal(sent: DataFrame, schema: str, buckets: int, chunks: int, fan: int, parts: int, settle, forward, back, answers: str, depth: int = 0) -> DataFrame:
+    """Answers to what chunks ask of hash buckets: ``(p, b, ...)`` for every ``(p, b, ...)`` of ``sent``.
+
+    ``buckets`` is how many buckets of bounded size each ``b`` still stands for.
+    If one, ``settle`` answers all rows of a ``b``.  Otherwise the rows of a ``b``
+    are gathered in units of about a chunk's size, each of which asks up to
+    ``fan`` buckets in its turn (``forward``) and passes the answers back to
+    those that asked it (``back``).  So no chunk or unit sends more than ``fan``
+    rows, and the rows of a level grow as the chunks do; another level is needed
+    each time that the data grow by ``fan``.
+    """
+    if buckets <= 1:
+        return sent.repartition(parts, "b").groupBy("b").applyInArrow(settle, answers)
+    wide = min(fan, buckets)
+    groups = max(1, -(-chunks // fan ** (depth + 1)))
+    unit = F.col("b") * groups + F.pmod(F.xxhash64("p"), F.lit(groups))
+    placed = sent.withColumn("u", unit).repartition(parts, "u")
+    asked = placed.groupBy("u").applyInArrow(forward(wide, depth), schema)
+    got = deal(asked, schema, -(-buckets // wide), chunks, fan, parts, settle, forward, back, answers, depth + 1)
+    return placed.groupBy("u").cogroup(got.groupBy("p")).applyInArrow(back(wide, depth), answers)
 
 
 def sql_words(column: str):

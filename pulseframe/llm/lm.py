@@ -6,16 +6,20 @@ A word scores ``count(n-gram) / count(its context)`` at the longest order that
 has been seen elsewhere, times ``alpha`` for every order given up; a word seen
 nowhere else counts once in the whole.  A document's score is the sum of logs.
 
-How it scales.  Documents are dealt to chunks by a hash of their id; a chunk
+How it scales.  Documents are dealt to chunks by a hash of id and text; a chunk
 folds its n-grams of all orders to distinct ones with counts - a frequent
 n-gram costs one entry a chunk - and sends them, sorted and delta-coded, to
 hash buckets, the partitions of the count tables.  A bucket adds up and answers
 each chunk with totals for the n-grams it asked for; the chunk joins them to
 its documents' n-grams and sums by document.  The text is exchanged once and
-used twice; no table is held whole anywhere.  Within a bucket n-grams are told
-apart by 48 bits of their hash, besides the bits that choose the bucket.
-
-Defined cases.  Null or blank text has no words and a score of 0 over 0 words;
+used twice; no table is held whole anywhere.  A chunk asks at most ``fan``
+buckets; beyond so many (32 GB of text by default) they are reached over units
+of a chunk's size, a level of exchange more for each factor of ``fan``
+(``_store.deal``).  Within a bucket n-grams are told apart by 48 bits of their
+hash, besides the bits that choose the bucket: of a bucket's some two million,
+one in 10^8 is taken for another, at every size of the corpus.
+
+Defined cases.  An empty table gives an empty result.  Null or blank text has no words and a score of 0 over 0 words;
 rows that share an id are scored one by one, each held out by itself; further
 columns aren't read.
 """
@@ -35,8 +39,9 @@ from ._words import U, mix
 
 P = "__pulseframe_chunk"
 TOTAL = mix(np.array([6], U), 66)  # stands for the number of words
-_SENT = pa.schema([("p", pa.int32()), ("b", pa.int32()), ("n", pa.int64()), ("low", pa.binary()), ("high", pa.binary()), ("count", pa.binary())])
-_BACK = pa.schema([("p", pa.int32()), ("b", pa.int32()), ("count", pa.binary())])
+SENT, BACK = "p long, b long, n long, low binary, high binary, count binary", "p long, b long, count binary"
+_SENT = pa.schema([("p", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("low", pa.binary()), ("high", pa.binary()), ("count", pa.binary())])
+_BACK = pa.schema([("p", pa.int64()), ("b", pa.int64()), ("count", pa.binary())])
 SCORES = "doc_id long, n_words long, log_score double, n_full long, n_backed_off long, n_unseen long"
 
 
@@ -63,12 +68,13 @@ class Chunk:
         n = len(w.start)
         doc = np.repeat(np.arange(self.rows.num_rows), np.diff(w.doc))
         place = np.arange(n) - w.doc[:-1][doc] if n else np.zeros(0, np.int64)
-        self.doc, self.place = doc.astype(np.int64), place
+        self.doc, self.place = doc.astype(np.int32), place.astype(np.int32)
+        del doc, place
         self.gram: list[np.ndarray] = []  # for each order and word: number among the distinct ones, or -1
         self.own: list[np.ndarray] = []  # for each order and word: count in the word's document
         keys, counts, base = [], [], 0
         for k in range(1, order + 1):
-            at = np.flatnonzero(place >= k - 1)
+            at = np.flatnonzero(self.place >= k - 1)
             h = w.grams(k)[at]
             order_ = np.lexsort((self.doc[at], h)) if k == 1 else np.argsort(h, kind="stable")  # stable keeps documents in order
             hs, ds = h[order_], self.doc[at][order_]
@@ -85,6 +91,8 @@ class Chunk:
             keys.append(hs[starts])
             counts.append(np.diff(np.r_[starts, len(hs)]))
             base += len(starts)
+            del h, hs, ds, order_, at, fresh, new, runs, size
+        w.hash = w.data = w.end = None  # not needed any more
         keys.append(TOTAL)
         counts.append(np.array([n]))
         keys, self.counts = np.concatenate(keys), np.concatenate(counts)
@@ -93,50 +101,99 @@ class Chunk:
         self.sent = np.lexsort((low, bucket))
         self.cuts = np.searchsorted(bucket[self.sent], np.arange(buckets + 1))
         self.low = low[self.sent]
+        del keys, bucket, low
+
+
+def _rows(p: int, base: int, cuts: np.ndarray, low: np.ndarray, counts: np.ndarray) -> pa.Table:
+    """A row for each bucket that is asked: its n-grams, ascending, and their counts."""
+    out = {k: [] for k in _SENT.names}
+    for b in np.flatnonzero(np.diff(cuts)).tolist():
+        lo, hi = cuts[b], cuts[b + 1]
+        step = np.diff(np.r_[U(0), low[lo:hi]])
+        for k, v in zip(out, (p, base + b, hi - lo, step.astype("<u4").tobytes(), zlib.compress((step >> U(32)).astype("<u2").tobytes(), 1), pack_counts(counts[lo:hi])), strict=True):
+            out[k].append(v)
+    return pa.table(out, schema=_SENT)
 
 
 def _send(order: int, buckets: int):
     def run(rows: pa.Table) -> pa.Table:
         c = Chunk(rows, order, buckets)
-        p = rows.column(P)[0].as_py()
-        out = {k: [] for k in _SENT.names}
-        for b in range(buckets):
-            lo, hi = c.cuts[b], c.cuts[b + 1]
-            if lo == hi:
-                continue
-            step = np.diff(np.r_[U(0), c.low[lo:hi]])
-            for k, v in zip(out, (p, b, hi - lo, step.astype("<u4").tobytes(), zlib.compress((step >> U(32)).astype("<u2").tobytes(), 1), pack_counts(c.counts[c.sent[lo:hi]])), strict=True):
-                out[k].append(v)
-        return pa.table(out, schema=_SENT)
+        return _rows(rows.column(P)[0].as_py(), 0, c.cuts, c.low, c.counts[c.sent])
 
     return run
 
 
-def _add_up(parts: pa.Table) -> pa.Table:
-    sizes = parts.column("n").to_pylist()
+def _unpack(parts: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     keys, counts = [], []
-    for k, low, high, n in zip(sizes, parts.column("low"), parts.column("high"), parts.column("count"), strict=True):
+    for k, low, high, n in zip(parts.column("n").to_pylist(), parts.column("low"), parts.column("high"), parts.column("count"), strict=True):
         step = np.frombuffer(low.as_buffer(), "<u4").astype(U) | (np.frombuffer(zlib.decompress(high.as_py()), "<u2").astype(U) << U(32))
         keys.append(np.cumsum(step))
         counts.append(unpack_counts(n.as_py(), k))
-    keys, counts = np.concatenate(keys), np.concatenate(counts)
+    return np.concatenate(keys), np.concatenate(counts)
+
+
+def _totals(parts: pa.Table, total: np.ndarray) -> pa.Table:
+    cuts = np.r_[0, np.cumsum(np.asarray(parts.column("n")))]
+    return pa.table({"p": parts.column("p"), "b": parts.column("b"), "count": pa.array([pack_counts(total[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())}, schema=_BACK)
+
+
+def _fold(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different keys, their sums, and the number of each given key among them."""
     order = np.argsort(keys)
     ks = keys[order]
-    starts = np.flatnonzero(np.r_[True, ks[1:] != ks[:-1]])
-    total = np.add.reduceat(counts[order], starts)
-    back = np.empty(len(keys), np.int64)
-    back[order] = np.repeat(total, np.diff(np.r_[starts, len(ks)]))
-    cuts = np.r_[0, np.cumsum(sizes)]
-    return pa.table({"p": parts.column("p"), "b": parts.column("b"), "count": pa.array([pack_counts(back[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())}, schema=_BACK)
+    fresh = np.r_[True, ks[1:] != ks[:-1]]
+    starts = np.flatnonzero(fresh)
+    which = np.empty(len(keys), np.int32)
+    which[order] = np.cumsum(fresh, dtype=np.int32) - 1
+    return ks[starts], np.add.reduceat(counts[order], starts), which
+
+
+def _add_up(parts: pa.Table) -> pa.Table:
+    _, total, which = _fold(*_unpack(parts))
+    return _totals(parts, total[which])
+
+
+class Unit:
+    """Rows for one bucket from many chunks, that are dealt on: each n-gram once, with its sum."""
+
+    def __init__(self, parts: pa.Table, buckets: int, depth: int):
+        self.parts = parts.sort_by([("p", "ascending")])
+        keys, self.counts, self.which = _fold(*_unpack(self.parts))
+        bucket = (mix(keys, 41 + depth) % U(buckets)).astype(np.int64)
+        self.sent = np.argsort(bucket, kind="stable")  # ascending within a bucket
+        self.cuts = np.searchsorted(bucket[self.sent], np.arange(buckets + 1))
+        self.low = keys[self.sent]
+
+
+def _forward(buckets: int, depth: int):
+    def run(parts: pa.Table) -> pa.Table:
+        u = Unit(parts, buckets, depth)
+        return _rows(parts.column("u")[0].as_py(), parts.column("b")[0].as_py() * buckets, u.cuts, u.low, u.counts[u.sent])
+
+    return run
+
+
+def _back(buckets: int, depth: int):
+    def run(parts: pa.Table, answers: pa.Table) -> pa.Table:
+        u = Unit(parts, buckets, depth)
+        return _totals(u.parts, _answered(u, answers, buckets)[u.which])
+
+    return run
+
+
+def _answered(c, answers: pa.Table, buckets: int) -> np.ndarray:
+    """The totals of what a chunk or unit has sent, by its own numbers."""
+    total = np.zeros(len(c.counts), np.int64)
+    for b, raw in zip(answers.column("b").to_pylist(), answers.column("count"), strict=True):
+        lo, hi = c.cuts[b % buckets], c.cuts[b % buckets + 1]
+        total[c.sent[lo:hi]] = unpack_counts(raw.as_py(), hi - lo)
+    return total
 
 
 def _score(order: int, buckets: int, alpha: float):
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
         c = Chunk(rows, order, buckets)
-        total = np.zeros(len(c.counts), np.int64)
-        for b, raw in zip(answers.column("b").to_pylist(), answers.column("count"), strict=True):
-            lo, hi = c.cuts[b], c.cuts[b + 1]
-            total[c.sent[lo:hi]] = unpack_counts(raw.as_py(), hi - lo)
+        total = _answered(c, answers, buckets)
         docs, n = c.rows.num_rows, len(c.doc)
         size = np.diff(c.words.doc)
         seen = [np.where(g >= 0, total[g] - own, 0) for g, own in zip(c.gram, c.own, strict=True)]  # elsewhere
@@ -162,17 +219,18 @@ def _score(order: int, buckets: int, alpha: float):
     return run
 
 
-def score(docs: DataFrame, order: int = 3, alpha: float = 0.4, chunk_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, order: int = 3, alpha: float = 0.4, chunk_bytes: int = 8 << 20, fan: int = 8192, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_words, log_score`` and the words scored at full order, backed off, and unseen."""
     spark = docs.sparkSession
     ship(spark)
     _, size = _store.text_bytes(docs, text_col)
-    chunks = buckets = max(1, -(-size // chunk_bytes))
-    placed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.pmod(F.hash(F.col(id_col)), F.lit(chunks)).cast("int").alias(P))
-    placed = placed.repartition(_store.partitions(spark), P)
-    sent = placed.groupBy(P).applyInArrow(_send(order, buckets), "p int, b int, n long, low binary, high binary, count binary")
-    back = sent.groupBy("b").applyInArrow(_add_up, "p int, b int, count binary")
-    return placed.groupBy(P).cogroup(back.groupBy("p")).applyInArrow(_score(order, buckets, alpha), SCORES)
+    chunks, buckets = max(1, -(-size // chunk_bytes)), max(1, -(-2 * size // chunk_bytes))
+    wide, parts = min(fan, buckets), _store.partitions(spark, size)
+    place = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(chunks))
+    placed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), place.alias(P)).repartition(parts, P)
+    sent = placed.groupBy(P).applyInArrow(_send(order, wide), SENT)
+    back = _store.deal(sent, SENT, -(-buckets // wide), chunks, fan, parts, _add_up, _forward, _back, BACK)
+    return placed.groupBy(P).cogroup(back.groupBy("p")).applyInArrow(_score(order, wide, alpha), SCORES)
 
 
 def op6_stupid_backoff(spark, sf_dir: str) -> DataFrame:

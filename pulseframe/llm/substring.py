@@ -5,18 +5,21 @@ whole corpus.  A word goes if a window over it also starts earlier: in a
 document of smaller ``doc_id``, or further up in the same document.
 
 How it scales.  Documents are dealt to chunks of some megabytes by a hash of
-their id (one exchange of the text, used twice).  A chunk first folds its own
+their id and text (one exchange of the text, used twice).  A chunk first folds its own
 repeats together, so a passage that stands in a third of all documents is sent
 once per chunk, not once per document.  Chunks send packed hash columns (72
 bits a window, and the bucket's own bits) to hash buckets; a bucket answers
 with one bit per hash - "an earlier document has it" - and the chunk, which
 re-derives the same order from the same exchange, merges flagged windows into
 maximal intervals.  Nothing is collected and no task holds more than one chunk
-or one bucket.
+or one bucket.  A chunk asks at most ``fan`` buckets; beyond so many (32 GB of
+text by default) they are reached over units of a chunk's size, a level of
+exchange of the hashes more for each factor of ``fan`` (``_store.deal``).
 
 Defined cases.  Null or blank text has no words and stays as it is.  A null
 ``doc_id`` ranks after all others.  Rows that share a ``doc_id`` are documents
-of equal rank: neither is earlier than the other.  Further columns pass
+of equal rank: neither is earlier than the other.  An empty table gives an
+empty one.  Further columns pass
 through, whatever their names; the operator's own columns win over columns of
 the same name.
 """
@@ -67,34 +70,34 @@ class Chunk:
         self.h, self.g, self.ids = h[pos], g[pos].astype(np.uint8), ids[row[pos]]
 
 
-def _local(*how):
-    buckets = how[1]
+def _rows(p: int, base: int, cuts: np.ndarray, ids: np.ndarray, h: np.ndarray, g: np.ndarray) -> pa.Table:
+    """A row for each bucket that is asked: its hashes, ordered by id, with runs of ids."""
+    out = {k: [] for k in _SENT.names}
+    for b in np.flatnonzero(np.diff(cuts)).tolist():
+        lo, hi = cuts[b], cuts[b + 1]
+        own = ids[lo:hi]
+        cut = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        who = own[cut]
+        docs = np.r_[who[:1], np.diff(who)].astype("<i8").tobytes() + np.diff(np.r_[cut, hi - lo]).astype("<u4").tobytes()
+        for k, v in zip(out, (p, base + b, hi - lo, zlib.compress(docs, 1), h[lo:hi].tobytes(), g[lo:hi].tobytes()), strict=True):
+            out[k].append(v)
+    return pa.table(out, schema=_SENT)
+
 
+def _local(*how):
     def run(rows: pa.Table) -> pa.Table:
         c = Chunk(rows, *how)
-        p = rows.column(P)[0].as_py()
-        out = {"p": [], "b": [], "n": [], "docs": [], "h": [], "g": []}
-        for b in range(buckets):
-            lo, hi = c.cuts[b], c.cuts[b + 1]
-            if lo == hi:
-                continue
-            ids = c.ids[lo:hi]
-            cut = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-            who = ids[cut]
-            docs = np.r_[who[:1], np.diff(who)].astype("<i8").tobytes() + np.diff(np.r_[cut, hi - lo]).astype("<u4").tobytes()
-            for k, v in zip(out, (p, b, hi - lo, zlib.compress(docs, 1), c.h[lo:hi].tobytes(), c.g[lo:hi].tobytes()), strict=True):
-                out[k].append(v)
-        return pa.table(out, schema=_SENT)
+        return _rows(rows.column(P)[0].as_py(), 0, c.cuts, c.ids, c.h, c.g)
 
     return run
 
 
-_SENT = pa.schema([("p", pa.int32()), ("b", pa.int32()), ("n", pa.int64()), ("docs", pa.binary()), ("h", pa.binary()), ("g", pa.binary())])
-_BITS = pa.schema([("p", pa.int32()), ("b", pa.int32()), ("bits", pa.binary())])
+SENT, BITS = "p long, b long, n long, docs binary, h binary, g binary", "p long, b long, bits binary"
+_SENT = pa.schema([("p", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("docs", pa.binary()), ("h", pa.binary()), ("g", pa.binary())])
+_BITS = pa.schema([("p", pa.int64()), ("b", pa.int64()), ("bits", pa.binary())])
 
 
-def _count(parts: pa.Table) -> pa.Table:
-    """For each hash sent to this bucket: whether a smaller doc_id sent it too."""
+def _unpack(parts: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     h = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in parts.column("h")])
     g = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in parts.column("g")])
     ids = []
@@ -102,7 +105,17 @@ def _count(parts: pa.Table) -> pa.Table:
         raw = zlib.decompress(x.as_py())
         k = len(raw) // 12
         ids.append(np.repeat(np.cumsum(np.frombuffer(raw, "<i8", k)), np.frombuffer(raw, "<u4", k, 8 * k)))
-    ids = np.concatenate(ids)
+    return h, g, np.concatenate(ids)
+
+
+def _flags(parts: pa.Table, flags: np.ndarray) -> pa.Table:
+    bits = [np.packbits(x).tobytes() for x in np.split(flags, np.cumsum(np.asarray(parts.column("n")))[:-1])]
+    return pa.table({"p": parts.column("p"), "b": parts.column("b"), "bits": pa.array(bits, pa.binary())}, schema=_BITS)
+
+
+def _count(parts: pa.Table) -> pa.Table:
+    """For each hash sent to this bucket: whether a smaller doc_id sent it too."""
+    h, g, ids = _unpack(parts)
     order = np.argsort(h)
     near = h[order[1:]] == h[order[:-1]]
     many = np.zeros(len(order), bool)
@@ -115,9 +128,54 @@ def _count(parts: pa.Table) -> pa.Table:
         fresh = np.flatnonzero(np.r_[True, (h[some[1:]] != h[some[:-1]]) | (g[some[1:]] != g[some[:-1]])])
         least = np.minimum.reduceat(ids[some], fresh)
         flags[some] = ids[some] > np.repeat(least, np.diff(np.r_[fresh, len(some)]))
-    n = np.asarray(parts.column("n"))
-    bits = [np.packbits(x).tobytes() for x in np.split(flags, np.cumsum(n)[:-1])]
-    return pa.table({"p": parts.column("p"), "b": parts.column("b"), "bits": pa.array(bits, pa.binary())}, schema=_BITS)
+    return _flags(parts, flags)
+
+
+class Unit:
+    """Rows for one bucket from many chunks, that are dealt on: each hash once, with its least id."""
+
+    def __init__(self, parts: pa.Table, buckets: int, depth: int):
+        self.parts = parts.sort_by([("p", "ascending")])
+        h, g, ids = _unpack(self.parts)
+        order = np.lexsort((ids, g, h))
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (h[order[1:]] != h[order[:-1]]) | (g[order[1:]] != g[order[:-1]])
+        self.group = np.empty(len(order), np.int64)
+        self.group[order] = np.cumsum(fresh) - 1
+        first = order[fresh]
+        self.later = ids > ids[first][self.group]
+        bucket = (_words.mix(h[first], 41 + depth) % _words.U(buckets)).astype(np.int64)
+        self.sent = np.lexsort((ids[first], bucket))
+        self.cuts = np.searchsorted(bucket[self.sent], np.arange(buckets + 1))
+        at = first[self.sent]
+        self.h, self.g, self.ids = h[at], g[at], ids[at]
+
+
+def _forward(buckets: int, depth: int):
+    def run(parts: pa.Table) -> pa.Table:
+        u = Unit(parts, buckets, depth)
+        return _rows(parts.column("u")[0].as_py(), parts.column("b")[0].as_py() * buckets, u.cuts, u.ids, u.h, u.g)
+
+    return run
+
+
+def _back(buckets: int, depth: int):
+    def run(parts: pa.Table, answers: pa.Table) -> pa.Table:
+        u = Unit(parts, buckets, depth)
+        seen = np.zeros(len(u.sent), bool)
+        seen[u.sent] = _seen(u.cuts, answers, buckets, len(u.sent))
+        return _flags(u.parts, u.later | seen[u.group])
+
+    return run
+
+
+def _seen(cuts: np.ndarray, answers: pa.Table, buckets: int, n: int) -> np.ndarray:
+    """The answered bits in the order in which the hashes were sent."""
+    seen = np.zeros(n, bool)
+    for b, bits in zip(answers.column("b").to_pylist(), answers.column("bits"), strict=True):
+        lo, hi = cuts[b % buckets], cuts[b % buckets + 1]
+        seen[lo:hi] = np.unpackbits(np.frombuffer(bits.as_buffer(), np.uint8), count=hi - lo)
+    return seen
 
 
 def kept_text(w: _words.Words, keep: np.ndarray) -> pa.Array:
@@ -142,12 +200,8 @@ def _apply(schema: pa.Schema, window: int, *how):
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
         c = Chunk(rows, window, *how)
         if len(c.at):
-            seen = np.zeros(len(c.sent), bool)
-            for b, bits in zip(answers.column("b").to_pylist(), answers.column("bits"), strict=True):
-                lo, hi = c.cuts[b], c.cuts[b + 1]
-                seen[lo:hi] = np.unpackbits(np.frombuffer(bits.as_buffer(), np.uint8), count=hi - lo)
-            by_group = np.empty_like(seen)
-            by_group[c.sent] = seen
+            by_group = np.empty(len(c.sent), bool)
+            by_group[c.sent] = _seen(c.cuts, answers, how[0], len(c.sent))
             c.flagged |= by_group[c.group]
         w = c.words
         n = len(w.start)
@@ -172,7 +226,7 @@ def _apply(schema: pa.Schema, window: int, *how):
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = 20, chunk_bytes: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 20, chunk_bytes: int = 4 << 20, fan: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``n_words, n_removed, kept_text`` and ``spans`` (removed word intervals [from, to))."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -180,12 +234,13 @@ def remove_repeats(docs: DataFrame, window: int = 20, chunk_bytes: int = 4 << 20
     ship(spark)
     _, size = _store.text_bytes(docs, text_col)
     chunks, buckets = max(1, -(-size // chunk_bytes)), max(1, -(-size // (2 * chunk_bytes)))
+    wide, parts = min(fan, buckets), _store.partitions(spark, size)
     keep = [c for c in docs.columns if c not in OWN]
-    placed = docs.select(*keep, F.pmod(F.hash(F.col(id_col)), F.lit(chunks)).cast("int").alias(P))
-    placed = placed.repartition(_store.partitions(spark), P)
-    how = (window, buckets, id_col, text_col)
-    sent = placed.groupBy(P).applyInArrow(_local(*how), "p int, b int, n long, docs binary, h binary, g binary")
-    bits = sent.groupBy("b").applyInArrow(_count, "p int, b int, bits binary")
+    # by id and text: rows without an id, or that share one, aren't bound to one chunk
+    placed = docs.select(*keep, F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(chunks)).alias(P)).repartition(parts, P)
+    how = (window, wide, id_col, text_col)
+    sent = placed.groupBy(P).applyInArrow(_local(*how), SENT)
+    bits = _store.deal(sent, SENT, -(-buckets // wide), chunks, fan, parts, _count, _forward, _back, BITS)
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("from", T.IntegerType()), T.StructField("to", T.IntegerType())])))])
     arrow = to_arrow_schema(schema)
     return placed.groupBy(P).cogroup(bits.groupBy("p")).applyInArrow(_apply(arrow, *how), schema)

@@ -40,6 +40,36 @@ def test_substring_spans_and_many_chunks(docs, texts):
     assert all(sum(b - a for a, b in v[2]) == v[0] for v in few.values())
 
 
+def test_dealing_over_levels_of_buckets(docs):
+    """Three levels of buckets give what one gives, and the rows that are sent grow as the chunks do."""
+    plain = lambda out: {(r.doc_id, r.n_removed, r.kept_text) for r in out.collect()}
+    assert plain(substring.remove_repeats(docs)) == plain(substring.remove_repeats(docs, chunk_bytes=20_000, fan=4))
+    scores = lambda **k: {r.doc_id: (r.n_words, round(r.log_score, 6), r.n_full, r.n_backed_off, r.n_unseen) for r in lm.score(docs, **k).collect()}
+    assert scores() == scores(chunk_bytes=60_000, fan=4)
+    size = sum(len((r.text or "").encode()) for r in docs.select("text").collect())
+    for chunk in (80_000, 40_000, 20_000):
+        levels, deal = [], substring._store.deal
+
+        def counted(df, *a, levels=levels, deal=deal, **k):
+            levels.append([r["count"] for r in df.groupBy("p").count().collect()])
+            return deal(df, *a, **k)
+
+        substring._store.deal = counted
+        try:
+            substring.remove_repeats(docs, chunk_bytes=chunk, fan=4)
+        finally:
+            substring._store.deal = deal
+        assert all(max(n) <= 4 and len(n) <= 4 * -(-size // chunk) for n in levels)
+        assert len(levels) <= 1 + math.ceil(math.log(max(1, size / chunk), 4))
+
+
+def test_rows_without_ids_are_dealt_apart(spark, docs):
+    few = docs.select("doc_id", "text").limit(60).withColumn("doc_id", F.lit(None).cast("long"))
+    placed = few.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(16)).alias("p")).groupBy("p").count().collect()
+    assert len(placed) > 8
+    assert lm.score(few, chunk_bytes=20_000).count() == 60 and substring.remove_repeats(few, chunk_bytes=20_000).count() == 60
+
+
 def test_token_counts(spark, sf_dir, texts):
     from tokenizers import Tokenizer
 
