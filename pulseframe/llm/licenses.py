@@ -16,7 +16,9 @@ others reach Python whole, and rows stay where they are (no shuffle).
 
 Result: one row per document and notice, ``block`` being the number of its
 first line; sizes are those of the place.  Defined cases: null and blank texts
-have no notices; repeated rows are scanned one by one.
+have no notices; repeated rows are scanned one by one; of templates that make a
+place equally small the one with the better alignment stands, then the first;
+an empty table gives no notices; no other column is read.
 """
 
 from __future__ import annotations
@@ -34,7 +36,35 @@ from pyspark.sql import functions as F
 from ..runtime import ship
 from . import _store, _words
 
-#: Fixed values: (licence, statement, words that must stand as they are). Public licence notices, in their usual wording.
+#: Public licence texts, in their usual wording.
+_AS_IS = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. '
+    "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+)
+_NAMES = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_MIT = (
+    'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, '
+    "and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. '
+    "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_ISC = (
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
+    'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. '
+    "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+)
+_ZLIB = (
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+    "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: "
+    "The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. "
+    "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution."
+)
+#: Fixed values: (licence, statement or full text, words that must stand as they are).
 STATEMENTS = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0.", "apache 2.0"),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.', "apache 2.0"),
@@ -52,6 +82,11 @@ STATEMENTS = (
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.", "hereby charge"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mozilla 2.0"),
     ("Unlicense", "This is free and unencumbered software released into the public domain.", "unencumbered"),
+    ("MIT", _MIT, "hereby charge noninfringement"),
+    ("BSD-2-Clause", _BSD + _AS_IS, "redistribution reproduce disclaimed"),
+    ("BSD-3-Clause", _BSD + _NAMES + _AS_IS, "redistribution reproduce endorse disclaimed"),
+    ("ISC", _ISC, "fee tortious"),
+    ("Zlib", _ZLIB, "freely misrepresented"),
 )
 _WORD = re.compile(r"[^\W_]+(?:(?:[.]|-(?:[^\S\n]*\n[\W_]*+)?)[^\W_]+)*")  # a word may be cut after its hyphen
 _CUT = re.compile(r"\s[\W_]*")
@@ -83,8 +118,13 @@ class Templates:
         """Best (score, places, own places) of template ``i`` near word ``at``, if it holds; the score is words covered less ``threshold`` times words added."""
         _, own, fixed = self.rows[i]
         anchor, span = self.anchor[i], int(len(own) / threshold + 1e-9)
+        begin = at - anchor if anchor is not None else at
+        if begin >= 0 and words[begin : begin + len(own)] == own:  # word for word
+            return float(len(own)), list(range(begin, begin + len(own))), list(range(len(own)))
         low, high = max(0, at - span), min(len(words), at + span + 1)
         need = threshold * len(own) - 1e-9
+        # words missing, and words added, up to any place: no more than the threshold allows altogether
+        short, long = len(own) - need, (len(own) - need) / threshold
         have, common = Counter(words[low:high]), Counter(own)
         if any(w not in have for w in fixed) or sum(min(n, have[w]) for w, n in common.items()) < need:
             return None
@@ -100,6 +140,8 @@ class Templates:
             for k in places.get(words[x], ()):
                 if anchor is not None and (x - at, k - anchor) != (0, 0) and (x - at) * (k - anchor) <= 0:
                     continue  # the anchor word stands at ``at``
+                if anchor is not None and not -short <= (x - at) - (k - anchor) <= long:
+                    continue
                 score, last = (1.0, -1) if not before[k] else (-math.inf, -1)
                 for j, (y, m, had, _) in enumerate(points):
                     if y < x and m < k and before[k] == before[m + 1] and had + 1 - threshold * (x - y - 1) > score:

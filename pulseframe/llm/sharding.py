@@ -9,12 +9,14 @@ a single key is all that lies between), rows are exchanged once.
 The law is ``bytes``.  The sort key is ``(hash of the text, hash of the id)``:
 equal texts are neighbours, and a group of copies of any size can still be cut
 by its ids.  Shards are divided further at known candidates, so that no task
-sorts more than ``part_bytes``; since the rows below each division are known
+sorts more than ``part_bytes`` (up to ``most_parts`` divisions, 32 TB at the
+defaults; beyond, they grow in proportion); since the rows below each division are known
 from the counts, ``slot`` is the division's first slot plus the row's place in
 it, gapless without a pass over a whole shard.
 
 Defined cases.  Null text has size 1 (its end), as has the empty text; null
-ids are allowed.  Identical rows share a key and lie together.  An empty table
+ids are allowed.  Identical rows share a key and lie together, whatever cut
+falls among them; ties are in no stated order.  An empty table
 gives an empty result.  The operator keeps all columns of its input (its own
 ``size, law, shard, slot, grown_shard`` replace columns of those names).
 """
@@ -94,7 +96,7 @@ def splitters(keys: DataFrame, shards: int, total: int, rows: int, tolerance: fl
     return cuts, known
 
 
-def shard(docs: DataFrame, shards: int = 16, size: Column | None = None, key: Column | None = None, tie: Column | None = None, tolerance: float = 0.001, part_bytes: int = 32 << 20, most_parts: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard(docs: DataFrame, shards: int = 16, size: Column | None = None, key: Column | None = None, tie: Column | None = None, tolerance: float = 0.001, part_bytes: int = 32 << 20, most_parts: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of ``docs``, with ``size, law, shard, slot, grown_shard``."""
     spark = docs.sparkSession
     ship(spark)
@@ -102,7 +104,12 @@ def shard(docs: DataFrame, shards: int = 16, size: Column | None = None, key: Co
     key = F.xxhash64(F.col(text_col)) if key is None else key
     tie = F.xxhash64(F.col(id_col)) if tie is None else tie
     docs = docs.withColumns({"size": size, KEY: key, TIE: tie})
-    keys = _store.materialize(docs.select(KEY, TIE, "size"), "shard-keys")
+    with _store.scratch(spark):
+        return _shard(docs, _store.materialize(docs.select(KEY, TIE, "size"), "shard-keys"), shards, tolerance, part_bytes, most_parts)
+
+
+def _shard(docs: DataFrame, keys: DataFrame, shards: int, tolerance: float, part_bytes: int, most_parts: int) -> DataFrame:
+    spark = docs.sparkSession
     rows, total = keys.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     part = max(1, min(part_bytes, total // max(shards, _store.partitions(spark))))
     first = int(min(most_parts, max(16 * shards, 4 * total // part)))
@@ -130,11 +137,13 @@ def shard(docs: DataFrame, shards: int = 16, size: Column | None = None, key: Co
     def division(k: pd.Series, t: pd.Series) -> pd.Series:
         return pd.Series(place(k.to_numpy(), t.to_numpy(), pk, pt).astype(np.int32))
 
-    placed = docs.withColumn("__division", division(KEY, TIE))
+    placed = docs.drop("shard", "slot").withColumn("__division", division(KEY, TIE))
     order = Window.partitionBy("__division").orderBy(KEY, TIE)
-    lut = lambda values, kind: F.element_at(F.lit(values).cast(f"array<{kind}>"), F.col("__division") + 1)
-    out = placed.withColumn("slot", F.row_number().over(order).cast("long") - 1)
-    out = out.withColumns({"slot": F.col("slot") + lut(base, "long"), "shard": lut(owner, "int"), "law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+    # one row a division: at most some ``most_parts`` and the probes around the cuts
+    divisions = spark.createDataFrame(pa.table({"__division": pa.array(np.arange(len(owner)), pa.int32()), "shard": pa.array(owner, pa.int32()), "__base": pa.array(base, pa.int64())}))
+    out = placed.withColumn("slot", F.row_number().over(order).cast("long") - 1).join(F.broadcast(divisions), "__division")
+    out = out.withColumns({"slot": F.col("slot") + F.col("__base"), "law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+    out = out.select(*[c for c in docs.columns if c not in ("shard", "slot", "law", "grown_shard")], "law", "shard", "slot", "grown_shard")
     return out.drop("__division", KEY, TIE)
 
 
