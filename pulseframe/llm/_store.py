@@ -59,12 +59,13 @@ def delete(spark: SparkSession, path: str) -> None:
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession):
-    """Tables materialized inside go at the end, but those given to ``keep``, the function that it yields."""
+    """Tables materialized inside go at the end, but those given to ``keep``, the function that it yields; the scope around has these then."""
     own: dict[str, bool] = {}
 
     def keep(df: DataFrame) -> DataFrame:
+        read = {name.rsplit("/", 2)[-2] for name in df.inputFiles()}  # tables' names are unique
         for path in own:
-            own[path] &= not any(f"{path}/" in name for name in df.inputFiles())
+            own[path] &= path.rsplit("/", 1)[1] not in read
         return df
 
     _scopes.open.append(own)
@@ -75,6 +76,15 @@ def scratch(spark: SparkSession):
         for path, goes in own.items():
             if goes:
                 delete(spark, path)
+            elif _scopes.open:
+                _scopes.open[-1][path] = True
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a materialized table that has been used."""
+    for path in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        if f"/pulseframe/{df.sparkSession.sparkContext.applicationId}/" in path:
+            delete(df.sparkSession, path)
 
 
 def clear(spark: SparkSession) -> None:

@@ -30,7 +30,8 @@ How it scales.
 Shingles are kept as 32-bit hashes for the exact similarity.  Defined cases:
 null or blank texts have no shingles and are linked to nothing, each a class of
 its own; texts of fewer words than a shingle have one shingle, all their words;
-a null id is allowed.  Further columns are not read.
+a null id is allowed, and ranks after others; rows of equal id stay rows; an
+empty table gives an empty one.  Further columns are not read.
 """
 
 from __future__ import annotations
@@ -272,12 +273,10 @@ def join(docs: DataFrame, threshold: float = 0.8, size: int = 5, recall: float =
     """
     spark = docs.sparkSession
     ship(spark)
-    with _store.scratch(spark):
+    with _store.scratch(spark) as keep:  # of all the tables on the way one is left
         runs = runs_for(recall, threshold)
         out = _join(docs, threshold, size, runs, max(0, runs_within(recall, depth + 1) - runs), limit, middle, block, dense, depth, id_col, text_col)
-        path = _store.shared_path(spark, "jaccard-classes")
-        out.write.parquet(path)  # all that is left of the tables on the way
-    return spark.read.schema(out.schema).parquet(path)
+        return keep(_store.materialize(out, "jaccard-classes"))
 
 
 def _join(docs: DataFrame, threshold: float, size: int, runs: int, more: int, limit: int, middle: int, block: int, dense: float, depth: int, id_col: str, text_col: str) -> DataFrame:

@@ -523,6 +523,48 @@ def test_html_pages(spark, sf_dir):
         assert (r.text, r.n_chars) == (want, len(want))
 
 
+def test_pipeline_result_is_that_of_plain_stages(spark, sf_dir, words):
+    """Every stage's rows against plain sets and loops over what its predecessor kept; the first one's verdicts are the operator's, which has its own test."""
+    from tokenizers import Tokenizer
+
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    kept = {r.doc_id for r in quality.op5_quality_rules(spark, sf_dir).collect() if r.kept}
+    sets = {i: set(grams(words(docs[i].text), 5)) or {tuple(words(docs[i].text))} for i in kept}
+    group = {i: i for i in kept}
+
+    def root(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    order = sorted(kept)
+    for k, a in enumerate(order):
+        for b in order[k + 1 :]:
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9:
+                x, y = sorted((root(a), root(b)))
+                group[y] = x
+    kept = {i for i in kept if root(i) == i}
+    seen, left = set(), {}
+    for i in sorted(kept):
+        w = words(docs[i].text)
+        gone = [False] * len(w)
+        for k, g in enumerate(grams(w, 20)):
+            if g in seen:
+                gone[k : k + 20] = [True] * 20
+            seen.add(g)
+        if not all(gone):
+            left[i] = " ".join(x for x, y in zip(w, gone, strict=True) if not y) if any(gone) else docs[i].text
+    table = spark.createDataFrame(list(left.items()), "doc_id long, text string")
+    leaks = {r.doc_id for r in decontam.find_leaks(table, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).collect() if r.leaks}
+    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    want = {i: [*t.encode(x, add_special_tokens=False).ids, 1] for i, x in left.items() if i not in leaks}
+    got = defaultdict(list)
+    for r in pipeline.run(spark, sf_dir).orderBy("doc_id", "start").collect():
+        got[r.doc_id] += np.frombuffer(r.ids, "<u4").tolist()
+    assert got == want and leaks and len(left) < len(kept) + 1
+
+
 def test_pipeline_drops_what_it_should(spark, sf_dir):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
