@@ -30,7 +30,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import ship
@@ -233,6 +233,39 @@ def score(docs: DataFrame, order: int = 3, alpha: float = 0.4, chunk_bytes: int
     return placed.groupBy(P).cogroup(back.groupBy("p")).applyInArrow(_score(order, wide, alpha), SCORES)
 
 
+def score_rows(docs: DataFrame, alpha: float = 0.4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Trigram scores as ``score`` gives them, with a row for every n-gram: count tables by hash, joined to the exploded n-grams, summed by document.
+
+    It shuffles many times the text (README); ``score`` sends the same in packed columns.
+    """
+    w = F.col("w")
+    at = lambda i, k: F.xxhash64(F.lit(k), *(F.get(w, i - j) for j in range(k)))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), _store.sql_words(text_col).alias("w"))
+    rows = _store.materialize(rows, "scored-rows")
+    grams = F.transform(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.struct(i.alias("i"), *(F.when(i >= k - 1, at(i, k)).alias(f"x{k}") for k in (1, 2, 3))))
+    words = rows.filter(F.size(w) > 0).select("row", F.size(w).alias("n"), F.inline(grams))
+    one = words.select("row", "i", F.explode(F.array("x1", "x2", "x3")).alias("x")).filter("x IS NOT NULL")
+    own = one.groupBy("row", "x").agg(F.count(F.lit(1)).alias("own"))  # hashes hold their order
+    table = own.groupBy("x").agg(F.sum("own").alias("every"))
+    seen = own.join(table, "x").select("row", "x", (F.col("every") - F.col("own")).alias("seen"))
+    total = words.count()  # one number
+    for k in (1, 2, 3):
+        words = words.join(seen.select("row", F.col("x").alias(f"x{k}"), F.col("seen").alias(f"c{k}")), ["row", f"x{k}"], "left")
+    order = Window.partitionBy("row").orderBy("i")
+    words = words.withColumns({"u": F.lag("c1").over(order), "b": F.lag("c2").over(order)})
+    rest = F.greatest(F.lit(total) - F.col("n"), F.lit(1))
+    cut = F.log(F.lit(alpha))
+    level = F.when(F.col("c3") > 0, 3).when(F.col("c2") > 0, 2).when(F.col("c1") > 0, 1).otherwise(0)
+    value = F.when(F.col("c3") > 0, F.log(F.col("c3") / F.col("b"))).when(F.col("c2") > 0, F.log(F.col("c2") / F.col("u")) + F.least(F.col("i") - 1, F.lit(1)) * cut)
+    value = value.when(F.col("c1") > 0, F.log(F.col("c1") / rest) + F.least(F.col("i"), F.lit(2)) * cut).otherwise(F.least(F.col("i") + 1, F.lit(3)) * cut - F.log(rest + 1))
+    top = F.least(F.col("i") + 1, F.lit(3))
+    hit = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    sums = words.withColumn("level", level).groupBy("row").agg(F.sum(value).alias("log_score"), hit((F.col("level") > 0) & (F.col("level") == top)).alias("n_full"), hit((F.col("level") > 0) & (F.col("level") < top)).alias("n_backed_off"), hit(F.col("level") == 0).alias("n_unseen"))
+    out = rows.join(sums, "row", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return out.select("doc_id", F.size("w").cast("long").alias("n_words"), F.coalesce("log_score", F.lit(0.0)).alias("log_score"), zero("n_full"), zero("n_backed_off"), zero("n_unseen"))
+
+
 def op6_stupid_backoff(spark, sf_dir: str) -> DataFrame:
     out = score(_store.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.withColumns({"log_score": F.round("log_score", 4), "mean_log": F.round(F.try_divide("log_score", "n_words"), 4)})

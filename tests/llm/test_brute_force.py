@@ -438,6 +438,11 @@ def test_scores(spark, sf_dir, texts, words):
         assert r.log_score == pytest.approx(total, abs=1e-6) and r.n_full + r.n_backed_off + r.n_unseen == len(w)
 
 
+def test_scores_with_a_row_for_every_ngram(docs):
+    get = lambda out: {r.doc_id: (r.n_words, round(r.log_score, 6), r.n_full, r.n_backed_off, r.n_unseen) for r in out.collect()}
+    assert get(lm.score_rows(docs)) == get(lm.score(docs))
+
+
 def test_licenses(spark, sf_dir, texts):
     got = Counter((r.doc_id, r.license) for r in licenses.op3_license_scan(spark, sf_dir).collect())
     lines = {"This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0"}
