@@ -173,4 +173,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: q.duckdb() for name, q in SQL.items()} | {name: sql for name, (_, sql) in FOLDS.items()} | INDEPENDENT
+    from . import kernels
+
+    return kernels.oracle_sql() | {name: q.duckdb() for name, q in SQL.items()} | {name: sql for name, (_, sql) in FOLDS.items()} | INDEPENDENT

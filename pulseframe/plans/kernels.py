@@ -1,14 +1,18 @@
-"""Queries over the numerical kernels and pipelines; DuckDB has no counterpart, so NumPy tests hold them."""
+"""Queries over the numerical kernels and pipelines; filters, spectra and text have an oracle of their own, NumPy tests hold the rest."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import _sql, matching
+from ..config import DEFAULT
+from ..functions import dsp
+from ..operators import _sql, matching, samples
 from ..sources import files, signals
 from ..streaming import edge
-from . import pipelines
+from . import oracles, pipelines
 
 
 def _signal(text: str):
@@ -39,10 +43,10 @@ def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
-        "welch_psd": lambda s, d: pipelines.spectra(EVENTS(s, d)),
+        "welch_psd": lambda s, d: pipelines.spectra(EVENTS(s, d)).select("recording_id", "k", F.round("freq", 6).alias("freq"), F.round("p", 4).alias("p")),
         "dual_path": lambda s, d: pipelines.waves(SYNTH(s, d)),
-        "bandpass_zero_phase": lambda s, d: pipelines.waves(SYNTH(s, d)).select("recording_id", "idx", "qrs"),
-        "notch": lambda s, d: pipelines.waves(SYNTH(s, d)).select("recording_id", "idx", "notched"),
+        "bandpass_zero_phase": lambda s, d: pipelines.waves(SYNTH(s, d)).select("recording_id", "idx", F.round("qrs", 6).alias("qrs")),
+        "notch": lambda s, d: pipelines.waves(SYNTH(s, d)).select("recording_id", "idx", F.round("notched", 6).alias("notched")),
         "r_peaks": lambda s, d: pipelines.beats(SYNTH(s, d)),
         "r_peaks_chunked": lambda s, d: pipelines.beats_chunked(EVENTS(s, d), 360.0, 2.0, 0.5),
         "peak_details": lambda s, d: pipelines.peak_details(SYNTH(s, d)),
@@ -57,3 +61,16 @@ def queries() -> dict:
         "edge_chunks": lambda s, d: edge.batch(SYNTH(s, d), 360.0),
         "text_report": lambda s, d: files.report(pipelines.process(SYNTH(s, d))),
     }
+
+
+def oracle_sql() -> dict[str, str]:
+    duck = lambda text: re.sub(r"\{(\w+)\}", r"\1", _sql.render(text, "duckdb"))
+    synth, events = duck(signals.SYNTH), duck(signals.EVENTS)
+    flat = duck(f"SELECT recording_id, idx, v - m AS v FROM ({samples.moving_mean(samples.odd(0.6, 360.0))}) AS fl".replace("{s}", f"({signals.SYNTH})"))
+    return {
+        "welch_psd": oracles.welch(events, 360.0, 256),
+        "notch": oracles.zero_phase(synth, dsp.notch(50.0, DEFAULT.notch_q, 360.0), "notched"),
+        "bandpass_zero_phase": oracles.zero_phase(flat, dsp.butter(4, *DEFAULT.qrs_band, 360.0), "qrs"),
+        "csv_signal_scan": oracles.text_scan(synth, 360.0),
+        "fs_inference": oracles.rates(synth, 360.0),
+    }
