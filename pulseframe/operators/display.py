@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from ..sources.signals import NOISE
+
 #: Perturbed copies of every recording; ``kind`` names the copy. Which samples go missing follows from their number.
 PERTURBATIONS = """
 SELECT a.recording_id, kind, idx,
        CASE kind WHEN 'baseline' THEN v + 0.5 * sin(0.6283185307179586 * idx / 360.0) WHEN 'powerline' THEN v + 0.3 * sin(0.8726646259971648 * idx) WHEN 'inverted' THEN -v
+                 WHEN 'emg' THEN v + 0.8 * {noise} WHEN 'motion' THEN v + CASE WHEN idx >= n / 2 - 0.5 AND idx < n / 2 - 0.5 + 720 THEN 2.0 * {noise} ELSE 0.0 END WHEN 'combined' THEN v + 0.3 * sin(0.0026179938779914945 * idx) + 0.3 * {noise}
                  WHEN 'missing' THEN CASE WHEN idx % 10 <> 3 THEN v END WHEN 'saturated' THEN greatest(-cap, least(cap, v)) ELSE v END AS v
-FROM {s} AS a JOIN (SELECT recording_id AS rid, PCT(abs(v), 0.85) AS cap FROM {s} AS b GROUP BY recording_id) AS c ON a.recording_id = rid
-CROSS JOIN (SELECT 'clean' AS kind UNION ALL SELECT 'baseline' UNION ALL SELECT 'powerline' UNION ALL SELECT 'inverted' UNION ALL SELECT 'missing' UNION ALL SELECT 'saturated') AS k
-"""
+FROM {s} AS a JOIN (SELECT recording_id AS rid, count(*) AS n, PCT(abs(v), 0.85) AS cap FROM {s} AS b GROUP BY recording_id) AS c ON a.recording_id = rid
+CROSS JOIN (SELECT 'clean' AS kind UNION ALL SELECT 'baseline' UNION ALL SELECT 'powerline' UNION ALL SELECT 'inverted' UNION ALL SELECT 'missing' UNION ALL SELECT 'saturated' UNION ALL SELECT 'emg' UNION ALL SELECT 'motion' UNION ALL SELECT 'combined') AS k
+""".replace("{noise}", NOISE)
 PERTURBATION_FACTS = f"SELECT recording_id, kind, count(*) AS n, count(v) AS present, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS sd, round(max(abs(v)), 6) AS peak FROM ({PERTURBATIONS}) AS p GROUP BY recording_id, kind"
 
 #: Measured differences between a raw wave ``s`` and a processed one ``f``, and the findings they stand for.
@@ -17,8 +20,10 @@ WHAT_CHANGED = """
 SELECT recording_id, round(noise_ratio, 5) AS noise_ratio, round(amplitude_ratio, 5) AS amplitude_ratio, round(removed_pct, 4) AS removed_pct,
        CASE WHEN noise_ratio < 0.85 THEN 'high-frequency noise reduced' WHEN abs(noise_ratio - 1) < 0.15 THEN 'noise level preserved' ELSE '' END AS noise_finding,
        CASE WHEN amplitude_ratio BETWEEN 0.85 AND 1.15 THEN 'morphology preserved' WHEN amplitude_ratio < 0.85 THEN 'amplitude reduced' ELSE '' END AS amplitude_finding,
+       round(snr_after - snr_before, 5) AS snr_change, CASE WHEN snr_after - snr_before > 1 THEN 'SNR improved' WHEN abs(snr_after - snr_before) <= 1 THEN 'SNR stable' ELSE '' END AS snr_finding,
        CASE WHEN removed_pct < 5 THEN 'small' WHEN removed_pct < 25 THEN 'moderate' ELSE 'significant' END AS removed_finding
-FROM (SELECT recording_id, stddev_pop(df) / NULLIF(stddev_pop(ds), 0) AS noise_ratio, PCT(abs(f), 0.95) / NULLIF(PCT(abs(s), 0.95), 0) AS amplitude_ratio, 100 * sqrt(avg((s - f) * (s - f))) / NULLIF(sqrt(avg(f * f)), 0) AS removed_pct
+FROM (SELECT recording_id, stddev_pop(df) / NULLIF(stddev_pop(ds), 0) AS noise_ratio, PCT(abs(f), 0.95) / NULLIF(PCT(abs(s), 0.95), 0) AS amplitude_ratio, 100 * sqrt(avg((s - f) * (s - f))) / NULLIF(sqrt(avg(f * f)), 0) AS removed_pct,
+             20 * log10((PCT(s, 0.95) - PCT(s, 0.05)) / NULLIF(stddev_pop(ds) / sqrt(2.0), 0)) AS snr_before, 20 * log10((PCT(f, 0.95) - PCT(f, 0.05)) / NULLIF(stddev_pop(df) / sqrt(2.0), 0)) AS snr_after
       FROM (SELECT a.recording_id, a.v AS s, b.v AS f, a.v - lag(a.v) OVER (PARTITION BY a.recording_id ORDER BY a.idx) AS ds, b.v - lag(b.v) OVER (PARTITION BY a.recording_id ORDER BY a.idx) AS df
             FROM {s} AS a JOIN {f} AS b ON a.recording_id = b.recording_id AND a.idx = b.idx) AS c GROUP BY recording_id) AS d
 """

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..operators import _sql, display, folds, intervals, matching, quality, samples, spectral
 from ..sources import signals
 
-TABLES = ("events", "lineitem", "nation", "supplier", "customer", "orders", "embeddings")
+TABLES = ("region", "events", "lineitem", "nation", "supplier", "customer", "orders", "embeddings")
 
 #: Segments and detectors of the event series take a nominal 36 Hz, so that recordings have many segments.
 FS = 36.0
@@ -122,6 +122,9 @@ SQL: dict[str, Sql] = {
     "qrs_width": Sql(matching.qrs_width(), {"p": SYNTH_PEAKS, "s": signals.SYNTH}),
     "st_level": Sql(matching.st_level(), {"p": SYNTH_PEAKS, "s": signals.SYNTH}),
     "morphology_corr": Sql(matching.morphology(), {"p": SYNTH_PEAKS, "f": SMOOTH, "s": signals.SYNTH}),
+    # generators
+    "sine_wave": Sql(f"SELECT recording_id, idx, round(v, 6) AS v FROM ({signals.SINE}) AS sw", {}),
+    "pulse_wave": Sql(f"SELECT recording_id, idx, round(v, 6) AS v FROM ({signals.PULSES}) AS pw", {}),
     # display
     "perturbations": Sql(display.PERTURBATION_FACTS, S),
     "what_changed": Sql(display.WHAT_CHANGED, {"f": SMOOTH, "s": signals.SYNTH}),

@@ -45,8 +45,8 @@ def queries() -> dict:
     return {
         "welch_psd": lambda s, d: pipelines.spectra(EVENTS(s, d)).select("recording_id", "k", F.round("freq", 6).alias("freq"), F.round("p", 4).alias("p")),
         "dual_path": lambda s, d: pipelines.waves(SYNTH(s, d)),
-        "bandpass_zero_phase": lambda s, d: pipelines.waves(SYNTH(s, d)).select("recording_id", "idx", F.round("qrs", 6).alias("qrs")),
-        "notch": lambda s, d: pipelines.waves(SYNTH(s, d)).select("recording_id", "idx", F.round("notched", 6).alias("notched")),
+        "bandpass_zero_phase": lambda s, d: pipelines.waves(SYNTH(s, d)).select("recording_id", "idx", F.round("qrs", 5).alias("qrs")),
+        "notch": lambda s, d: pipelines.waves(SYNTH(s, d)).select("recording_id", "idx", F.round("notched", 5).alias("notched")),
         "r_peaks": lambda s, d: pipelines.beats(SYNTH(s, d)),
         "r_peaks_chunked": lambda s, d: pipelines.beats_chunked(EVENTS(s, d), 360.0, 2.0, 0.5),
         "peak_details": lambda s, d: pipelines.peak_details(SYNTH(s, d)),
@@ -59,6 +59,8 @@ def queries() -> dict:
         "csv_signal_scan": text_scan,
         "fs_inference": rates,
         "edge_chunks": lambda s, d: edge.batch(SYNTH(s, d), 360.0),
+        "benchmark_report": lambda s, d: files.benchmark_report(pipelines.process(SYNTH(s, d), metrics=True)),
+        "runtime_metrics": lambda s, d: pipelines.process(SYNTH(s, d), metrics=True).select("recording_id", "n_samples", "processing_s", "samples_per_s", "realtime_ratio"),
         "text_report": lambda s, d: files.report(pipelines.process(SYNTH(s, d))),
     }
 

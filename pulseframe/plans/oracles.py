@@ -28,7 +28,7 @@ def zero_phase(signal: str, sos, column: str) -> str:
             steps.append(f"{way}{k + 1} AS ({_section(at, *row[:3], *row[4:], tuple(zi), 'x0')})")
             at = f"{way}{k + 1}"
     steps.append(f"y AS (SELECT recording_id, list_reverse(ys)[{pad + 1} : len(ys) - {pad}] AS ys FROM {at})")
-    return f"WITH {', '.join(steps)} SELECT recording_id, unnest(generate_series(0, len(ys) - 1)) AS idx, round(unnest(ys), 6) AS {column} FROM y"
+    return f"WITH {', '.join(steps)} SELECT recording_id, unnest(generate_series(0, len(ys) - 1)) AS idx, round(unnest(ys), 5) AS {column} FROM y"
 
 
 def welch(signal: str, fs: float, nperseg: int) -> str:

@@ -178,3 +178,19 @@ def report(results: DataFrame) -> DataFrame:
         line("SNR gain", num("snr_improvement_db", "dB")), line("Pulse rate", num("pulse_rate_bpm", "bpm")), line("Warnings", F.coalesce(F.nullif(F.array_join("warnings", "; "), F.lit("")), F.lit("none"))),
     )
     return results.select("recording_id", F.array_join(lines, "\n").alias("value"))
+
+
+def benchmark_report(results: DataFrame) -> DataFrame:
+    """A plain-text report of a timed run (``process(..., metrics=True)``) per recording: quality, what it took, signal and alert figures."""
+    known = lambda c, form: F.when(F.col(c).isNotNull(), F.format_string(form, F.col(c))).otherwise("unavailable")
+    fact = lambda label, value: F.concat(F.rpad(F.lit(f"  {label}"), 28, " "), F.lit(": "), value)
+    head = lambda title: F.lit(title)
+    pace = F.when(F.col("realtime_ratio") < 1, "faster than real time").otherwise("slower than real time")
+    lines = F.array(
+        fact("recording", F.col("recording_id")), fact("duration", known("duration_s", "%.1f s")), fact("sampling rate", known("fs", "%.0f Hz")),
+        head("A. Quality"), fact("signal", F.coalesce("signal_quality", F.lit("unavailable"))), fact("beats", F.col("n_beats").cast("string")), fact("rhythm", F.coalesce("rhythm_label", F.lit("unavailable"))),
+        head("B. Runtime"), fact("processing time", known("processing_s", "%.4f s")), fact("samples per second", known("samples_per_s", "%.0f")), fact("real-time ratio", known("realtime_ratio", "%.4f")), fact("pace", pace),
+        head("C. Signal"), fact("SNR before", known("snr_proxy_before_db", "%.1f dB")), fact("SNR after", known("snr_proxy_after_db", "%.1f dB")), fact("muscle noise", F.coalesce("emg_severity", F.lit("unavailable"))),
+        head("D. Alerts"), fact("possible VT", F.coalesce(F.col("possible_vt").cast("string"), F.lit("unavailable"))), fact("possible VF", F.coalesce(F.col("possible_vf").cast("string"), F.lit("unavailable"))), fact("latency", known("detection_latency_s", "%.2f s")),
+    )
+    return results.select("recording_id", F.array_join(lines, "\n").alias("value"))

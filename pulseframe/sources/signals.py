@@ -23,6 +23,20 @@ FROM (SELECT recording_id, idx, period, tone, CAST(floor((idx + period / 2.0) /
 """
 
 
+#: A number between -3 and 3 for every sample, of mean 0 and variance 1, that looks like noise and is the same wherever it is computed.
+NOISE = "(2.0 * (" + " + ".join(f"((idx * idx * {a} + idx * {b} + 17) % 1000003) / 1000003" for a, b in ((7919, 104729), (15485, 32452), (98765, 1299))) + " - 1.5))"
+
+#: A minute of a sine of 1.2 Hz with a little noise, to time the engine with; no beats.
+SINE = f"SELECT 'sine' AS recording_id, idx, sin({2 * 3.141592653589793 * 1.2 / 360.0} * idx) + 0.05 * {NOISE} AS v FROM (SELECT x AS idx FROM (SELECT 1 AS one) AS a, SEQ(0, 21599, u, x)) AS b"
+
+#: Pulse waves at 100 Hz, one recording a region: a systolic hump and a lesser, later one for each pulse.
+PULSES = """
+SELECT recording_id, idx, exp(-pow((idx - beat * period - 15) / 8.0, 2)) + 0.35 * exp(-pow((idx - beat * period - 40) / 12.0, 2)) AS v, period
+FROM (SELECT recording_id, idx, period, CAST(floor(idx / (period * 1.0)) AS BIGINT) AS beat
+      FROM (SELECT r_name AS recording_id, CAST(round(100 * 60.0 / (55 + 10 * r_regionkey)) AS BIGINT) AS period, x AS idx FROM {region}, SEQ(0, 1999, u, x)) AS a) AS b
+"""
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -39,7 +53,7 @@ def normalize(signal: DataFrame) -> DataFrame:
     return signal.withColumn("v", F.when(~(F.isnan(v) | (F.abs(v) == float("inf"))), v))
 
 
-def validate(signal: DataFrame, recordings: DataFrame, fs_min: float = 50.0, fs_max: float = 10_000.0, min_samples: int = 100) -> DataFrame:
+def validate(signal: DataFrame, recordings: DataFrame, fs_min: float = 50.0, fs_max: float = 10_000.0, min_samples: int = 100, min_duration_s: float = 2.0) -> DataFrame:
     """``recording_id, valid, message``: a bad recording is a row that says so, not a failed job."""
     facts = signal.groupBy("recording_id").agg(F.count(F.lit(1)).alias("n"), F.count("v").alias("finite"))
     fs, n = F.col("fs"), F.coalesce(F.col("n"), F.lit(0))
@@ -47,6 +61,7 @@ def validate(signal: DataFrame, recordings: DataFrame, fs_min: float = 50.0, fs_
         F.when(fs.isNull() | F.isnan(fs), "sampling rate is missing")
         .when((fs < fs_min) | (fs > fs_max), F.format_string("sampling rate %.1f Hz is outside %.0f to %.0f Hz", fs, F.lit(fs_min), F.lit(fs_max)))
         .when(n < min_samples, F.format_string("too short: %d samples, at least %d are needed", n, F.lit(min_samples)))
+        .when(n / fs < min_duration_s, F.format_string("too short: %.2f s, at least %.1f s are needed", n / fs, F.lit(min_duration_s)))
         .when(F.coalesce(F.col("finite"), F.lit(0)) == 0, "no finite sample")
     )
     return recordings.join(facts, "recording_id", "left").select("recording_id", message.isNull().alias("valid"), F.coalesce(message, F.lit("OK")).alias("message"))

@@ -47,9 +47,11 @@ def test_arrays_and_wfdb(spark, tmp_path):
 
 def test_validation_is_a_row(spark):
     sig = spark.createDataFrame([("a", k, 1.0) for k in range(120)] + [("b", k, None) for k in range(120)] + [("c", 0, 1.0)], "recording_id string, idx long, v double")
-    rec = spark.createDataFrame([("a", 360.0), ("b", 360.0), ("c", 360.0), ("d", 10.0), ("e", None)], "recording_id string, fs double")
+    rec = spark.createDataFrame([("a", 50.0), ("b", 50.0), ("c", 50.0), ("d", 10.0), ("e", None)], "recording_id string, fs double")
     got = {r.recording_id: r.valid for r in signals.validate(sig, rec).collect()}
     assert got == {"a": True, "b": False, "c": False, "d": False, "e": False}
+    short = signals.validate(sig, rec.withColumn("fs", F.lit(360.0))).filter("recording_id = 'a'").first()
+    assert not short.valid and "0.33 s" in short.message
     out = {r.recording_id: r for r in pipelines.process(sig, 360.0).collect()}
     assert out["a"].valid and not out["b"].valid and "100" in out["c"].validation_message
     assert pipelines.process(sig.filter("recording_id = 'a'"), 360.0, "eeg").first().valid is False
