@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..sources.signals import NOISE
+from .spectral import low_share
 
 #: Perturbed copies of every recording; ``kind`` names the copy. Which samples go missing follows from their number.
 PERTURBATIONS = """
@@ -15,9 +16,13 @@ CROSS JOIN (SELECT 'clean' AS kind UNION ALL SELECT 'baseline' UNION ALL SELECT
 """.replace("{noise}", NOISE)
 PERTURBATION_FACTS = f"SELECT recording_id, kind, count(*) AS n, count(v) AS present, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS sd, round(max(abs(v)), 6) AS peak FROM ({PERTURBATIONS}) AS p GROUP BY recording_id, kind"
 
-#: Measured differences between a raw wave ``s`` and a processed one ``f``, and the findings they stand for.
-WHAT_CHANGED = """
-SELECT recording_id, round(noise_ratio, 5) AS noise_ratio, round(amplitude_ratio, 5) AS amplitude_ratio, round(removed_pct, 4) AS removed_pct,
+
+def what_changed(fs: float = 360.0) -> str:
+    """Measured differences between a raw wave ``s`` and a processed one ``f``, and the findings they stand for."""
+    low = low_share("0", fs, 512)
+    return f"""
+SELECT recording_id, round(noise_ratio, 5) AS noise_ratio, round(amplitude_ratio, 5) AS amplitude_ratio, round(removed_pct, 4) AS removed_pct, round(low_before, 5) AS low_before, round(low_after, 5) AS low_after,
+       CASE WHEN round(low_before - low_after, 9) > 0.05 THEN 'baseline wander reduced' WHEN round(low_after - low_before, 9) > 0.05 THEN 'low-frequency content retained' ELSE '' END AS low_finding,
        CASE WHEN noise_ratio < 0.85 THEN 'high-frequency noise reduced' WHEN abs(noise_ratio - 1) < 0.15 THEN 'noise level preserved' ELSE '' END AS noise_finding,
        CASE WHEN amplitude_ratio BETWEEN 0.85 AND 1.15 THEN 'morphology preserved' WHEN amplitude_ratio < 0.85 THEN 'amplitude reduced' ELSE '' END AS amplitude_finding,
        round(snr_after - snr_before, 5) AS snr_change, CASE WHEN snr_after - snr_before > 1 THEN 'SNR improved' WHEN abs(snr_after - snr_before) <= 1 THEN 'SNR stable' ELSE '' END AS snr_finding,
@@ -25,9 +30,12 @@ SELECT recording_id, round(noise_ratio, 5) AS noise_ratio, round(amplitude_ratio
 FROM (SELECT recording_id, stddev_pop(df) / NULLIF(stddev_pop(ds), 0) AS noise_ratio, PCT(abs(f), 0.95) / NULLIF(PCT(abs(s), 0.95), 0) AS amplitude_ratio, 100 * sqrt(avg((s - f) * (s - f))) / NULLIF(sqrt(avg(f * f)), 0) AS removed_pct,
              20 * log10((PCT(s, 0.95) - PCT(s, 0.05)) / NULLIF(stddev_pop(ds) / sqrt(2.0), 0)) AS snr_before, 20 * log10((PCT(f, 0.95) - PCT(f, 0.05)) / NULLIF(stddev_pop(df) / sqrt(2.0), 0)) AS snr_after
       FROM (SELECT a.recording_id, a.v AS s, b.v AS f, a.v - lag(a.v) OVER (PARTITION BY a.recording_id ORDER BY a.idx) AS ds, b.v - lag(b.v) OVER (PARTITION BY a.recording_id ORDER BY a.idx) AS df
-            FROM {s} AS a JOIN {f} AS b ON a.recording_id = b.recording_id AND a.idx = b.idx) AS c GROUP BY recording_id) AS d
+            FROM {{s}} AS a JOIN {{f}} AS b ON a.recording_id = b.recording_id AND a.idx = b.idx) AS c GROUP BY recording_id) AS d
+LEFT JOIN (SELECT recording_id AS r1, low AS low_before FROM ({low}) AS l1) AS l2 ON recording_id = r1
+LEFT JOIN (SELECT recording_id AS r2, low AS low_after FROM ({low.replace("{s}", "{f}")}) AS l3) AS l4 ON recording_id = r2
 """
 
+
 #: Reliability of detections: by the batch rule from quality and regularity, and by the segment rule.
 RELIABILITY = """
 SELECT f.recording_id, round(least(1.0, greatest(0.0, 0.5 * quality + 0.5 * greatest(0.0, 1 - 2 * cv) - least(0.5, 2 * emg))), 6) AS batch_reliability,

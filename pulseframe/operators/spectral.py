@@ -48,3 +48,30 @@ def powerline(fs: float = 360.0, nperseg: int = 64, freq: float = 50.0) -> str:
 SELECT recording_id, round(10 * log10((peak + 1e-5) / (floor_ + 1e-5)), 2) AS over_floor_db, 10 * log10((peak + 1e-5) / (floor_ + 1e-5)) > 10 AS powerline
 FROM (SELECT recording_id, max(CASE WHEN bin = {k} THEN p END) AS peak, MEDIAN(CASE WHEN bin NOT BETWEEN {k - 5} AND {k + 5} THEN p END) AS floor_ FROM ({psd(fs, nperseg)}) AS f GROUP BY recording_id) AS g
 """
+
+
+def low_share(group: str = "0", fs: float = 360.0, nperseg: int = 256, below: float = 1.0) -> str:
+    """Share of Welch's power below a frequency for every ``group`` of a recording, without a transform.
+
+    The whole power is the energy of the windowed samples (Parseval), so only the
+    few low bins are summed: a sample costs two rows, whatever the length. What
+    is missing is taken out first; groups under 32 samples have a share of 0.
+    """
+    bins = [k for k in range(1, nperseg // 2 + 1) if k * fs < below * nperseg]
+    wave = "2 * pi() * {k} * i / l"
+    low = " + ".join(["sum(y) * sum(y)"] + [f"CASE WHEN {k} * {fs} < {below} * max(l) AND {2 * k} <= max(l) THEN CASE WHEN {2 * k} = max(l) THEN 1 ELSE 2 END * (power(sum(y * cos({wave.format(k=k)})), 2) + power(sum(y * sin({wave.format(k=k)})), 2)) ELSE 0 END" for k in bins])
+    return f"""
+SELECT recording_id, grp, CASE WHEN max(m) < 32 OR avg(energy) * {8 / (3 * fs)!r} < 1e-20 THEN 0.0 ELSE least(1.0, greatest(0.0, sum(low) / sum(l * energy))) END AS low
+FROM (SELECT recording_id, grp, seg, max(m) AS m, max(l) AS l, sum(y * y) AS energy, {low} AS low
+      FROM (SELECT recording_id, grp, seg, m, l, i, (v - avg(v) OVER (PARTITION BY recording_id, grp, seg)) * (0.5 - 0.5 * cos(2 * pi() * i / l)) AS y
+            FROM (SELECT recording_id, grp, m, l, hop, v, place, seg, place - seg * hop AS i
+                  FROM (SELECT recording_id, grp, m, l, hop, v, place, CAST(floor(place / hop) AS BIGINT) - o AS seg
+                        FROM (SELECT *, l - CAST(floor(l / 2) AS BIGINT) AS hop
+                              FROM (SELECT *, least({nperseg}, m) AS l
+                                    FROM (SELECT recording_id, grp, v, row_number() OVER (PARTITION BY recording_id, grp ORDER BY idx) - 1 AS place, count(*) OVER (PARTITION BY recording_id, grp) AS m
+                                          FROM (SELECT recording_id, idx, v, {group} AS grp FROM {{s}} AS la WHERE v IS NOT NULL) AS lb) AS lc) AS ld) AS le, SEQ(0, 1, lu, o)) AS lf
+                  WHERE seg >= 0 AND seg * hop <= m - l) AS lg
+            WHERE i < l) AS lh
+      GROUP BY recording_id, grp, seg) AS li
+GROUP BY recording_id, grp
+"""

@@ -94,6 +94,7 @@ SQL: dict[str, Sql] = {
     "status_rollup": Sql(quality.status_rollup(FS), G),
     "hist_entropy": Sql(quality.hist_entropy(), E),
     "segment_kl_shift": Sql(quality.segment_kl_shift(FS), E),
+    "segment_drift": Sql(quality.segment_drift(FS), G),
     "noise_type_vote": Sql(quality.noise_type_vote(), {"s": PROFILES}),
     "dominant_emg": Sql(quality.DOMINANT_EMG, {"s": SEGMENT_EMG}),
     # peaks, intervals, rules
@@ -127,7 +128,7 @@ SQL: dict[str, Sql] = {
     "pulse_wave": Sql(f"SELECT recording_id, idx, round(v, 6) AS v FROM ({signals.PULSES}) AS pw", {}),
     # display
     "perturbations": Sql(display.PERTURBATION_FACTS, S),
-    "what_changed": Sql(display.WHAT_CHANGED, {"f": SMOOTH, "s": signals.SYNTH}),
+    "what_changed": Sql(display.what_changed(), {"f": SMOOTH, "s": signals.SYNTH}),
     "detection_reliability": Sql(display.RELIABILITY, {"f": f"SELECT recording_id, cv, beats, n * mean AS span FROM ({intervals.FEATURES}) AS fe", "q": "SELECT DISTINCT recording_id, 0.1 * (length(recording_id) % 10) AS quality, 0.05 * (length(recording_id) % 4) AS emg FROM {p}"} | P),
     "rhythm_match": Sql(display.rhythm_match(), {"l": f"SELECT a.recording_id, a.label, b.label AS reference FROM ({intervals.RHYTHM_LABEL}) AS a JOIN ({intervals.RHYTHM_MODULAR}) AS b ON a.recording_id = b.recording_id"} | P),
     "motion_label": Sql(display.MOTION, {"s": quality.SIGNAL_QUALITY.replace("{s}", f"({signals.EVENTS})")}),
