@@ -158,6 +158,61 @@ def decode_wfdb(name: str, head: str, content: bytes) -> pd.DataFrame:
     return pd.concat(parts)
 
 
+#: Fixed values of the WFDB annotation format: the symbol of every beat or event code.
+ANNOTATION_SYMBOLS = {1: "N", 2: "L", 3: "R", 4: "a", 5: "V", 6: "F", 7: "J", 8: "A", 9: "S", 10: "E", 11: "j", 12: "/", 13: "Q", 14: "~", 16: "|", 18: "s", 19: "T", 20: "*", 21: "D", 22: '"', 23: "=", 24: "p", 25: "B", 26: "^", 27: "t", 28: "+", 29: "u", 30: "?", 31: "!", 32: "[", 33: "]", 34: "e", 35: "n", 36: "@", 37: "x", 38: "f", 39: "(", 40: ")", 41: "r"}
+ANNOTATIONS = "recording_id string, idx long, symbol string, subtype int, channel int, number int, note string, message string"
+
+
+def read_annotations(spark: SparkSession, path: str, suffix: str = "atr") -> DataFrame:
+    """Annotations of WFDB records, a row each; ``recording_id`` is that of ``read_wfdb``. A file that breaks off gives what it has and a row that says so."""
+    ship(spark)
+    raw = spark.read.format("binaryFile").load(path).filter(F.col("path").endswith(f".{suffix}"))
+    named = raw.select(F.regexp_replace("path", rf"\.{suffix}$", "").alias("recording_id"), "content")
+
+    def load(batches):
+        for pdf in batches:
+            for name, content in zip(pdf["recording_id"], pdf["content"], strict=True):
+                yield decode_annotations(name, content)
+
+    return named.mapInPandas(load, ANNOTATIONS)
+
+
+def decode_annotations(name: str, content: bytes) -> pd.DataFrame:
+    """Words of 16 bits: six of code and ten of time since the annotation before; codes from 59 on extend their neighbour (a long step ahead of it, fields and a note behind it). Channel and number stay until they are set again."""
+    words, rows, message = np.frombuffer(content[: len(content) // 2 * 2], "<u2").tolist(), [], "file breaks off"
+    time, channel, number, at = 0, 0, 0, 0
+    signed = lambda x: x - 1024 if x >= 512 else x
+    while at < len(words):
+        code, value = words[at] >> 10, words[at] & 0x3FF
+        at += 1
+        if code == 0 and value == 0:
+            message = None
+            break
+        if code == 59:  # the step is a long one: its high half first
+            if at + 2 > len(words):
+                break
+            step = words[at] << 16 | words[at + 1]
+            time += step - (1 << 32) if step >= 1 << 31 else step
+            at += 2
+        elif code == 63:
+            if at * 2 + value > len(content):
+                break
+            if rows:
+                rows[-1]["note"] = content[2 * at : 2 * at + value].rstrip(b"\0").decode("latin-1")
+            at += (value + 1) // 2
+        elif code in (60, 61, 62):
+            number, channel = (signed(value) if code == 60 else number), (value if code == 62 else channel)
+            if rows:
+                rows[-1] |= {60: {"number": number}, 61: {"subtype": signed(value)}, 62: {"channel": channel}}[code]
+        else:
+            time += value
+            rows.append({"recording_id": name, "idx": time, "symbol": ANNOTATION_SYMBOLS.get(code), "subtype": 0, "channel": channel, "number": number, "note": None, "message": None})
+    if message:
+        rows.append({"recording_id": name, "message": message})
+    columns = [c.split()[0] for c in ANNOTATIONS.split(", ")]
+    return pd.DataFrame(rows, columns=columns).astype({c: "Int64" for c in ("idx", "subtype", "channel", "number")})
+
+
 def read_signal(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
     """By suffix: text, ``.npy``/``.npz``, ``.dat``/``.hea``; anything else is tried as text."""
     suffix = (kind or path.rsplit(".", 1)[-1]).lower()

@@ -233,3 +233,19 @@ def test_table_functions(spark):
     spark.createDataFrame([(x.tolist(),)], "v array<double>").createOrReplaceTempView("one_wave")
     assert spark.sql("SELECT p.* FROM one_wave, LATERAL detect_peaks(v, 360.0D) p").count() == 12
     assert spark.sql("SELECT p.* FROM one_wave, LATERAL welch_psd(v, 360.0D, 256) p").count() == 129
+
+
+def test_wfdb_annotations(spark, tmp_path):
+    word = lambda code, value: (code << 10 | value).to_bytes(2, "little")
+    long = lambda step: (step >> 16 & 0xFFFF).to_bytes(2, "little") + (step & 0xFFFF).to_bytes(2, "little")
+    body = word(28, 18) + word(63, 3) + b"(N\0\0" + word(1, 77) + word(59, 0) + long(70000) + word(5, 0) + word(61, 1023) + word(62, 1) + word(59, 0) + long(-100 & 0xFFFFFFFF) + word(1, 5) + word(60, 3)
+    (tmp_path / "r.atr").write_bytes(body + word(0, 0))
+    (tmp_path / "cut.atr").write_bytes(body[:12] + b"\x01")
+    (tmp_path / "none.atr").write_bytes(word(0, 0))
+    (tmp_path / "r.hea").write_text("r 1 360 0")
+    got = {}
+    for r in files.read_annotations(spark, str(tmp_path)).collect():
+        got.setdefault(r.recording_id.rsplit("/", 1)[-1], []).append(tuple(r)[1:])
+    assert got["r"] == [(18, "+", 0, 0, 0, "(N", None), (95, "N", 0, 0, 0, None, None), (70095, "V", -1, 1, 0, None, None), (70000, "N", 0, 1, 3, None, None)]
+    assert got["cut"] == [(18, "+", 0, 0, 0, "(N", None), (95, "N", 0, 0, 0, None, None), (None, None, None, None, None, None, "file breaks off")]
+    assert "none" not in got
