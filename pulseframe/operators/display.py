@@ -10,9 +10,9 @@ PERTURBATIONS = """
 SELECT a.recording_id, kind, idx,
        CASE kind WHEN 'baseline' THEN v + 0.5 * sin(0.6283185307179586 * idx / 360.0) WHEN 'powerline' THEN v + 0.3 * sin(0.8726646259971648 * idx) WHEN 'inverted' THEN -v
                  WHEN 'emg' THEN v + 0.8 * {noise} WHEN 'motion' THEN v + CASE WHEN idx >= n / 2 - 0.5 AND idx < n / 2 - 0.5 + 720 THEN 2.0 * {noise} ELSE 0.0 END WHEN 'combined' THEN v + 0.3 * sin(0.0026179938779914945 * idx) + 0.3 * {noise}
-                 WHEN 'missing' THEN CASE WHEN idx % 10 <> 3 THEN v END WHEN 'saturated' THEN greatest(-cap, least(cap, v)) ELSE v END AS v
+                 WHEN 'missing' THEN CASE WHEN idx % 10 <> 3 THEN v END WHEN 'patch' THEN CASE WHEN idx < n / 2 - 0.5 OR idx >= n / 2 - 0.5 + 180 THEN v END WHEN 'powerline60' THEN v + 0.3 * sin(1.0471975511965976 * idx) WHEN 'saturated' THEN greatest(-cap, least(cap, v)) ELSE v END AS v
 FROM {s} AS a JOIN (SELECT recording_id AS rid, count(*) AS n, PCT(abs(v), 0.85) AS cap FROM {s} AS b GROUP BY recording_id) AS c ON a.recording_id = rid
-CROSS JOIN (SELECT 'clean' AS kind UNION ALL SELECT 'baseline' UNION ALL SELECT 'powerline' UNION ALL SELECT 'inverted' UNION ALL SELECT 'missing' UNION ALL SELECT 'saturated' UNION ALL SELECT 'emg' UNION ALL SELECT 'motion' UNION ALL SELECT 'combined') AS k
+CROSS JOIN (SELECT 'clean' AS kind UNION ALL SELECT 'baseline' UNION ALL SELECT 'powerline' UNION ALL SELECT 'inverted' UNION ALL SELECT 'missing' UNION ALL SELECT 'saturated' UNION ALL SELECT 'emg' UNION ALL SELECT 'motion' UNION ALL SELECT 'combined' UNION ALL SELECT 'patch' UNION ALL SELECT 'powerline60') AS k
 """.replace("{noise}", NOISE)
 PERTURBATION_FACTS = f"SELECT recording_id, kind, count(*) AS n, count(v) AS present, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS sd, round(max(abs(v)), 6) AS peak FROM ({PERTURBATIONS}) AS p GROUP BY recording_id, kind"
 

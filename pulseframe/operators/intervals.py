@@ -103,6 +103,21 @@ FROM (SELECT *, least(1.0, greatest(0.0, CASE WHEN n < 6 THEN greatest(0.0, base
                   FROM ({VT}) AS y) AS x) AS w) AS u
 """
 
+#: Rhythm by all batch rules: beats ``p`` and what is known of each recording's wave, ``w(recording_id, seconds, amplitude_cv, wave_entropy, quality, severity)``;
+#: every recording of ``w`` gets a label. Fibrillation needs signs in the wave besides the intervals, and comes before all other labels.
+RHYTHM_BATCH = f"""
+SELECT recording_id, label, round(sure, 4) AS confidence_score, {CONFIDENCE.replace("conf ", "sure ")} AS confidence, is_vt AS possible_vt, is_vf AS possible_vf, round(CASE WHEN is_vt THEN vt ELSE 0 END, 4) AS vt_score, round(CASE WHEN is_vf THEN vf ELSE 0 END, 4) AS vf_score
+FROM (SELECT *, CASE WHEN told THEN least(1.0, greatest(0.0, greatest(0.0, base - CASE WHEN quality IN ('POOR', 'CRITICAL') THEN 0.25 ELSE 0 END) - CASE WHEN severity LIKE '%SEVERE%' THEN 0.35 WHEN severity LIKE '%MODERATE%' THEN 0.15 ELSE 0 END)) ELSE 0.0 END AS sure
+      FROM (SELECT *, CASE label WHEN 'Possible Ventricular Fibrillation' THEN vf WHEN 'Possible Ventricular Tachycardia' THEN vt WHEN 'Possible Atrial Fibrillation' THEN least(0.85, greatest(0.3, 0.5 + 2 * cv)) WHEN 'Sinus Tachycardia' THEN 0.7 + 0.3 * cv_regular WHEN 'Sinus Bradycardia' THEN 0.7 + 0.3 * cv_regular WHEN 'Normal Sinus Rhythm' THEN 0.6 + 0.4 * cv_regular WHEN 'Irregular Rhythm' THEN 0.5 ELSE 0.0 END AS base
+            FROM (SELECT *, CASE WHEN known < 4 THEN 'Unknown / Unclassifiable' WHEN seconds > 0 AND seconds < 5 THEN 'Recording Too Short for Rhythm Analysis' WHEN NOT told THEN 'Unknown / Unclassifiable' WHEN is_vf THEN 'Possible Ventricular Fibrillation' WHEN is_vt THEN 'Possible Ventricular Tachycardia'
+                              WHEN cv >= 0.10 AND pnn50 >= 0.15 AND rmssd > 40 AND entropy > 0.4 THEN 'Possible Atrial Fibrillation' WHEN hr >= 100 THEN 'Sinus Tachycardia' WHEN hr < 60 THEN 'Sinus Bradycardia' WHEN cv_regular > 0.5 THEN 'Normal Sinus Rhythm' ELSE 'Irregular Rhythm' END AS label
+                  FROM (SELECT *, told AND round(vt, 9) >= 0.65 AS is_vt, told AND round(vf, 9) >= 0.55 AS is_vf
+                        FROM (SELECT w.recording_id, seconds, quality, severity, cv, pnn50, rmssd, entropy, hr, cv_regular, vt, coalesce(known, 0) AS known, coalesce(known, 0) >= 4 AND NOT (seconds > 0 AND seconds < 5) AND y.recording_id IS NOT NULL AS told,
+                                     greatest(0.0, CASE WHEN entropy > 0.65 AND cv > 0.20 THEN 0.25 ELSE 0 END + CASE WHEN amplitude_cv > 0.50 THEN 0.20 ELSE 0 END + CASE WHEN wave_entropy > 0.60 THEN 0.25 ELSE 0 END
+                                                   + CASE WHEN seconds >= 5 AND known / greatest(seconds, 1.0) * 60 < 20 AND quality <> 'CRITICAL' THEN 0.30 ELSE 0 END - CASE WHEN quality = 'CRITICAL' AND wave_entropy IS NULL THEN 0.40 ELSE 0 END) AS vf
+                              FROM {{w}} AS w LEFT JOIN (SELECT recording_id AS rw, count(*) AS known FROM {{p}} AS pw GROUP BY recording_id) AS k ON w.recording_id = rw LEFT JOIN ({VT}) AS y ON w.recording_id = y.recording_id) AS v1) AS v2) AS v3) AS v4) AS v5
+"""
+
 # --- alerts -------------------------------------------------------------------
 
 #: Alerts of recordings that a classifier has flagged - ``g(recording_id, possible_vt, possible_vf, vt_evidence, vf_evidence)``, fibrillation first -

@@ -25,6 +25,9 @@ def _signal(text: str):
 
 SYNTH, EVENTS, LINEITEM, GAPS = _signal(signals.SYNTH), _signal(signals.EVENTS), _signal(signals.LINEITEM), _signal(signals.GAPS)
 
+#: Height, distance and prominence of the registered peak scan.
+PEAK_RULE = (20.0, 6, 10.0)
+
 
 def compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four detectors against the true beats."""
@@ -41,6 +44,10 @@ def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.infer_rate(text_scan(spark, sf_dir))
 
 
+def _times(df: DataFrame) -> DataFrame:
+    return df.select(*[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) if c in ("start", "end") else F.round(c, 3).alias(c) if c == "total" else c for c in df.columns])
+
+
 def queries() -> dict:
     return {
         "welch_psd": lambda s, d: pipelines.spectra(EVENTS(s, d)).select("recording_id", "k", F.round("freq", 6).alias("freq"), F.round("p", 4).alias("p")),
@@ -51,6 +58,7 @@ def queries() -> dict:
         "r_peaks_chunked": lambda s, d: pipelines.beats_chunked(EVENTS(s, d), 360.0, 2.0, 0.5),
         "peak_details": lambda s, d: pipelines.peak_details(SYNTH(s, d)),
         "ppg_peaks": lambda s, d: pipelines.beats(SYNTH(s, d), 360.0, ("pulse",)),
+        "find_peaks": lambda s, d: pipelines.local_peaks(EVENTS(s, d), *PEAK_RULE),
         "detector_compare": compare,
         "ecg_pipeline": lambda s, d: pipelines.process(SYNTH(s, d)),
         "ppg_pipeline": lambda s, d: pipelines.process(SYNTH(s, d), 360.0, "ppg"),
@@ -59,6 +67,10 @@ def queries() -> dict:
         "csv_signal_scan": text_scan,
         "fs_inference": rates,
         "edge_chunks": lambda s, d: edge.batch(SYNTH(s, d), 360.0),
+        "perturbation_lab": lambda s, d: pipelines.perturbation_lab(SYNTH(s, d)),
+        "event_windows": lambda s, d: _times(edge.windows(signals.table(s, d, "events"), "1 hour")),
+        "event_windows_hopping": lambda s, d: _times(edge.windows(signals.table(s, d, "events"), "1 hour", "15 minutes")),
+        "event_sessions": lambda s, d: _times(edge.sessions(signals.table(s, d, "events"), "30 minutes")),
         "benchmark_report": lambda s, d: files.benchmark_report(pipelines.process(SYNTH(s, d), metrics=True)),
         "runtime_metrics": lambda s, d: pipelines.process(SYNTH(s, d), metrics=True).select("recording_id", "n_samples", "processing_s", "samples_per_s", "realtime_ratio"),
         "text_report": lambda s, d: files.report(pipelines.process(SYNTH(s, d))),
@@ -73,6 +85,11 @@ def oracle_sql() -> dict[str, str]:
         "welch_psd": oracles.welch(events, 360.0, 256),
         "notch": oracles.zero_phase(synth, dsp.notch(50.0, DEFAULT.notch_q, 360.0), "notched"),
         "bandpass_zero_phase": oracles.zero_phase(flat, dsp.butter(4, *DEFAULT.qrs_band, 360.0), "qrs"),
+        "find_peaks": oracles.peaks(events, PEAK_RULE[0], PEAK_RULE[1], repr(PEAK_RULE[2])),
+        "ppg_peaks": f"SELECT recording_id, 'pulse' AS method, idx FROM ({oracles.peaks(oracles.zero_phase(flat, dsp.butter(4, *DEFAULT.qrs_band, 360.0), 'v', None), distance=int(60 / 220 * 360.0), prominence='0.3 * stddev_pop(v)')})",
+        "event_windows": oracles.event_windows("1 hour", "1 hour", 1),
+        "event_windows_hopping": oracles.event_windows("1 hour", "15 minutes", 4),
+        "event_sessions": oracles.event_sessions("30 minutes"),
         "csv_signal_scan": oracles.text_scan(synth, 360.0),
         "fs_inference": oracles.rates(synth, 360.0),
     }

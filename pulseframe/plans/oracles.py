@@ -13,8 +13,8 @@ def _section(source: str, b0: float, b1: float, b2: float, a1: float, a2: float,
   {{'p': ({zi[0]!r} * {edge})::DOUBLE, 'q': ({zi[1]!r} * {edge})::DOUBLE, 'x': 0.0::DOUBLE, 'out': []::DOUBLE[]}}).out AS ys) FROM {source}"""
 
 
-def zero_phase(signal: str, sos, column: str) -> str:
-    """Forward and backward over an odd extension of ``signal(recording_id, idx, v)``."""
+def zero_phase(signal: str, sos, column: str, digits: int | None = 5) -> str:
+    """Forward and backward over an odd extension of ``signal(recording_id, idx, v)``; ``digits=None`` leaves the values unrounded."""
     trailing = min(int((sos[:, 2] == 0).sum()), int((sos[:, 5] == 0).sum()))
     pad = 3 * (2 * len(sos) + 1 - trailing)
     state = dsp.sos_state(sos).tolist()
@@ -28,7 +28,8 @@ def zero_phase(signal: str, sos, column: str) -> str:
             steps.append(f"{way}{k + 1} AS ({_section(at, *row[:3], *row[4:], tuple(zi), 'x0')})")
             at = f"{way}{k + 1}"
     steps.append(f"y AS (SELECT recording_id, list_reverse(ys)[{pad + 1} : len(ys) - {pad}] AS ys FROM {at})")
-    return f"WITH {', '.join(steps)} SELECT recording_id, unnest(generate_series(0, len(ys) - 1)) AS idx, round(unnest(ys), 5) AS {column} FROM y"
+    value = "unnest(ys)" if digits is None else f"round(unnest(ys), {digits})"
+    return f"WITH {', '.join(steps)} SELECT recording_id, unnest(generate_series(0, len(ys) - 1)) AS idx, {value} AS {column} FROM y"
 
 
 def welch(signal: str, fs: float, nperseg: int) -> str:
@@ -54,3 +55,34 @@ WITH s AS (SELECT recording_id, idx, t - lag(t) OVER (PARTITION BY recording_id
 r AS (SELECT recording_id, round(1 / quantile_cont(step, 0.5), 2) AS fs, max(idx) + 1 AS n FROM s GROUP BY recording_id)
 SELECT recording_id, fs, n / fs AS duration_s, CAST(NULL AS VARCHAR) AS warning FROM r
 """
+
+
+def peaks(signal: str, height: float | None = None, distance: int = 1, prominence: str = "") -> str:
+    """``recording_id, idx`` of local maxima: plateaus count once, in their middle; the highest silences those nearer than ``distance``; a peak stands ``prominence`` (an aggregate of ``v``) above the higher of its two valleys, each reaching to the next higher sample."""
+    lowest = "" if height is None else f" AND v >= {height!r}"
+    kept = f"""
+WITH s AS ({signal}),
+flat AS (SELECT recording_id, run, min(idx) AS a, max(idx) AS b, any_value(v) AS v FROM (SELECT *, count(*) FILTER (moved) OVER (PARTITION BY recording_id ORDER BY idx) AS run FROM (SELECT *, v IS DISTINCT FROM lag(v) OVER (PARTITION BY recording_id ORDER BY idx) AS moved FROM s)) GROUP BY recording_id, run),
+top AS (SELECT recording_id, (a + b) // 2 AS idx, v FROM (SELECT *, lag(v) OVER w AS before, lead(v) OVER w AS after FROM flat WINDOW w AS (PARTITION BY recording_id ORDER BY run)) WHERE v > before AND v > after{lowest}),
+kept AS (SELECT recording_id, unnest(list_reduce(list([idx] ORDER BY v DESC, idx DESC), lambda a, e: CASE WHEN len(list_filter(a, lambda k: abs(k - e[1]) < {distance})) > 0 THEN a ELSE list_concat(a, e) END, []::BIGINT[])) AS idx FROM top GROUP BY recording_id)"""
+    if not prominence:
+        return kept + " SELECT recording_id, idx FROM kept"
+    return kept + f""",
+peak AS (SELECT k.recording_id, k.idx, s.v FROM kept AS k JOIN s USING (recording_id, idx)),
+reach AS (SELECT p.recording_id, p.idx, any_value(p.v) AS v, max(s.idx) FILTER (s.v > p.v AND s.idx < p.idx) AS l, min(s.idx) FILTER (s.v > p.v AND s.idx > p.idx) AS r FROM peak AS p JOIN s USING (recording_id) GROUP BY p.recording_id, p.idx),
+valley AS (SELECT q.recording_id, q.idx, any_value(q.v) - greatest(min(s.v) FILTER (s.idx <= q.idx AND (l IS NULL OR s.idx > l)), min(s.v) FILTER (s.idx >= q.idx AND (r IS NULL OR s.idx < r))) AS height FROM reach AS q JOIN s USING (recording_id) GROUP BY q.recording_id, q.idx)
+SELECT recording_id, idx FROM valley JOIN (SELECT recording_id, {prominence} AS least FROM s GROUP BY recording_id) USING (recording_id) WHERE height >= least"""
+
+
+def event_windows(length: str, slide: str, copies: int) -> str:
+    """Hopping windows of ``events``: each row lies in ``copies`` of them."""
+    return f"""
+SELECT event_type, strftime(start, '%Y-%m-%d %H:%M:%S') AS start, strftime(start + INTERVAL '{length}', '%Y-%m-%d %H:%M:%S') AS "end", count(*) AS n, round(sum(value), 3) AS total, max(value) AS most
+FROM (SELECT event_type, value, time_bucket(INTERVAL '{slide}', ts) - k * INTERVAL '{slide}' AS start FROM events, generate_series(0, {copies - 1}) AS g(k) WHERE ts IS NOT NULL) GROUP BY event_type, start"""
+
+
+def event_sessions(gap: str) -> str:
+    """Sessions of ``events`` by user: a row that comes later than ``gap`` after the one before begins another."""
+    return f"""
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, strftime(max(ts) + INTERVAL '{gap}', '%Y-%m-%d %H:%M:%S') AS "end", count(*) AS n
+FROM (SELECT *, count(*) FILTER (fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM (SELECT *, ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL '{gap}' AS fresh FROM events WHERE ts IS NOT NULL)) GROUP BY user_id, session"""

@@ -16,12 +16,13 @@ from typing import Any
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import DEFAULT, Config
 from ..functions import dsp
+from ..operators import _sql, display
 from ..runtime import ship
 
 RESULT = """recording_id string, modality string, fs double, n_samples long, duration_s double, valid boolean, validation_message string, signal_quality string, signal_quality_score double,
@@ -269,6 +270,21 @@ def process(signal: DataFrame, fs: float = 360.0, modality: str = "ecg", config:
     return dealt.mapInArrow(all_of, schema)
 
 
+def perturbation_lab(signal: DataFrame, fs: float = 360.0, modality: str = "ecg") -> DataFrame:
+    """What the whole pipeline finds in every recording before and after each perturbation (``display.PERTURBATIONS``).
+
+    All copies go through in one pass; a recording's clean copy then meets the
+    others in a window over its few result rows.
+    """
+    copies = _sql.run(display.PERTURBATIONS, s=signal).withColumn("recording_id", F.concat("kind", F.lit(":"), "recording_id"))
+    found = process(copies, fs, modality)
+    facts = {"quality": F.col("signal_quality"), "score": F.round("signal_quality_score", 6), "beats": F.coalesce(F.size("pulse_peaks").cast("long"), "n_beats") if modality == "ppg" else F.col("n_beats"), "rate_bpm": F.round(F.coalesce("pulse_rate_bpm", "heart_rate_bpm"), 4), "reliability": F.round("detection_reliability", 6), "emg_severity": F.col("emg_severity")}
+    cut = F.instr("recording_id", ":")
+    rows = found.select(F.expr("substring(recording_id, instr(recording_id, ':') + 1)").alias("recording_id"), F.col("recording_id").substr(F.lit(1), cut - 1).alias("kind"), F.struct(*[c.alias(k) for k, c in facts.items()]).alias("after"))
+    both = rows.withColumn("before", F.max(F.when(F.col("kind") == "clean", F.col("after"))).over(Window.partitionBy("recording_id")))
+    return both.filter("kind <> 'clean'").select("recording_id", "kind", *[F.col(f"{side}.{k}").alias(f"{k}_{side}") for k in facts for side in ("before", "after")])
+
+
 def waves(signal: DataFrame, fs: float = 360.0) -> DataFrame:
     """Raw, QRS-path and morphology-path waves in one pass over each recording."""
     ship(signal.sparkSession)
@@ -311,6 +327,19 @@ def beats(signal: DataFrame, fs: float = 360.0, methods: tuple[str, ...] = ("ada
     return signal.groupBy("recording_id").applyInPandas(one, "recording_id string, method string, idx long")
 
 
+def local_peaks(signal: DataFrame, height: float | None = None, distance: int = 1, prominence: float | None = None) -> DataFrame:
+    """``recording_id, idx`` of the local maxima that pass the height, then the distance, then the prominence."""
+    ship(signal.sparkSession)
+
+    def all_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, c in _recordings(batches, "v"):
+            at = dsp.find_peaks(dsp.fill_gaps(c["v"].astype(float)), height, distance, prominence)
+            yield pa.record_batch({"recording_id": pa.array([key] * len(at), pa.string()), "idx": pa.array(at, pa.int64())})
+
+    dealt = signal.select("recording_id", "idx", "v").repartition("recording_id").sortWithinPartitions("recording_id", "idx")
+    return dealt.mapInArrow(all_of, "recording_id string, idx long")
+
+
 def beats_chunked(signal: DataFrame, fs: float = 360.0, chunk_s: float = 60.0, overlap_s: float = 1.0) -> DataFrame:
     """Beats of long recordings: samples are dealt to overlapping chunks, which are worked in parallel; each chunk gives only beats past its overlap."""
     ship(signal.sparkSession)
