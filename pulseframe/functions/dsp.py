@@ -348,21 +348,23 @@ def kurtosis(x: np.ndarray) -> float:
 
 
 def powerline(freqs: np.ndarray, p: np.ndarray, n: int, fs: float, freq: float) -> bool:
-    if n < 2 * fs or fs / 2 <= freq * 1.05:
+    if n < int(2 * fs) or fs / 2 <= freq * 1.05:
         return False
     k = int(np.abs(freqs - freq).argmin())
     out = np.ones(len(p), bool)
     out[max(0, k - 5) : k + 6] = False
-    floor = float(np.median(p[out])) if out.any() else 0.0
-    return floor > 0 and p[k] > 0 and 10 * math.log10(p[k] / floor) > 10
+    if not out.any():
+        return False
+    floor = float(np.median(p[out])) + 1e-30
+    return 10 * math.log10(max(float(p[k]), 1e-30) / floor) > 10
 
 
 def emg(x: np.ndarray, freqs: np.ndarray, p: np.ndarray, fs: float) -> tuple[float, str]:
     """Share of power above 100 Hz, or a kurtosis stand-in where the rate is too low for it."""
     if fs / 2 <= 100:
-        k = kurtosis(np.diff(x))
-        return float(np.clip(k / 20, 0, 1)), "SEVERE EMG" if k > 7 else "MODERATE EMG" if k > 3 else "MILD EMG" if k > 1 else "CLEAN"
-    r = float(p[freqs > 100].sum() / p.sum()) if p.sum() > 1e-20 else 0.0
+        r = float(np.clip(kurtosis(np.diff(x)) / 20, 0, 1))
+    else:
+        r = float(p[freqs > 100].sum() / (p.sum() + 1e-30))
     return r, "SEVERE EMG" if r >= 0.35 else "MODERATE EMG" if r >= 0.15 else "MILD EMG" if r >= 0.05 else "CLEAN"
 
 

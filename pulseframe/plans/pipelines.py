@@ -28,7 +28,7 @@ from ..runtime import ship
 RESULT = """recording_id string, modality string, fs double, n_samples long, duration_s double, valid boolean, validation_message string, signal_quality string, signal_quality_score double,
 noise_type string, emg_severity string, emg_energy_ratio double, powerline_50hz boolean, powerline_60hz boolean, snr_proxy_before_db double, snr_proxy_after_db double, snr_improvement_db double, r_peaks array<long>, n_beats long, rr_intervals_s array<double>,
 heart_rate_bpm double, heart_rate_reliable boolean, rhythm_label string, rhythm_confidence string, rhythm_confidence_score double, possible_vt boolean, possible_vf boolean, vt_evidence array<string>, vf_evidence array<string>, detection_latency_s double, latency_target_met boolean,
-qrs_amplitude_before double, qrs_amplitude_after double, st_level_before double, st_level_after double, morphology_score double, detection_reliability double, pulse_peaks array<long>, pulse_rate_bpm double, inter_pulse_intervals_s array<double>, burst_fraction double, missing_fraction double, warnings array<string>"""
+qrs_amplitude_before double, qrs_amplitude_after double, st_level_before double, st_level_after double, morphology_score double, detection_reliability double, pulse_quality string, pulse_peaks array<long>, pulse_rate_bpm double, inter_pulse_intervals_s array<double>, burst_fraction double, missing_fraction double, warnings array<string>"""
 METRICS = ", processing_s double, samples_per_s double, realtime_ratio double"
 NAMES = [part.split()[0] for part in RESULT.replace("\n", " ").split(", ")]
 
@@ -120,86 +120,112 @@ def quality(x: np.ndarray, missing: float = 0.0) -> tuple[float, str]:
 
 
 def morphology(raw: np.ndarray, out: np.ndarray, peaks: np.ndarray, fs: float, most: int = 60) -> dict:
-    """Beat shape before and after filtering, over at most ``most`` evenly spaced beats."""
-    w, gone = int(0.06 * fs), {"qrs_amplitude_before": None, "qrs_amplitude_after": None, "st_level_before": None, "st_level_after": None, "morphology_score": None}
-    peaks = peaks[(peaks - int(0.10 * fs) >= 0) & (peaks + int(0.12 * fs) < len(raw))]
+    """Beat shape before and after filtering, over at most ``most`` evenly spaced beats; both ST levels are above the unfiltered baseline before the beat."""
+    samples = lambda seconds: max(1, int(seconds * fs))
+    half, delay, width = samples(0.06), samples(0.08), samples(0.04)
+    found = dict.fromkeys(("qrs_amplitude_before", "qrs_amplitude_after", "st_level_before", "st_level_after", "morphology_score"))
+    peaks = peaks[(peaks >= half) & (peaks < len(raw) - half - delay - width)]
     if len(peaks) < 3:
-        return gone
+        return found
     if len(peaks) > most:
         peaks = peaks[np.round(np.linspace(0, len(peaks) - 1, most)).astype(int)]
-    cut = lambda v, lo, hi: np.stack([v[p + lo : p + hi] for p in peaks])
-    b, a = cut(raw, -w, w), cut(out, -w, w)
-    ppb, ppa = float(np.median(np.ptp(b, 1))), float(np.median(np.ptp(a, 1)))
-    iso = np.median(cut(raw, -int(0.10 * fs), -int(0.06 * fs)), 1)
-    st = lambda v: float((np.median(cut(v, int(0.08 * fs), int(0.12 * fs)), 1) - iso).mean())
-    r = [np.corrcoef(p, q)[0, 1] for p, q in zip(b, a, strict=True) if p.std() > 0 and q.std() > 0]
-    score = float(np.mean([np.clip(np.mean(r), 0, 1), min(1.0, ppa / ppb)])) if r and ppb > 0 else None
-    return {"qrs_amplitude_before": ppb, "qrs_amplitude_after": ppa, "st_level_before": st(raw), "st_level_after": st(out), "morphology_score": score}
+    before, after = (v[peaks[:, None] + np.arange(-half, half)] for v in (raw, out))
+    ppb, ppa = (float(np.median(np.ptp(m, 1))) for m in (before, after))
+
+    def level(v: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        total = np.r_[0.0, np.cumsum(v)]
+        return (total[hi] - total[lo]) / (hi - lo)
+
+    rest = level(raw, np.maximum(0, peaks - half - width), np.maximum(1, peaks - half))
+    st_before, st_after = (float((level(v, peaks + delay, peaks + delay + width) - rest).mean()) for v in (raw, out))
+    b, a = before - before.mean(1, keepdims=True), after - after.mean(1, keepdims=True)
+    size_b, size_a = np.linalg.norm(b, axis=1), np.linalg.norm(a, axis=1)
+    clear = (size_b > 1e-9) & (size_a > 1e-9)
+    scores = [min(1.0, ppa / ppb)] if ppb > 1e-9 else []
+    if clear.any():
+        scores.append(float(np.clip(((b * a).sum(1)[clear] / (size_b * size_a)[clear]).clip(-1, 1).mean(), 0, 1)))
+    return {"qrs_amplitude_before": ppb, "qrs_amplitude_after": ppa, "st_level_before": st_before, "st_level_after": st_after, "morphology_score": float(np.mean(scores)) if scores else None}
+
+
+def gain(before: float | None, after: float | None) -> dict:
+    return {"snr_proxy_before_db": before, "snr_proxy_after_db": after, "snr_improvement_db": None if before is None or after is None else after - before}
+
+
+def noise_kind(severity: str, low: float) -> str:
+    """Muscle noise first, however mild; then the share of power below 1 Hz."""
+    if severity in ("SEVERE EMG", "MODERATE EMG"):
+        return "EMG contamination"
+    if severity == "MILD EMG":
+        return "Mild EMG / noise"
+    return "Baseline wander" if low > 0.40 else "Mild baseline wander" if low > 0.15 else "Clean"
 
 
 def run_ecg(x: np.ndarray, fs: float, c: Config = DEFAULT) -> dict:
     warnings: list[str] = []
     raw = dsp.fill_gaps(x)
-    before = dsp.snr_proxy(raw)
     score, level = quality(raw)
-    freqs, p = dsp.welch(raw, fs, 2048)
-    p50, p60 = (dsp.powerline(freqs, p, len(raw), fs, f) for f in (50.0, 60.0))
-    ratio, severity = dsp.emg(raw, freqs, p, fs)
+    shared = dsp.welch(raw, fs, 2048) if len(raw) >= int(2 * fs) else None  # shorter recordings have a spectrum for each purpose
+    p50, p60 = (shared is not None and dsp.powerline(*shared, len(raw), fs, f) for f in (50.0, 60.0))
+    ratio, severity = dsp.emg(raw, *(shared or dsp.welch(raw, fs, 512)), fs)
+    freqs, p = shared or dsp.welch(raw, fs, 256)
     low = float(p[freqs < 1].sum() / p.sum()) if p.sum() > 0 else 0.0
-    noise = "EMG contamination" if severity in ("SEVERE EMG", "MODERATE EMG") else "Baseline wander" if low > 0.4 else "Powerline interference" if p50 or p60 else "Baseline wander" if low > 0.15 else "Clean"
     wave = raw
     for f, hit in ((50.0, p50), (60.0, p60)):
         if hit:
             wave = dsp.zero_phase(dsp.notch(f, c.notch_q, fs), wave)
-            warnings.append(f"{f:.0f} Hz powerline interference removed")
+            warnings.append(f"{f:.0f} Hz notch applied.")
     if severity in ("SEVERE EMG", "MODERATE EMG"):
         cutoff = 80.0 if severity == "SEVERE EMG" else 100.0
         if fs / 2 > cutoff:
             wave = dsp.zero_phase(dsp.butter(2, None, cutoff, fs), wave)
-        warnings.append(f"{severity} suppressed")
+        warnings.append(f"Adaptive EMG suppression applied ({severity.split()[0]}).")
     wave = wave - dsp.baseline(wave, fs)
     qrs, morph = dsp.bandpass(wave, c.qrs_band, c.qrs_order, fs), dsp.bandpass(wave, c.morph_band, c.morph_order, fs)
-    after = dsp.snr_proxy(qrs)
     peaks = dsp.detect_beats(qrs, fs)
     rr = np.diff(peaks) / fs
     valid = rr[(rr >= c.rr_min) & (rr <= c.rr_max)]
-    out = {"signal_quality": level, "signal_quality_score": score, "noise_type": noise, "emg_severity": severity, "emg_energy_ratio": ratio, "powerline_50hz": p50, "powerline_60hz": p60, "snr_proxy_before_db": before, "snr_proxy_after_db": after, "snr_improvement_db": None if before is None or after is None else after - before}
-    out |= {"r_peaks": peaks.tolist(), "n_beats": len(peaks), "rr_intervals_s": rr.tolist(), "heart_rate_bpm": 60 / float(np.median(valid)) if len(valid) else None, "heart_rate_reliable": len(valid) >= 3}
-    out |= rhythm(peaks, qrs, fs, level, severity, len(x) / fs)
+    out = {"signal_quality": level, "signal_quality_score": score, "noise_type": noise_kind(severity, low), "emg_severity": severity, "emg_energy_ratio": ratio, "powerline_50hz": p50, "powerline_60hz": p60} | gain(dsp.snr_proxy(raw), dsp.snr_proxy(morph))
+    out |= {"r_peaks": peaks.tolist(), "n_beats": len(peaks), "rr_intervals_s": valid.tolist(), "heart_rate_bpm": 60 / float(np.median(valid)) if len(valid) else None, "heart_rate_reliable": len(valid) > 0}
+    out |= rhythm(peaks, morph, fs, level, severity, len(x) / fs)
     if out["possible_vt"] or out["possible_vf"]:
-        out["detection_latency_s"] = (late := latency(rr))
+        out["detection_latency_s"] = (late := latency(valid))
         out["latency_target_met"] = None if late is None else late <= c.latency_target_s
     out |= morphology(raw, morph, peaks, fs)
-    cv = float(valid.std() / valid.mean()) if len(valid) > 1 else 1.0
-    out["detection_reliability"] = float(np.clip(0.5 * score + 0.5 * np.clip(1 - 2 * cv, 0, 1) - np.clip(2 * ratio, 0, 0.5), 0, 1)) if len(peaks) >= 2 else 0.0
-    if level in ("POOR", "CRITICAL"):
-        warnings.append(f"Signal quality is {level}")
-    return out | {"warnings": warnings}
+    return out | {"detection_reliability": reliability(rr, score, ratio), "warnings": warnings}
+
+
+def reliability(rr: np.ndarray, score: float, ratio: float) -> float:
+    """Half the quality, half the regularity of all intervals (not only of the plausible ones), less for muscle noise."""
+    rr = rr[rr > 0]
+    if not len(rr):
+        return 0.0
+    regular = np.clip(1 - 2 * rr.std() / rr.mean(), 0, 1)
+    return float(np.clip(0.5 * score + 0.5 * regular - np.clip(2 * ratio, 0, 0.5), 0, 1))
 
 
 def run_ppg(x: np.ndarray, fs: float, c: Config = DEFAULT) -> dict:
+    """Pulses; ``pulse_quality`` is the pulse engine's own verdict beside the general one, and the beat columns repeat the pulses."""
     raw = dsp.fill_gaps(x)
     score, level = quality(raw)
-    if raw.std() < 1e-6:
-        return {"signal_quality": "FLATLINE", "signal_quality_score": 0.0, "warnings": ["flat signal"]}
     wave = dsp.bandpass(raw - dsp.baseline(raw, fs, 1.5), c.ppg_band, c.ppg_order, fs)
     peaks = dsp.pulse_peaks(wave, fs)
     ipi = np.diff(peaks) / fs
     ipi = ipi[(ipi >= 60 / c.ppg_bpm[1]) & (ipi <= 60 / c.ppg_bpm[0])]
-    artifacts = dsp.kurtosis(np.diff(raw)) > 10
-    poor = artifacts or len(peaks) < 2 or not len(ipi) or len(x) < 2 * fs
-    before, after = dsp.snr_proxy(raw), dsp.snr_proxy(wave)
-    return {"signal_quality": "POOR" if poor else "GOOD", "signal_quality_score": score, "pulse_peaks": peaks.tolist(), "inter_pulse_intervals_s": ipi.tolist(), "pulse_rate_bpm": 60 / float(np.median(ipi)) if len(ipi) else None, "snr_proxy_before_db": before, "snr_proxy_after_db": after, "snr_improvement_db": None if before is None or after is None else after - before, "warnings": ["motion artifacts"] if artifacts else []}
+    moved = dsp.kurtosis(np.diff(raw)) > 10
+    verdict = "FLATLINE" if raw.std() < 1e-6 else "POOR" if moved or len(peaks) < 2 or not len(ipi) or len(x) < 2 * fs else "GOOD"
+    rate = 60 / float(np.median(ipi)) if len(ipi) else None
+    out = {"signal_quality": level, "signal_quality_score": score, "pulse_quality": verdict, "pulse_peaks": peaks.tolist(), "inter_pulse_intervals_s": ipi.tolist(), "pulse_rate_bpm": rate, "warnings": []}
+    out |= {"r_peaks": peaks.tolist(), "n_beats": len(peaks), "rr_intervals_s": ipi.tolist(), "heart_rate_bpm": rate, "heart_rate_reliable": rate is not None}
+    return out | gain(dsp.snr_proxy(raw), dsp.snr_proxy(wave))
 
 
 def run_emg(x: np.ndarray, fs: float, c: Config = DEFAULT) -> dict:
     raw = dsp.fill_gaps(x)
     wave = dsp.zero_phase(dsp.butter(4, 20.0, None, fs), raw) if fs / 2 > 25 else raw
-    rms = np.sqrt(dsp.moving_mean(wave**2, max(1, int(0.1 * fs))))
+    rms = np.sqrt(np.maximum(0.0, dsp.moving_mean(wave**2, max(1, int(0.1 * fs)))))
     burst = float((rms > 2 * np.median(rms)).mean())
-    freqs, p = dsp.welch(raw, fs, 512)
-    ratio, severity = dsp.emg(raw, freqs, p, fs)
-    return {"signal_quality": "GOOD" if burst < 0.3 else "MODERATE", "signal_quality_score": 1 - burst, "emg_severity": severity, "emg_energy_ratio": ratio, "burst_fraction": burst, "warnings": [f"EMG burst activity in {burst * 100:.1f}% of the recording"] if burst >= 0.3 else []}
+    ratio, severity = dsp.emg(raw, *dsp.welch(raw, fs, 512), fs)
+    return {"signal_quality": "GOOD" if burst < 0.3 else "MODERATE", "signal_quality_score": 1 - burst, "noise_type": "EMG activity", "emg_severity": severity, "emg_energy_ratio": ratio, "burst_fraction": burst, "warnings": [f"EMG burst fraction: {burst * 100:.1f}% of recording."]} | gain(dsp.snr_proxy(raw), dsp.snr_proxy(wave))
 
 
 def _recordings(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple[str | None, dict[str, np.ndarray]]]:
@@ -278,7 +304,7 @@ def perturbation_lab(signal: DataFrame, fs: float = 360.0, modality: str = "ecg"
     """
     copies = _sql.run(display.PERTURBATIONS, s=signal).withColumn("recording_id", F.concat("kind", F.lit(":"), "recording_id"))
     found = process(copies, fs, modality)
-    facts = {"quality": F.col("signal_quality"), "score": F.round("signal_quality_score", 6), "beats": F.coalesce(F.size("pulse_peaks").cast("long"), "n_beats") if modality == "ppg" else F.col("n_beats"), "rate_bpm": F.round(F.coalesce("pulse_rate_bpm", "heart_rate_bpm"), 4), "reliability": F.round("detection_reliability", 6), "emg_severity": F.col("emg_severity")}
+    facts = {"quality": F.col("signal_quality"), "score": F.round("signal_quality_score", 6), "beats": F.col("n_beats"), "rate_bpm": F.round("heart_rate_bpm", 4), "reliability": F.round("detection_reliability", 6), "emg_severity": F.col("emg_severity")}
     cut = F.instr("recording_id", ":")
     rows = found.select(F.expr("substring(recording_id, instr(recording_id, ':') + 1)").alias("recording_id"), F.col("recording_id").substr(F.lit(1), cut - 1).alias("kind"), F.struct(*[c.alias(k) for k, c in facts.items()]).alias("after"))
     both = rows.withColumn("before", F.max(F.when(F.col("kind") == "clean", F.col("after"))).over(Window.partitionBy("recording_id")))

@@ -130,3 +130,53 @@ def test_pulse_and_muscle():
     assert ppg["pulse_rate_bpm"] == pytest.approx(72, abs=2)
     emg = pipelines.run_emg(0.5 * np.random.default_rng(0).normal(size=3600), FS)
     assert emg["emg_severity"] == "SEVERE EMG" and 0 <= emg["burst_fraction"] < 0.3
+
+
+def test_pulses_are_also_beats():
+    t = np.arange(int(15 * FS)) / FS
+    x = 0.5 * np.sin(2 * np.pi * 1.2 * t)
+    got = pipelines.run_ppg(x, FS)
+    assert got["n_beats"] == len(got["pulse_peaks"]) > 10 and got["heart_rate_bpm"] == got["pulse_rate_bpm"] and got["heart_rate_reliable"]
+    assert (got["signal_quality"], got["pulse_quality"]) == ("GOOD", "GOOD")
+    flat = pipelines.run_ppg(np.ones(1000), FS)
+    assert (flat["signal_quality"], flat["pulse_quality"], flat["n_beats"], flat["heart_rate_bpm"]) == ("CRITICAL", "FLATLINE", 0, None)
+
+
+def test_noise_is_named_by_muscle_then_drift():
+    assert [pipelines.noise_kind(s, 0.9) for s in ("SEVERE EMG", "MODERATE EMG", "MILD EMG", "CLEAN")] == ["EMG contamination", "EMG contamination", "Mild EMG / noise", "Baseline wander"]
+    assert [pipelines.noise_kind("CLEAN", v) for v in (0.40, 0.15, 0.41, 0.16)] == ["Mild baseline wander", "Clean", "Baseline wander", "Mild baseline wander"]
+
+
+def test_reliability_counts_long_gaps():
+    assert pipelines.reliability(np.full(9, 0.8), 1.0, 0.0) == pytest.approx(1.0)
+    assert pipelines.reliability(np.full(9, 0.8), 0.6, 0.1) == pytest.approx(0.3 + 0.5 - 0.2)
+    rr = np.r_[np.full(9, 0.8), 8.0]
+    assert pipelines.reliability(rr, 1.0, 0.0) == pytest.approx(0.5 + 0.5 * max(0, 1 - 2 * rr.std() / rr.mean()))
+    assert pipelines.reliability(np.zeros(0), 1.0, 0.0) == 0.0
+
+
+def test_morphology_by_hand():
+    n, peaks = 2000, np.arange(200, 1900, 300)
+    x = np.zeros(n)
+    for p in peaks:
+        x[p], x[p - 1], x[p + 1] = 2.0, 1.0, 1.0
+        x[p + 28 : p + 42] = 0.3  # the ST segment: 80 ms after the beat, 40 ms long
+        x[p - 35 : p - 21] = 0.1  # the rest before it
+    got = pipelines.morphology(x, 0.5 * x, peaks, FS)
+    assert (got["qrs_amplitude_before"], got["qrs_amplitude_after"]) == (2.0, 1.0)
+    assert (got["st_level_before"], got["st_level_after"]) == (pytest.approx(0.2), pytest.approx(0.05))
+    assert got["morphology_score"] == pytest.approx((0.5 + 1) / 2)
+    assert pipelines.morphology(x, x, peaks[:2], FS)["morphology_score"] is None
+
+
+def test_batch_results_come_from_the_stated_waves():
+    x, _ = ecg(72)
+    got = pipelines.run_ecg(x, FS)
+    flat = x - dsp.baseline(x, FS)
+    assert got["warnings"] == [] and got["noise_type"] in ("Clean", "Mild baseline wander", "Baseline wander")
+    assert got["snr_proxy_after_db"] == pytest.approx(dsp.snr_proxy(dsp.bandpass(flat, (0.05, 40.0), 2, FS)))
+    assert all(0.2 <= v <= 3 for v in got["rr_intervals_s"])
+    short = pipelines.run_ecg(x[:600], FS)
+    assert short["powerline_50hz"] is False and short["emg_energy_ratio"] == pytest.approx(dsp.emg(x[:600], *dsp.welch(x[:600], FS, 512), FS)[0])
+    hum = pipelines.run_ecg(x + 0.5 * np.sin(2 * np.pi * 50 * np.arange(len(x)) / FS), FS)
+    assert hum["powerline_50hz"] and "50 Hz notch applied." in hum["warnings"]
