@@ -8,6 +8,7 @@ inside Arrow-batched grouped functions, one recording at a time.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
 
 import numpy as np
@@ -269,7 +270,9 @@ def detect_beats(x: np.ndarray, fs: float, searchback: bool = True, gap_factor:
                 if lo < hi:
                     k = lo + int(mwi[lo:hi].argmax())
                     r = refine(x, k, reach)
-                    if mwi[k] > half and all(abs(k - f) >= refractory and abs(r - f) >= refractory for f in (*found, *more)):
+                    span = refractory + reach
+                    near = found[bisect_left(found, k - span) : bisect_right(found, k + span)] + more[-8:]
+                    if mwi[k] > half and all(abs(k - f) >= refractory and abs(r - f) >= refractory for f in near):
                         more.append(r)
         found = sorted({*found, *more})
     return np.array(found, np.int64)
@@ -308,9 +311,9 @@ def search_again(x: np.ndarray, mwi: np.ndarray, beats: np.ndarray, fs: float) -
     if len(beats) < 2:
         return []
     gaps, reach, have, added = np.diff(beats), int(0.04 * fs), set(beats.tolist()), []
-    limit = 1.66 * np.median(gaps)
+    limit, least = 1.66 * np.median(gaps), 0.4 * float(mwi.max())
     for a, b in zip(beats[:-1][gaps > limit].tolist(), beats[1:][gaps > limit].tolist(), strict=True):
-        for f in find_peaks(mwi[a:b], height=0.4 * float(mwi.max()), distance=max(1, int(0.2 * fs))).tolist():
+        for f in find_peaks(mwi[a:b], height=least, distance=max(1, int(0.2 * fs))).tolist():
             lo = max(0, a + f - reach)
             r = lo + int(np.abs(x[lo : a + f + reach + 1]).argmax())
             if a + f not in have and r not in have:
