@@ -22,6 +22,11 @@ SNR = "CASE WHEN n < 20 OR noise < 1e-12 OR amp < 1e-9 THEN NULL ELSE least(60.0
 
 ROBUST_AMPLITUDE = f"SELECT recording_id, n, round(amp, 6) AS amplitude FROM ({FACTS}) AS c"
 NOISE_RMS = f"SELECT recording_id, round(noise, 6) AS noise_rms, round(kurt, 4) AS step_kurtosis, kurt > 10 AS motion FROM ({FACTS}) AS c"
+#: Muscle noise where the rate leaves no band above 100 Hz: by the kurtosis of the steps, on the batch scale and on the stricter one for segments.
+MUSCLE_STEPS = f"""
+SELECT recording_id, round(ratio, 6) AS emg_ratio, CASE WHEN ratio >= 0.35 THEN 'SEVERE EMG' WHEN ratio >= 0.15 THEN 'MODERATE EMG' WHEN ratio >= 0.05 THEN 'MILD EMG' ELSE 'CLEAN' END AS emg_severity, CASE WHEN kurt > 20 THEN 'SEVERE EMG' WHEN kurt > 10 THEN 'MODERATE EMG' WHEN kurt > 5 THEN 'MILD EMG' ELSE 'CLEAN' END AS segment_severity
+FROM (SELECT recording_id, kurt, least(1.0, greatest(0.0, kurt / 20)) AS ratio FROM ({FACTS}) AS c) AS d
+"""
 SNR_PROXY = f"SELECT recording_id, round({SNR}, 6) AS snr_db FROM ({FACTS}) AS c"
 SIGNAL_QUALITY = f"""
 SELECT recording_id, n, round(amp, 6) AS amplitude, round(noise, 6) AS noise_rms, round({SNR}, 6) AS snr_db, round(missing, 6) AS missing_fraction, round(score, 6) AS score,

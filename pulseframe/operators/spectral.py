@@ -50,6 +50,29 @@ FROM (SELECT recording_id, max(CASE WHEN bin = {k} THEN p END) AS peak, MEDIAN(C
 """
 
 
+# Readings of a Welch spectrum ``f(recording_id, k, freq, p)`` of any segment length, one row a bin.
+
+MUSCLE_BAND = """
+SELECT recording_id, round(hf, 6) AS hf_fraction, CASE WHEN hf >= 0.35 THEN 'SEVERE EMG' WHEN hf >= 0.15 THEN 'MODERATE EMG' WHEN hf >= 0.05 THEN 'MILD EMG' ELSE 'CLEAN' END AS emg_severity
+FROM (SELECT recording_id, sum(CASE WHEN freq > 100 THEN p ELSE 0 END) / (sum(p) + 1e-30) AS hf FROM {f} AS a GROUP BY recording_id) AS b
+"""
+
+DRIFT_BAND = """
+SELECT recording_id, round(lf, 6) AS lf_fraction, CASE WHEN lf > 0.40 THEN 'Baseline wander' WHEN lf > 0.15 THEN 'Mild baseline wander' ELSE 'Clean' END AS noise_type, CASE WHEN lf > 0.35 THEN 'severe' WHEN lf > 0.10 THEN 'moderate' ELSE 'none' END AS drift_level
+FROM (SELECT recording_id, sum(CASE WHEN freq < 1 THEN p ELSE 0 END) / (sum(p) + 1e-30) AS lf FROM {f} AS a GROUP BY recording_id) AS b
+"""
+
+
+#: Whether the bin nearest to a mains frequency (50 and 60 Hz) stands over 10 dB above the median of all bins more than five away from it.
+MAINS = """
+SELECT recording_id, mains_hz, round(db, 2) AS over_floor_db, db > 10 AS powerline
+FROM (SELECT recording_id, mains_hz, 10 * log10(greatest(max(CASE WHEN k = centre THEN p END), 1e-30) / (MEDIAN(CASE WHEN k NOT BETWEEN centre - 5 AND centre + 5 THEN p END) + 1e-30)) AS db
+      FROM (SELECT recording_id, k, p, mains_hz, first_value(k) OVER (PARTITION BY recording_id, mains_hz ORDER BY abs(freq - mains_hz), k) AS centre
+            FROM (SELECT recording_id, k, freq, p, 50 + 10 * j AS mains_hz FROM {f} AS a, SEQ(0, 1, u, j)) AS b) AS c
+      GROUP BY recording_id, mains_hz) AS d
+"""
+
+
 def low_share(group: str = "0", fs: float = 360.0, nperseg: int = 256, below: float = 1.0) -> str:
     """Share of Welch's power below a frequency for every ``group`` of a recording, without a transform.
 

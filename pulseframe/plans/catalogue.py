@@ -84,6 +84,7 @@ SQL: dict[str, Sql] = {
     "snr_proxy": Sql(quality.SNR_PROXY, E),
     "robust_amplitude": Sql(quality.ROBUST_AMPLITUDE, E),
     "noise_rms": Sql(quality.NOISE_RMS, E),
+    "muscle_steps": Sql(quality.MUSCLE_STEPS, E),
     "saturation": Sql(quality.SATURATION, E),
     "flatline": Sql(quality.FLATLINE, E),
     "quality_overall": Sql(quality.QUALITY_OVERALL, G),

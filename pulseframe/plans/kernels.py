@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 from ..functions import dsp
-from ..operators import _sql, matching, samples
+from ..operators import _sql, matching, samples, spectral
 from ..sources import files, signals
 from ..streaming import edge
 from . import oracles, pipelines
@@ -36,6 +36,14 @@ def compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql.run(matching.match_metrics(360.0, 0.15), d=found, r=truth)
 
 
+#: Readings of spectra at the length that each is defined for.
+READINGS = {"muscle_band": (spectral.MUSCLE_BAND, 512), "drift_band": (spectral.DRIFT_BAND, 256), "mains": (spectral.MAINS, 2048)}
+
+
+def _reading(text: str, nperseg: int):
+    return lambda spark, sf_dir: _sql.run(text, f=pipelines.spectra(EVENTS(spark, sf_dir), 360.0, nperseg))
+
+
 def text_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.parse_text(files.as_text(SYNTH(spark, sf_dir)))
 
@@ -51,6 +59,7 @@ def _times(df: DataFrame) -> DataFrame:
 def queries() -> dict:
     return {
         "welch_psd": lambda s, d: pipelines.spectra(EVENTS(s, d)).select("recording_id", "k", F.round("freq", 6).alias("freq"), F.round("p", 4).alias("p")),
+        **{name: _reading(*rule) for name, rule in READINGS.items()},
         "dual_path": lambda s, d: pipelines.waves(SYNTH(s, d)),
         "bandpass_zero_phase": lambda s, d: pipelines.waves(SYNTH(s, d)).select("recording_id", "idx", F.round("qrs", 5).alias("qrs")),
         "notch": lambda s, d: pipelines.waves(SYNTH(s, d)).select("recording_id", "idx", F.round("notched", 5).alias("notched")),
@@ -83,6 +92,7 @@ def oracle_sql() -> dict[str, str]:
     flat = duck(f"SELECT recording_id, idx, v - m AS v FROM ({samples.moving_mean(samples.odd(0.6, 360.0))}) AS fl".replace("{s}", f"({signals.SYNTH})"))
     return {
         "welch_psd": oracles.welch(events, 360.0, 256),
+        **{name: _sql.oracle(text, f=oracles.welch(events, 360.0, n, (12, 12))) for name, (text, n) in READINGS.items()},
         "notch": oracles.zero_phase(synth, dsp.notch(50.0, DEFAULT.notch_q, 360.0), "notched"),
         "bandpass_zero_phase": oracles.zero_phase(flat, dsp.butter(4, *DEFAULT.qrs_band, 360.0), "qrs"),
         "find_peaks": oracles.peaks(events, PEAK_RULE[0], PEAK_RULE[1], repr(PEAK_RULE[2])),

@@ -32,7 +32,7 @@ def zero_phase(signal: str, sos, column: str, digits: int | None = 5) -> str:
     return f"WITH {', '.join(steps)} SELECT recording_id, unnest(generate_series(0, len(ys) - 1)) AS idx, {value} AS {column} FROM y"
 
 
-def welch(signal: str, fs: float, nperseg: int) -> str:
+def welch(signal: str, fs: float, nperseg: int, digits: tuple[int, int] = (6, 4)) -> str:
     """Welch's average of half-overlapping, mean-free segments under a periodic Hann window; a short recording is one segment."""
     return f"""
 WITH s AS ({signal}), n AS (SELECT recording_id, count(*) AS n, least({nperseg}, count(*)) AS l FROM s GROUP BY recording_id),
@@ -40,7 +40,7 @@ g AS (SELECT recording_id, l, l - l // 2 AS hop, unnest(generate_series(0, (n -
 x AS (SELECT recording_id, seg, l, idx - seg * hop AS i, (v - avg(v) OVER (PARTITION BY recording_id, seg)) * (0.5 - 0.5 * cos(2 * pi() * (idx - seg * hop) / l)) AS y FROM g JOIN s USING (recording_id) WHERE idx >= seg * hop AND idx < seg * hop + l),
 f AS (SELECT recording_id, seg, l, k, sum(y * cos(2 * pi() * ((k * i) % l) / l)) AS re, sum(y * sin(2 * pi() * ((k * i) % l) / l)) AS im FROM (SELECT *, unnest(generate_series(0, l // 2)) AS k FROM x) GROUP BY ALL),
 w AS (SELECT l, (SELECT sum((0.5 - 0.5 * cos(2 * pi() * i / l)) ** 2) FROM generate_series(0, l - 1) AS t(i)) AS power FROM (SELECT DISTINCT l FROM n))
-SELECT recording_id, k, round(k * {fs} / l, 6) AS freq, round(avg((re * re + im * im) / ({fs} * power)) * CASE WHEN k = 0 OR 2 * k = l THEN 1 ELSE 2 END, 4) AS p FROM f JOIN w USING (l) GROUP BY recording_id, k, l
+SELECT recording_id, k, round(k * {fs} / l, {digits[0]}) AS freq, round(avg((re * re + im * im) / ({fs} * power)) * CASE WHEN k = 0 OR 2 * k = l THEN 1 ELSE 2 END, {digits[1]}) AS p FROM f JOIN w USING (l) GROUP BY recording_id, k, l
 """
 
 
