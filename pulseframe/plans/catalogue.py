@@ -27,8 +27,8 @@ PEAKS = f"SELECT * FROM ({SYNTH_PEAKS}) AS y1 UNION ALL SELECT * FROM ({EVENT_PE
 STATED = f"SELECT recording_id, length(recording_id) % 2 = 0 AS poor, length(recording_id) % 3 = 0 AS severe, 0.1 * (length(recording_id) % 10) AS reliability, span AS duration_s FROM (SELECT recording_id, (max(idx) + 1) / max(fs) AS span FROM ({PEAKS}) AS pk GROUP BY recording_id) AS st"
 #: The modular classifier's flags; a few state no evidence, as an outside monitor's may not.
 FLAGS = f"SELECT recording_id, possible_vt, possible_vf, possible_vt AND length(recording_id) % 5 <> 2 AS vt_evidence, possible_vf AND length(recording_id) % 5 <> 2 AS vf_evidence FROM ({intervals.RHYTHM_MODULAR}) AS fl"
-#: Stated facts of every recording's wave, and of a few that have no beats.
-WAVES = f"SELECT recording_id, CASE WHEN length(recording_id) = 5 THEN 4.0 ELSE span END AS seconds, 0.1 * (length(recording_id) % 8) AS amplitude_cv, CASE WHEN length(recording_id) % 7 <> 0 THEN 0.1 * (length(recording_id) % 9) END AS wave_entropy, CASE length(recording_id) % 4 WHEN 0 THEN 'GOOD' WHEN 1 THEN 'MODERATE' WHEN 2 THEN 'POOR' ELSE 'CRITICAL' END AS quality, CASE length(recording_id) % 3 WHEN 0 THEN 'CLEAN' WHEN 1 THEN 'MODERATE EMG' ELSE 'SEVERE EMG' END AS severity FROM (SELECT recording_id, (max(idx) + 1) / max(fs) AS span FROM ({PEAKS}) AS wp GROUP BY recording_id UNION ALL SELECT r_name AS recording_id, 30.0 AS span FROM {{region}}) AS wq"
+#: Stated facts of every recording's wave, and of a few that have no beats; none lies on a threshold, where 0.1 as a decimal and as a double differ.
+WAVES = f"SELECT recording_id, CASE WHEN length(recording_id) = 5 THEN 4.0 ELSE span END AS seconds, 0.05 + 0.1 * (length(recording_id) % 8) AS amplitude_cv, CASE WHEN length(recording_id) % 7 <> 0 THEN 0.05 + 0.1 * (length(recording_id) % 9) END AS wave_entropy, CASE length(recording_id) % 4 WHEN 0 THEN 'GOOD' WHEN 1 THEN 'MODERATE' WHEN 2 THEN 'POOR' ELSE 'CRITICAL' END AS quality, CASE length(recording_id) % 3 WHEN 0 THEN 'CLEAN' WHEN 1 THEN 'MODERATE EMG' ELSE 'SEVERE EMG' END AS severity FROM (SELECT recording_id, (max(idx) + 1) / max(fs) AS span FROM ({PEAKS}) AS wp GROUP BY recording_id UNION ALL SELECT r_name AS recording_id, 30.0 AS span FROM {{region}}) AS wq"
 PROFILES = "SELECT n_name AS recording_id, CASE n_nationkey % 5 WHEN 0 THEN 'SEVERE EMG' WHEN 1 THEN 'MODERATE EMG' WHEN 2 THEN 'MILD EMG' ELSE 'CLEAN' END AS emg_severity, (n_nationkey % 7) / 10.0 AS baseline, n_nationkey % 4 * 6 AS motion, n_nationkey % 3 = 0 AS powerline, n_nationkey % 6 = 5 AS saturated FROM {nation}"
 SEGMENT_EMG = "SELECT CAST(s_nationkey AS VARCHAR(20)) AS recording_id, CASE s_suppkey % 4 WHEN 3 THEN 'SEVERE EMG' WHEN 2 THEN 'MODERATE EMG' WHEN 1 THEN 'MILD EMG' ELSE 'CLEAN' END AS emg_severity FROM {supplier}"
 TRUTH = f"SELECT recording_id, beat * period AS idx FROM ({signals.SYNTH}) AS tr WHERE beat * period < 3000 AND beat >= 0 GROUP BY recording_id, beat, period"
