@@ -16,7 +16,8 @@ exact devices keep that affordable:
 Memory: one Arrow slice, one chunk and the cache.  No shuffle: each document
 is counted where it is read.  Null text counts as empty; further columns pass
 through (``n_bytes``, ``n_tokens``, ``over_limit`` replace columns of those
-names); rows are never merged, so repeated rows and ids are kept.
+names); rows are never merged, so repeated rows and ids are kept. An empty table
+gives an empty one; no order is asked of the rows, so there are no ties.
 """
 
 from __future__ import annotations
