@@ -16,6 +16,7 @@ MODULES = {
     "op8_jaccard_join": "jaccard",
     "op9_html_extraction": "html",
     "op10_histogram_sharding": "sharding",
+    "op11_hard_negatives": "negatives",
 }
 
 
