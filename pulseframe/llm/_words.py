@@ -106,11 +106,13 @@ def strings(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return data, offs - offs[0]
 
 
-def words(column: pa.Array | pa.ChunkedArray) -> Words:
+def words(column: pa.Array | pa.ChunkedArray, gaps: np.ndarray = _WS, fold: np.ndarray | None = None) -> Words:
+    """Runs of bytes that aren't ``gaps``; ``fold``: what each byte is read as."""
     data, offs = strings(column)
+    data = data if fold is None else fold[data]
     n = len(data)
     blank = np.ones(n + 2, bool)
-    np.take(_WS, data, out=blank[1 : n + 1])
+    np.take(gaps, data, out=blank[1 : n + 1])
     ink = ~blank
     fresh = np.zeros(n + 1, bool)  # bytes at which a document begins
     fresh[offs] = True

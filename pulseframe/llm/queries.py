@@ -17,6 +17,7 @@ MODULES = {
     "op9_html_extraction": "html",
     "op10_histogram_sharding": "sharding",
     "op11_hard_negatives": "negatives",
+    "op12_lexical_search": "lexical",
 }
 
 
