@@ -18,6 +18,7 @@ MODULES = {
     "op10_histogram_sharding": "sharding",
     "op11_hard_negatives": "negatives",
     "op12_lexical_search": "lexical",
+    "op13_url_filter": "urls",
 }
 
 
