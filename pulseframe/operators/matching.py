@@ -117,3 +117,20 @@ SELECT recording_id, count(*) AS beats, round(MEDIAN(ppb), 5) AS amplitude_befor
 FROM (SELECT b.recording_id, b.peak, corr(b.v, a.v) AS r, max(b.v) - min(b.v) AS ppb, max(a.v) - min(a.v) AS ppa FROM ({gather(fs, -0.06, 0.06)}) AS b JOIN ({after}) AS a ON b.recording_id = a.recording_id AND b.peak = a.peak AND b.o = a.o GROUP BY b.recording_id, b.peak) AS c
 GROUP BY recording_id
 """
+
+
+#: The same over lists of samples, for DuckDB alone.
+MORPHOLOGY_DUCKDB = """
+WITH x AS (SELECT recording_id, list(v ORDER BY idx) AS x FROM ({s}) GROUP BY recording_id), y AS (SELECT recording_id, list(v ORDER BY idx) AS y FROM ({f}) GROUP BY recording_id),
+near AS (SELECT recording_id, idx AS peak, greatest(1, idx + 1 + {lo}) AS a, idx + 1 + {hi} AS z, x, y FROM ({p}) JOIN x USING (recording_id) JOIN y USING (recording_id)),
+pair AS (SELECT recording_id, peak, unnest(x[a:z]) AS b, unnest(y[a:z]) AS c FROM near),
+beat AS (SELECT recording_id, corr(b, c) AS r, max(b) - min(b) AS before, max(c) - min(c) AS after FROM pair GROUP BY recording_id, peak),
+fact AS (SELECT recording_id, count(*) AS beats, quantile_cont(before, 0.5) AS before, quantile_cont(after, 0.5) AS after, avg(r) AS r FROM beat GROUP BY recording_id)
+SELECT recording_id, beats, round(before, 5) AS amplitude_before, round(after, 5) AS amplitude_after, round(least(100.0, 100 * after / nullif(before, 0)), 3) AS preserved_pct, round(r, 5) AS mean_correlation,
+       round((least(1.0, greatest(0.0, r)) + least(1.0, after / nullif(before, 0))) / 2, 5) AS score FROM fact
+"""
+
+
+def morphology_oracle(p: str, f: str, s: str, fs: float = 360.0) -> str:
+    reach = round(0.06 * fs)
+    return MORPHOLOGY_DUCKDB.replace("{lo}", str(-reach)).replace("{hi}", str(reach - 1)).replace("{p}", p).replace("{f}", f).replace("{s}", s)

@@ -1,13 +1,25 @@
 """Sample-wise operators: gap filling, baselines, derivatives, integrals, traces, decimation.
 
-Every one is a window over ``(recording_id, idx)`` of ``s(recording_id, idx, v)``:
-one exchange by recording, and none at all between operators that are chained.
+They take ``s(recording_id, idx, v)``, ``idx`` counting from 0.  Windows of a
+bounded width run within parts of ``PART`` samples, each of which also gets the
+few samples of its neighbours that its windows reach (``parts``); scans without
+a bound run within parts, too, and take what came before or comes after from the
+parts' summaries, a row each.  So one exchange by ``(recording_id, part)``
+spreads a recording over as many tasks as it has parts.
+
+Sums of windows are differences of running sums, two steps a sample however wide
+the window is.  Values are summed as whole numbers, scaled by a power of ten: such sums
+are exact, and the same in every engine and order.  A part whose sum would leave
+64 bits ends the job.
 """
 
 W = "(PARTITION BY recording_id ORDER BY idx)"
-BACK = "(PARTITION BY recording_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+IN = "(PARTITION BY recording_id, part ORDER BY idx)"
+UP_TO = "(PARTITION BY recording_id, part ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 #: What follows, seen from the end, so that a row costs one step and not a look at all the rest.
-AHEAD = "(PARTITION BY recording_id ORDER BY idx DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+FROM_ON = "(PARTITION BY recording_id, part ORDER BY idx DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+WHOLE = "(PARTITION BY recording_id, part ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+PART = 1024
 
 
 def odd(seconds: float, fs: float) -> int:
@@ -15,14 +27,28 @@ def odd(seconds: float, fs: float) -> int:
     return w + 1 - w % 2
 
 
+def parts(left: int, right: int) -> str:
+    """Samples by part, with the ``left`` ones before and the ``right`` ones after it; ``own`` tells them apart."""
+    size = max(PART, left, right)
+    return f"SELECT recording_id, CAST(floor(idx / {size}) AS BIGINT) + away AS part, idx, v, away = 0 AS own FROM {{s}} AS p0, SEQ(CASE WHEN idx >= {size} AND idx % {size} < {right} THEN -1 ELSE 0 END, CASE WHEN idx % {size} >= {size - left} THEN 1 ELSE 0 END, p1, away)"
+
+
+KNOWN = "CASE WHEN v IS NOT NULL THEN idx END"
+#: For every part: the last sample known before it, the first one known after it, and how many there are in the recording.
+CARRY = f"""
+SELECT recording_id AS r0, part AS part0, sum(n) OVER (PARTITION BY recording_id) AS finite,
+       LASTV(li) OVER (PARTITION BY recording_id ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS li0, LASTV(lv) OVER (PARTITION BY recording_id ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lv0,
+       LASTV(fi) OVER (PARTITION BY recording_id ORDER BY part DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS fi0, LASTV(fv) OVER (PARTITION BY recording_id ORDER BY part DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS fv0
+FROM (SELECT recording_id, part, count(v) AS n, max({KNOWN}) AS li, max_by(v, {KNOWN}) AS lv, min({KNOWN}) AS fi, min_by(v, {KNOWN}) AS fv FROM ({parts(0, 0)}) AS c0 GROUP BY recording_id, part) AS c1
+"""
+
 GAP_FILL = f"""
 SELECT recording_id, idx,
        round(CASE WHEN v IS NOT NULL THEN v WHEN finite < 2 THEN 0.0 WHEN pv IS NULL THEN nv WHEN nv IS NULL THEN pv
                   ELSE pv + (nv - pv) * (idx - pi) / (ni - pi) END, 6) AS v
-FROM (SELECT recording_id, idx, v, count(v) OVER (PARTITION BY recording_id) AS finite,
-             LASTV(v) OVER {BACK} AS pv, LASTV(CASE WHEN v IS NOT NULL THEN idx END) OVER {BACK} AS pi,
-             LASTV(v) OVER {AHEAD} AS nv, LASTV(CASE WHEN v IS NOT NULL THEN idx END) OVER {AHEAD} AS ni
-      FROM {{s}} AS a) AS b
+FROM (SELECT recording_id, idx, v, finite, coalesce(pv, lv0) AS pv, coalesce(pi, li0) AS pi, coalesce(nv, fv0) AS nv, coalesce(ni, fi0) AS ni
+      FROM (SELECT recording_id, part, idx, v, LASTV(v) OVER {UP_TO} AS pv, LASTV({KNOWN}) OVER {UP_TO} AS pi, LASTV(v) OVER {FROM_ON} AS nv, LASTV({KNOWN}) OVER {FROM_ON} AS ni FROM ({parts(0, 0)}) AS d) AS a
+      JOIN ({CARRY}) AS c ON recording_id = r0 AND part = part0) AS b
 """
 
 MISSING_PROFILE = """
@@ -32,17 +58,16 @@ FROM (SELECT recording_id, count(*) AS n, count(*) - count(v) AS missing FROM {s
 """
 
 
-def moving_mean(window: int, left: int | None = None, value: str = "v") -> str:
-    """Centred mean with replicated edges; an even window leans to the left."""
+def moving_mean(window: int, left: int | None = None, value: str = "v", digits: int = 8) -> str:
+    """Centred mean with replicated edges; an even window leans to the left. ``value`` counts to ``digits`` decimals."""
     left = window // 2 if left is None else left
     right = window - 1 - left
     return f"""
-SELECT recording_id, idx, v, (inner_sum + greatest(0, {left} - idx) * fv + greatest(0, {right} - (n - 1 - idx)) * lv) / {window} AS m
-FROM (SELECT recording_id, idx, v, sum({value}) OVER (PARTITION BY recording_id ORDER BY idx ROWS BETWEEN {left} PRECEDING AND {right} FOLLOWING) AS inner_sum,
-             count(*) OVER (PARTITION BY recording_id) AS n,
-             first_value({value}) OVER (PARTITION BY recording_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS fv,
-             last_value({value}) OVER (PARTITION BY recording_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS lv
-      FROM {{s}} AS a) AS b
+SELECT recording_id, idx, v, (coalesce(after, total) - coalesce(before, 0) + greatest(0, {left} - (idx - lo)) * fx + greatest(0, {right} - (hi - idx)) * lx) / {window * 10.0**digits:.1f} AS m
+FROM (SELECT recording_id, idx, v, own, lo, hi, fx, lx, total, lead(run, {right}) OVER {IN} AS after, lag(run, {left + 1}) OVER {IN} AS before
+      FROM (SELECT recording_id, part, idx, v, own, sum(x) OVER {UP_TO} AS run, sum(x) OVER {WHOLE} AS total, first_value(idx) OVER {WHOLE} AS lo, last_value(idx) OVER {WHOLE} AS hi, first_value(x) OVER {WHOLE} AS fx, last_value(x) OVER {WHOLE} AS lx
+            FROM (SELECT recording_id, part, idx, v, own, coalesce(CAST(round({value} * {10.0**digits:.1f}) AS BIGINT), 0) AS x FROM ({parts(left, right)}) AS m0) AS m1) AS m2) AS m3
+WHERE own
 """
 
 
@@ -62,11 +87,11 @@ FROM ({moving_mean(odd(seconds, fs))}) AS c GROUP BY recording_id
 """
 
 
-def derivative(fs: float = 360.0) -> str:
+def derivative(fs: float = 360.0, left: int = 2, inner: str = "WHERE own") -> str:
     """Central difference; the ends take their neighbour's value."""
     return f"""
-SELECT recording_id, idx, v, CASE WHEN pv IS NULL THEN (nnv - v) * {fs / 2} WHEN nv IS NULL THEN (v - ppv) * {fs / 2} ELSE (nv - pv) * {fs / 2} END AS d
-FROM (SELECT recording_id, idx, v, lag(v) OVER {W} AS pv, lead(v) OVER {W} AS nv, lag(v, 2) OVER {W} AS ppv, lead(v, 2) OVER {W} AS nnv FROM {{s}} AS a) AS b
+SELECT recording_id, part, idx, v, own, CASE WHEN pv IS NULL THEN (nnv - v) * {fs / 2} WHEN nv IS NULL THEN (v - ppv) * {fs / 2} ELSE (nv - pv) * {fs / 2} END AS d
+FROM (SELECT recording_id, part, idx, v, own, lag(v) OVER {IN} AS pv, lead(v) OVER {IN} AS nv, lag(v, 2) OVER {IN} AS ppv, lead(v, 2) OVER {IN} AS nnv FROM ({parts(left, 2)}) AS a) AS b {inner}
 """
 
 
@@ -79,9 +104,15 @@ def squared_energy(fs: float = 360.0) -> str:
     return f"SELECT recording_id, idx, round(d * d, 4) AS d2, round(d * d / {fs * fs} + v * v, 6) AS gradient_energy FROM ({derivative(fs)}) AS c"
 
 
-def integral(fs: float = 360.0, seconds: float = 0.15) -> str:
-    """Trailing moving-window mean of the squared derivative, expanding at the start."""
-    return f"SELECT recording_id, idx, v, avg(d * d) OVER (PARTITION BY recording_id ORDER BY idx ROWS BETWEEN {max(1, int(seconds * fs)) - 1} PRECEDING AND CURRENT ROW) AS mwi FROM ({derivative(fs)}) AS c"
+def integral(fs: float = 360.0, seconds: float = 0.15, digits: int = 4) -> str:
+    """Trailing moving-window mean of the squared derivative, expanding at the start; squares count to ``digits`` decimals."""
+    w = max(1, int(seconds * fs))
+    return f"""
+SELECT recording_id, idx, v, (run - coalesce(before, 0)) / ({10.0**digits:.1f} * least({w}, idx - lo + 1)) AS mwi
+FROM (SELECT recording_id, part, idx, v, own, lo, run, lag(run, {w}) OVER {IN} AS before
+      FROM (SELECT recording_id, part, idx, v, own, first_value(idx) OVER {WHOLE} AS lo, sum(coalesce(CAST(round(d * d * {10.0**digits:.1f}) AS BIGINT), 0)) OVER {UP_TO} AS run FROM ({derivative(fs, w + 2, "")}) AS i0) AS i1) AS i2
+WHERE own
+"""
 
 
 def mwi_trailing(fs: float = 360.0, seconds: float = 0.15) -> str:
@@ -90,7 +121,7 @@ def mwi_trailing(fs: float = 360.0, seconds: float = 0.15) -> str:
 
 def rms(fs: float = 360.0, seconds: float = 0.1) -> str:
     w = max(1, int(seconds * fs))
-    return f"SELECT recording_id, idx, sqrt(m) AS rms FROM ({moving_mean(w, w // 2, 'v * v')}) AS c"
+    return f"SELECT recording_id, idx, sqrt(m) AS rms FROM ({moving_mean(w, w // 2, 'v * v', 6)}) AS c"
 
 
 def rms_envelope(fs: float = 360.0) -> str:
@@ -105,7 +136,7 @@ GROUP BY r.recording_id
 """
 
 
-FORWARD_FILL = f"SELECT recording_id, idx, round(coalesce(LASTV(v) OVER {BACK}, 0.0), 6) AS v FROM {{s}} AS a"
+FORWARD_FILL = f"SELECT recording_id, idx, round(coalesce(pv, lv0, 0.0), 6) AS v FROM (SELECT recording_id, part, idx, LASTV(v) OVER {UP_TO} AS pv FROM ({parts(0, 0)}) AS d) AS a JOIN ({CARRY}) AS c ON recording_id = r0 AND part = part0"
 
 
 def decimate(points: int = 5500) -> str:

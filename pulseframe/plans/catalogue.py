@@ -34,6 +34,8 @@ SEGMENT_EMG = "SELECT CAST(s_nationkey AS VARCHAR(20)) AS recording_id, CASE s_s
 TRUTH = f"SELECT recording_id, beat * period AS idx FROM ({signals.SYNTH}) AS tr WHERE beat * period < 3000 AND beat >= 0 GROUP BY recording_id, beat, period"
 METHODS = f"SELECT recording_id, 'maxima' AS method, idx FROM ({SYNTH_PEAKS}) AS a1 UNION ALL SELECT recording_id, 'late' AS method, idx + 7 AS idx FROM ({SYNTH_PEAKS}) AS a2 UNION ALL SELECT recording_id, 'sparse' AS method, idx + 25 AS idx FROM ({SYNTH_PEAKS}) AS a3 WHERE idx % 2 = 0 AND length(recording_id) % 2 = 0 UNION ALL SELECT recording_id, 'maxima' AS method, idx FROM ({EVENT_PEAKS}) AS a4"
 SMOOTH = f"SELECT recording_id, idx, m AS v FROM ({samples.moving_mean(5).replace('{s}', f'({signals.SYNTH})')}) AS sm"
+#: The same wave for the oracle, from its definition: five neighbours, those beyond an end being that end.
+SMOOTH_DUCKDB = f"SELECT recording_id, idx, ({' + '.join(f'coalesce({way}(v, {k}) OVER o, {end}(v) OVER w)' for way, end in (('lag', 'first_value'), ('lead', 'last_value')) for k in (1, 2))} + v) / 5 AS v FROM ({signals.SYNTH}) AS sd WINDOW o AS (PARTITION BY recording_id ORDER BY idx), w AS (PARTITION BY recording_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
 HALVES = "SELECT event_type AS recording_id, count(*) * 60.0 / (max(event_id) - min(event_id) + 1) AS bpm FROM {events} WHERE event_id % 2 = {k} GROUP BY event_type"
 PERTURBED = f"SELECT recording_id, idx, v + 0.5 * sin(0.2 * idx) AS v FROM ({signals.EVENTS}) AS pe"
 
@@ -58,25 +60,27 @@ class Sql:
         return re.sub(r"\{(\w+)\}", r"\1", _sql.render(self.whole(), "duckdb"))
 
 
+#: Series numbered by day: for operators that work within a recording in parallel.
+EP, GP = {"s": signals.EVENTS_SPLIT}, {"s": signals.GAPS_SPLIT}
 E, G, S = {"s": signals.EVENTS}, {"s": signals.GAPS}, {"s": signals.SYNTH}
 P = {"p": PEAKS}
 
 SQL: dict[str, Sql] = {
     # sample-wise
-    "gap_fill_linear": Sql(samples.GAP_FILL, G),
-    "missing_profile": Sql(samples.MISSING_PROFILE, G),
-    "baseline_moving_mean": Sql(samples.baseline(FS), E),
-    "ppg_baseline": Sql(samples.baseline(FS, 1.5), E),
-    "detrend": Sql(samples.detrend(FS), E),
-    "removed_component": Sql(samples.removed_component(FS), E),
-    "central_derivative": Sql(samples.central_derivative(FS), E),
-    "squared_energy": Sql(samples.squared_energy(FS), E),
-    "mwi_trailing": Sql(samples.mwi_trailing(FS), E),
-    "rms_envelope": Sql(samples.rms_envelope(FS), E),
-    "burst_fraction": Sql(samples.burst_fraction(FS), E),
-    "forward_fill_trace": Sql(samples.FORWARD_FILL, G),
+    "gap_fill_linear": Sql(samples.GAP_FILL, GP),
+    "missing_profile": Sql(samples.MISSING_PROFILE, GP),
+    "baseline_moving_mean": Sql(samples.baseline(FS), EP),
+    "ppg_baseline": Sql(samples.baseline(FS, 1.5), EP),
+    "detrend": Sql(samples.detrend(FS), EP),
+    "removed_component": Sql(samples.removed_component(FS), EP),
+    "central_derivative": Sql(samples.central_derivative(FS), EP),
+    "squared_energy": Sql(samples.squared_energy(FS), EP),
+    "mwi_trailing": Sql(samples.mwi_trailing(FS), EP),
+    "rms_envelope": Sql(samples.rms_envelope(FS), EP),
+    "burst_fraction": Sql(samples.burst_fraction(FS), EP),
+    "forward_fill_trace": Sql(samples.FORWARD_FILL, GP),
     "minmax_decimate": Sql(samples.decimate(400), E),
-    "time_crop": Sql(samples.crop(5.0, 15.0, FS), E),
+    "time_crop": Sql(samples.crop(5.0, 15.0, FS), EP),
     "channel_select": Sql(samples.channel_select(5), {"s": CHANNELS}),
     "step_differences": Sql(samples.step_differences(FS), E),
     # quality
@@ -88,11 +92,11 @@ SQL: dict[str, Sql] = {
     "saturation": Sql(quality.SATURATION, E),
     "flatline": Sql(quality.FLATLINE, E),
     "quality_overall": Sql(quality.QUALITY_OVERALL, G),
-    "segment_stats": Sql(quality.segment_stats(FS), G),
+    "segment_stats": Sql(quality.segment_stats(FS), GP),
     "segment_status": Sql(quality.segment_status(FS), G),
     "segment_noise_ratio": Sql(quality.segment_noise_ratio(FS), E),
-    "segment_saturation": Sql(quality.segment_saturation(FS), E),
-    "segment_flatline": Sql(quality.segment_flatline(FS), E),
+    "segment_saturation": Sql(quality.segment_saturation(FS), EP),
+    "segment_flatline": Sql(quality.segment_flatline(FS), EP),
     "amplitude_jump": Sql(quality.amplitude_jump(FS), E),
     "status_rollup": Sql(quality.status_rollup(FS), G),
     "hist_entropy": Sql(quality.hist_entropy(), E),
@@ -168,6 +172,8 @@ INDEPENDENT = {
     "peak_match_metrics": matching.metrics_oracle(_duck(METHODS), _duck(TRUTH), 360.0, 0.05),
     "algorithm_compare": matching.metrics_oracle(_duck(METHODS), _duck(TRUTH), 360.0, 0.05, True),
     "alert_suppression": intervals.SUPPRESSION_DUCKDB.replace("{p}", _duck(PEAKS)).replace("{q}", _duck(STATED)).replace("{g}", _duck(FLAGS.replace("{p}", f"({PEAKS})"))),
+    "morphology_corr": matching.morphology_oracle(_duck(SYNTH_PEAKS), _duck(SMOOTH_DUCKDB), _duck(signals.SYNTH)),
+    "what_changed": _duck(Sql(display.what_changed(), {"f": SMOOTH_DUCKDB, "s": signals.SYNTH}).whole()),
     "alert_rollup": intervals.ROLLUP_DUCKDB.replace("{p}", _duck(PEAKS)).replace("{q}", _duck(STATED)).replace("{g}", _duck(FLAGS.replace("{p}", f"({PEAKS})"))),
 }
 

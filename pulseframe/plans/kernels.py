@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 from ..functions import dsp
-from ..operators import _sql, matching, samples, spectral
+from ..operators import _sql, longrun, matching, samples, spectral
 from ..sources import files, signals
 from ..streaming import edge
 from . import oracles, pipelines
@@ -24,11 +24,19 @@ def _signal(text: str):
 
 
 SYNTH, EVENTS, LINEITEM, GAPS = _signal(signals.SYNTH), _signal(signals.EVENTS), _signal(signals.LINEITEM), _signal(signals.GAPS)
+SPLIT = _signal(signals.EVENTS_SPLIT)
+#: Samples of a chunk of the registered filters: recordings of the test tables have several.
+CHUNK = 512
 
 #: Height, distance and prominence of the registered peak scan.
 PEAK_RULE = (20.0, 6, 10.0)
 
 
+def _long(kernel, sos, name: str):
+    """A filter within recordings in parallel."""
+    return lambda spark, sf_dir: kernel(SPLIT(spark, sf_dir), sos, CHUNK).select("recording_id", "idx", F.round("v", 3).alias(name))
+
+
 def compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four detectors against the true beats."""
     found = pipelines.beats(SYNTH(spark, sf_dir), 360.0, ("adaptive", "pan_tompkins", "hamilton", "christov"))
@@ -63,6 +71,9 @@ def queries() -> dict:
         "dual_path": lambda s, d: pipelines.waves(SYNTH(s, d)),
         "bandpass_zero_phase": lambda s, d: pipelines.waves(SYNTH(s, d)).select("recording_id", "idx", F.round("qrs", 5).alias("qrs")),
         "notch": lambda s, d: pipelines.waves(SYNTH(s, d)).select("recording_id", "idx", F.round("notched", 5).alias("notched")),
+        "filter_long": _long(longrun.zero_phase, dsp.butter(4, *DEFAULT.qrs_band, 360.0), "qrs"),
+        "notch_long": _long(longrun.zero_phase, dsp.notch(50.0, DEFAULT.notch_q, 360.0), "notched"),
+        "causal_long": _long(longrun.causal, dsp.butter(2, *DEFAULT.morph_band, 360.0), "causal"),
         "r_peaks": lambda s, d: pipelines.beats(SYNTH(s, d)),
         "r_peaks_chunked": lambda s, d: pipelines.beats_chunked(EVENTS(s, d), 360.0, 2.0, 0.5),
         "peak_details": lambda s, d: pipelines.peak_details(SYNTH(s, d)),
@@ -95,6 +106,9 @@ def oracle_sql() -> dict[str, str]:
         **{name: _sql.oracle(text, f=oracles.welch(events, 360.0, n, (12, 12))) for name, (text, n) in READINGS.items()},
         "notch": oracles.zero_phase(synth, dsp.notch(50.0, DEFAULT.notch_q, 360.0), "notched"),
         "bandpass_zero_phase": oracles.zero_phase(flat, dsp.butter(4, *DEFAULT.qrs_band, 360.0), "qrs"),
+        "filter_long": oracles.zero_phase(events, dsp.butter(4, *DEFAULT.qrs_band, 360.0), "qrs", 3),
+        "notch_long": oracles.zero_phase(events, dsp.notch(50.0, DEFAULT.notch_q, 360.0), "notched", 3),
+        "causal_long": oracles.causal(events, dsp.butter(2, *DEFAULT.morph_band, 360.0), "causal", 3),
         "find_peaks": oracles.peaks(events, PEAK_RULE[0], PEAK_RULE[1], repr(PEAK_RULE[2])),
         "ppg_peaks": f"SELECT recording_id, 'pulse' AS method, idx FROM ({oracles.peaks(oracles.zero_phase(flat, dsp.butter(4, *DEFAULT.qrs_band, 360.0), 'v', None), distance=int(60 / 220 * 360.0), prominence='0.3 * stddev_pop(v)')})",
         "event_windows": oracles.event_windows("1 hour", "1 hour", 1),

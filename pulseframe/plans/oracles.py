@@ -32,6 +32,15 @@ def zero_phase(signal: str, sos, column: str, digits: int | None = 5) -> str:
     return f"WITH {', '.join(steps)} SELECT recording_id, unnest(generate_series(0, len(ys) - 1)) AS idx, {value} AS {column} FROM y"
 
 
+def causal(signal: str, sos, column: str, digits: int = 5) -> str:
+    """Forwards only, from the steady state of the first sample."""
+    steps, at = [f"c0 AS (SELECT recording_id, list(v ORDER BY idx) AS ys, first(v ORDER BY idx) AS x0 FROM ({signal}) GROUP BY recording_id)"], "c0"
+    for k, (row, zi) in enumerate(zip(sos.tolist(), dsp.sos_state(sos).tolist(), strict=True)):
+        steps.append(f"c{k + 1} AS ({_section(at, *row[:3], *row[4:], tuple(zi), 'x0')})")
+        at = f"c{k + 1}"
+    return f"WITH {', '.join(steps)} SELECT recording_id, unnest(generate_series(0, len(ys) - 1)) AS idx, round(unnest(ys), {digits}) AS {column} FROM {at}"
+
+
 def welch(signal: str, fs: float, nperseg: int, digits: tuple[int, int] = (6, 4)) -> str:
     """Welch's average of half-overlapping, mean-free segments under a periodic Hann window; a short recording is one segment."""
     return f"""

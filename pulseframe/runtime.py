@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -22,3 +22,14 @@ def ship(spark: SparkSession) -> None:
             z.write(p, Path(root.name) / p.relative_to(root))
     sc.addPyFile(path)
     sc._pulseframe_shipped = True
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Computed once and kept in ``spark.checkpoint.dir``, so that what follows neither repeats nor loses it; only where that is unset, on a local master, a temporary folder is used."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        path = sc.getConf().get("spark.checkpoint.dir", None) or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if path is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all nodes share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="pulseframe-checkpoint-"))
+    return df.checkpoint(eager=True)

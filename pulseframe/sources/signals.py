@@ -11,6 +11,14 @@ from pyspark.sql import functions as F
 
 EVENTS = "SELECT event_type AS recording_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS idx, value AS v FROM {events}"
 GAPS = "SELECT event_type AS recording_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS idx, CASE WHEN event_id % 17 <> 0 THEN value END AS v FROM {events}"
+#: The same as ``EVENTS`` and ``GAPS``, numbered by day in parallel: a day's samples are numbered among themselves, after those of all days before.
+SPLIT = """
+SELECT recording_id, CAST(before + row_number() OVER (PARTITION BY recording_id, day ORDER BY ts, event_id) - 1 AS BIGINT) AS idx, {value} AS v
+FROM (SELECT event_type AS recording_id, CAST(ts AS DATE) AS day, ts, event_id, value FROM {events}) AS s0
+JOIN (SELECT recording_id AS s1, day AS s2, sum(n) OVER (PARTITION BY recording_id ORDER BY day) - n AS before
+      FROM (SELECT event_type AS recording_id, CAST(ts AS DATE) AS day, count(*) AS n FROM {events} GROUP BY event_type, CAST(ts AS DATE)) AS s3) AS s4 ON recording_id = s1 AND day = s2
+"""
+EVENTS_SPLIT, GAPS_SPLIT = SPLIT.replace("{value}", "value"), SPLIT.replace("{value}", "CASE WHEN event_id % 17 <> 0 THEN value END")
 LINEITEM = "SELECT CAST(l_suppkey AS STRING) AS recording_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber) - 1 AS idx, l_extendedprice AS v FROM {lineitem}"
 
 #: Closed-form recordings: one for each nation, 3,000 samples at 360 Hz, bell-shaped beats at 50 to 170 bpm, baseline wander and, for odd keys, a 50 Hz tone.
