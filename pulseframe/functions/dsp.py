@@ -202,29 +202,50 @@ def find_peaks(x: np.ndarray, height: float | None = None, distance: int = 1, pr
     starts, ends = np.r_[0, edge + 1], np.r_[edge, len(x) - 1]
     inner = np.arange(1, len(starts) - 1)
     top = inner[(x[starts[inner]] > x[starts[inner - 1]]) & (x[starts[inner]] > x[starts[inner + 1]])]
-    peaks = (starts[top] + ends[top]) // 2
+    peaks = every = (starts[top] + ends[top]) // 2
     if height is not None:
         peaks = peaks[x[peaks] >= height]
     if distance > 1 and len(peaks):
-        keep = np.ones(len(peaks), bool)
-        for i in np.argsort(x[peaks], kind="stable")[::-1]:
+        lo = np.searchsorted(peaks, peaks - distance + 1).tolist()
+        hi = np.searchsorted(peaks, peaks + distance).tolist()
+        keep = bytearray(b"\1") * len(peaks)
+        for i in np.argsort(x[peaks], kind="stable")[::-1].tolist():
             if keep[i]:
-                lo, hi = np.searchsorted(peaks, [peaks[i] - distance + 1, peaks[i] + distance])
-                keep[lo:hi] = False
-                keep[i] = True
-        peaks = peaks[keep]
+                keep[lo[i] : hi[i]] = bytes(hi[i] - lo[i])
+                keep[i] = 1
+        peaks = peaks[np.frombuffer(keep, np.uint8) == 1]
     if prominence is not None and len(peaks):
-        peaks = peaks[np.array([_prominence(x, p) for p in peaks]) >= prominence]
+        peaks = peaks[_prominences(x, every)[np.searchsorted(every, peaks)] >= prominence]
     return peaks
 
 
-def _prominence(x: np.ndarray, p: int) -> float:
-    def floor(side: np.ndarray) -> float:
-        above = np.flatnonzero(side > x[p])
-        part = side[: above[0]] if len(above) else side
-        return part.min() if len(part) else x[p]
+def _valleys(heights: list[float], floors: list[float]) -> list[float]:
+    """For each maximum the lowest sample since the last higher one; ``floors`` lie before each of them.
 
-    return x[p] - max(floor(x[p::-1]), floor(x[p:]))
+    The stack has the maxima that nothing higher has followed, highest first,
+    with their own valleys: each goes on and off it once.
+    """
+    stack: list[tuple[float, float]] = []
+    out = []
+    for h, low in zip(heights, floors, strict=True):
+        while stack and stack[-1][0] <= h:
+            low = min(low, stack.pop()[1])
+        stack.append((h, low))
+        out.append(low)
+    return out
+
+
+def _prominences(x: np.ndarray, maxima: np.ndarray) -> np.ndarray:
+    """How far each of all local maxima stands above the higher of its two valleys, in linear time.
+
+    Between two maxima the wave falls and rises once, so the way to the next
+    higher sample has its lowest one among the floors between maxima.
+    """
+    floors = np.minimum.reduceat(x, np.r_[0, maxima])
+    h = x[maxima].tolist()
+    left = _valleys(h, floors[:-1].tolist())
+    right = _valleys(h[::-1], floors[:0:-1].tolist())[::-1]
+    return x[maxima] - np.maximum(left, right)
 
 
 def refine(x: np.ndarray, at: int, reach: int) -> int:
@@ -302,7 +323,7 @@ def hamilton(x: np.ndarray, fs: float) -> np.ndarray:
 
 
 def christov(x: np.ndarray, fs: float) -> np.ndarray:
-    y = trailing_mean(np.diff(x, prepend=x[0]) ** 2 + x**2, max(1, int(0.05 * fs)))
+    y = trailing_mean((np.gradient(x) if len(x) > 1 else np.zeros(len(x))) ** 2 + x**2, max(1, int(0.05 * fs)))
     return find_peaks(y, height=0.5 * np.percentile(y, 75), distance=int(0.2 * fs))
 
 

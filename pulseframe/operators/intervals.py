@@ -94,13 +94,38 @@ FROM (SELECT recording_id, label, least(1.0, greatest(0.0, CASE label WHEN 'Poss
       FROM (SELECT *, CASE WHEN vt >= 0.6499999 THEN 'Possible Ventricular Tachycardia' WHEN cv >= 0.10 AND pnn50 >= 0.15 AND rmssd > 40 AND entropy > 0.4 THEN 'Possible Atrial Fibrillation' WHEN hr >= 100 THEN 'Sinus Tachycardia' WHEN hr < 60 THEN 'Sinus Bradycardia' WHEN cv_regular > 0.5 THEN 'Normal Sinus Rhythm' ELSE 'Irregular Rhythm' END AS label FROM ({VT}) AS y) AS x) AS w
 """
 
+#: Rhythm by the modular rules: beats ``p`` and what is known of a recording's wave, ``w(recording_id, amplitude_cv, quality, severity)``, whose absence neither adds evidence nor takes confidence.
+#: Any evidence sets a flag; the label changes where its score is over a half, fibrillation first. Every recording with beats gets a row.
 RHYTHM_MODULAR = f"""
 SELECT recording_id, CASE WHEN mvf > 0.5 THEN 'Possible Ventricular Fibrillation' WHEN mvt > 0.5 THEN 'Possible Ventricular Tachycardia' ELSE label END AS label, round(conf, 4) AS confidence_score, {CONFIDENCE} AS confidence, mvt > 0 AS possible_vt, mvf > 0 AS possible_vf, round(mvt, 4) AS vt_score, round(mvf, 4) AS vf_score
-FROM (SELECT *, least(1.0, greatest(0.0, CASE WHEN n < 6 THEN greatest(0.0, base - 0.20) ELSE base END)) AS conf
-      FROM (SELECT *, CASE label WHEN 'Possible Atrial Fibrillation' THEN least(1.0, greatest(0.0, 0.5 + 0.5 * least(cv / 0.20, 1.0) + 0.2 * least(pnn50 / 0.30, 1.0) - CASE WHEN hr > 150 THEN 0.3 ELSE 0 END)) WHEN 'Sinus Tachycardia' THEN 0.7 + 0.3 * cv_regular WHEN 'Sinus Bradycardia' THEN 0.7 + 0.3 * cv_regular WHEN 'Irregular Rhythm' THEN 0.5 ELSE CASE WHEN cv_regular > 0.5 THEN 0.6 + 0.4 * cv_regular ELSE 0.65 END END AS base
-            FROM (SELECT *, CASE WHEN cv >= 0.10 AND pnn50 >= 0.15 AND rmssd > 40 AND entropy > 0.4 THEN 'Possible Atrial Fibrillation' WHEN hr >= 100 THEN 'Sinus Tachycardia' WHEN hr < 60 THEN 'Sinus Bradycardia' WHEN cv_regular > 0.5 THEN 'Normal Sinus Rhythm' WHEN cv > 0.05 THEN 'Irregular Rhythm' ELSE 'Normal Sinus Rhythm' END AS label,
-                         CASE WHEN hr >= 120 THEN 0.4 ELSE 0 END + CASE WHEN sustained43 >= 0.75 THEN 0.4 ELSE 0 END + CASE WHEN cv_regular >= 0.6 AND (hr >= 120 OR sustained43 >= 0.75) THEN 0.2 ELSE 0 END AS mvt, CASE WHEN entropy > 0.65 THEN 0.3 ELSE 0 END + CASE WHEN cv > 0.25 THEN 0.2 ELSE 0 END AS mvf
-                  FROM ({VT}) AS y) AS x) AS w) AS u
+FROM (SELECT *, least(1.0, CASE WHEN n < 6 THEN greatest(0.0, seen - 0.20) ELSE seen END) AS conf
+      FROM (SELECT *, greatest(0.0, greatest(0.0, base - CASE WHEN severity LIKE '%SEVERE%' THEN 0.35 WHEN severity LIKE '%MODERATE%' THEN 0.15 ELSE 0 END) - CASE WHEN quality IN ('POOR', 'CRITICAL') THEN 0.25 ELSE 0 END) AS seen
+            FROM (SELECT *, CASE label WHEN 'Unknown / Unclassifiable' THEN 0.0 WHEN 'Possible Atrial Fibrillation' THEN least(1.0, greatest(0.0, 0.5 + 0.5 * least(cv / 0.20, 1.0) + 0.2 * least(pnn50 / 0.30, 1.0) - CASE WHEN hr > 150 THEN 0.3 ELSE 0 END)) WHEN 'Sinus Tachycardia' THEN 0.7 + 0.3 * cv_regular WHEN 'Sinus Bradycardia' THEN 0.7 + 0.3 * cv_regular WHEN 'Irregular Rhythm' THEN 0.5 ELSE CASE WHEN cv_regular > 0.5 THEN 0.6 + 0.4 * cv_regular ELSE 0.65 END END AS base
+                  FROM (SELECT k.recording_id, n, cv, pnn50, hr, cv_regular, quality, severity,
+                               CASE WHEN n IS NULL THEN 'Unknown / Unclassifiable' WHEN cv >= 0.10 AND pnn50 >= 0.15 AND rmssd > 40 AND entropy > 0.4 THEN 'Possible Atrial Fibrillation' WHEN hr >= 100 THEN 'Sinus Tachycardia' WHEN hr < 60 THEN 'Sinus Bradycardia' WHEN cv_regular > 0.5 THEN 'Normal Sinus Rhythm' WHEN cv > 0.05 THEN 'Irregular Rhythm' ELSE 'Normal Sinus Rhythm' END AS label,
+                               CASE WHEN hr >= 120 THEN 0.4 ELSE 0 END + CASE WHEN sustained43 >= 0.75 THEN 0.4 ELSE 0 END + CASE WHEN cv_regular >= 0.6 AND (hr >= 120 OR sustained43 >= 0.75) THEN 0.2 ELSE 0 END AS mvt,
+                               CASE WHEN entropy > 0.65 THEN 0.3 ELSE 0 END + CASE WHEN cv > 0.25 THEN 0.2 ELSE 0 END + CASE WHEN n IS NOT NULL AND amplitude_cv > 0.50 THEN 0.2 ELSE 0 END + CASE WHEN quality IN ('POOR', 'CRITICAL') AND hr > 150 THEN 0.1 ELSE 0 END AS mvf
+                        FROM (SELECT recording_id FROM {{p}} AS pk GROUP BY recording_id) AS k LEFT JOIN ({VT}) AS y ON k.recording_id = y.recording_id LEFT JOIN {{w}} AS w ON k.recording_id = w.recording_id) AS x) AS v) AS u) AS t
+"""
+
+
+#: The same from its rules, for DuckDB alone, over lists of beats.
+MODULAR_DUCKDB = """
+WITH b AS (SELECT recording_id, any_value(fs) AS fs, list(idx ORDER BY idx) AS ix FROM ({p}) GROUP BY recording_id),
+r AS (SELECT recording_id, len(ix) AS beats, list_filter(list_transform(generate_series(2, len(ix)), lambda k: (ix[k] - ix[k - 1]) / fs), lambda x: x >= 0.2 AND x <= 3.0) AS rr FROM b),
+d AS (SELECT *, list_transform(generate_series(2, len(rr)), lambda k: 1000 * (rr[k] - rr[k - 1])) AS d, list_transform(rr, lambda x: CASE WHEN list_max(rr) = list_min(rr) THEN 16 ELSE least(31, CAST(floor((x - list_min(rr)) / (list_max(rr) - list_min(rr)) * 32) AS INT)) END) AS bin FROM r WHERE beats >= 4 AND len(rr) >= 2),
+f AS (SELECT recording_id, len(rr) AS n, list_stddev_pop(rr) / list_avg(rr) AS cv, 60 / list_median(rr) AS hr, sqrt(list_avg(list_transform(d, lambda x: x * x))) AS rmssd, len(list_filter(d, lambda x: abs(x) > 50)) / len(d) AS pnn50,
+             list_transform(range(32), lambda k: len(list_filter(bin, lambda x: x = k)) + 1e-9) AS hist,
+             list_max(list_transform(generate_series(1, len(rr)), lambda a: coalesce(list_min(list_filter(generate_series(a, len(rr)), lambda z: rr[z] >= 0.43)), len(rr) + 1) - a)) / len(rr) AS rapid FROM d),
+g AS (SELECT *, least(1, greatest(0, 1 - 3 * cv)) AS regular, CASE WHEN n < 4 THEN 0 ELSE -list_sum(list_transform(hist, lambda c: c / list_sum(hist) * log2(c / list_sum(hist)))) / 5 END AS entropy FROM f),
+s AS (SELECT b.recording_id, g.* EXCLUDE (recording_id), g.n IS NOT NULL AS told, coalesce(quality IN ('POOR', 'CRITICAL'), false) AS poor, coalesce(severity, '') AS severity,
+             CASE WHEN hr >= 120 THEN 4 ELSE 0 END + CASE WHEN rapid >= 0.75 THEN 4 ELSE 0 END AS rate, CASE WHEN entropy > 0.65 THEN 3 ELSE 0 END + CASE WHEN cv > 0.25 THEN 2 ELSE 0 END + CASE WHEN told AND amplitude_cv > 0.5 THEN 2 ELSE 0 END + CASE WHEN told AND poor AND hr > 150 THEN 1 ELSE 0 END AS vf
+      FROM b LEFT JOIN g USING (recording_id) LEFT JOIN ({w}) AS w USING (recording_id)),
+t AS (SELECT *, rate + CASE WHEN rate > 0 AND regular >= 0.6 THEN 2 ELSE 0 END AS vt, CASE WHEN NOT told THEN 'U' WHEN cv >= 0.1 AND pnn50 >= 0.15 AND rmssd > 40 AND entropy > 0.4 THEN 'A' WHEN hr >= 100 THEN 'T' WHEN hr < 60 THEN 'B' WHEN regular > 0.5 OR cv <= 0.05 THEN 'N' ELSE 'I' END AS kind FROM s),
+c AS (SELECT *, CASE kind WHEN 'U' THEN 0 WHEN 'A' THEN least(1, greatest(0, 0.5 + 0.5 * least(cv / 0.2, 1) + 0.2 * least(pnn50 / 0.3, 1) - CASE WHEN hr > 150 THEN 0.3 ELSE 0 END)) WHEN 'I' THEN 0.5 WHEN 'N' THEN CASE WHEN regular > 0.5 THEN 0.6 + 0.4 * regular ELSE 0.65 END ELSE 0.7 + 0.3 * regular END AS c0 FROM t),
+e AS (SELECT *, least(1, list_reduce([CASE WHEN contains(severity, 'SEVERE') THEN 0.35 WHEN contains(severity, 'MODERATE') THEN 0.15 ELSE 0 END, CASE WHEN poor THEN 0.25 ELSE 0 END, CASE WHEN n < 6 THEN 0.2 ELSE 0 END], lambda x, y: greatest(0, x - y), CAST(c0 AS DOUBLE))) AS conf FROM c)
+SELECT recording_id, CASE WHEN vf > 5 THEN 'Possible Ventricular Fibrillation' WHEN vt > 5 THEN 'Possible Ventricular Tachycardia' ELSE CASE kind WHEN 'U' THEN 'Unknown / Unclassifiable' WHEN 'A' THEN 'Possible Atrial Fibrillation' WHEN 'T' THEN 'Sinus Tachycardia' WHEN 'B' THEN 'Sinus Bradycardia' WHEN 'N' THEN 'Normal Sinus Rhythm' ELSE 'Irregular Rhythm' END END AS label,
+       round(conf, 4) AS confidence_score, CASE WHEN conf >= 0.70 THEN 'HIGH' WHEN conf >= 0.45 THEN 'MODERATE' WHEN conf >= 0.20 THEN 'LOW' ELSE 'UNRELIABLE' END AS confidence, vt > 0 AS possible_vt, vf > 0 AS possible_vf, round(vt / 10, 4) AS vt_score, round(vf / 10, 4) AS vf_score FROM e
 """
 
 #: Rhythm by all batch rules: beats ``p`` and what is known of each recording's wave, ``w(recording_id, seconds, amplitude_cv, wave_entropy, quality, severity)``;
@@ -122,11 +147,12 @@ FROM (SELECT *, CASE WHEN told THEN least(1.0, greatest(0.0, greatest(0.0, base
 
 #: Alerts of recordings that a classifier has flagged - ``g(recording_id, possible_vt, possible_vf, vt_evidence, vf_evidence)``, fibrillation first -
 #: under the quality ``q(recording_id, poor, severe, reliability, duration_s)``: limited signals are kept for review, flags without evidence on unreliable beats suppressed.
+#: Unknown quality does neither.
 ALERTS = f"""
 SELECT recording_id, CASE WHEN limited THEN 'Quality-limited alert' WHEN artifact THEN 'Artifact-driven alarm (suppressed)' WHEN possible_vf THEN 'Possible Ventricular Fibrillation' ELSE 'Possible Ventricular Tachycardia' END AS alert_type,
        CASE WHEN limited THEN 'MEDIUM' WHEN artifact THEN 'SUPPRESSED' WHEN possible_vf THEN 'CRITICAL' ELSE 'HIGH' END AS priority, artifact AND NOT limited AS suppressed, limited AS requires_review, coalesce(latency, 0.0) AS latency, duration_s
-FROM (SELECT g.recording_id, possible_vf, poor AND severe AND reliability < 0.6 AS limited, reliability < 0.30 AND NOT CASE WHEN possible_vf THEN vf_evidence ELSE vt_evidence END AS artifact, latency, duration_s
-      FROM {{g}} AS g JOIN {{q}} AS q ON g.recording_id = q.recording_id
+FROM (SELECT g.recording_id, possible_vf, coalesce(poor AND severe AND reliability < 0.6, false) AS limited, coalesce(reliability < 0.30 AND NOT CASE WHEN possible_vf THEN vf_evidence ELSE vt_evidence END, false) AS artifact, latency, duration_s
+      FROM {{g}} AS g LEFT JOIN {{q}} AS q ON g.recording_id = q.recording_id
       LEFT JOIN (SELECT recording_id AS r7, sum(CASE WHEN k <= 4 THEN rr END) AS latency FROM (SELECT recording_id, rr, row_number() OVER (PARTITION BY recording_id ORDER BY idx) AS k FROM ({VALID}) AS a7) AS b7 GROUP BY recording_id) AS l ON g.recording_id = r7
       WHERE possible_vt OR possible_vf) AS t
 """
@@ -142,7 +168,7 @@ FROM ({ALERTS}) AS a9 GROUP BY priority
 ALERTS_DUCKDB = """
 WITH beat AS (SELECT recording_id, any_value(fs) AS fs, list(idx ORDER BY idx) AS ix FROM ({p}) GROUP BY recording_id),
 rr AS (SELECT recording_id, list_filter(list_transform(generate_series(2, len(ix)), lambda k: (ix[k] - ix[k - 1]) / fs), lambda x: x >= 0.2 AND x <= 3.0) AS rr FROM beat),
-flag AS (SELECT g.*, q.* EXCLUDE (recording_id), CASE WHEN possible_vf THEN 'F' WHEN possible_vt THEN 'T' END AS kind FROM ({g}) AS g JOIN ({q}) AS q USING (recording_id)),
+flag AS (SELECT g.*, q.* EXCLUDE (recording_id), CASE WHEN possible_vf THEN 'F' WHEN possible_vt THEN 'T' END AS kind FROM ({g}) AS g LEFT JOIN ({q}) AS q USING (recording_id)),
 alert AS (SELECT recording_id, duration_s, coalesce(list_sum(rr[1:4]), 0.0) AS latency, CASE WHEN poor AND severe AND reliability < 0.6 THEN 'review' WHEN reliability < 0.3 AND ((kind = 'F' AND NOT vf_evidence) OR (kind = 'T' AND NOT vt_evidence)) THEN 'artifact' ELSE kind END AS verdict
           FROM flag LEFT JOIN rr USING (recording_id) WHERE kind IS NOT NULL),
 named AS (SELECT *, verdict = 'artifact' AS suppressed, verdict = 'review' AS requires_review, CASE verdict WHEN 'review' THEN 'MEDIUM' WHEN 'artifact' THEN 'SUPPRESSED' WHEN 'F' THEN 'CRITICAL' ELSE 'HIGH' END AS priority,

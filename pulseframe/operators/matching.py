@@ -4,23 +4,26 @@ from __future__ import annotations
 
 
 def matches(tolerance: int) -> str:
-    """Each detection's nearest reference (the first on a tie), found by buckets of the tolerance; the first detection of a reference has it.
+    """Pairs of detections and references at most ``tolerance`` samples apart (0: in the same place).
+
+    Each detection's nearest reference (the first on a tie), found by buckets of the tolerance; the first detection of a reference has it.
 
     A detection's nearest reference doesn't depend on which ones are taken, so
     the greedy pass of one detection after another is a ranking.
     """
+    width = max(1, tolerance)
     return f"""
 SELECT recording_id, method, det, CASE WHEN nth = 1 THEN ref END AS ref
 FROM (SELECT recording_id, method, det, ref, row_number() OVER (PARTITION BY recording_id, method, ref ORDER BY det) AS nth
       FROM (SELECT d.recording_id, d.method, d.idx AS det, r.idx AS ref, row_number() OVER (PARTITION BY d.recording_id, d.method, d.idx ORDER BY abs(d.idx - r.idx), r.idx) AS near
-            FROM (SELECT recording_id, method, idx, CAST(floor(idx / {tolerance}.0) AS BIGINT) + o AS bucket FROM {{d}} AS d0, SEQ(-1, 1, u, o)) AS d
-            JOIN (SELECT recording_id, idx, CAST(floor(idx / {tolerance}.0) AS BIGINT) AS bucket FROM {{r}} AS r0) AS r ON d.recording_id = r.recording_id AND d.bucket = r.bucket
+            FROM (SELECT recording_id, method, idx, CAST(floor(idx / {width}.0) AS BIGINT) + o AS bucket FROM {{d}} AS d0, SEQ(-1, 1, u, o)) AS d
+            JOIN (SELECT recording_id, idx, CAST(floor(idx / {width}.0) AS BIGINT) AS bucket FROM {{r}} AS r0) AS r ON d.recording_id = r.recording_id AND d.bucket = r.bucket
             WHERE abs(d.idx - r.idx) <= {tolerance}) AS a WHERE near = 1) AS b WHERE nth = 1
 """
 
 
 def match_metrics(fs: float, tolerance_s: float = 0.05) -> str:
-    """Counts and timing errors for every recording that has detections or references, by every method that there is: what a method found nothing in counts, too."""
+    """Counts and timing errors for every recording that has detections or references, by every method that there is: what a method found nothing in counts, too. Of detections in one place the first may match, the others are false."""
     t = int(tolerance_s * fs)
     return f"""
 SELECT recording_id, method, tp, detections - tp AS fp, refs - tp AS fn, round(tp / greatest(detections, 1), 4) AS precision_, round(tp / greatest(refs, 1), 4) AS recall, round(2.0 * tp / greatest(detections + refs, 1), 4) AS f1,
@@ -29,7 +32,7 @@ FROM (SELECT g.recording_id, g.method, coalesce(detections, 0) AS detections, co
       FROM (SELECT recording_id, method FROM (SELECT recording_id, (SELECT VALUES_OF(method) FROM {{d}} AS d2) AS every FROM (SELECT recording_id FROM {{d}} AS d1 UNION SELECT recording_id FROM {{r}} AS r1) AS a0) AS a, EACH(every, u, method)) AS g
       LEFT JOIN (SELECT recording_id, count(*) AS refs FROM {{r}} AS r2 GROUP BY recording_id) AS f ON g.recording_id = f.recording_id
       LEFT JOIN (SELECT d.recording_id, d.method, count(*) AS detections, count(m.ref) AS tp, avg((m.det - m.ref) * 1000 / {fs}) AS mean_err, stddev_pop((m.det - m.ref) * 1000 / {fs}) AS std_err, avg(abs(m.det - m.ref) * 1000 / {fs}) AS mean_abs, max(abs(m.det - m.ref) * 1000 / {fs}) AS max_abs
-                 FROM {{d}} AS d LEFT JOIN ({matches(t)}) AS m ON d.recording_id = m.recording_id AND d.method = m.method AND d.idx = m.det GROUP BY d.recording_id, d.method) AS e ON g.recording_id = e.recording_id AND g.method = e.method) AS h
+                 FROM (SELECT recording_id, method, idx, row_number() OVER (PARTITION BY recording_id, method, idx ORDER BY idx) AS copy FROM {{d}} AS d3) AS d LEFT JOIN ({matches(t)}) AS m ON d.recording_id = m.recording_id AND d.method = m.method AND d.idx = m.det AND d.copy = 1 GROUP BY d.recording_id, d.method) AS e ON g.recording_id = e.recording_id AND g.method = e.method) AS h
 """
 
 

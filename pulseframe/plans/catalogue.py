@@ -23,12 +23,12 @@ CHANNELS = "SELECT event_type AS recording_id, CAST(user_id % 3 AS INT) AS chann
 SYNTH_PEAKS = f"SELECT recording_id, idx, 360.0 AS fs FROM ({intervals.local_maxima(0.6).replace('{s}', f'({signals.SYNTH})')}) AS x1"
 EVENT_PEAKS = f"SELECT recording_id, idx, 12.0 AS fs FROM ({intervals.local_maxima(0.3).replace('{s}', f'({signals.EVENTS})')}) AS x2"
 PEAKS = f"SELECT * FROM ({SYNTH_PEAKS}) AS y1 UNION ALL SELECT * FROM ({EVENT_PEAKS}) AS y2"
-#: A stated quality for every recording, as the monitor would give it.
-STATED = f"SELECT recording_id, length(recording_id) % 2 = 0 AS poor, length(recording_id) % 3 = 0 AS severe, 0.1 * (length(recording_id) % 10) AS reliability, span AS duration_s FROM (SELECT recording_id, (max(idx) + 1) / max(fs) AS span FROM ({PEAKS}) AS pk GROUP BY recording_id) AS st"
-#: The modular classifier's flags; a few state no evidence, as an outside monitor's may not.
-FLAGS = f"SELECT recording_id, possible_vt, possible_vf, possible_vt AND length(recording_id) % 5 <> 2 AS vt_evidence, possible_vf AND length(recording_id) % 5 <> 2 AS vf_evidence FROM ({intervals.RHYTHM_MODULAR}) AS fl"
+#: A stated quality, as the monitor would give it, of most recordings.
+STATED = f"SELECT recording_id, length(recording_id) % 2 = 0 AS poor, length(recording_id) % 3 = 0 AS severe, 0.1 * (length(recording_id) % 10) AS reliability, span AS duration_s FROM (SELECT recording_id, (max(idx) + 1) / max(fs) AS span FROM ({PEAKS}) AS pk GROUP BY recording_id) AS st WHERE length(recording_id) <> 6"
 #: Stated facts of every recording's wave, and of a few that have no beats; none lies on a threshold, where 0.1 as a decimal and as a double differ.
 WAVES = f"SELECT recording_id, CASE WHEN length(recording_id) = 5 THEN 4.0 ELSE span END AS seconds, 0.05 + 0.1 * (length(recording_id) % 8) AS amplitude_cv, CASE WHEN length(recording_id) % 7 <> 0 THEN 0.05 + 0.1 * (length(recording_id) % 9) END AS wave_entropy, CASE length(recording_id) % 4 WHEN 0 THEN 'GOOD' WHEN 1 THEN 'MODERATE' WHEN 2 THEN 'POOR' ELSE 'CRITICAL' END AS quality, CASE length(recording_id) % 3 WHEN 0 THEN 'CLEAN' WHEN 1 THEN 'MODERATE EMG' ELSE 'SEVERE EMG' END AS severity FROM (SELECT recording_id, (max(idx) + 1) / max(fs) AS span FROM ({PEAKS}) AS wp GROUP BY recording_id UNION ALL SELECT r_name AS recording_id, 30.0 AS span FROM {{region}}) AS wq"
+#: The modular classifier's flags; a few state no evidence, as an outside monitor's may not.
+FLAGS = f"SELECT recording_id, possible_vt, possible_vf, possible_vt AND length(recording_id) % 5 <> 2 AS vt_evidence, possible_vf AND length(recording_id) % 5 <> 2 AS vf_evidence FROM ({intervals.RHYTHM_MODULAR}) AS fl".replace("{w}", f"({WAVES})")
 PROFILES = "SELECT n_name AS recording_id, CASE n_nationkey % 5 WHEN 0 THEN 'SEVERE EMG' WHEN 1 THEN 'MODERATE EMG' WHEN 2 THEN 'MILD EMG' ELSE 'CLEAN' END AS emg_severity, (n_nationkey % 7) / 10.0 AS baseline, n_nationkey % 4 * 6 AS motion, n_nationkey % 3 = 0 AS powerline, n_nationkey % 6 = 5 AS saturated FROM {nation}"
 SEGMENT_EMG = "SELECT CAST(s_nationkey AS VARCHAR(20)) AS recording_id, CASE s_suppkey % 4 WHEN 3 THEN 'SEVERE EMG' WHEN 2 THEN 'MODERATE EMG' WHEN 1 THEN 'MILD EMG' ELSE 'CLEAN' END AS emg_severity FROM {supplier}"
 TRUTH = f"SELECT recording_id, beat * period AS idx FROM ({signals.SYNTH}) AS tr WHERE beat * period < 3000 AND beat >= 0 GROUP BY recording_id, beat, period"
@@ -117,7 +117,7 @@ SQL: dict[str, Sql] = {
     "vf_evidence": Sql(intervals.VF_EVIDENCE, P),
     "rhythm_label": Sql(intervals.RHYTHM_LABEL, P),
     "rhythm_batch": Sql(intervals.RHYTHM_BATCH, P | {"w": WAVES}),
-    "rhythm_modular": Sql(intervals.RHYTHM_MODULAR, P),
+    "rhythm_modular": Sql(intervals.RHYTHM_MODULAR, P | {"w": WAVES}),
     "alert_suppression": Sql(intervals.ALERT_SUPPRESSION, P | {"q": STATED, "g": FLAGS.replace("{p}", f"({PEAKS})")}),
     "alert_rollup": Sql(intervals.ALERT_ROLLUP, P | {"q": STATED, "g": FLAGS.replace("{p}", f"({PEAKS})")}),
     # matching and morphology
@@ -138,7 +138,7 @@ SQL: dict[str, Sql] = {
     "perturbations": Sql(display.PERTURBATION_FACTS, S),
     "what_changed": Sql(display.what_changed(), {"f": SMOOTH, "s": signals.SYNTH}),
     "detection_reliability": Sql(display.RELIABILITY, {"f": f"SELECT recording_id, cv, beats, n * mean AS span FROM ({intervals.FEATURES}) AS fe", "q": "SELECT DISTINCT recording_id, 0.1 * (length(recording_id) % 10) AS quality, 0.05 * (length(recording_id) % 4) AS emg FROM {p}"} | P),
-    "rhythm_match": Sql(display.rhythm_match(), {"l": f"SELECT a.recording_id, a.label, b.label AS reference FROM ({intervals.RHYTHM_LABEL}) AS a JOIN ({intervals.RHYTHM_MODULAR}) AS b ON a.recording_id = b.recording_id"} | P),
+    "rhythm_match": Sql(display.rhythm_match(), {"l": f"SELECT a.recording_id, a.label, b.label AS reference FROM ({intervals.RHYTHM_LABEL}) AS a JOIN ({intervals.RHYTHM_MODULAR}) AS b ON a.recording_id = b.recording_id"} | P | {"w": WAVES}),
     "motion_label": Sql(display.MOTION, {"s": quality.SIGNAL_QUALITY.replace("{s}", f"({signals.EVENTS})")}),
     # spectra
     "dft_power": Sql(spectral.dft_power(), S),
@@ -172,6 +172,7 @@ INDEPENDENT = {
     "peak_match_metrics": matching.metrics_oracle(_duck(METHODS), _duck(TRUTH), 360.0, 0.05),
     "algorithm_compare": matching.metrics_oracle(_duck(METHODS), _duck(TRUTH), 360.0, 0.05, True),
     "alert_suppression": intervals.SUPPRESSION_DUCKDB.replace("{p}", _duck(PEAKS)).replace("{q}", _duck(STATED)).replace("{g}", _duck(FLAGS.replace("{p}", f"({PEAKS})"))),
+    "rhythm_modular": intervals.MODULAR_DUCKDB.replace("{p}", _duck(PEAKS)).replace("{w}", _duck(WAVES)),
     "morphology_corr": matching.morphology_oracle(_duck(SYNTH_PEAKS), _duck(SMOOTH_DUCKDB), _duck(signals.SYNTH)),
     "what_changed": _duck(Sql(display.what_changed(), {"f": SMOOTH_DUCKDB, "s": signals.SYNTH}).whole()),
     "alert_rollup": intervals.ROLLUP_DUCKDB.replace("{p}", _duck(PEAKS)).replace("{q}", _duck(STATED)).replace("{g}", _duck(FLAGS.replace("{p}", f"({PEAKS})"))),
