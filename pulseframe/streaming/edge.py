@@ -15,6 +15,7 @@ intervals (by default with the one that reaches back to the beat before it).
 from __future__ import annotations
 
 import math
+import time
 from collections.abc import Iterator
 from typing import Any
 
@@ -31,6 +32,11 @@ CHUNK = "recording_id string, chunk_index long, start_sample long, n_samples lon
 STATE = "next_sample long, chunk_index long, zi array<double>, spki double, npki double, last_peak long, run long, active boolean, buffer_idx array<long>, buffer_v array<double>, late long"
 
 
+#: Intervals that a recording's state keeps.
+RECENT = 20
+EVENT = f"{CHUNK}, kind string, late_idx array<long>, recent_rr array<double>"
+
+
 class Edge:
     """State of one recording between chunks."""
 
@@ -41,6 +47,7 @@ class Edge:
         self.spki = self.npki = 0.0
         self.last, self.run, self.active = -1, 0, False
         self.chunk = 0
+        self.recent: list[float] = []  # the last RECENT intervals, however long the recording is
 
     def dump(self) -> dict:
         return {"zi": [] if self.zi is None else self.zi.ravel().tolist(), "spki": self.spki, "npki": self.npki, "last_peak": self.last, "run": self.run, "active": self.active, "chunk_index": self.chunk}
@@ -92,6 +99,7 @@ class Edge:
         rr = [d / self.fs for d in np.diff(line).tolist() if DEFAULT.rr_min <= d / self.fs <= DEFAULT.rr_max]
         if peaks:
             self.last = peaks[-1]
+        self.recent = (self.recent + rr)[-RECENT:]
         alert, latency = False, None
         for v in rr:
             if 60 / v >= DEFAULT.vt_bpm:
@@ -107,18 +115,22 @@ class Edge:
         return out
 
 
-def batch(signal: DataFrame, fs: float = 360.0, chunk_s: float = DEFAULT.edge_chunk_s, overlap_s: float = DEFAULT.edge_overlap_s, compat: bool = False) -> DataFrame:
-    """The chunk rows of whole recordings."""
+def batch(signal: DataFrame, fs: float = 360.0, chunk_s: float = DEFAULT.edge_chunk_s, overlap_s: float = DEFAULT.edge_overlap_s, compat: bool = False, timed: bool = False) -> DataFrame:
+    """The chunk rows of whole recordings; ``timed`` adds ``elapsed_ms``, what a chunk took."""
     ship(signal.sparkSession)
 
     def one(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values("idx")["v"].to_numpy(float)
         n, over = int(chunk_s * fs), int(overlap_s * fs) if compat else 0
-        edge = Edge(fs, compat)
-        rows = [edge.step(a, x[a : a + n], over) for a in range(0, len(x), n - over)]
-        return pd.DataFrame([{"recording_id": key[0], **r} for r in rows])
+        edge, rows = Edge(fs, compat), []
+        for a in range(0, len(x), n - over):
+            began = time.perf_counter()
+            rows.append({"recording_id": key[0], **edge.step(a, x[a : a + n], over)})
+            if timed:
+                rows[-1]["elapsed_ms"] = 1000 * (time.perf_counter() - began)
+        return pd.DataFrame(rows)
 
-    return signal.groupBy("recording_id").applyInPandas(one, CHUNK)
+    return signal.groupBy("recording_id").applyInPandas(one, CHUNK + ", elapsed_ms double" * timed)
 
 
 class Buffer:
@@ -128,6 +140,7 @@ class Buffer:
         self.edge, self.size, self.patience = Edge(fs), size, patience
         self.waiting: dict[int, float] = {}
         self.following = self.late = 0
+        self.missed: list[int] = []  # late samples since the state was read
         if row:
             self.edge.load(row)
             self.waiting, self.following, self.late = dict(zip(row["buffer_idx"], row["buffer_v"], strict=True)), row["next_sample"], row["late"]
@@ -140,6 +153,7 @@ class Buffer:
         for i, v in zip(idx, values, strict=True):
             if i < self.following:
                 self.late += 1
+                self.missed.append(i)
             else:
                 self.waiting[i] = math.nan if v is None else v
 
@@ -163,7 +177,7 @@ class Buffer:
         return out
 
 
-def stream(samples: DataFrame, fs: float = 360.0, chunk_s: float = DEFAULT.edge_chunk_s, patience_s: float = 4.0, idle_s: float | None = None) -> DataFrame:
+def stream(samples: DataFrame, fs: float = 360.0, chunk_s: float = DEFAULT.edge_chunk_s, patience_s: float = 4.0, idle_s: float | None = None, ttl_s: float | None = None) -> DataFrame:
     """Chunk rows of a stream of ``recording_id, idx, v``.
 
     Samples that come early wait in the state until their place is reached; a
@@ -171,7 +185,8 @@ def stream(samples: DataFrame, fs: float = 360.0, chunk_s: float = DEFAULT.edge_
     have come counts as missing, so a lost sample holds nothing up and what
     waits is bounded.  Samples of a place that has passed are counted as late and
     left out.  With ``idle_s`` a recording that sends nothing for so long is
-    closed: its last, partial chunk is emitted and its state dropped.
+    closed: its last, partial chunk is emitted and its state dropped.  With
+    ``ttl_s`` a state that nothing has changed for so long is dropped without a row.
     """
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -181,7 +196,7 @@ def stream(samples: DataFrame, fs: float = 360.0, chunk_s: float = DEFAULT.edge_
     class Processor(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
-            self.state = handle.getValueState("edge", STATE)
+            self.state = handle.getValueState("edge", STATE, None if ttl_s is None else int(1000 * ttl_s))
 
         def load(self) -> Buffer:
             row = dict(zip([c.split()[0] for c in STATE.split(", ")], self.state.get(), strict=True)) if self.state.exists() else None
@@ -209,7 +224,77 @@ def stream(samples: DataFrame, fs: float = 360.0, chunk_s: float = DEFAULT.edge_
         def close(self) -> None:
             pass
 
-    return samples.groupBy("recording_id").transformWithStateInPandas(Processor(), CHUNK, "Append", "None" if idle_s is None else "ProcessingTime")
+    return samples.groupBy("recording_id").transformWithStateInPandas(Processor(), CHUNK, "Append", "None" if idle_s is None and ttl_s is None else "ProcessingTime")
+
+
+def stream_events(samples: DataFrame, fs: float = 360.0, time_col: str = "ts", lateness: str = "10 seconds", idle_s: float = 30.0, chunk_s: float = DEFAULT.edge_chunk_s, patience_s: float = 4.0) -> DataFrame:
+    """The same of a stream of ``recording_id, idx, v`` with the samples' own times, in event time.
+
+    Rows of ``kind``: ``chunk``; ``late``, with the numbers of samples that came
+    after their chunk in ``late_idx`` (a row for each recording and micro-batch;
+    what is older than the watermark never reaches the operator and is counted by
+    the query's progress, see ``facts.Progress``); ``tail``, a recording's last
+    chunk, once the watermark is ``idle_s`` past its latest sample, whereupon its
+    state goes.  So what is emitted depends on the samples' times and the
+    micro-batches alone, not on the clock: a replay gives the same rows.
+
+    State: a value for filter, levels and waiting samples, and a list of the last
+    ``RECENT`` intervals, given as ``recent_rr`` with every row; both are bounded
+    and come back from the checkpoint.  A recording that goes on after its tail
+    begins anew at the chunk of its next sample.
+    """
+    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+    ship(samples.sparkSession)
+    size, patience, idle = int(chunk_s * fs), int(patience_s * fs), int(1000 * idle_s)
+
+    class Processor(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.state = handle.getValueState("edge", STATE)
+            self.intervals = handle.getListState("intervals", "rr double")
+
+        def load(self) -> Buffer:
+            row = dict(zip([c.split()[0] for c in STATE.split(", ")], self.state.get(), strict=True)) if self.state.exists() else None
+            own = Buffer(fs, size, patience, row)
+            own.edge.recent = [r[0] for r in self.intervals.get()] if self.intervals.exists() else []
+            return own
+
+        def rows(self, key, own: Buffer, everything: bool) -> Iterator[pd.DataFrame]:
+            said = own.due(everything)
+            more = {"late_idx": [], "recent_rr": own.edge.recent}
+            out = [{"recording_id": key[0], **r, "kind": "tail" if everything and r is said[-1] else "chunk", **more} for r in said]
+            if own.missed:
+                nothing = {"n_samples": 0, "peaks": [], "heart_rate_bpm": None, "emg": False, "vt_alert": False, "alert_latency_s": None}
+                out.append({"recording_id": key[0], "chunk_index": own.edge.chunk, "start_sample": own.following, **nothing, "late_samples": own.late, "kind": "late", **more, "late_idx": own.missed})
+            if out:
+                frame = pd.DataFrame(out)
+                yield frame.astype({"heart_rate_bpm": float, "alert_latency_s": float})
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            own, newest = self.load(), 0
+            for pdf in rows:
+                own.add(pdf["idx"].tolist(), pdf["v"].tolist())
+                newest = max(newest, int(pdf[time_col].max().timestamp() * 1000))
+            yield from self.rows(key, own, False)
+            self.state.update(own.dump())
+            if own.edge.recent:
+                self.intervals.put([(v,) for v in own.edge.recent])
+            timers = list(self.handle.listTimers())
+            if newest + idle > max(timers, default=0):
+                for t in timers:
+                    self.handle.deleteTimer(t)
+                self.handle.registerTimer(newest + idle)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            yield from self.rows(key, self.load(), True)
+            self.state.clear()
+            self.intervals.clear()
+
+        def close(self) -> None:
+            pass
+
+    return samples.withWatermark(time_col, lateness).groupBy("recording_id").transformWithStateInPandas(Processor(), EVENT, "Append", "EventTime")
 
 
 def windows(events: DataFrame, length: str = "5 minutes", slide: str | None = None, lateness: str = "10 minutes", time_col: str = "ts", key: str = "event_type", value: str = "value") -> DataFrame:
