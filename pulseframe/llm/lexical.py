@@ -170,7 +170,7 @@ def postings(column, ids: pa.Array, shard: int, documents: int, terms: int, cost
     return pa.RecordBatch.from_arrays(columns + [pa.concat_arrays([x, y.cast(pa.binary())]) for x, y in zip(lists, own, strict=True)], names=["shard", "term", "df", *LIST])
 
 
-def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: int = 8 << 20, cost: int = 1 << 21, widest: int = 64) -> DataFrame:
+def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: int = 4 << 20, cost: int = 1 << 21, widest: int = 64) -> DataFrame:
     """The index of every row, written to the shared folder."""
     spark = docs.sparkSession
     ship(spark)
