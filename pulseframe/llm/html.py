@@ -42,16 +42,25 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style title textarea noscript template iframe xmp noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 CONTAINER = frozenset("body main article section div td".split())
-#: Elements, and words of class, id and role, that mark what isn't the article.
-SKIP = frozenset("head nav footer aside form button select input svg canvas object audio video dialog menu map label fieldset".split()) | RAW
-NOISE = frozenset(
-    "ad ads adbox advert advertisement advertisements adsense adslot banner breadcrumb breadcrumbs comment comments commentlist consent contentinfo cookie cookies disqus footer gdpr login masthead menu menubar modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion recommended related reply replies respond search share sharing shoutbox sidebar signup skip social sponsor sponsored subscribe toolbar widget widgets".split()
+#: Whose class and id say nothing about their place in the page.
+PROSE = frozenset("body html h1 h2 h3 p b i em strong".split())
+#: Elements that hold no article, whatever is in them; and those that mark what isn't the article, unless it turns out to be in them.
+NEVER = frozenset("head button select input svg canvas object audio video map".split()) | RAW
+ASIDE = frozenset("nav footer aside form dialog menu label fieldset".split())
+#: Words that mark the same as a whole token of class, id or role, or as the last part of one (``cookie-notice``); a word of ``NOT`` before it says otherwise (``has-sidebar``).
+MARKS = frozenset(
+    "ad ads adbox advert advertisement advertisements adsense adslot banner breadcrumb breadcrumbs comment comments commentlist consent contentinfo cookie cookies disqus footer gdpr masthead menu menubar modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion respond shoutbox sidebar signup sponsor sponsored subscribe toolbar widget widgets".split()
 )
+#: Words that do so only as a whole token (``share``, not ``market-share``), and before a word for a part of a page (``related-posts``, not ``related-work``), as do ``MARKS``.
+WHOLE = frozenset("complementary dialog login promotion recommended related replies reply search share sharing skip social".split())
+FRAME = frozenset("area articles bar block body box btn button buttons container form group icons inner item items label link links list overlay panel posts row section slot stories text thread title unit wrap wrapper".split())
+NOT = frozenset("has have is no non not with without".split())
+COMMENT = frozenset("comment comments commentlist disqus replies reply respond shoutbox".split())
 #: What an open element is closed by, where its end tag may be left out.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?>(?:[^>\"']|\"[^\"]*\"|'[^']*')*))>|</?[a-zA-Z][^>]*>?", re.S)
-ATTR = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
-HIDDEN = re.compile(r"\bhidden(?:[\s=/]|$)|display\s*:\s*none", re.I)
+ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+UNSEEN = re.compile(r"display\s*:\s*none", re.I)
 PIECES = re.compile(r"[^a-zA-Z]+")
 
 
@@ -71,15 +80,33 @@ def code(label: str) -> int:
     return found
 
 
+def marked(token: str) -> int:
+    """1 if a token of class, id or role marks boilerplate, 2 if reader comments, else 0."""
+    words = [w for w in PIECES.split(token) if w]
+    if not words or NOT & set(words[:-1]):
+        return 0
+    last, first = words[-1], words[0]
+    if last in MARKS or token in WHOLE:
+        return 2 if last in COMMENT else 1
+    if len(words) > 1 and last in FRAME and (first in MARKS or first in WHOLE):
+        return 2 if first in COMMENT else 1
+    return 0
+
+
+#: How an element is judged when it opens: to be kept, left out unless the article is in it, reader comments, or left out for good.
+KEPT, DOUBTFUL, COMMENTS, OUT = range(4)
+
+
 class Node:
-    """An element; ``key`` stands for its path, which is only written out when asked for."""
+    """An element; ``key`` stands for its path, which is only written out when asked for. ``prose`` is text in paragraphs."""
 
-    __slots__ = ("tag", "label", "parent", "key", "skip", "text", "noise", "first", "last")
+    __slots__ = ("tag", "label", "parent", "key", "kind", "skip", "text", "noise", "prose", "first", "last")
 
-    def __init__(self, tag: str, label: str, parent: "Node | None", skip: bool, first: int):
-        self.tag, self.label, self.parent, self.skip, self.first, self.last = tag, label, parent, skip, first, -1
+    def __init__(self, tag: str, label: str, parent: "Node | None", kind: int, first: int):
+        self.tag, self.label, self.parent, self.kind, self.first, self.last = tag, label, parent, kind, first, -1
         self.key = ((parent.key * 0x9E3779B97F4A7C15 if parent else 0) + code(label)) & 0xFFFFFFFFFFFFFFFF
-        self.text = self.noise = 0
+        self.text = self.noise = self.prose = 0
+        self.skip = False
 
     def path(self) -> str:
         out, node = [], self
@@ -92,14 +119,21 @@ class Node:
 class Page:
     """Blocks of a page's text, and its containers.
 
+    What marks boilerplate is noted while the page is read and decided at its
+    end: an element that holds the article isn't left out, whatever it is called.
+    If all ``article`` and ``main`` elements with text stand in doubtful elements,
+    those around them are kept; if there are none, doubtful elements with over half of
+    the page's paragraph text (all text, if it has no paragraphs) are. Reader
+    comments don't count for this and stay out.
+
     ``where`` holds, for each tag, the places of its open elements in the stack,
     so that what an end tag closes is found without a walk.
     """
 
     def __init__(self, source: str):
-        self.blocks: list[str] = []  # finished blocks
-        self.at: list[str] = []  # the open block's runs
-        self.containers: list[Node] = []
+        self.raw: list[list[tuple[Node | None, str]]] = []  # finished blocks, as runs of text and where they stand
+        self.at: list[tuple[Node | None, str]] = []  # the open block's runs
+        self.nodes: list[Node] = []
         self.where: dict[str, list[int]] = defaultdict(list)
         self.inner: list[int] = []  # places of open blocks
         stack: list[Node] = []
@@ -121,7 +155,7 @@ class Page:
                 self._end(tag, stack)
                 continue
             if tag == "br":
-                self.at.append(" ")
+                self.at.append((stack[-1] if stack else None, " "))
                 continue
             self._start(tag, m[3] or "", stack)
             if tag in RAW:
@@ -132,22 +166,61 @@ class Page:
                 pos = close.end() if close else n
         self._close(stack, 0)
         self._flush()
+        self._decide()
+        self.blocks = [" ".join("".join(t for node, t in runs if node is None or not node.skip).split()) for runs in self.raw]
+        self.containers = [c for c in self.nodes if c.tag in CONTAINER and not c.skip]
+        del self.raw, self.nodes
 
     def _flush(self) -> None:
         if self.at:
-            text = " ".join("".join(self.at).split())
-            self.at.clear()
-            if text:
-                self.blocks.append(text)
+            self.raw.append(self.at)
+            self.at = []
 
     def _run(self, raw: str, stack: list[Node]) -> None:
         text = _html.unescape(raw) if "&" in raw else raw
-        if stack and stack[-1].skip:
-            stack[-1].noise += len(text.strip())
-        else:
-            self.at.append(text)
-            if stack:
-                stack[-1].text += len(text.strip())
+        node = stack[-1] if stack else None
+        self.at.append((node, text))
+        if node is not None:
+            size = len(text.strip())
+            node.text += size
+            if self.where.get("p"):
+                node.prose += size
+
+    def _decide(self) -> None:
+        """What is left out, and from that the text and the noise of every element; parents come before their children."""
+        total: dict[Node, int] = {}
+        prose, plain = 0, 0
+        for node in reversed(self.nodes):
+            own = total[node] = total.get(node, 0) + node.text
+            if node.parent is not None:
+                if node.kind < COMMENTS:
+                    node.parent.prose += node.prose
+                    total[node.parent] = total.get(node.parent, 0) + own
+            else:
+                prose, plain = prose + node.prose, plain + own
+        gone: set[Node] = set()  # in comments, or out for good
+        for node in self.nodes:
+            node.skip = node.kind > KEPT or node.parent is not None and node.parent.skip
+            if node.kind > DOUBTFUL or node.parent in gone:
+                gone.add(node)
+        mains = [c for c in self.nodes if c.tag in ("article", "main") and c.kind == KEPT and total[c] and c not in gone]
+        if any(c.skip for c in self.nodes if c.kind == DOUBTFUL) and not any(not c.skip for c in mains):
+            if mains:
+                held = set()
+                for c in mains:
+                    while c is not None and c not in held:
+                        held.add(c)
+                        c = c.parent
+            else:
+                held = {c for c in self.nodes if (2 * c.prose > prose if prose else 2 * total[c] > plain)}
+            for node in self.nodes:
+                node.skip = node.kind > DOUBTFUL or node.kind == DOUBTFUL and node not in held or node.parent is not None and node.parent.skip
+        for node in reversed(self.nodes):
+            if node.skip:
+                node.noise, node.text = node.noise + node.text, 0
+            if node.parent is not None:
+                node.parent.text += node.text if not node.parent.skip else 0
+                node.parent.noise += node.noise + (node.text if node.tag == "a" else 0)
 
     def _close(self, stack: list[Node], upto: int) -> None:
         """End all elements from place ``upto`` on."""
@@ -157,10 +230,7 @@ class Page:
             if node.tag in BLOCK:
                 self.inner.pop()
                 self._flush()
-            node.last = len(self.blocks)
-            if stack:
-                stack[-1].text += node.text
-                stack[-1].noise += node.noise + (node.text if node.tag == "a" else 0)
+            node.last = len(self.raw)
 
     def _last(self, tags) -> int:
         return max((self.where[t][-1] for t in tags if self.where.get(t)), default=-1)
@@ -177,24 +247,26 @@ class Page:
         if tag in VOID:
             return
         parent = stack[-1] if stack else None
-        skip = parent is not None and parent.skip or tag in SKIP
+        kind = OUT if tag in NEVER else DOUBTFUL if tag in ASIDE else KEPT
         label = tag
         if attrs:
-            words: list[str] = []
+            named = []
             for name, value in ATTR.findall(attrs):
-                value = value.strip("\"'").lower()
-                words += value.split()
-                if name.lower() == "class":
+                name, value = name.lower(), value.strip("\"'").lower()
+                if name == "class":
                     label += "".join("." + w for w in sorted({re.sub(r"\d+", "", x) for x in value.split()}))
-            inside = tag in ("body", "html", "main", "article", "h1", "h2", "h3", "p", "b", "i", "em", "strong", "span", "a") and tag not in ("span", "a")
-            if words and not skip and not inside:
-                skip = any(w in NOISE for x in words for w in PIECES.split(x))
-            skip = skip or bool(HIDDEN.search(attrs))
+                if name in ("class", "id", "role"):
+                    named += value.split()
+                elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and UNSEEN.search(value):
+                    kind = max(kind, DOUBTFUL)
+            if named and tag not in PROSE and kind < COMMENTS:
+                mark = max(map(marked, named))
+                if mark == 2 or mark and tag not in ("article", "main"):
+                    kind = max(kind, COMMENTS if mark == 2 else DOUBTFUL)
         if tag == "header" and not self.where.get("article") and not self.where.get("main"):
-            skip = True
-        node = Node(tag, label, parent, skip, len(self.blocks))
-        if tag in CONTAINER and not skip:
-            self.containers.append(node)
+            kind = max(kind, DOUBTFUL)
+        node = Node(tag, label, parent, kind, len(self.raw))
+        self.nodes.append(node)
         self.where[tag].append(len(stack))
         if tag in BLOCK:
             self.inner.append(len(stack))
@@ -223,13 +295,13 @@ class Page:
         if not found:
             best = self.best()
             if best is None:
-                return "\n\n".join(self.blocks)
+                return "\n\n".join(filter(None, self.blocks))
             found = [best]
         out, upto = [], 0
         for c in found:  # in page order; one inside another isn't taken twice
             out += self.blocks[max(c.first, upto) : c.last]
             upto = max(upto, c.last)
-        return "\n\n".join(out)
+        return "\n\n".join(filter(None, out))
 
 
 def _host(url_col: str):
