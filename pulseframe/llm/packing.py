@@ -13,8 +13,8 @@ How it scales.  Documents are sorted by four MinHash values of their words, so
 that like documents come to one shard wherever they stood in the input; a seed
 sees its own shard only.  Ranges are of rows, with the row's place as the last
 sort column: a key that many documents have is spread over several.  That is
-one shuffle of the texts; memory is bounded by ``shard_tokens`` (plus one
-document).  ``sequence_id`` holds the partition's number and a count within it.
+one shuffle of the texts; memory is bounded by ``shard_tokens`` and
+``shard_docs`` (plus one document, or one batch of them).  ``sequence_id`` holds the partition's number and a count within it.
 
 Defined cases.  A null or empty text, or one of characters that the tokenizer
 drops (no-break spaces), yields the end id alone; any length is packed whole;
@@ -69,32 +69,53 @@ class Shard:
         # Each document's query: all its terms.
         order = np.argsort(who, kind="stable")
         self.query, self.query_at = term[order], np.searchsorted(who[order], np.arange(n + 1))
+        self.unused = np.ones(n, np.float32)
+        self.left = np.bincount(term, minlength=1 << 16)  # unused documents of each term
+
+    def use(self, doc: int) -> None:
+        self.unused[doc] = 0
+        self.left[self.query[self.query_at[doc] : self.query_at[doc + 1]]] -= 1  # a document has a term once
 
     def neighbours(self, doc: int, unused: np.ndarray) -> Iterator[int]:
-        """All unused documents that share a term with ``doc``, best first; they are sorted as far as they are asked for."""
+        """All unused documents that share a term with ``doc``, best first; they are sorted as far as they are asked for.
+
+        A term that no unused document has is passed over, and without one of the
+        frequent terms only postings are touched: a document that leads nowhere
+        costs its own terms, not a look at the shard.
+        """
         terms = self.query[self.query_at[doc] : self.query_at[doc + 1]]
+        terms = terms[self.left[terms] > 0]
+        if not len(terms):
+            return
         row = self.row[terms]
-        ask = np.zeros(len(self.often), np.float32)
-        ask[row[row >= 0]] = 1
-        score = ask @ self.often
         rest = terms[row < 0]
         size = self.post[rest + 1] - self.post[rest]
         at = np.repeat(self.post[rest] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        score += np.bincount(self.who[at], self.weight[at], len(score)).astype(np.float32)
-        score *= unused
-        left, many = np.count_nonzero(score), 32
+        if len(rest) == len(terms):
+            at = at[unused[self.who[at]] > 0]
+            docs, place = np.unique(self.who[at], return_inverse=True)
+            score = np.bincount(place, self.weight[at]).astype(np.float32)
+        else:
+            ask = np.zeros(len(self.often), np.float32)
+            ask[row[row >= 0]] = 1
+            score = ask @ self.often
+            score += np.bincount(self.who[at], self.weight[at], len(score)).astype(np.float32)
+            score *= unused
+            docs = np.flatnonzero(score)
+            score = score[docs]
+        left, many = len(docs), 32
         while left:
             many = min(many, left)
             least = np.partition(score, len(score) - many)[len(score) - many]
             found = np.flatnonzero(score >= least)
-            yield from found[np.lexsort((found, -score[found]))].tolist()
+            yield from docs[found[np.lexsort((found, -score[found]))]].tolist()
             score[found] = 0
             left, many = left - len(found), many * 8
 
     def pack(self) -> list[tuple[int, int, int, int, int]]:
         """(document, start, length, sequence, offset) of every piece."""
         size, window = self.size.tolist(), self.window
-        unused = np.ones(len(size), np.float32)
+        unused = self.unused
         pieces: list[tuple[int, int, int, int, int]] = []
         sequence, filled, after = 0, 0, 0
         open_at = 0  # first piece of the open window
@@ -106,7 +127,7 @@ class Shard:
                 if after == len(size):
                     break
                 seed, taken = after, 0
-                unused[seed] = 0
+                self.use(seed)
             queue, origin = None, seed
             while True:  # fill one window
                 part = min(size[seed] - taken, window - filled)
@@ -126,7 +147,7 @@ class Shard:
                     if after == len(size):
                         break
                     seed, origin, queue = after, after, None
-                unused[seed] = 0
+                self.use(seed)
         if filled:  # the rest, in sequences of a power of two each
             rest, pieces[open_at:] = pieces[open_at:], []
             for bit in range(filled.bit_length() - 1, -1, -1):
@@ -158,7 +179,7 @@ def _keyed(batches):
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(key.view(np.int64)), pa.array(at)], names=["doc_id", "text", "key", "place"])
 
 
-def pack(docs: DataFrame, window: int = 2048, shard_tokens: int = 2_000_000, tokenizer: str | None = None, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, window: int = 2048, shard_tokens: int = 2_000_000, shard_docs: int = 200_000, tokenizer: str | None = None, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: id, ``start, length, doc_tokens, sequence_id, offset`` and ``ids`` (unsigned 32-bit, little-endian)."""
     if tokenizer is None:
         import public_tokenizers
@@ -198,7 +219,7 @@ def pack(docs: DataFrame, window: int = 2048, shard_tokens: int = 2_000_000, tok
             names.append(b.column(0))
             parts.append(np.insert(ids, cut[1:], end_id))
             sizes.append(np.diff(cut) + 1)
-            if sum(map(len, parts)) >= shard_tokens:
+            if sum(map(len, parts)) >= shard_tokens or sum(map(len, sizes)) >= shard_docs:
                 yield from flush()
         if parts:
             yield from flush()
