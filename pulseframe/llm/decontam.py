@@ -19,13 +19,18 @@ weight: below that the similarity can't reach the threshold with any item, so
 nothing is lost.
 
 How it scales.  Documents are read once, without a shuffle; rows keep their
-place.  Items are a query set: they are taken in blocks whose index holds at
-most about ``index_bytes`` (some 40 bytes a word), and it travels with the tasks.
-Weights are those of all items in every block: shingles that two or more items have are
-counted once, in Spark, and travel with each block too (16 bytes each).
-
-Defined cases.  Null or blank texts have no windows; items that are null or have
-no words aren't searched for; items of equal text are all reported.  Of windows
+place.  Items are a query set.  Up to ``index_bytes`` of index (some 40 bytes a
+word) they are one block, a broadcast.  Beyond, they are cut into blocks of that
+size, which the driver builds one after another into files that Spark sends to
+the executors (``SparkContext.addFile``); one Python worker a task walks the blocks for
+some megabytes of text at a time, with one of them in memory.  Weights are those
+of all items in every block: shingles that two or more items have are counted once, in
+Spark, and go to a sorted file, in ranges, that workers map into memory.  So
+neither the driver nor a worker ever holds more than a block.
+
+Defined cases.  Null or blank texts have no windows; very long ones are searched
+whole, in one piece; items that are null or have no words aren't searched for;
+an item without an id is reported without one; items of equal text are all reported.  Of windows
 that tie in similarity the one of fewer bits apart, then the first, is reported.
 An empty table on either side finds nothing.  Rows aren't merged.  Columns of the documents pass through (their
 own ``leaks`` is replaced).
@@ -34,10 +39,15 @@ own ``leaks`` is replaced).
 from __future__ import annotations
 
 import math
+import os
+import pickle
+import tempfile
+import uuid
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -76,11 +86,11 @@ class Index:
     """Fingerprints, shingles and Hamming blocks of a set of items.
 
     ``whole``: if these are a block of the items, how many there are in all,
-    and the shingles that two or more of all have (ascending), with the number
-    of these; weights are the same then whatever the block.
+    and files of the shingles that two or more of all have (ascending) and of
+    their weights; these are the same then whatever the block.
     """
 
-    def __init__(self, ids: list[int], texts: list[str], shingle: int, radius: int, blocks: int, threshold: float, whole: tuple[int, np.ndarray, np.ndarray] | None = None):
+    def __init__(self, ids: list[int | None], texts: list[str], shingle: int, radius: int, blocks: int, threshold: float, whole: tuple[int, str, str] | None = None):
         self.shingle, self.radius, self.blocks, self.threshold = shingle, radius, blocks, threshold
         w = plain_words(lowered(texts))
         size = np.diff(w.doc)
@@ -92,8 +102,11 @@ class Index:
         (own, self.keys), self.counts = both[0], both[1].astype(np.int32)
         self.bag = np.searchsorted(own, np.arange(len(ids) + 1).astype(U))  # where each item's shingles begin
         self.known, df = np.unique(self.keys, return_counts=True)
-        n, self.shared, df = whole or (len(ids), self.known[df > 1], df[df > 1])
-        self.weights = np.log1p(n / df)
+        n, self.apart = whole[0] if whole else len(ids), whole is not None
+        if whole:
+            self.look(*whole[1:])
+        else:
+            self.shared, self.weights = self.known[df > 1], np.log1p(n / df[df > 1])
         self.unknown = math.log1p(n / 1) if n else 1.0  # and of shingles that one item has
         self.sieve = np.zeros(1 << 20, bool)
         self.sieve[(self.known >> U(44)).astype(np.int64)] = True
@@ -122,6 +135,14 @@ class Index:
             value, first = np.unique(part[order], return_index=True)
             self.tables.append((value, np.r_[first, len(order)], self.items[order].astype(np.int32)))
 
+    def look(self, shared: str, weights: str) -> "Index":
+        """Take shared shingles and their weights from files."""
+        self.shared, self.weights = (np.memmap(f, kind, "r") if os.path.getsize(f) else np.zeros(0, kind) for f, kind in ((shared, U), (weights, float)))
+        return self
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | ({"shared": None, "weights": None} if self.apart else {})
+
     def part(self, prints: np.ndarray, p: int) -> np.ndarray:
         return (prints >> U(p * self.width)) & U((1 << self.width) - 1)
 
@@ -231,47 +252,75 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.8, shingl
     items = items.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).alias("text")).filter(F.col("text").isNotNull())
     n, size = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(100 + 40 * F.size(_store.sql_words("text"))), F.lit(0))).first()
     parts = math.ceil(1.5 * size / index_bytes) if size > index_bytes else 1
-    whole = None
-    if parts > 1:
-
-        def count(batches):
-            for b in batches:
-                yield pa.RecordBatch.from_arrays([pa.array(item_shingles(lowered(b.column(0).to_pylist()), shingle).view(np.int64))], names=["shingle"])
-
-        shared = items.select("text").mapInArrow(count, "shingle long").groupBy("shingle").count().filter("count > 1").toArrow()
-        keys, df = shared.column(0).to_numpy().view(U), shared.column(1).to_numpy()
-        order = np.argsort(keys)
-        whole = n, keys[order], df[order]
-    out = docs.select(*[c for c in docs.columns if c != "leaks"], F.array().cast(LEAK).alias("leaks"))
-    for part in range(parts):
-        rows = items.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == part).orderBy("id", "text").collect()
-        index = Index([r.id if r.id is not None else -1 for r in rows], [r.text for r in rows], shingle, radius, blocks, threshold, whole)
-        last = part == parts - 1
-        names = keep if last else [c for c in out.columns if c != "leaks"]
-        schema = T.StructType([out.schema[c] for c in names] + [T.StructField("leaks", out.schema["leaks"].dataType)])
-        source = out.withColumn("__lower", F.lower(F.col(text_col)))
-        source = source.select(*names, "__lower", "leaks")
-        kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start_word", pa.int32()), ("n_words", pa.int32()), ("similarity", pa.float64()), ("hamming", pa.int32())]))
-        names = list(names)
-        bound = docs.sparkSession.sparkContext.broadcast(index)  # of one block of items
-
-        def run(batches, names=names, kind=kind, bound=bound, first=part == 0):
-            index = bound.value
-            for b in _words.slices(batches, "__lower", 4 << 20):
-                w = plain_words(b.column(len(names)))
-                at, (h,) = w.windows(index.shingle)
+
+    def block(rows: list, whole=None) -> Index:
+        return Index([r.id for r in rows], [r.text for r in rows], shingle, radius, blocks, threshold, whole)
+
+    if parts == 1:
+        bound = docs.sparkSession.sparkContext.broadcast(block(items.orderBy("id", "text").collect()))  # index_bytes at most
+        each = lambda: (bound.value,)
+    else:
+        each = _in_files(items, n, parts, shingle, index_bytes, block)
+    lower = "__pulseframe_lower"
+    source = docs.select(*[c for c in docs.columns if c != "leaks"]).withColumn(lower, F.lower(F.col(text_col))).select(*keep, lower)
+    schema = T.StructType([source.schema[c] for c in keep] + T.StructType.fromDDL(f"leaks {LEAK}").fields)
+    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start_word", pa.int32()), ("n_words", pa.int32()), ("similarity", pa.float64()), ("hamming", pa.int32())]))
+
+    def run(batches):
+        for b in _words.slices(batches, lower, 4 << 20):
+            w = plain_words(b.column(len(keep)))
+            at, (h,) = w.windows(shingle)
+            cuts = np.searchsorted(at, w.doc)
+            found: list = [[] for _ in range(b.num_rows)]
+            for index in each():
                 maybe = np.flatnonzero(index.sieve[(h >> U(44)).astype(np.int64)])
                 maybe = maybe[np.isin(h[maybe], index.known)]
-                cuts = np.searchsorted(at, w.doc)
-                found: list = [[] for _ in range(b.num_rows)] if first else b.column(len(names) + 1).to_pylist()
                 for d in np.unique(np.searchsorted(w.doc, at[maybe], "right") - 1).tolist():
-                    found[d] = found[d] + [dict(zip(FIELDS, x, strict=True)) for x in index.search(h[cuts[d] : cuts[d + 1]])]
+                    found[d] += [dict(zip(FIELDS, x, strict=True)) for x in index.search(h[cuts[d] : cuts[d + 1]])]
                 for d, x in index.search_short(w):
-                    found[d] = found[d] + [dict(zip(FIELDS, x, strict=True))]
-                yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(found, kind)], names=[*names, "leaks"])
-
-        out = source.mapInArrow(run, schema)
-    return out
+                    found[d].append(dict(zip(FIELDS, x, strict=True)))
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(found, kind)], names=[*keep, "leaks"])
+
+    return source.mapInArrow(run, schema)
+
+
+def _in_files(items: DataFrame, n: int, parts: int, shingle: int, piece: int, block):
+    """Indexes of ``parts`` blocks of the items, as files on every executor; a function that gives them one at a time."""
+    sc = items.sparkSession.sparkContext
+    folder, name = tempfile.mkdtemp(prefix="pulseframe-items-"), f"pulseframe-items-{uuid.uuid4().hex}"
+    path = lambda kind: os.path.join(folder, f"{name}-{kind}")
+
+    def count(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(item_shingles(lowered(b.column(0).to_pylist()), shingle).view(np.int64))], names=["shingle"])
+
+    with _store.scratch(items.sparkSession):
+        shared = items.select("text").mapInArrow(count, "shingle long").groupBy("shingle").count().filter("count > 1")
+        shared = _store.materialize(shared, "item-shingles")
+        ranges = max(1, -(-16 * shared.count() // piece))
+        # hashes are even, so ranges of their high bits are; unsigned order, as the workers look them up
+        at = F.floor(F.shiftrightunsigned("shingle", 32).cast("double") * ranges / (1 << 32))
+        with open(path("shared"), "wb") as keys, open(path("weights"), "wb") as weights:
+            for r in range(ranges):
+                got = shared.filter(at == r).toArrow()
+                own = got.column(0).to_numpy().view(U)
+                order = np.argsort(own)
+                keys.write(own[order].tobytes())
+                weights.write(np.log1p(n / got.column(1).to_numpy()[order]).tobytes())
+    for k in range(parts):
+        rows = items.filter(F.pmod(F.xxhash64("text"), F.lit(parts)) == k).orderBy("id", "text").collect()  # a block
+        with open(path(k), "wb") as f:
+            pickle.dump(block(rows, (n, path("shared"), path("weights"))), f, protocol=5)
+    for kind in ("shared", "weights", *range(parts)):
+        sc.addFile(path(kind))
+
+    def each():
+        files = [SparkFiles.get(f"{name}-{kind}") for kind in ("shared", "weights")]
+        for k in range(parts):
+            with open(SparkFiles.get(f"{name}-{k}"), "rb") as f:
+                yield pickle.load(f).look(*files)
+
+    return each
 
 
 def op1_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -134,3 +134,20 @@ def test_stages(k, spark, odd, sf_dir):
     if name == "substring dedup":
         assert kept[6] == 1 and kept[7] == 0
     assert stage(spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_blocks_of_items_are_one_worker(spark):
+    """However many blocks: one Python node, no exchange of documents, ids as they are, nothing known twice."""
+    texts = [" ".join(f"w{(k * 7 + i * i) % 450}" for i in range(30)) for k in range(60)]
+    items = spark.createDataFrame([(None, texts[0]), (-1, texts[1])] + [(k, t) for k, t in enumerate(texts) if k > 1], "item_id long, text string")
+    docs = spark.createDataFrame([(k, f"before {t.upper()} after, and more", k, "x") for k, t in enumerate(texts)] + [(90, None, 0, None), (91, "", 0, "")], "doc_id long, text string, item_id int, __lower string")
+    found = {}
+    for size in (64 << 20, 9_000, 30_000):
+        out = decontam.find_leaks(docs, items, index_bytes=size)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and "Exchange" not in plan and out.columns == ["doc_id", "text", "item_id", "__lower", "leaks"]
+        rows = out.collect()
+        assert {r["__lower"] for r in rows} == {"x", None, ""}
+        found[size] = sorted(((r.doc_id, *x) for r in rows for x in r.leaks), key=str)
+    assert found[9_000] == found[30_000] == found[64 << 20]
+    assert {(0, None), (1, -1), (5, 5)} <= {x[:2] for x in found[9_000]} and (0, -1) not in {x[:2] for x in found[9_000]}
