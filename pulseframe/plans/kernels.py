@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 from ..functions import dsp
-from ..operators import _sql, longrun, matching, samples, spectral
+from ..operators import _sql, longrun, matching, percentiles, samples, spectral
 from ..sources import files, signals
 from ..streaming import edge
 from . import oracles, pipelines
@@ -25,6 +25,9 @@ def _signal(text: str):
 
 SYNTH, EVENTS, LINEITEM, GAPS = _signal(signals.SYNTH), _signal(signals.EVENTS), _signal(signals.LINEITEM), _signal(signals.GAPS)
 SPLIT = _signal(signals.EVENTS_SPLIT)
+#: The closed-form recordings with some noise, over whose floor a mains tone stands and the beats' own overtones don't.
+NOISY_TEXT = f"SELECT recording_id, idx, v + 0.05 * {signals.NOISE} AS v FROM ({signals.SYNTH}) AS ny"
+NOISY = _signal(NOISY_TEXT)
 #: Samples of a chunk of the registered filters: recordings of the test tables have several.
 CHUNK = 512
 
@@ -68,6 +71,9 @@ def queries() -> dict:
     return {
         "welch_psd": lambda s, d: pipelines.spectra(EVENTS(s, d)).select("recording_id", "k", F.round("freq", 6).alias("freq"), F.round("p", 4).alias("p")),
         **{name: _reading(*rule) for name, rule in READINGS.items()},
+        "welch_long": lambda s, d: _sql.run(spectral.welch(), s=SPLIT(s, d)).select("recording_id", "k", F.round("freq", 6).alias("freq"), F.round("p", 4).alias("p")),
+        "mains_tones": lambda s, d: _sql.run(spectral.MAINS, f=_sql.run(spectral.welch(360.0, 2048), s=NOISY(s, d))),
+        "percentiles_exact": lambda s, d: percentiles.exact(signals.table(s, d, "lineitem"), ["l_returnflag"], "l_extendedprice", [0.05, 0.5, 0.95], few=64).select("l_returnflag", *(F.round(F.col("percentiles")[i], 6).alias(n) for i, n in enumerate(("p05", "p50", "p95")))),
         "dual_path": lambda s, d: pipelines.waves(SYNTH(s, d)),
         "bandpass_zero_phase": lambda s, d: pipelines.waves(SYNTH(s, d)).select("recording_id", "idx", F.round("qrs", 5).alias("qrs")),
         "notch": lambda s, d: pipelines.waves(SYNTH(s, d)).select("recording_id", "idx", F.round("notched", 5).alias("notched")),
@@ -104,6 +110,9 @@ def oracle_sql() -> dict[str, str]:
     return {
         "welch_psd": oracles.welch(events, 360.0, 256),
         **{name: _sql.oracle(text, f=oracles.welch(events, 360.0, n, (12, 12))) for name, (text, n) in READINGS.items()},
+        "welch_long": oracles.welch(events, 360.0, 256),
+        "mains_tones": _sql.oracle(spectral.MAINS, f=oracles.welch(duck(NOISY_TEXT), 360.0, 2048, (12, 20))),
+        "percentiles_exact": "SELECT l_returnflag, " + ", ".join(f"round(quantile_cont(l_extendedprice, {p}), 6) AS {n}" for p, n in ((0.05, "p05"), (0.5, "p50"), (0.95, "p95"))) + " FROM lineitem GROUP BY l_returnflag",
         "notch": oracles.zero_phase(synth, dsp.notch(50.0, DEFAULT.notch_q, 360.0), "notched"),
         "bandpass_zero_phase": oracles.zero_phase(flat, dsp.butter(4, *DEFAULT.qrs_band, 360.0), "qrs"),
         "filter_long": oracles.zero_phase(events, dsp.butter(4, *DEFAULT.qrs_band, 360.0), "qrs", 3),

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulseframe.functions import dsp
-from pulseframe.operators import _sql, longrun, samples
+from pulseframe.operators import _sql, longrun, samples, spectral
 from pulseframe.sources import signals
 
 BAND = dsp.butter(4, 0.5, 45.0, 360.0)
@@ -133,3 +133,28 @@ def test_numbering_by_day_and_tasks(spark, sf_dir):
     finally:
         for k, v in kept.items():
             spark.conf.set(k, v)
+
+
+# --- spectra --------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("nperseg", [256, 512, 2048])
+def test_two_stage_spectra(spark, nperseg):
+    """Long, short and odd recordings against the transform of the kernel."""
+    data = {"long": wave(5000) + np.sin(np.arange(5000) * 0.8727), "just": wave(nperseg, 1), "short": wave(101, 2), "even": wave(100, 3), "one": wave(1, 4), "flat": np.full(300, 2.0)}
+    got = {}
+    for r in _sql.run(spectral.welch(360.0, nperseg), s=frame(spark, data)).collect():
+        got.setdefault(r.recording_id, {})[r.k] = (r.freq, r.p)
+    assert got["long"].keys() == set(range(nperseg // 2 + 1))
+    for name in ("long", "just", "short", "even", "flat"):
+        freqs, p = dsp.welch(data[name], 360.0, nperseg)
+        assert np.allclose([got[name][k][0] for k in range(len(freqs))], freqs) and np.allclose([got[name][k][1] for k in range(len(p))], p, rtol=1e-9, atol=1e-12), name
+
+
+def test_mains_tones_are_told(spark, sf_dir):
+    """Recordings with a planted tone are flagged at 50 Hz, the others aren't."""
+    from pulseframe.plans import catalogue
+
+    found = {(r.recording_id, r.mains_hz): r.powerline for r in catalogue.queries()["mains_tones"](spark, sf_dir).collect()}
+    keys = {r.n_name: r.n_nationkey for r in signals.table(spark, sf_dir, "nation").collect()}
+    assert all(found[n, 50] == (k % 2 == 1) for n, k in keys.items()) and not any(v for (_, hz), v in found.items() if hz == 60)
