@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 from ..functions import dsp
-from ..operators import _sql, longrun, matching, percentiles, samples, spectral
+from ..operators import _sql, longrun, matching, percentiles, ranges, samples, spectral
 from ..sources import files, signals
 from ..streaming import edge
 from . import oracles, pipelines
@@ -40,6 +40,24 @@ def _long(kernel, sos, name: str):
     return lambda spark, sf_dir: kernel(SPLIT(spark, sf_dir), sos, CHUNK).select("recording_id", "idx", F.round("v", 3).alias(name))
 
 
+#: Every seventh sample as a point; annotations that begin at every 25th and are 1 to 1,500 samples long.
+POINTS = f"SELECT recording_id, idx, v FROM ({signals.EVENTS_SPLIT}) AS px WHERE idx % 7 = 0"
+NOTES = f"SELECT recording_id, idx AS lo, idx + idx * 37 % 1500 AS hi, CAST(idx / 25 AS BIGINT) AS note FROM ({signals.EVENTS_SPLIT}) AS nx WHERE idx % 25 = 0"
+INSIDE = "FROM ({p}) AS p LEFT JOIN ({n}) AS n ON p.recording_id = n.recording_id AND p.idx BETWEEN n.lo AND n.hi"
+
+
+def _ranges(first: bool):
+    """Points with the annotations that hold them: with the first, or how many and how far they reach."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        met = ranges.join(_signal(POINTS)(spark, sf_dir), _signal(NOTES)(spark, sf_dir), ["recording_id"], "idx", "lo", "hi", "left", first)
+        if first:
+            return met.select("recording_id", "idx", "lo", "hi", "note")
+        return met.groupBy("recording_id", "idx").agg(F.count("note").alias("notes"), F.min("lo").alias("least"), F.max("hi").alias("most"))
+
+    return run
+
+
 def compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four detectors against the true beats."""
     found = pipelines.beats(SYNTH(spark, sf_dir), 360.0, ("adaptive", "pan_tompkins", "hamilton", "christov"))
@@ -74,6 +92,8 @@ def queries() -> dict:
         "welch_long": lambda s, d: _sql.run(spectral.welch(), s=SPLIT(s, d)).select("recording_id", "k", F.round("freq", 6).alias("freq"), F.round("p", 4).alias("p")),
         "mains_tones": lambda s, d: _sql.run(spectral.MAINS, f=_sql.run(spectral.welch(360.0, 2048), s=NOISY(s, d))),
         "percentiles_exact": lambda s, d: percentiles.exact(signals.table(s, d, "lineitem"), ["l_returnflag"], "l_extendedprice", [0.05, 0.5, 0.95], few=64).select("l_returnflag", *(F.round(F.col("percentiles")[i], 6).alias(n) for i, n in enumerate(("p05", "p50", "p95")))),
+        "interval_first": _ranges(True),
+        "interval_join": _ranges(False),
         "dual_path": lambda s, d: pipelines.waves(SYNTH(s, d)),
         "bandpass_zero_phase": lambda s, d: pipelines.waves(SYNTH(s, d)).select("recording_id", "idx", F.round("qrs", 5).alias("qrs")),
         "notch": lambda s, d: pipelines.waves(SYNTH(s, d)).select("recording_id", "idx", F.round("notched", 5).alias("notched")),
@@ -110,6 +130,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "welch_psd": oracles.welch(events, 360.0, 256),
         **{name: _sql.oracle(text, f=oracles.welch(events, 360.0, n, (12, 12))) for name, (text, n) in READINGS.items()},
+        "interval_first": f"SELECT p.recording_id, p.idx, n.lo, n.hi, n.note {INSIDE} QUALIFY row_number() OVER (PARTITION BY p.recording_id, p.idx ORDER BY n.lo, n.hi) = 1".replace("{p}", duck(POINTS)).replace("{n}", duck(NOTES)),
+        "interval_join": f"SELECT p.recording_id, p.idx, count(n.note) AS notes, min(n.lo) AS least, max(n.hi) AS most {INSIDE} GROUP BY p.recording_id, p.idx".replace("{p}", duck(POINTS)).replace("{n}", duck(NOTES)),
         "welch_long": oracles.welch(events, 360.0, 256),
         "mains_tones": _sql.oracle(spectral.MAINS, f=oracles.welch(duck(NOISY_TEXT), 360.0, 2048, (12, 20))),
         "percentiles_exact": "SELECT l_returnflag, " + ", ".join(f"round(quantile_cont(l_extendedprice, {p}), 6) AS {n}" for p, n in ((0.05, "p05"), (0.5, "p50"), (0.95, "p95"))) + " FROM lineitem GROUP BY l_returnflag",
