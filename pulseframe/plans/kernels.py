@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT
 from ..functions import dsp
 from ..operators import _sql, longrun, matching, percentiles, ranges, samples, spectral
-from ..sources import files, signals
+from ..runtime import shared
+from ..sources import files, signals, waves
 from ..streaming import edge
 from . import oracles, pipelines
 
@@ -77,6 +79,13 @@ def text_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.parse_text(files.as_text(SYNTH(spark, sf_dir)))
 
 
+def wave_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings written as files of 16-bit samples to the shared folder, and read again by stretches."""
+    folder = f"{shared(spark)}/waves-{uuid.uuid4().hex}"
+    waves.write_wfdb(SYNTH(spark, sf_dir), folder, 360.0, 1000.0)
+    return waves.read(spark, folder, samples=1000).select(F.regexp_extract("recording_id", "[^/]+$", 0).alias("recording_id"), "channel", "channel_name", "idx", F.round("t", 6).alias("t"), F.round("v", 3).alias("v"), "message")
+
+
 def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.infer_rate(text_scan(spark, sf_dir))
 
@@ -111,6 +120,7 @@ def queries() -> dict:
         "emg_pipeline": lambda s, d: pipelines.process(GAPS(s, d), 360.0, "emg"),
         "bulk_pipeline": lambda s, d: pipelines.process(LINEITEM(s, d)),
         "csv_signal_scan": text_scan,
+        "wave_files": wave_files,
         "fs_inference": rates,
         "edge_chunks": lambda s, d: edge.batch(SYNTH(s, d), 360.0),
         "perturbation_lab": lambda s, d: pipelines.perturbation_lab(SYNTH(s, d)),
@@ -145,6 +155,7 @@ def oracle_sql() -> dict[str, str]:
         "event_windows": oracles.event_windows("1 hour", "1 hour", 1),
         "event_windows_hopping": oracles.event_windows("1 hour", "15 minutes", 4),
         "event_sessions": oracles.event_sessions("30 minutes"),
+        "wave_files": f"SELECT recording_id, CAST(0 AS INTEGER) AS channel, 'ecg' AS channel_name, idx, round(idx / 360.0, 6) AS t, round(v, 3) AS v, CAST(NULL AS VARCHAR) AS message FROM ({synth})",
         "csv_signal_scan": oracles.text_scan(synth, 360.0),
         "fs_inference": oracles.rates(synth, 360.0),
     }

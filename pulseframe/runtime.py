@@ -24,12 +24,18 @@ def ship(spark: SparkSession) -> None:
     sc._pulseframe_shipped = True
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """Computed once and kept in ``spark.checkpoint.dir``, so that what follows neither repeats nor loses it; only where that is unset, on a local master, a temporary folder is used."""
-    sc = df.sparkSession.sparkContext
+def shared(spark: SparkSession) -> str:
+    """The session's checkpoint folder, that of ``spark.checkpoint.dir``; only where that is unset, on a local master, a temporary one."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        path = sc.getConf().get("spark.checkpoint.dir", None) or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        path = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
         if path is None and not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all nodes share")
         sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="pulseframe-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Computed once and kept in ``spark.checkpoint.dir``, so that what follows neither repeats nor loses it."""
+    shared(df.sparkSession)
     return df.checkpoint(eager=True)
