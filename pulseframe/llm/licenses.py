@@ -3,21 +3,24 @@
 A notice is a place of a document where a licence template's statement stands:
 at least ``threshold`` of the statement's words in order, words in between
 counted against them, and none missing that names the licence (its name, its
-version).  Places are found by the exact best alignment around every occurrence
-of such a naming word, in a window that the longest admissible wording can't
-leave, so neither the length of a text or line nor line breaks, comment signs
-or other notices nearby matter.  Where wordings of several templates overlap,
-the place is compressed with zstandard plainly and with each of these templates
-as a raw dictionary, under the same parameters; the one that makes it smallest
-stands, and every other that doesn't overlap it.
+version).  Around every occurrence of a template's naming word lies a candidate
+block, where the statement would stand word for word, if enough of the
+template's words are as near as the longest admissible wording can reach.  Each block is compressed with zstandard plainly
+and with its template as a raw dictionary, under the same parameters, and the
+blocks of a document are ranked by how much smaller the dictionary made them.
+In that order they are confirmed: by the exact best alignment of the template's
+words around the naming word, unless a better-ranked notice already stands
+there.  So of wordings that overlap the one that saves most stands, and all that
+don't overlap it do; neither the length of a text or line nor line breaks,
+comment signs or other notices nearby matter.
 
 Native expressions drop documents that lack every template's naming words; the
 others reach Python whole, and rows stay where they are (no shuffle).
 
 Result: one row per document and notice, ``block`` being the number of its
 first line; sizes are those of the place.  Defined cases: null and blank texts
-have no notices; repeated rows are scanned one by one; of templates that make a
-place equally small the one with the better alignment stands, then the first;
+have no notices; repeated rows are scanned one by one; of blocks that
+save as much the one of fewer bytes ranks first, then the first template, then the first place;
 an empty table gives no notices; no other column is read.
 """
 
@@ -64,6 +67,8 @@ _ZLIB = (
     "The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. "
     "Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution."
 )
+_FREE = "This {} is free software; you can redistribute it and/or modify it under the terms of the {} as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+_SPDX = "0BSD AGPL-3.0-only AGPL-3.0-or-later Apache-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC0-1.0 EPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later MIT MPL-2.0 Unlicense Zlib"
 #: Fixed values: (licence, statement or full text, words that must stand as they are).
 STATEMENTS = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0.", "apache 2.0"),
@@ -82,6 +87,15 @@ STATEMENTS = (
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.", "hereby charge"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mozilla 2.0"),
     ("Unlicense", "This is free and unencumbered software released into the public domain.", "unencumbered"),
+    ("GPL-2.0-or-later", _FREE.format("program", "GNU General Public License", "2"), "gnu general 2"),
+    ("GPL-3.0-or-later", _FREE.format("program", "GNU General Public License", "3"), "gnu general 3"),
+    ("LGPL-2.1-or-later", _FREE.format("library", "GNU Lesser General Public License", "2.1"), "gnu lesser 2.1"),
+    ("LGPL-3.0-or-later", _FREE.format("library", "GNU Lesser General Public License", "3"), "gnu lesser 3"),
+    ("AGPL-3.0-or-later", _FREE.format("program", "GNU Affero General Public License", "3"), "gnu affero 3"),
+    ("CC-BY-3.0", "This work is licensed under a Creative Commons Attribution 3.0 Unported License.", "attribution 3.0"),
+    ("CC-BY-SA-3.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.", "attribution-sharealike 3.0"),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", "waived neighboring"),
+    *((name, f"SPDX-License-Identifier: {name}", f"spdx-license-identifier {name.lower()}") for name in _SPDX.split()),
     ("MIT", _MIT, "hereby charge noninfringement"),
     ("BSD-2-Clause", _BSD + _AS_IS, "redistribution reproduce disclaimed"),
     ("BSD-3-Clause", _BSD + _NAMES + _AS_IS, "redistribution reproduce endorse disclaimed"),
@@ -107,6 +121,7 @@ class Templates:
         import zstandard
 
         self.rows = [(name, wording(s), set(names.split())) for name, s, names in statements]
+        self.bags = [Counter(own) for _, own, _ in self.rows]
         self.anchor = [next((k for k, w in enumerate(own) if w in fixed), None) for _, own, fixed in self.rows]
         # the same explicit parameters with and without a dictionary
         same = zstandard.ZstdCompressionParameters.from_level(3, source_size=1 << 12, dict_size=1 << 9, write_content_size=False)
@@ -159,42 +174,47 @@ class Templates:
             chain.append((x, k))
         return score, [x for x, _ in chain[::-1]], [k for _, k in chain[::-1]]
 
-    def find(self, words: list[str], threshold: float) -> list[tuple]:
-        """(first word, licence, plain size, size given the template, similarity, missing words, added words) of every notice, by place."""
-        held = {}
+    def block(self, words: list[str], at: int, i: int, threshold: float) -> str | None:
+        """The block around a naming word, if near it are enough of the template's words and all that name it."""
+        _, own, fixed = self.rows[i]
+        span = int(len(own) / threshold + 1e-9)
+        part = words[max(0, at - span) : at + span + 1]
+        have = Counter(part)
+        if any(w not in have for w in fixed) or sum(min(n, have[w]) for w, n in self.bags[i].items()) < threshold * len(own) - 1e-9:
+            return None
+        begin = max(0, at - (self.anchor[i] or 0))
+        return " ".join(words[begin : begin + len(own)])  # case, spacing and punctuation don't count
+
+    def rank(self, words: list[str], threshold: float) -> list[tuple[int, int, int, int]]:
+        """(bytes saved, bytes left, template, place of the naming word) of all candidate blocks, those that save most first; the bytes saved are negative."""
         where: dict[str, list[int]] = {}
         for x, w in enumerate(words):
             where.setdefault(w, []).append(x)
+        out = []
         for i, (_, own, fixed) in enumerate(self.rows):
             if all(w in where for w in fixed):
                 for at in range(len(words)) if self.anchor[i] is None else where[own[self.anchor[i]]]:
-                    if got := self.align(words, at, i, threshold):
-                        held[got[1][0], got[1][-1] + 1, i] = got
-        out, group = [], []
-        for key in [*sorted(held), (len(words) + 1, 0, 0)]:
-            if group and key[0] >= max(b for _, b, _ in group):
-                out += self.settle(words, group, held)
-                group = []
-            group.append(key)
-        return out
-
-    def settle(self, words: list[str], group: list[tuple[int, int, int]], held: dict) -> list[tuple]:
-        """Of wordings that overlap, those that make the place smallest."""
-        raw = " ".join(words[group[0][0] : max(b for _, b, _ in group)]).encode()  # case, spacing and punctuation don't count
-        plain = len(self.plain.compress(raw))
-        size = {i: len(self.given[i].compress(raw)) for i in {i for _, _, i in group}}
-        kept: list[tuple[int, int, int]] = []
-        for a, b, i in sorted(group, key=lambda g: (size[g[2]], -held[g][0], g[2], g[0])):
-            if all(b <= c or d <= a for c, d, _ in kept):
-                kept.append((a, b, i))
-        out = []
-        for a, b, i in sorted(kept):
-            _, at, own_at = held[a, b, i]
-            name, own, _ = self.rows[i]
+                    if (block := self.block(words, at, i, threshold)) is not None:
+                        raw = block.encode()
+                        given = len(self.given[i].compress(raw))
+                        out.append((given - len(self.plain.compress(raw)), given, i, at))
+        return sorted(out)
+
+    def find(self, words: list[str], threshold: float) -> list[tuple]:
+        """(first word, licence, plain size, size given the template, similarity, missing words, added words) of every notice, by place; sizes are those of the place."""
+        kept: list[tuple[int, int, tuple]] = []
+        for *_, i, at in self.rank(words, threshold):
+            if any(a <= at < b for a, b, _ in kept) or (got := self.align(words, at, i, threshold)) is None:
+                continue
+            _, places, own_at = got
+            a, b = places[0], places[-1] + 1
+            if any(a < d and c < b for c, d, _ in kept):
+                continue
+            raw, (name, own, _) = " ".join(words[a:b]).encode(), self.rows[i]
             missing = [w for k, w in enumerate(own) if k not in set(own_at)]
-            added = [words[x] for x in range(a, b) if x not in set(at)]
-            out.append((a, name, plain, size[i], len(at) / (len(own) + len(added)), missing, added))
-        return out
+            added = [words[x] for x in range(a, b) if x not in set(places)]
+            kept.append((a, b, (a, name, len(self.plain.compress(raw)), len(self.given[i].compress(raw)), len(places) / (len(own) + len(added)), missing, added)))
+        return [found for *_, found in sorted(kept)]
 
     def scan(self, block: str, threshold: float):
         """(licence, plain size, size given the template, similarity, missing words, added words) of the first notice, or None."""
@@ -204,7 +224,7 @@ class Templates:
 
 def scan(docs: DataFrame, statements=STATEMENTS, threshold: float = 0.8, best: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     ship(docs.sparkSession)
-    names = sorted({tuple(sorted(set(n.split()))) for _, _, n in statements})
+    names = sorted({tuple(sorted(set(n.replace("-", " ").split()))) for _, _, n in statements})  # a word may be cut after its hyphen
     speaks = lambda t: reduce(or_, (reduce(and_, (F.contains(t, F.lit(w)) for w in ws), F.lit(True)) for ws in names), F.lit(False))
     # in an array, so that texts are put in lower case once
     rows = docs.filter(F.exists(F.array(F.lower(F.col(text_col))), speaks)).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
