@@ -79,9 +79,9 @@ class Shard:
     def neighbours(self, doc: int, unused: np.ndarray) -> Iterator[int]:
         """All unused documents that share a term with ``doc``, best first; they are sorted as far as they are asked for.
 
-        A term that no unused document has is passed over, and without one of the
-        frequent terms only postings are touched: a document that leads nowhere
-        costs its own terms, not a look at the shard.
+        A term that no unused document has is passed over, and where the terms have
+        few postings only these are touched: a document that leads nowhere costs
+        its own terms, not a look at the shard.
         """
         terms = self.query[self.query_at[doc] : self.query_at[doc + 1]]
         terms = terms[self.left[terms] > 0]
@@ -91,7 +91,7 @@ class Shard:
         rest = terms[row < 0]
         size = self.post[rest + 1] - self.post[rest]
         at = np.repeat(self.post[rest] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        if len(rest) == len(terms):
+        if len(rest) == len(terms) and 8 * len(at) < len(unused):
             at = at[unused[self.who[at]] > 0]
             docs, place = np.unique(self.who[at], return_inverse=True)
             score = np.bincount(place, self.weight[at]).astype(np.float32)
