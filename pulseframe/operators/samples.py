@@ -79,6 +79,39 @@ def detrend(fs: float = 360.0, seconds: float = 0.6) -> str:
     return f"SELECT recording_id, idx, round(v - m, 6) AS v FROM ({moving_mean(odd(seconds, fs))}) AS c"
 
 
+def adaptive_width(fs: float = 360.0, seconds: float = 0.6) -> int:
+    """Samples of the adaptive engine's baseline: ``seconds`` to either side."""
+    return 2 * int(max(0.2, seconds) * fs) + 1
+
+
+def adaptive_detrend(fs: float = 360.0, seconds: float = 0.6, digits: int = 8) -> str:
+    """The adaptive engine's detrending: a recording no longer than the window takes one of all its samples but one, and one of under four its median."""
+    w = adaptive_width(fs, seconds)
+    count = "(SELECT recording_id AS rc, count(*) AS n FROM {s} AS c0 GROUP BY recording_id)"
+    own = lambda which: f"(SELECT recording_id, idx, v, n FROM {{s}} AS c1 JOIN {count} AS c2 ON recording_id = rc WHERE n {which} {w})"
+    long = moving_mean(w, digits=digits).replace("{s}", own(">"))
+    placed = f"""SELECT recording_id, idx, v, n, CAST(floor((n - 1) / 2) AS BIGINT) AS lead, x, sum(x) OVER (PARTITION BY recording_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run
+FROM (SELECT recording_id, idx, v, n, coalesce(CAST(round(v * {10.0**digits:.1f}) AS BIGINT), 0) AS x FROM {own("<=")} AS d0) AS d1"""
+    return f"""
+SELECT recording_id, idx, round(v - m, 6) AS v FROM ({long}) AS e0
+UNION ALL
+SELECT a.recording_id, a.idx, round(a.v - CASE WHEN a.n < 4 THEN mid ELSE (z.run - coalesce(y.run, 0) + greatest(0, a.lead - a.idx) * fx + greatest(0, a.idx - a.lead - 1) * lx) / ({10.0**digits:.1f} * (a.n - 1)) END, 6) AS v
+FROM ({placed}) AS a
+LEFT JOIN ({placed}) AS z ON a.recording_id = z.recording_id AND z.idx = least(a.n - 1, a.idx + a.n - 2 - a.lead)
+LEFT JOIN ({placed}) AS y ON a.recording_id = y.recording_id AND y.idx = a.idx - a.lead - 1
+JOIN (SELECT recording_id AS rm, MEDIAN(v) AS mid, sum(CASE WHEN idx = 0 THEN x END) AS fx, sum(CASE WHEN idx = n - 1 THEN x END) AS lx FROM ({placed}) AS b0 GROUP BY recording_id) AS b ON a.recording_id = rm
+"""
+
+
+#: The same over lists, for DuckDB alone.
+ADAPTIVE_DUCKDB = """
+WITH r AS (SELECT recording_id, list(v ORDER BY idx) AS v, count(*) AS n FROM ({s}) GROUP BY recording_id),
+w AS (SELECT *, least({w}, n - 1) AS w FROM r),
+e AS (SELECT *, CASE WHEN w < 3 THEN [] ELSE list_concat(list_transform(range(w // 2), lambda k: v[1]), v, list_transform(range(w - 1 - w // 2), lambda k: v[-1])) END AS ext FROM w)
+SELECT recording_id, unnest(range(n)) AS idx, unnest(list_transform(range(1, n + 1), lambda i: round(v[i] - CASE WHEN w < 3 THEN list_median(v) ELSE list_avg(ext[i : i + w - 1]) END, 6))) AS v FROM e
+"""
+
+
 def removed_component(fs: float = 360.0, seconds: float = 0.6) -> str:
     """Energy of the raw wave, of what is left and of what was taken out; the three and their cross term add up."""
     return f"""

@@ -72,6 +72,7 @@ SQL: dict[str, Sql] = {
     "baseline_moving_mean": Sql(samples.baseline(FS), EP),
     "ppg_baseline": Sql(samples.baseline(FS, 1.5), EP),
     "detrend": Sql(samples.detrend(FS), EP),
+    "adaptive_detrend": Sql(samples.adaptive_detrend(10.0), {"s": signals.ORDERS}),
     "removed_component": Sql(samples.removed_component(FS), EP),
     "central_derivative": Sql(samples.central_derivative(FS), EP),
     "squared_energy": Sql(samples.squared_energy(FS), EP),
@@ -172,6 +173,7 @@ INDEPENDENT = {
     "peak_match_metrics": matching.metrics_oracle(_duck(METHODS), _duck(TRUTH), 360.0, 0.05),
     "algorithm_compare": matching.metrics_oracle(_duck(METHODS), _duck(TRUTH), 360.0, 0.05, True),
     "alert_suppression": intervals.SUPPRESSION_DUCKDB.replace("{p}", _duck(PEAKS)).replace("{q}", _duck(STATED)).replace("{g}", _duck(FLAGS.replace("{p}", f"({PEAKS})"))),
+    "adaptive_detrend": samples.ADAPTIVE_DUCKDB.replace("{w}", str(samples.adaptive_width(10.0))).replace("{s}", _duck(signals.ORDERS)),
     "rhythm_modular": intervals.MODULAR_DUCKDB.replace("{p}", _duck(PEAKS)).replace("{w}", _duck(WAVES)),
     "morphology_corr": matching.morphology_oracle(_duck(SYNTH_PEAKS), _duck(SMOOTH_DUCKDB), _duck(signals.SYNTH)),
     "what_changed": _duck(Sql(display.what_changed(), {"f": SMOOTH_DUCKDB, "s": signals.SYNTH}).whole()),

@@ -21,6 +21,9 @@ JOIN (SELECT recording_id AS s1, day AS s2, sum(n) OVER (PARTITION BY recording_
 EVENTS_SPLIT, GAPS_SPLIT = SPLIT.replace("{value}", "value"), SPLIT.replace("{value}", "CASE WHEN event_id % 17 <> 0 THEN value END")
 LINEITEM = "SELECT CAST(l_suppkey AS STRING) AS recording_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber) - 1 AS idx, l_extendedprice AS v FROM {lineitem}"
 
+#: The same with recordings of a few samples, an order each.
+ORDERS = f"SELECT concat('o', CAST(l_orderkey AS STRING)) AS recording_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) - 1 AS idx, l_extendedprice AS v FROM {{lineitem}} UNION ALL {LINEITEM}"
+
 #: Closed-form recordings: one for each nation, 3,000 samples at 360 Hz, bell-shaped beats at 50 to 170 bpm, baseline wander and, for odd keys, a 50 Hz tone.
 SYNTH = """
 SELECT recording_id, idx, exp(-pow((idx - beat * period) / 9.0, 2)) * (1 + 0.1 * (beat % 3)) + 0.15 * exp(-pow((idx - beat * period - 90) / 25.0, 2))
@@ -34,8 +37,8 @@ FROM (SELECT recording_id, idx, period, tone, CAST(floor((idx + period / 2.0) /
 #: A number between -3 and 3 for every sample, of mean 0 and variance 1, that looks like noise and is the same wherever it is computed.
 NOISE = "(2.0 * (" + " + ".join(f"((idx * idx * {a} + idx * {b} + 17) % 1000003) / 1000003" for a, b in ((7919, 104729), (15485, 32452), (98765, 1299))) + " - 1.5))"
 
-#: A minute of a sine of 1.2 Hz with a little noise, to time the engine with; no beats.
-SINE = f"SELECT 'sine' AS recording_id, idx, sin({2 * 3.141592653589793 * 1.2 / 360.0} * idx) + 0.05 * {NOISE} AS v FROM (SELECT x AS idx FROM (SELECT 1 AS one) AS a, SEQ(0, 21599, u, x)) AS b"
+#: A minute of a sine of 1.2 Hz with a little noise for each region, to time the engine with; no beats.
+SINE = f"SELECT recording_id, idx, sin({2 * 3.141592653589793 * 1.2 / 360.0} * idx) + 0.05 * {NOISE} AS v FROM (SELECT r_name AS recording_id, x AS idx FROM {{region}}, SEQ(0, 21599, u, x)) AS b"
 
 #: Pulse waves at 100 Hz, one recording a region: a systolic hump and a lesser, later one for each pulse.
 PULSES = """
