@@ -136,7 +136,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     duck = lambda text: re.sub(r"\{(\w+)\}", r"\1", _sql.render(text, "duckdb"))
     synth, events = duck(signals.SYNTH), duck(signals.EVENTS)
-    flat = duck(f"SELECT recording_id, idx, v - m AS v FROM ({samples.moving_mean(samples.odd(0.6, 360.0))}) AS fl".replace("{s}", f"({signals.SYNTH})"))
+    flat = oracles.detrended(synth, samples.odd(0.6, 360.0))
     return {
         "welch_psd": oracles.welch(events, 360.0, 256),
         **{name: _sql.oracle(text, f=oracles.welch(events, 360.0, n, (12, 12))) for name, (text, n) in READINGS.items()},

@@ -32,6 +32,14 @@ def zero_phase(signal: str, sos, column: str, digits: int | None = 5) -> str:
     return f"WITH {', '.join(steps)} SELECT recording_id, unnest(generate_series(0, len(ys) - 1)) AS idx, {value} AS {column} FROM y"
 
 
+def detrended(signal: str, window: int) -> str:
+    """``signal`` less its centred mean of an odd ``window``, ends repeated, in doubles as the kernels take it."""
+    half = window // 2
+    frame = "(PARTITION BY recording_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+    return f"""SELECT recording_id, idx, v - (inside + greatest(0, {half} - idx) * a + greatest(0, {half} - (n - 1 - idx)) * z) / {window} AS v
+FROM (SELECT recording_id, idx, v, sum(v) OVER (PARTITION BY recording_id ORDER BY idx ROWS BETWEEN {half} PRECEDING AND {half} FOLLOWING) AS inside, first_value(v) OVER {frame} AS a, last_value(v) OVER {frame} AS z, count(*) OVER (PARTITION BY recording_id) AS n FROM ({signal}))"""
+
+
 def causal(signal: str, sos, column: str, digits: int = 5) -> str:
     """Forwards only, from the steady state of the first sample."""
     steps, at = [f"c0 AS (SELECT recording_id, list(v ORDER BY idx) AS ys, first(v ORDER BY idx) AS x0 FROM ({signal}) GROUP BY recording_id)"], "c0"
