@@ -10,7 +10,7 @@ from pulseframe.llm import queries
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_same_rows(name, spark, sf_dir):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings", "pages"):
         con.execute(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     res = con.execute(queries.oracle_sql()[name])
     df = queries.queries()[name](spark, sf_dir)
