@@ -178,7 +178,7 @@ def decimate(points: int = 5500) -> str:
 SELECT DISTINCT recording_id, idx, round(v, 6) AS v
 FROM (SELECT recording_id, idx, v, row_number() OVER (PARTITION BY recording_id, block ORDER BY v, idx) AS low, row_number() OVER (PARTITION BY recording_id, block ORDER BY v DESC, idx) AS high
       FROM (SELECT recording_id, idx, v, CAST(floor(idx / step) AS BIGINT) AS block, step, n
-            FROM (SELECT recording_id, idx, v, n, greatest(2, CAST(floor(n / {points // 2}) AS BIGINT)) AS step FROM (SELECT recording_id, idx, v, count(*) OVER (PARTITION BY recording_id) AS n FROM {{s}} AS a) AS b) AS c
+            FROM (SELECT recording_id, idx, v, n, greatest(2, CAST(floor(n / {points // 2}) AS BIGINT)) AS step FROM (SELECT recording_id, idx, v, n FROM {{s}} AS a JOIN (SELECT recording_id AS rn, count(*) AS n FROM {{s}} AS a0 GROUP BY recording_id) AS a1 ON recording_id = rn) AS b) AS c
            ) AS d WHERE block < CAST(floor(n / step) AS BIGINT)) AS e
 WHERE low = 1 OR high = 1
 """

@@ -80,7 +80,7 @@ SQL: dict[str, Sql] = {
     "rms_envelope": Sql(samples.rms_envelope(FS), EP),
     "burst_fraction": Sql(samples.burst_fraction(FS), EP),
     "forward_fill_trace": Sql(samples.FORWARD_FILL, GP),
-    "minmax_decimate": Sql(samples.decimate(400), E),
+    "minmax_decimate": Sql(samples.decimate(400), EP),
     "time_crop": Sql(samples.crop(5.0, 15.0, FS), EP),
     "channel_select": Sql(samples.channel_select(5), {"s": CHANNELS}),
     "step_differences": Sql(samples.step_differences(FS), E),

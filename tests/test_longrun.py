@@ -127,7 +127,7 @@ def test_numbering_by_day_and_tasks(spark, sf_dir):
     try:
         spark.conf.set("spark.sql.shuffle.partitions", "24")
         spark.conf.set("spark.sql.adaptive.enabled", "false")
-        for text in (samples.GAP_FILL, samples.baseline(), samples.mwi_trailing(), samples.FORWARD_FILL, samples.central_derivative(), samples.rms_envelope()):
+        for text in (samples.GAP_FILL, samples.baseline(), samples.mwi_trailing(), samples.FORWARD_FILL, samples.central_derivative(), samples.rms_envelope(), samples.decimate(4000)):
             tasks = _sql.run(text, s=long).withColumn("t", F.spark_partition_id()).toPandas()["t"].nunique()  # all columns, so that no window is pruned
             assert tasks > 10, text
     finally:
