@@ -1,22 +1,29 @@
 """Hard-negative mining by a two-dimensional block matrix product (operator 11).
 
 Vectors become whole numbers, so every score is an exact inner product.  Rows
-and anchors are sharded into blocks, dimensions into chunks; a panel is a block
-by a chunk.  As in SUMMA, the tile of anchor block ``i`` and row block ``j`` is
-the sum over ``k`` of panel products: anchor panels go along the rows of the
-grid and row panels along its columns, each ``(i, j, k)`` is multiplied where
-its two panels meet, the partial int64 tiles are shuffled to ``(i, j)`` and
-added there, and a tile passes on only its best few of each anchor and window.
+and anchors are sharded into blocks, a panel each.  As in SUMMA, the tile of
+anchor block ``i`` and row block ``j`` is the sum over chunks of the dimensions
+of panel products, and stays where it is computed: anchor panels go to all strips of
+row panels (a broadcast join), a task multiplies each of its row panels by
+each anchor panel, chunk by chunk, and keeps only the best few of each anchor
+and window so far, whose worst bounds what the next tile can add.  No tile is
+stored or shuffled; a strip passes on its best few once, at its end.
 
 Blocks don't mix label groups (hash groups of labels), which splits the grid in
 two passes that overlap only where a group has several labels: tiles within a
 group give the positives, the others the negatives.  No tile is computed twice
-for a group of one label, and none is stored.
+for a group of one label.
 
-Memory: a tile has at most ``anchor_block * block`` cells, a panel ``block *
-chunk``; blocks are dealt by row number, so a hot label or a repeated row only
-has more blocks.  The driver gets four numbers a label group (``GROUPS`` at
-most).  The work is anchors times rows; nothing is left out.
+Disk: rows are shuffled once, into panels; then a strip sends ``positives *
+(1 + negatives)`` rows an anchor.  There are at most ``STRIPS`` strips (or as
+many as cores), however many rows there are, so all of it grows as the input does.
+
+Memory: a tile has at most ``anchor_block * block`` cells, a panel at most
+``PANEL_BYTES``; blocks are dealt by row number, so a hot label or a repeated row only
+has more blocks.  Anchors go in rounds of at most ``ROUND_BYTES`` of panels and
+bounds, which is what is broadcast at once and what a task keeps the best of; each
+round reads all rows again.  The driver gets six facts a label group
+(``GROUPS`` at most).  The work is anchors times rows; nothing is left out.
 
 Defined cases.  Rows with a null label, a null vector, or a null or non-finite
 component take no part.  A row without an id is never an anchor, ranks after
@@ -29,6 +36,8 @@ empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -39,8 +48,11 @@ from . import _store
 
 #: Hash groups of labels: the bound of what the driver lays the grid out from.
 GROUPS = 256
-PANEL = "side string, block long, chunk int, n int, lows long, low_n long, highs long, high_n long, pure boolean, data binary, head binary"
-LOW = np.iinfo(np.int64).min
+#: Strips of row panels that meet an anchor panel, if there aren't more cores.
+STRIPS = 64
+PANEL_BYTES, ROUND_BYTES = 8 << 20, 16 << 20
+PANEL = "block long, g int, pure boolean, data binary, head binary"
+LOW, HIGH = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
 
 def whole(vectors: DataFrame, anchor: Column, id_col: str, label: Column, vector_col: str, scale: int) -> DataFrame:
@@ -73,100 +85,138 @@ def _pack(width: int, kind: str):
         sizes = q.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         data = np.zeros((len(uid), width), kind)
         data[np.repeat(np.arange(len(uid)), sizes), np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = q.flatten().to_numpy()
-        first = {c: t[c][:1] for c in ("side", "block", "chunk", "lows", "low_n", "highs", "high_n", "pure")}
-        head = np.stack([uid[order], ids[order], null[order].astype(np.int64), label[order]]).tobytes() if first["chunk"][0].as_py() == 0 else None
-        return pa.table(first | {"n": pa.array([len(uid)], pa.int32()), "data": pa.array([data[order].tobytes()]), "head": pa.array([head], pa.binary())}).select(["side", "block", "chunk", "n", "lows", "low_n", "highs", "high_n", "pure", "data", "head"])
-
-    return run
-
-
-def _multiply(width: int, kind: str, exact: bool, sent: str):
-    schema = pa.schema([("i", pa.int64()), ("j", pa.int64()), ("tile", pa.binary()), ("anchors", pa.binary()), ("rows", pa.binary())])
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not (left.num_rows and right.num_rows):  # blocks are dealt by hash: one may be empty
-            return schema.empty_table()
-        a = np.frombuffer(left["data"][0].as_py(), kind).reshape(-1, width)
-        b = np.frombuffer(right["data"][0].as_py(), kind).reshape(-1, width)
-        # below 2**53 products and sums of doubles are whole and exact, and come from the vectorised routine
-        tile = (a.astype(float) @ b.T.astype(float)).astype(np.int64) if exact else a.astype(np.int64) @ b.T.astype(np.int64)
-        return pa.table({"i": left["i"], "j": left["j"], "tile": pa.array([tile.astype(sent).tobytes()], pa.binary()), "anchors": left["head"], "rows": right["head"]})
+        head = np.stack([uid[order], ids[order], null[order].astype(np.int64), label[order]]).tobytes()
+        return pa.table({c: t[c][:1] for c in ("block", "g", "pure")} | {"data": pa.array([data[order].tobytes()], pa.binary()), "head": pa.array([head], pa.binary())})
 
     return run
 
 
-def _sum(t: pa.Table, sent: str) -> tuple[np.ndarray, Head, Head]:
-    """The whole tile, and the heads that came with its first chunk."""
-    total = None
-    for x in t["tile"]:
-        part = np.frombuffer(x.as_buffer(), sent).astype(np.int64)
-        total = part if total is None else total + part
-    a, b = (Head(next(x.as_py() for x in t[c] if x.is_valid)) for c in ("anchors", "rows"))
-    return total.reshape(len(a.uid), len(b.uid)), a, b
-
-
-def _best(scores: np.ndarray, k: int):
-    """(lines, columns, scores) of each line's ``k`` best in turn; ``scores`` is used up, and LOW stands for no score."""
+def _top(scores: np.ndarray, k: int, low):
+    """(lines, columns, scores) of each line's ``k`` best in turn; ``scores`` is used up, and ``low`` stands for no score."""
     lines = np.arange(len(scores))
     for _ in range(min(k, scores.shape[1])):
         at = scores.argmax(1)  # the first of equals
         best = scores[lines, at]
-        some = np.flatnonzero(best > LOW)
+        some = np.flatnonzero(best > low)
         if not len(some):
             return
         yield lines[some], at[some], best[some]
-        scores[lines, at] = LOW
-
-
-def _positives(k: int, sent: str):
-    def run(t: pa.Table) -> pa.Table:
-        s, a, b = _sum(t, sent)
-        s[(a.label[:, None] != b.label[None, :]) | (a.uid[:, None] == b.uid[None, :])] = LOW
-        out = [[], [], [], [], []]
-        for x, y, z in _best(s, k):
-            for o, v in zip(out, (a.uid[x], a.id[x], b.uid[y], y, z), strict=True):
-                o.append(v)
-        u, i, p, y, z = (np.concatenate(o) if o else np.zeros(0, np.int64) for o in out)
-        return pa.table({"i": pa.array(np.full(len(u), t["i"][0].as_py())), "anchor": u, "anchor_id": i, "positive": p, "positive_id": b.named(y), "positive_score": z})
+        scores[lines, at] = low
+
+
+class Best:
+    """The ``k`` best rows, so far, of each anchor of a block within each of its windows ``lo..hi`` of scores (a column a window)."""
+
+    def __init__(self, head: Head, lo: np.ndarray, hi: np.ndarray, k: int, same: bool, work: str):
+        self.head, self.k, self.same, self.windows = head, k, same, lo.shape[1]
+        self.low = -np.inf if work != "<i8" else LOW
+        self.least, self.most = (np.where(x == LOW, self.low, np.where(x == HIGH, -self.low if work != "<i8" else HIGH, x)).astype(work) for x in (lo, hi))
+        self.parts, self.waiting = [np.zeros((5, 0), np.int64)], 0
+        self._bound()
+
+    def _bound(self):
+        self.all_least, self.all_most = self.least.min(1)[:, None], self.most.max(1)[:, None]
+
+    def _push(self, x, w, y, z, rows: Head):
+        self.parts.append(np.stack([x * self.windows + w, z.astype(np.int64), rows.null[y].astype(np.int64), rows.id[y], rows.uid[y]]))
+        self.waiting += len(x)
+
+    def settle(self) -> np.ndarray:
+        """Rows of place (anchor and window), score, null id, id, uid: the best ``k`` of each place, in order."""
+        found = np.concatenate(self.parts, 1)
+        found = found[:, np.lexsort((found[4], found[3], found[2], -found[1], found[0]))]
+        new = np.flatnonzero(np.diff(found[0], prepend=-1))
+        rank = np.arange(found.shape[1]) - np.repeat(new, np.diff(new, append=found.shape[1]))
+        full = rank == self.k - 1
+        self.least[found[0, full] // self.windows, found[0, full] % self.windows] = found[1, full]  # equal scores still come in, by id
+        self._bound()
+        found = found[:, rank < self.k]
+        self.parts, self.waiting = [found], 0
+        return found
+
+    def add(self, s: np.ndarray, rows: Head):
+        """Take in a tile of scores."""
+        some = (s >= self.all_least) & (s <= self.all_most)
+        n = np.count_nonzero(some)
+        if n <= 16 * len(s):
+            x, y = np.nonzero(some)
+            fits = (self.head.label[x] == rows.label[y]) == self.same
+            if self.same:
+                fits &= self.head.uid[x] != rows.uid[y]
+            x, y = x[fits], y[fits]
+            z = s[x, y]
+            for w in range(self.windows):
+                m = (z >= self.least[x, w]) & (z <= self.most[x, w])
+                self._push(x[m], w, y[m], z[m], rows)
+        else:  # many: the tile's own best first
+            some &= (self.head.label[:, None] == rows.label[None, :]) == self.same
+            if self.same:
+                some &= self.head.uid[:, None] != rows.uid[None, :]
+            for w in range(self.windows):
+                own = np.where(some & (s >= self.least[:, w, None]) & (s <= self.most[:, w, None]), s, s.dtype.type(self.low))
+                for x, y, z in _top(own, self.k, self.low):
+                    self._push(x, w, y, z, rows)
+        if n > 16 * len(s) or self.waiting > len(s) * self.windows * self.k:
+            self.settle()
+
+
+def _product(a: np.ndarray, b: np.ndarray, chunk: int) -> np.ndarray:
+    """A tile, added up over the chunks of the dimensions."""
+    total = a[:, :chunk] @ b[:, :chunk].T
+    for k in range(chunk, a.shape[1], chunk):
+        total += a[:, k : k + chunk] @ b[:, k : k + chunk].T
+    return total
+
+
+def _search(width: int, kind: str, work: str, chunk: int, k: int, same: bool, low: int, high: int):
+    """Row panels, each beside the anchor panels that it meets; the best of the strip for each anchor and window at its end."""
+
+    def panel(raw) -> np.ndarray:
+        return np.frombuffer(raw.as_buffer(), kind).reshape(-1, width).astype(work)
+
+    def run(batches):
+        anchors, at, rows, b = {}, None, None, None
+        for batch in batches:
+            col = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
+            for r, (i, j) in enumerate(zip(col["i"].to_pylist(), col["j"].to_pylist(), strict=True)):
+                if j != at:
+                    at, rows, b = j, Head(col["row_head"][r].as_py()), panel(col["row_data"][r])
+                if i not in anchors:
+                    head = Head(col["head"][r].as_py())
+                    lo = hi = np.zeros((len(head.uid), 1), np.int64)
+                    if same:
+                        lo, hi = lo + LOW, hi + HIGH
+                    else:
+                        p = np.frombuffer(col["wanted"][r].as_buffer(), np.int64).reshape(len(head.uid), -1)
+                        none, p = p == LOW, np.where(p == LOW, 0, p)
+                        lo, hi = np.where(none, HIGH, -(-low * p // 100)), np.where(none, LOW, high * p // 100)
+                    anchors[i] = panel(col["data"][r]), Best(head, lo, hi, k, same, work)
+                a, best = anchors[i]
+                best.add(_product(a, b, chunk), rows)
+        for i, (_, best) in anchors.items():
+            place, score, null, ids, uid = best.settle()
+            line = place // best.windows
+            # a row an anchor, window and place: who it is, and who was found
+            yield pa.record_batch({"i": np.full(len(place), i), "anchor": best.head.uid[line], "anchor_id": best.head.id[line], "turn": (place % best.windows + 1).astype(np.int32), "found": uid, "found_id": pa.array(ids, mask=null.astype(bool)), "score": score})
 
     return run
 
 
-def _negatives(k: int, low: int, high: int, sent: str):
-    def run(t: pa.Table, w: pa.Table) -> pa.Table:
-        schema = pa.schema([(c, pa.int64()) for c in ("anchor", "anchor_id", "positive", "positive_id", "positive_score", "negative", "negative_id", "negative_score")])
-        if not (t.num_rows and w.num_rows):
-            return schema.empty_table()
-        s, a, b = _sum(t, sent)
-        line = np.argsort(a.uid)
-        line = line[np.searchsorted(a.uid, w["anchor"].to_numpy(), sorter=line)]
-        turn, score = w["turn"].to_numpy(), w["positive_score"].to_numpy()
-        s[a.label[:, None] == b.label[None, :]] = LOW
-        parts = []
-        for n in np.unique(turn):  # the n-th positives of all anchors of the block at once
-            of = np.flatnonzero(turn == n)
-            own, p = s[line[of]], score[of, None]
-            own[(own == LOW) | (low * p > 100 * own) | (100 * own > high * p)] = LOW
-            for x, y, z in _best(own, k):
-                found = w.take(pa.array(of[x])).select(["anchor", "anchor_id", "positive", "positive_id", "positive_score"])
-                for name, v in (("negative", pa.array(b.uid[y])), ("negative_id", b.named(y)), ("negative_score", pa.array(z))):
-                    found = found.append_column(name, v)
-                parts.append(found)
-        return pa.concat_tables(parts).cast(schema) if parts else schema.empty_table()
+FOUND = "i long, anchor long, anchor_id long, turn int, found long, found_id long, score long"
 
-    return run
 
+def _wanted(positives: int):
+    """Anchor panels with the scores of their positives, in turn."""
+
+    def run(t: pa.Table, near: pa.Table) -> pa.Table:
+        if not (t.num_rows and near.num_rows):  # no positives: no negatives
+            return pa.table({c: t[c][:0] for c in t.schema.names} | {"wanted": pa.array([], pa.binary())})
+        uid = Head(t["head"][0].as_py()).uid
+        wanted, order = np.full((len(uid), positives), LOW), np.argsort(uid)
+        wanted[order[np.searchsorted(uid, near["anchor"].to_numpy(), sorter=order)], near["turn"].to_numpy() - 1] = near["score"].to_numpy()
+        return t.append_column("wanted", pa.array([wanted.tobytes()], pa.binary()))
 
-def _grid(panels: DataFrame, side: str, first: bool, across: int) -> DataFrame:
-    """Panels sent to the tiles that they take part in: those of their own group (``first``), or all but those of one label."""
-    own = F.sequence("lows", F.col("lows") + F.col("low_n") - 1) if side == "anchor" else F.sequence("highs", F.col("highs") + F.col("high_n") - 1)
-    lo, n = (F.col("lows"), F.col("low_n")) if side == "anchor" else (F.col("highs"), F.col("high_n"))
-    mine, other = ("i", "j") if side == "anchor" else ("j", "i")
-    panels = panels.filter((F.col("side") == side) & (n > 0 if first else F.lit(True)))
-    sent = panels.select(F.col("block").alias(mine), F.explode(own if first else F.sequence(F.lit(0), F.lit(across - 1)).cast("array<long>")).alias(other), F.col("chunk").alias("k"), "data", "head", lo.alias("lo"), n.alias("own"), "pure")
-    if not first:
-        sent = sent.filter(~(F.col("pure") & (F.col(other) >= F.col("lo")) & (F.col(other) < F.col("lo") + F.col("own"))))
-    return sent.select("i", "j", "k", "data", "head")
+    return run
 
 
 def mine(vectors: DataFrame, anchor: Column, label: Column | None = None, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256, positives: int = 5, negatives: int = 3, low: int = 50, high: int = 95, block: int = 2048, anchor_block: int = 512, chunk: int = 32) -> DataFrame:
@@ -187,44 +237,57 @@ def _mine(rows: DataFrame, positives: int, negatives: int, low: int, high: int,
     spark = rows.sparkSession
     rows = rows.withColumn("g", F.pmod(F.xxhash64("label"), F.lit(GROUPS)).cast("int"))
     most = F.array_max(F.transform("q", lambda x: F.abs(x.cast("double")) + 1))
-    groups = rows.groupBy("g").agg(F.count(F.lit(1)), F.count(F.when(F.col("anchor"), 1)), F.min("label") == F.max("label"), F.max(F.size("q")), F.max(most)).collect()  # GROUPS rows at most
-    top, dims = max((int(r[5] or 0) for r in groups), default=0), max((r[4] for r in groups), default=0)
+    norm = F.aggregate("q", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    groups = rows.groupBy("g").agg(F.count(F.lit(1)), F.count(F.when(F.col("anchor"), 1)), F.min("label") == F.max("label"), F.max(F.size("q")), F.max(most), F.max(norm)).collect()  # GROUPS rows at most
+    top, dims, square = max((int(r[5] or 0) for r in groups), default=0), max((r[4] for r in groups), default=0), max((r[6] for r in groups), default=0.0)
     if dims * top * top >= 1 << 56:
         raise ValueError("scores of these vectors may exceed 64 bits")
-    chunks, exact, sent = max(1, -(-dims // chunk)), chunk * top * top < 1 << 53, "<i4" if chunk * top * top < 1 << 31 else "<i8"
+    # no sum of some of a product's terms exceeds the greatest square of a length: below what the type holds exactly, the vectorised routine is exact
+    work = next((w for w, n in (("<f4", 24), ("<f8", 53)) if square < 0.99 * (1 << n)), "<i8")
     kind = next(k for k in ("<i2", "<i4", "<i8") if top < 1 << (8 * int(k[2]) - 1))
+    width = max(1, dims)
+    block, anchor_block = (max(1, min(n, PANEL_BYTES // (width * int(kind[2])))) for n in (block, anchor_block))
     laid, i, j = [], 0, 0
     for g, n, a, pure, *_ in groups:
         nj, ni = -(-n // block), -(-a // anchor_block)
         laid.append((g, j, nj, i, ni, pure))
         i, j = i + ni, j + nj
     total, anchors = sum(r[1] for r in groups), sum(r[2] for r in groups)
-    # low: the row blocks of the group, which its anchor blocks meet; high: its anchor blocks
+    # low: the row blocks of the group; high: its anchor blocks
     grid = F.broadcast(spark.createDataFrame(laid, "g int, lows long, low_n long, highs long, high_n long, pure boolean"))
     placed = rows.join(grid, "g")
-    as_row = placed.withColumns({"side": F.lit("row"), "block": F.col("lows") + F.pmod(F.xxhash64("uid"), F.col("low_n"))})
-    as_anchor = placed.filter("anchor").withColumns({"side": F.lit("anchor"), "block": F.col("highs") + F.pmod(F.xxhash64("uid"), F.col("high_n"))})
-    cut = as_row.unionByName(as_anchor).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    cut = cut.withColumn("q", F.slice("q", F.col("chunk") * chunk + 1, chunk))
-    spread = _store.partitions(spark, 10 * total * max(1, dims))
-    panels = _store.materialize(cut.repartition(spread, "side", "block", "chunk").groupBy("side", "block", "chunk").applyInArrow(_pack(chunk, kind), PANEL), "negatives-panels")
-    parts = _store.partitions(spark, 8 * anchors * total * chunks)
-
-    def tiles(first: bool) -> DataFrame:
-        a, b = (_grid(panels, side, first, across).repartition(parts, "i", "j", "k") for side, across in (("anchor", max(1, j)), ("row", max(1, i))))
-        met = a.groupBy("i", "j", "k").cogroup(b.groupBy("i", "j", "k")).applyInArrow(_multiply(chunk, kind, exact, sent), "i long, j long, tile binary, anchors binary, rows binary")
-        return met.repartition(parts, "i", "j")
-
-    result = "anchor long, anchor_id long, positive long, positive_id long, positive_score long"
-    near = tiles(True).groupBy("i", "j").applyInArrow(_positives(positives, sent), f"i long, {result}")
-    order = Window.partitionBy("anchor").orderBy(F.desc("positive_score"), F.asc_nulls_last("positive_id"), "positive")
-    near = near.withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= positives)
-    near = _store.materialize(near, "negatives-windows")
-    windows = near.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(max(1, j) - 1)).cast("array<long>"))).repartition(parts, "i", "j")
-    far = tiles(False).groupBy("i", "j").cogroup(windows.groupBy("i", "j")).applyInArrow(_negatives(negatives, low, high, sent), f"{result}, negative long, negative_id long, negative_score long")
-    order = Window.partitionBy("anchor", "positive").orderBy(F.desc("negative_score"), F.asc_nulls_last("negative_id"), "negative")
-    far = far.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= negatives)
-    return far.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+    def panels(part: DataFrame, first: str, n: str, count: int, name: str) -> DataFrame:
+        dealt = part.select("uid", "id", "label", "q", "g", "pure", (F.col(first) + F.pmod(F.xxhash64("uid"), F.col(n))).alias("block"))
+        dealt = dealt.repartition(_store.partitions(spark, 10 * count * width), "block")
+        return _store.materialize(dealt.groupBy("block").applyInArrow(_pack(width, kind), PANEL), name)
+
+    row_panels = panels(placed, "lows", "low_n", total, "negatives-rows-packed").select(F.col("block").alias("j"), F.col("g").alias("row_g"), F.col("data").alias("row_data"), F.col("head").alias("row_head"))
+    strips = row_panels.coalesce(max(STRIPS, spark.sparkContext.defaultParallelism))
+    anchor_panels = panels(placed.filter("anchor"), "highs", "high_n", anchors, "negatives-anchors-packed").withColumnRenamed("block", "i")
+    own = F.col("g") == F.col("row_g")
+
+    def search(side: DataFrame, met: Column, k: int, same: bool) -> DataFrame:
+        columns = ["i", "j", "data", "head", "row_data", "row_head"] + ([] if same else ["wanted"])
+        return strips.join(F.broadcast(side), met).select(*columns).mapInArrow(_search(width, kind, work, chunk, k, same, low, high), FOUND)
+
+    def best(found: DataFrame, keys: list[str], k: int) -> DataFrame:
+        order = Window.partitionBy(*keys).orderBy(F.desc("score"), F.asc_nulls_last("found_id"), "found")
+        return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+    each = max(1, ROUND_BYTES // (anchor_block * (width * int(kind[2]) + 8 * (4 + positives))))
+    rounds = []
+    for start in range(0, max(1, i), each):
+        side = anchor_panels.filter((F.col("i") >= start) & (F.col("i") < start + each))
+        near = best(search(side, own, positives, True).drop("turn"), ["anchor"], positives).withColumnRenamed("rank", "turn")
+        near = _store.materialize(near, "negatives-windows")
+        windows = side.groupBy("i").cogroup(near.groupBy("i")).applyInArrow(_wanted(positives), f"i long, {PANEL.split(', ', 1)[1]}, wanted binary")
+        far = best(search(_store.materialize(windows, "negatives-wanted"), ~(F.col("pure") & own), negatives, False), ["anchor", "turn"], negatives)
+        far = far.select("anchor", "turn", "rank", F.col("found_id").alias("negative_id"), F.col("score").alias("negative_score"))
+        far = far.join(near.select("anchor", "turn", "anchor_id", F.col("found_id").alias("positive_id"), F.col("score").alias("positive_score")), ["anchor", "turn"])
+        far = far.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+        rounds.append(_store.materialize(far, "negatives-round") if each < i else far)
+    return reduce(DataFrame.union, rounds)
 
 
 def op11_hard_negatives(spark, sf_dir: str) -> DataFrame:

@@ -72,3 +72,29 @@ def test_wide_values(spark):
 def test_nothing(spark):
     assert rows(run(spark, [])) == [] == rows(run(spark, [(1, [1.0], 1), (2, [1.0], 2)]))
     assert rows(run(spark, [(0, [1.0], 1), (1, [1.0], 1)])) == []  # no other label
+
+
+@pytest.mark.parametrize("groups", [1, 256])
+def test_rounds_of_anchors(spark, monkeypatch, groups):
+    """Anchors in rounds of a block, panels of a few rows, many copies."""
+    monkeypatch.setattr(negatives, "GROUPS", groups)
+    monkeypatch.setattr(negatives, "ROUND_BYTES", 1)
+    monkeypatch.setattr(negatives, "PANEL_BYTES", 64)
+    r = np.random.default_rng(5)
+    data = [(int(i), [float(x) for x in r.normal(size=3)], int(i) % 3) for i in range(24)]
+    data += [(100 + i, [0.5, 0.25, 0.0], i % 2) for i in range(20)]
+    assert rows(run(spark, data, every=8)) == sorted(brute(data, 8), key=repr)
+
+
+def test_shuffle_grows_as_rows_do(spark):
+    def shuffled():
+        stages = spark._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    def cost(n):
+        v = F.array(*(F.rand(k) - 0.5 for k in range(8)))
+        before = shuffled()
+        negatives.mine(spark.range(n).select(F.col("id").alias("vec_id"), v.alias("embedding"), (F.col("id") % 3).alias("label")), F.col("vec_id") % 5 == 0, block=64, anchor_block=64, chunk=4)
+        return shuffled() - before
+
+    assert 0 < cost(4000) < 6 * cost(1000)  # four times the rows; tiles would be sixteen times as many
