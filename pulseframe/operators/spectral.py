@@ -9,6 +9,13 @@ from __future__ import annotations
 
 import math
 
+from pyspark.sql import DataFrame
+
+from . import _sql
+
+#: Samples of a partition of long spectra: both stages hold some 16 sums a sample, about 1 KB.
+SPREAD = 100_000
+
 
 def psd(fs: float = 360.0, nperseg: int = 64) -> str:
     step = nperseg // 2
@@ -73,7 +80,7 @@ FROM (SELECT recording_id, mains_hz, 10 * log10(greatest(max(CASE WHEN k = centr
 """
 
 
-def welch(fs: float = 360.0, nperseg: int = 256) -> str:
+def welch(fs: float = 360.0, nperseg: int = 256, parts: int | None = None) -> str:
     """``recording_id, k, freq, p`` of segments of ``nperseg`` samples, a power of two; a shorter recording is one segment.
 
     A segment of ``l = a * b`` samples is read as ``b`` columns of every ``b``-th
@@ -81,19 +88,20 @@ def welch(fs: float = 360.0, nperseg: int = 256) -> str:
     result is turned by its twiddle factor, the second stage transforms across the
     columns: ``a + b / 2`` products a sample instead of ``l / 2``, 48 for 1,024.
     Both stages are aggregates by segment and bin, so long recordings spread over
-    their segments. A recording shorter than a segment has columns of one sample; of a single sample the power is NULL.
+    their segments, over ``parts`` partitions if that is given. A recording shorter than a segment has columns of one sample; of a single sample the power is NULL.
     """
     a = 1 << ((nperseg.bit_length() - 1) // 2)
     turn = "2 * pi() * {} / {}"
     near, far = turn.format("((i DIV b) * c % a)", "a"), turn.format("(r * d % b)", "b")
     twiddle = turn.format("(r * c % l)", "l")
+    deal = f"/*+ REPARTITION({parts}, recording_id, seg) */ " if parts else ""
     return f"""
 SELECT recording_id, k, k * {fs} / l AS freq, avg((re * re + im * im) / ({fs} * NULLIF(power, 0))) * CASE WHEN k = 0 OR 2 * k = l THEN 1 ELSE 2 END AS p
 FROM (SELECT recording_id, seg, l, power, c + a * d AS k, sum(tr * cos({far}) + ti * sin({far})) AS re, sum(ti * cos({far}) - tr * sin({far})) AS im
       FROM (SELECT recording_id, seg, l, power, a, b, r, c, re * cos({twiddle}) + im * sin({twiddle}) AS tr, im * cos({twiddle}) - re * sin({twiddle}) AS ti
             FROM (SELECT recording_id, seg, l, power, a, b, i % b AS r, c, sum(y * cos({near})) AS re, -sum(y * sin({near})) AS im
                   FROM (SELECT recording_id, seg, l, a, b, i, (v - avg(v) OVER (PARTITION BY recording_id, seg)) * w AS y, sum(w * w) OVER (PARTITION BY recording_id, seg) AS power
-                        FROM (SELECT recording_id, seg, l, CASE WHEN l = {nperseg} THEN {a} ELSE 1 END AS a, CASE WHEN l = {nperseg} THEN {nperseg // a} ELSE l END AS b, idx - seg * hop AS i, v, 0.5 - 0.5 * cos(2 * pi() * (idx - seg * hop) / l) AS w
+                        FROM (SELECT {deal}recording_id, seg, l, CASE WHEN l = {nperseg} THEN {a} ELSE 1 END AS a, CASE WHEN l = {nperseg} THEN {nperseg // a} ELSE l END AS b, idx - seg * hop AS i, v, 0.5 - 0.5 * cos(2 * pi() * (idx - seg * hop) / l) AS w
                               FROM (SELECT recording_id, idx, v, n, l, hop, (idx DIV hop) - o AS seg
                                     FROM (SELECT recording_id, idx, v, n, l, l - (l DIV 2) AS hop FROM {{s}} AS t0 JOIN (SELECT recording_id AS r0, count(*) AS n, least({nperseg}, count(*)) AS l FROM {{s}} AS t1 GROUP BY recording_id) AS t2 ON recording_id = r0) AS t3, SEQ(0, 1, u0, o)) AS t4
                               WHERE seg >= 0 AND seg * hop <= n - l AND idx - seg * hop < l) AS t5) AS t6, SEQ(0, a - 1, u1, c)
@@ -104,6 +112,16 @@ GROUP BY recording_id, k, l
 """
 
 
+def spread(signal: DataFrame, fs: float = 360.0, nperseg: int = 256, each: int = SPREAD) -> DataFrame:
+    """``welch`` over a signal of any size: a partition has segments of some ``each`` samples, which bounds what a task holds.
+
+    The number of partitions is stated, because adaptive execution would join
+    small ones before the stages multiply their rows.
+    """
+    parts = max(signal.sparkSession.sparkContext.defaultParallelism, -(-signal.count() // each))
+    return _sql.run(welch(fs, nperseg, parts), s=signal)
+
+
 def low_share(group: str = "0", fs: float = 360.0, nperseg: int = 256, below: float = 1.0) -> str:
     """Share of Welch's power below a frequency for every ``group`` of a recording, without a transform.
 

@@ -98,8 +98,8 @@ def queries() -> dict:
     return {
         "welch_psd": lambda s, d: pipelines.spectra(EVENTS(s, d)).select("recording_id", "k", F.round("freq", 6).alias("freq"), F.round("p", 4).alias("p")),
         **{name: _reading(*rule) for name, rule in READINGS.items()},
-        "welch_long": lambda s, d: _sql.run(spectral.welch(), s=SPLIT(s, d)).select("recording_id", "k", F.round("freq", 6).alias("freq"), F.round("p", 4).alias("p")),
-        "mains_tones": lambda s, d: _sql.run(spectral.MAINS, f=_sql.run(spectral.welch(360.0, 2048), s=NOISY(s, d))),
+        "welch_long": lambda s, d: spectral.spread(SPLIT(s, d)).select("recording_id", "k", F.round("freq", 6).alias("freq"), F.round("p", 4).alias("p")),
+        "mains_tones": lambda s, d: _sql.run(spectral.MAINS, f=spectral.spread(NOISY(s, d), 360.0, 2048)),
         "percentiles_exact": lambda s, d: percentiles.exact(signals.table(s, d, "lineitem"), ["l_returnflag"], "l_extendedprice", [0.05, 0.5, 0.95], few=64).select("l_returnflag", *(F.round(F.col("percentiles")[i], 6).alias(n) for i, n in enumerate(("p05", "p50", "p95")))),
         "interval_first": _ranges(True),
         "interval_join": _ranges(False),

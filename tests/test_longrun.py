@@ -158,3 +158,12 @@ def test_mains_tones_are_told(spark, sf_dir):
     found = {(r.recording_id, r.mains_hz): r.powerline for r in catalogue.queries()["mains_tones"](spark, sf_dir).collect()}
     keys = {r.n_name: r.n_nationkey for r in signals.table(spark, sf_dir, "nation").collect()}
     assert all(found[n, 50] == (k % 2 == 1) for n, k in keys.items()) and not any(v for (_, hz), v in found.items() if hz == 60)
+
+
+def test_long_spectra_are_dealt_by_their_length(spark):
+    """So many samples a partition, however few partitions the session has; equal results."""
+    data = {"long": wave(5000), "short": wave(101, 2), "one": wave(1, 4)}
+    got, want = ({(r.recording_id, r.k): (r.freq, r.p) for r in df.collect()} for df in (spectral.spread(frame(spark, data), each=500), _sql.run(spectral.welch(), s=frame(spark, data))))
+    assert got.keys() == want.keys() and all(got[k][1] == pytest.approx(want[k][1], rel=1e-9) if want[k][1] is not None else got[k][1] is None for k in want)
+    plan = spectral.spread(frame(spark, data), each=500)._jdf.queryExecution().executedPlan().toString()
+    assert len([x for x in plan.splitlines() if "REPARTITION_BY_NUM" in x and ", 11)" in x]) == 1, plan
