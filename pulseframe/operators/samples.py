@@ -85,21 +85,29 @@ def adaptive_width(fs: float = 360.0, seconds: float = 0.6) -> int:
 
 
 def adaptive_detrend(fs: float = 360.0, seconds: float = 0.6, digits: int = 8) -> str:
-    """The adaptive engine's detrending: a recording no longer than the window takes one of all its samples but one, and one of under four its median."""
+    """The adaptive engine's detrending: a recording no longer than the window takes one of all its samples but one, and one of under four its median.
+
+    One reading does both kinds, without a count of the recording: parts are
+    longer than the window, so the first part of a recording no longer than it
+    is the whole, and has its count; its running sums (and, under four, samples)
+    are a list beside each of its rows.  For Spark alone.
+    """
     w = adaptive_width(fs, seconds)
-    count = "(SELECT recording_id AS rc, count(*) AS n FROM {s} AS c0 GROUP BY recording_id)"
-    own = lambda which: f"(SELECT recording_id, idx, v, n FROM {{s}} AS c1 JOIN {count} AS c2 ON recording_id = rc WHERE n {which} {w})"
-    long = moving_mean(w, digits=digits).replace("{s}", own(">"))
-    placed = f"""SELECT recording_id, idx, v, n, CAST(floor((n - 1) / 2) AS BIGINT) AS lead, x, sum(x) OVER (PARTITION BY recording_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run
-FROM (SELECT recording_id, idx, v, n, coalesce(CAST(round(v * {10.0**digits:.1f}) AS BIGINT), 0) AS x FROM {own("<=")} AS d0) AS d1"""
+    left, scale = w // 2, f"{10.0**digits:.1f}"
+    size = max(PART, w + 1)
+    short = f"part = 0 AND n <= {w}"
+    at = lambda name, i: f"get({name}, CAST({i} AS INT))"
     return f"""
-SELECT recording_id, idx, round(v - m, 6) AS v FROM ({long}) AS e0
-UNION ALL
-SELECT a.recording_id, a.idx, round(a.v - CASE WHEN a.n < 4 THEN mid ELSE (z.run - coalesce(y.run, 0) + greatest(0, a.lead - a.idx) * fx + greatest(0, a.idx - a.lead - 1) * lx) / ({10.0**digits:.1f} * (a.n - 1)) END, 6) AS v
-FROM ({placed}) AS a
-LEFT JOIN ({placed}) AS z ON a.recording_id = z.recording_id AND z.idx = least(a.n - 1, a.idx + a.n - 2 - a.lead)
-LEFT JOIN ({placed}) AS y ON a.recording_id = y.recording_id AND y.idx = a.idx - a.lead - 1
-JOIN (SELECT recording_id AS rm, MEDIAN(v) AS mid, sum(CASE WHEN idx = 0 THEN x END) AS fx, sum(CASE WHEN idx = n - 1 THEN x END) AS lx FROM ({placed}) AS b0 GROUP BY recording_id) AS b ON a.recording_id = rm
+SELECT recording_id, idx, round(v - CASE
+         WHEN NOT ({short}) THEN (coalesce(after, total) - coalesce(before, 0) + greatest(0, {left} - (idx - lo)) * fx + greatest(0, {left} - (hi - idx)) * lx) / {w * 10.0**digits:.1f}
+         WHEN n < 4 THEN ({at("few", "(size(few) - 1) DIV 2")} + {at("few", "size(few) DIV 2")}) / 2
+         ELSE ({at("runs", "least(n - 1, idx + n - 2 - back)")} - coalesce({at("runs", "idx - back - 1")}, 0) + greatest(0, back - idx) * fx + greatest(0, idx - back - 1) * lx) / ({scale} * (n - 1)) END, 6) AS v
+FROM (SELECT recording_id, part, idx, v, own, n, lo, hi, fx, lx, total, (n - 1) DIV 2 AS back, lead(run, {left}) OVER {IN} AS after, lag(run, {left + 1}) OVER {IN} AS before,
+             collect_list(CASE WHEN {short} THEN run END) OVER {WHOLE} AS runs, array_sort(collect_list(CASE WHEN {short} AND n < 4 THEN v END) OVER {WHOLE}) AS few
+      FROM (SELECT recording_id, part, idx, v, own, sum(x) OVER {UP_TO} AS run, count(*) OVER {WHOLE} AS n, sum(x) OVER {WHOLE} AS total, first_value(idx) OVER {WHOLE} AS lo, last_value(idx) OVER {WHOLE} AS hi, first_value(x) OVER {WHOLE} AS fx, last_value(x) OVER {WHOLE} AS lx
+            FROM (SELECT recording_id, CAST(floor(idx / {size}) AS BIGINT) + away AS part, idx, v, away = 0 AS own, coalesce(CAST(round(v * {scale}) AS BIGINT), 0) AS x
+                  FROM {{s}} AS d0, SEQ(CASE WHEN idx >= {size} AND idx % {size} < {left} THEN -1 ELSE 0 END, CASE WHEN idx % {size} >= {size - left} THEN 1 ELSE 0 END, p1, away)) AS d1) AS d2) AS d3
+WHERE own
 """
 
 

@@ -167,3 +167,32 @@ def test_long_spectra_are_dealt_by_their_length(spark):
     assert got.keys() == want.keys() and all(got[k][1] == pytest.approx(want[k][1], rel=1e-9) if want[k][1] is not None else got[k][1] is None for k in want)
     plan = spectral.spread(frame(spark, data), each=500)._jdf.queryExecution().executedPlan().toString()
     assert len([x for x in plan.splitlines() if "REPARTITION_BY_NUM" in x and ", 11)" in x]) == 1, plan
+
+
+# --- adaptive detrending --------------------------------------------------------
+
+
+@pytest.mark.parametrize("fs", [10.0, 360.0, 2000.0])
+def test_adaptive_detrending(spark, fs):
+    """Recordings about the window's and a part's length, with gaps, against the lists of its definition."""
+    w = samples.adaptive_width(fs)
+    lengths = {1, 2, 3, 4, 5, w - 1, w, w + 1, 1023, 1024, 1025, 1024 + w // 2, w + 1024, 2 * w + 2500}
+    data = {f"r{n}": [None if i % 7 == 5 else round(float(x), 3) for i, x in enumerate(wave(n, n))] for n in lengths} | {"none": [None] * 3, "odd": [None, 4.0], "gap": [1.0, None, 2.0, 5.0]}
+    got = lists(_sql.run(samples.adaptive_detrend(fs), s=frame(spark, data)), "v")
+    assert got.keys() == data.keys()
+    for k, x in data.items():
+        n, known = len(x), [v for v in x if v is not None]
+        width = min(w, n - 1)
+        y = np.array([v or 0.0 for v in x])
+        if width < 3:
+            m = [np.median(known) if known else np.nan] * n
+        else:
+            y = np.concatenate([[y[0]] * (width // 2), y, [y[-1]] * (width - 1 - width // 2)])
+            m = np.convolve(y, np.ones(width), "valid") / width
+        assert [v is None for v in got[k]] == [v is None for v in x], k
+        assert np.allclose([v for v in got[k] if v is not None], [v - u for v, u in zip(x, m, strict=True) if v is not None], atol=2e-6), k
+
+
+def test_adaptive_detrending_reads_once(spark):
+    plan = _sql.run(samples.adaptive_detrend(10.0), s=spark.range(100).selectExpr("'a' AS recording_id", "id AS idx", "1D AS v"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Range (") == 1 and "Join" not in plan
